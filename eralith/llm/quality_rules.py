@@ -25,7 +25,7 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 #: don't reject on a trace.
 MEASURES = {
     "symbol_share": ("n_symbols / word_chars", 0.1),
-    "dup_line_share": ("n_dup_lines / n_lines", 0.3),
+    "dup_line_share": ("n_dup_lines / n_lines", 0.5),
     "repeat_share": ("n_repeat_words / n_words", 0.2),
     "word_length": ("word_chars / n_words", 12.0),
 }
@@ -35,6 +35,7 @@ def text_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     """keep... and the counts of each text: words, their code points, symbols, lines, repeated lines and words."""
     d = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("text"))
     schema = d.drop("text").schema
+    names = [*schema.names, *_COUNTS]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -56,7 +57,7 @@ def text_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
                 dup = n_lines - np.array([len(set(x)) if len(x) > 1 else len(x) for x in lines])
                 at = t.offsets
                 counts = (n, points[at[1:]] - points[at[:-1]], symbols[at[1:]] - symbols[at[:-1]], n_lines, dup, repeat[w.first[1:]] - repeat[w.first[:-1]])
-                yield pa.RecordBatch.from_arrays([*(c.slice(t.first, t.n) for c in b.columns[:-1]), *(pa.array(x, pa.int64()) for x in counts)], names=[*schema.names, *_COUNTS])
+                yield pa.RecordBatch.from_arrays([*(c.slice(t.first, t.n) for c in b.columns[:-1]), *(pa.array(x, pa.int64()) for x in counts)], names=names)
 
     for c in _COUNTS:
         schema = schema.add(c, "long")

@@ -3,12 +3,14 @@
 Suffixes are ordered only through the threshold (400 bytes): equal groups after that depth are the repeated strings.
 A digit is a run of bytes as a 64-bit value; a pass deals suffixes out by their next digits and drops groups of one.
 
-Pass 1 orders only suffixes that begin at content-defined points (those whose next 16 bytes hash below 1/64), one row a
-point: by the 128 bytes there, then by all bytes from the point before it to 399 bytes past it. A group of two or more
-by the long digit settles at once every suffix between the two points: each is repeated through the threshold. Where
-a short digit has several long ones, pass 2 orders every single suffix between the points through all 400 bytes (for
-a long digit that several share, those of one member speak for all). Stretches without points go to pass 2 whole.
-Elsewhere a suffix has no equal: equal strings of 400 bytes hold the same points, at the same places.
+Pass 1 orders whole stretches of suffixes at once. Content-defined points (those whose next 16 bytes hash below 1/64)
+part a text; suffixes are sorted into stretches by how far before the next point they begin, and every suffix of a
+stretch holds the same number of bytes from that point on. Stretches are grouped by these bytes, then by all bytes
+from their first suffix to the end of the last one's string. A group of two or more by the long digit is settled: each
+suffix is repeated through the threshold. Where a short digit has several long ones, pass 2 orders every single suffix
+of the stretch through all 400 bytes (for a long digit that several share, those of one member speak for all).
+Suffixes too far from a point go to pass 2 as they are. Elsewhere a suffix has no equal: equal strings of 400
+bytes hold the same points, at the same places.
 """
 
 from __future__ import annotations
@@ -24,32 +26,53 @@ from pyspark.sql import functions as F
 from eralith.llm._spark import documents, id_filter, shared_runs, written
 from eralith.llm._text import Texts, combine, covered, mix, rolling_bytes, slices, spread
 
-#: Bytes that decide on a point, one in so many positions is a point, and the short digit's bytes.
-CONTEXT, EVERY, SHORT = 16, 64, 128
+#: Bytes that decide on a point; one in so many positions is a point.
+CONTEXT, EVERY = 16, 64
+#: Stretches: suffixes that begin up to so many bytes before the next point, as shares of the threshold.
+REACH = (0.24, 0.52, 0.84)
 
 
-class _Points:
-    """Chunks of texts: [a, next) for each point a, and for each text's beginning as chunk 0 of it."""
+class _Stretches:
+    """Stretches of suffixes of some texts: start, size, the next point, bytes held from there, whether content-defined."""
 
     def __init__(self, t: Texts, length: int):
-        self.t, self.roll = t, rolling_bytes(t.data)
+        self.roll = rolling_bytes(t.data)
         size = np.diff(t.offsets)
-        start = spread(t.offsets[:-1], np.maximum(size - CONTEXT + 1, 0))
-        h = self.roll.ranges(start, start + CONTEXT)
-        point = start[mix(h) < np.uint64((1 << 64) // EVERY)]
-        long = size >= length
-        head = t.offsets[:-1][long]
-        of = np.searchsorted(t.offsets, point, "right") - 1
-        point = point[long[of]]
-        self.at, inverse = np.unique(np.concatenate([point, head]), return_inverse=True)
-        self.is_point = np.zeros(len(self.at), bool)
-        self.is_point[inverse[: len(point)]] = True
-        self.of = np.searchsorted(t.offsets, self.at, "right") - 1
-        self.stop = t.offsets[self.of + 1]
-        self.next = np.append(self.at[1:], 0)
-        self.last = np.append(self.of[1:] != self.of[:-1], True) if len(self.at) else np.zeros(0, bool)
-        self.next[self.last] = self.stop[self.last]
-        self.local = self.at - t.offsets[self.of]
+        start = spread(t.offsets[:-1], np.where(size >= length, size - CONTEXT + 1, 0))
+        point = start[mix(self.roll.ranges(start, start + CONTEXT)) < np.uint64((1 << 64) // EVERY)]
+        # chunks: from a point, or a text's beginning, to the next point, or the last start of a whole string
+        head = t.offsets[:-1][size >= length]
+        begin = np.union1d(point, head)
+        of = np.searchsorted(t.offsets, begin, "right") - 1
+        stop = t.offsets[of + 1]
+        ends = np.append(begin[1:], 0)
+        last = np.append(of[1:] != of[:-1], True) if len(begin) else np.zeros(0, bool)
+        ends[last] = stop[last]
+        fixed = np.isin(begin, point)
+        parts = []
+        reach = [0, *(int(length * r) for r in REACH)]
+        for near, far in zip(reach, reach[1:], strict=False):
+            lo, hi = np.maximum(begin, ends - far), np.minimum(ends - near, stop - length + 1)
+            use = ~last & (hi > lo) & (ends + length - far <= stop)
+            parts.append([x[use] for x in (lo, hi - lo, ends, np.full(len(begin), length - far), of, (fixed | (lo > begin)) & (hi == ends - near))])
+        self.start, self.size, self.next, self.held, self.of, self.fixed = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # suffixes of no stretch: too far before the next point, or before the text's end
+        done = np.zeros(len(t.data) + 1, np.int64)
+        np.add.at(done, self.start, 1)
+        np.add.at(done, self.start + self.size, -1)
+        free = spread(t.offsets[:-1], np.maximum(size - length + 1, 0))
+        free = free[np.cumsum(done)[free] == 0]
+        edge = np.flatnonzero(np.diff(free, prepend=-2) != 1) if len(free) else free
+        run = np.diff(np.append(edge, len(free)))
+        pieces = -(-run // _MOST)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        self.bare = np.repeat(free[edge], pieces) + nth * _MOST
+        self.bare_size = np.minimum(np.repeat(run, pieces) - nth * _MOST, _MOST)
+        self.bare_of = np.searchsorted(t.offsets, self.bare, "right") - 1
+
+
+#: A reference packs a stretch's start, its size (12 bits) and whether it is settled (1 bit).
+_MOST = (1 << 12) - 1
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
@@ -57,66 +80,67 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Elsewhere: at any other position of any row, the same row and rows with equal id or text included; strings never
     cross rows. spans holds the maximal removed runs, kept the other bytes. Null and empty texts: zeros, no spans and
-    an empty kept. A row without id is left out. length under 160 leaves no room for the short digit: ValueError.
+    an empty kept. A row without id is left out. length below 64 leaves no room for points, above 4,095 none in a reference: ValueError.
     """
-    if length < SHORT + 32:
-        raise ValueError(f"length must be {SHORT + 32} bytes or more")
+    if not 64 <= length <= _MOST:
+        raise ValueError("length must be 64 to 4095 bytes")
     d = documents(docs, id_col, text_col)
 
     def first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, sig = (np.asarray(b.column(c)) for c in ("doc", "sig"))
             for t in slices(b.column(b.schema.get_field_index("text"))):
-                p = _Points(t, length)
-                use = np.flatnonzero(~p.last & (p.next + SHORT <= p.stop))
-                if not len(use):
-                    continue
-                at, after, of = p.at[use], p.next[use], p.of[use] + t.first
-                f = p.roll.ranges(after, after + SHORT)
-                # a chunk that begins at no point, or ends too near the text's end, has a long digit of its own
-                g = combine(mix(sig[of].view(np.uint64)), p.local[use].astype(np.uint64))
-                full = p.is_point[use] & (after + length - 1 <= p.stop[use])
-                g[full] = p.roll.ranges(at[full], after[full] + length - 1)
-                yield pa.record_batch([pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), sig[of], doc[of], pa.array(p.local[use])], names=["f", "g", "sig", "doc", "at"])
-
-    digits = d.mapInArrow(first_digits, "f long, g long, sig long, doc long, at long")
-    refs = digits.repartition("f").sortWithinPartitions("f", "g", "sig", "doc", "at").mapInArrow(_groups, "doc long, sig long, ref long")
-    refs = written(refs.groupBy("doc", "sig").agg(F.collect_list("ref").alias("ref")))
-    # a text that has no shared point but a stretch without points must reach pass 2 as well
-    bare = written(d.mapInArrow(lambda it: _bare(it, length), "doc long, sig long").distinct())
-    ids = refs.select("doc", "sig", "ref").unionByName(bare.withColumn("ref", F.array().cast("array<long>")))
-    ids = ids.groupBy("doc", "sig").agg(F.flatten(F.collect_list("ref")).alias("ref"))
+                p = _Stretches(t, length)
+                of, local = p.of + t.first, p.start - t.offsets[p.of]
+                f = combine(p.roll.ranges(p.next, p.next + p.held), p.held.astype(np.uint64))
+                # a stretch that is not content-defined has a long digit of its own
+                g = combine(mix(sig[of].view(np.uint64)), local.astype(np.uint64))
+                g[p.fixed] = p.roll.ranges(p.start[p.fixed], (p.start + p.size)[p.fixed] + length - 1)
+                yield pa.record_batch([pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), sig[of], doc[of], pa.array(local << 12 | p.size)], names=["f", "g", "sig", "doc", "ref"])
+
+    def bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, sig = (np.asarray(b.column(c)) for c in ("doc", "sig"))
+            for t in slices(b.column(b.schema.get_field_index("text"))):
+                p = _Stretches(t, length)
+                of = p.bare_of + t.first
+                yield pa.record_batch([doc[of], sig[of], pa.array((p.bare - t.offsets[p.bare_of] << 12 | p.bare_size) * 2)], names=["doc", "sig", "ref"])
+
+    ref = "doc long, sig long, ref long"
+    digits = d.mapInArrow(first_digits, "f long, g long, sig long, doc long, ref long")
+    grouped = digits.repartition("f").sortWithinPartitions("f", "g", "sig", "doc", "ref").mapInArrow(_groups, ref)
+    refs = written(grouped.unionByName(d.mapInArrow(bare, ref)).groupBy("doc", "sig").agg(F.collect_list("ref").alias("ref")))
     # equal texts: every one is repeated as a whole; only the one with the least id goes on as supplier
     sigs = d.select("doc", "sig", F.xxhash64(F.lit(1), F.col("text")).alias("sig2"))
     equal = sigs.groupBy("sig", "sig2").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1")
     copies = written(sigs.distinct().join(equal, ["sig", "sig2"]).select("doc", "sig", "least"))
-    supplier = written(ids.join(copies, ["doc", "sig"], "left").where("least is null or doc = least").select("doc", "sig", "ref"))
+    lone = refs.join(copies, ["doc", "sig"], "left").where("least is null or doc = least")
+    open_ = written(lone.select("doc", "sig", F.filter("ref", lambda r: r % 2 == 0).alias("ref")).where(F.size("ref") > 0))
 
-    def next_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def every_suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, sig = (np.asarray(b.column(c)) for c in ("doc", "sig"))
             ref = b.column(b.schema.get_field_index("ref"))
             ends, flat = ref.offsets.to_numpy(), np.asarray(ref.values)
             for t in slices(b.column(b.schema.get_field_index("text"))):
-                settled, open_ = _split(t, ends[t.first : t.first + t.n + 1], flat, length)
-                for start, h, h2, kind in (
-                    (settled[0], np.zeros(len(settled[0]), np.int64), settled[1], 1),
-                    (open_, *(rolling_bytes(t.data, k).ranges(open_, open_ + length).view(np.int64) for k in (0, 1)), 0),
-                ):
-                    of = np.searchsorted(t.offsets, start, "right") - 1
-                    local = pa.array((start - t.offsets[of]).astype(np.int64))
-                    of += t.first
-                    yield pa.record_batch([pa.array(h), pa.array(h2.astype(np.int64)), sig[of], doc[of], local, pa.array(np.full(len(of), kind == 1))], names=["h", "h2", "sig", "doc", "at", "settled"])
-
-    near = id_filter(supplier, "doc")
-    step = written(
-        d.where(near(F.col("doc"))).join(supplier, ["doc", "sig"]).select("doc", "sig", "text", "ref")
-        .mapInArrow(next_digits, "h long, h2 long, sig long, doc long, at long, settled boolean")
+                r = flat[ends[t.first] : ends[t.first + t.n]] >> 1
+                base = np.repeat(t.offsets[:-1], np.diff(ends[t.first : t.first + t.n + 1]))
+                start = spread(base + (r >> 12), r & _MOST)
+                of = np.searchsorted(t.offsets, start, "right") - 1
+                digits = (rolling_bytes(t.data, k).ranges(start, start + length).view(np.int64) for k in (0, 1))
+                local = pa.array(start - t.offsets[of])
+                of += t.first
+                yield pa.record_batch([*map(pa.array, digits), sig[of], doc[of], local], names=["h", "h2", "sig", "doc", "at"])
+
+    near = id_filter(open_, "doc")
+    every = (
+        d.where(near(F.col("doc"))).join(open_, ["doc", "sig"]).select("doc", "sig", "text", "ref")
+        .mapInArrow(every_suffix, "h long, h2 long, sig long, doc long, at long")
     )
-    equal_suffixes = shared_runs(step.where("not settled"), ["h", "h2"], ["at"], "doc long, sig long, at long", between_texts=False)
-    spans = step.where("settled").select("doc", "sig", "at", F.col("h2").alias("to")).unionByName(
-        equal_suffixes.select("doc", "sig", "at", (F.col("at") + length).alias("to"))
-    )
+    equal_suffixes = shared_runs(every, ["h", "h2"], ["at"], "doc long, sig long, at long", between_texts=False)
+    settled = refs.select("doc", "sig", F.explode("ref").alias("r")).where("r % 2 = 1")
+    settled = settled.select("doc", "sig", F.expr("shiftright(r, 13)").alias("at"), F.expr(f"shiftright(r, 13) + (shiftright(r, 1) & {_MOST}) + {length - 1}").alias("to"))
+    spans = settled.unionByName(equal_suffixes.select("doc", "sig", "at", (F.col("at") + length).alias("to")))
     spans = spans.groupBy("doc", "sig").agg(F.array_sort(F.collect_list(F.struct("at", "to"))).alias("runs"))
     spans = spans.select("doc", "sig", F.col("runs.at").alias("at"), F.col("runs.to").alias("to"))
     known = written(spans.join(copies.select("doc", "sig", F.lit(True).alias("copy")), ["doc", "sig"], "full"))
@@ -153,32 +177,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return plain.unionByName(done)
 
 
-def _gap(length: int) -> int:
-    """Longest chunk all of whose windows hold the short digit of the next point."""
-    return length - SHORT
-
-
-def _bare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Texts with a chunk so long that some of its windows may hold no short digit of a point."""
-    for b in batches:
-        doc, sig = (np.asarray(b.column(c)) for c in ("doc", "sig"))
-        for t in slices(b.column(b.schema.get_field_index("text"))):
-            p = _Points(t, length)
-            of = np.unique(p.of[p.next - p.at > _gap(length)]) + t.first
-            yield pa.record_batch([doc[of], sig[of]], names=["doc", "sig"])
-
-
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (f, g, sig, doc): ref 2*at+1 where the long digit has two members, 2*at where pass 2 needs it.
+    """Rows sorted by (f, g, sig, doc): 2*ref+1 where the long digit has two members, 2*ref where pass 2 needs it.
 
     A stream: all that is kept from batch to batch is the open group's two leaders.
     """
-    key = f_lead = g_lead = None  # (f, g, sig, least doc); leaders still to be told of: (doc, sig, at)
+    key = f_lead = g_lead = None  # (f, g, sig, least doc); leaders still to be told of: (doc, sig, ref)
     for b in batches:
         n = b.num_rows
         if not n:
             continue
-        f, g, sig, doc, at = (np.asarray(b.column(c)) for c in ("f", "g", "sig", "doc", "at"))
+        f, g, sig, doc, at = (np.asarray(b.column(c)) for c in ("f", "g", "sig", "doc", "ref"))
         new_f, new_g, new_s = (np.ones(n, bool) for _ in range(3))
         new_f[1:] = f[1:] != f[:-1]
         new_g[1:] = new_f[1:] | (g[1:] != g[:-1])
@@ -228,20 +237,6 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x.astype(np.int64)) for x in (d, s, r)], names=["doc", "sig", "ref"])
 
 
-def _split(t: Texts, ends: np.ndarray, flat: np.ndarray, length: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Settled ranges (start in the slice, end in the text) and the positions that pass 2 has to order."""
-    p = _Points(t, length)
-    refs = flat[ends[0] : ends[-1]]
-    of = np.repeat(np.arange(t.n), np.diff(ends))
-    place, kind = t.offsets[of] + refs // 2, refs % 2
-    whole, every = np.isin(p.at, place[kind == 1]), np.isin(p.at, place[kind == 0])
-    # windows that hold no short digit of the next point are always ordered
-    until = np.where(every | p.last, p.next, p.next + SHORT - length)
-    until = np.minimum(until, p.stop - length + 1)
-    open_ = spread(p.at, np.maximum(until - p.at, 0))
-    return (p.at[whole], p.next[whole] + length - 1 - t.offsets[p.of[whole]]), open_
-
-
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Digest of repeated_spans over documents, strings of 400 bytes."""
     out = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
