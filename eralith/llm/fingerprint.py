@@ -17,16 +17,20 @@ _RANGE = 1 << 60
 _SPLITS = 512
 
 
-def sketch(text: Column, shingle: int = 5, scale: int = SCALE) -> Column:
-    """Sorted distinct retained hashes (60 bits) of a text's word shingles; a shorter text is one shingle; no words: []."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n = F.size(words)
+def with_sketch(df: DataFrame, text: str, out: str, shingle: int = 5, scale: int = SCALE) -> DataFrame:
+    """df with column out: sorted distinct retained hashes (60 bits) of the word shingles of column text.
+
+    A text of fewer words is one shingle; one without words has an empty sketch. Words and hashes are columns of their
+    own on the way, or each shingle would split the text anew.
+    """
+    w, h, n = F.col(f"{out}_words"), F.col(f"{out}_hashes"), F.size(f"{out}_words")
     hashed = lambda ws: F.shiftrightunsigned(F.xxhash64(ws), 4)
-    hashes = F.when(n >= shingle, F.transform(F.sequence(F.lit(1), n - (shingle - 1)), lambda i: hashed(F.slice(words, i, shingle)))).when(
-        n > 0, F.array(hashed(words))
-    ).otherwise(F.array().cast("array<bigint>"))
-    least = F.filter(F.array(F.array_min(hashes)), lambda h: h.isNotNull())
-    return F.array_sort(F.array_distinct(F.concat(least, F.filter(hashes, lambda h: h < _RANGE // scale))))
+    shingles = F.transform(F.sequence(F.lit(1), n - (shingle - 1)), lambda i: hashed(F.slice(w, i, shingle)))
+    df = df.withColumn(f"{out}_words", F.array_remove(F.split(F.col(text), r"[\x20\x09-\x0D]+"), ""))
+    df = df.withColumn(f"{out}_hashes", F.when(n >= shingle, shingles).when(n > 0, F.array(hashed(w))).otherwise(F.array().cast("array<bigint>")))
+    kept = F.filter(h, lambda x: x < _RANGE // scale)
+    df = df.withColumn(out, F.array_sort(F.array_distinct(F.array_compact(F.array_append(kept, F.array_min(h))))))
+    return df.drop(f"{out}_words", f"{out}_hashes")
 
 
 def merge_sketches(a: Column, b: Column, scale: int = SCALE) -> Column:
@@ -49,7 +53,7 @@ def to_string(sk: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, sketch) of every row with an id; a null text is empty."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return d.where("doc_id is not null").withColumn("sketch", sketch(F.col("text")))
+    return with_sketch(d.where("doc_id is not null"), "text", "sketch")
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -83,14 +87,14 @@ def op3_fingerprint(spark, sf_dir: str) -> DataFrame:
     lengths = d.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
     # what a document gives away: to the one before it, as many code points as half of that one's
     takers = follows.join(lengths, "doc_id").select(F.col("doc_id").alias("taker"), F.col("next").alias("doc_id"), F.expr("cast(n div 2 as int)").alias("half"))
-    giver = d.join(takers, "doc_id").select("taker", F.struct(F.expr("substring(text, 1, half)").alias("head"), sketch(F.col("text")).alias("sketch")).alias("given"))
+    giver = with_sketch(d.join(takers, "doc_id"), "text", "sketch").select("taker", F.struct(F.expr("substring(text, 1, half)").alias("head"), "sketch").alias("given"))
     given = giver.groupBy("taker").agg(F.min("given").alias("given")).select(F.col("taker").alias("doc_id"), "given.*")
     n = F.length("text")
     both = d.join(given, "doc_id").select(
         "doc_id", n.cast("long").alias("n_chars"), "text", F.col("sketch").alias("next_sketch"),
         F.expr("concat(substring(text, 1, length(text) - cast(length(text) div 2 as int)), substring(head, 1, cast(length(text) div 2 as int)))").alias("edited"),
     )
-    both = both.withColumns({"own": sketch(F.col("text")), "other": sketch(F.col("edited")), "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256)})
+    both = with_sketch(with_sketch(both, "text", "own"), "edited", "other").withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     return both.select(
         "doc_id", "n_chars", "edited_sha256", to_string(F.col("own")).alias("fingerprint"), to_string(F.col("other")).alias("edited_fingerprint"),
         containment(F.col("own"), F.col("other")).alias("near_edited"), containment(F.col("own"), F.col("next_sketch")).alias("near_next"),

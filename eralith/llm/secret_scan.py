@@ -83,8 +83,8 @@ def secret_scan(versions: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def span_text(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
     """kind:start:end of each span, comma-joined."""
-    use = spans if kinds is None else F.filter(spans, lambda s: s.name.isin(*kinds))
-    return F.array_join(F.transform(use, lambda s: F.concat_ws(":", s.name, s.start.cast("string"), s.end.cast("string"))), ",")
+    use = spans if kinds is None else F.filter(spans, lambda s: s["name"].isin(*kinds))
+    return F.array_join(F.transform(use, lambda s: F.concat_ws(":", s["name"], s.start.cast("string"), s.end.cast("string"))), ",")
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
