@@ -1,15 +1,96 @@
-"""A corpus-cleaning pipeline of five stages over documents."""
+"""A corpus-cleaning pipeline of five stages over documents.
+
+Each stage works on all rows that its predecessor kept; all but the last return the columns of their input. A row
+without an id leaves at the first stage, like a text that the quality rules reject.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eralith.llm.ngram_join import jaccard_components
+from eralith.llm.packing import best_fit_packing
+from eralith.llm.quality_rules import quality_rules
+from eralith.llm.secret_scan import secret_scan
+from eralith.llm.substring_dedup import substring_dedup
+
+
+def _with(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Rows of docs joined with one row per id of verdict, under names that cannot clash."""
+    v = verdict.withColumnsRenamed({c: f"__{c}" for c in verdict.columns})
+    return docs.join(v, docs["doc_id"] == v["__doc_id"])
+
+
+def _refilled(docs: DataFrame, text: Column) -> list[Column]:
+    """The columns of docs with another text, and n_chars counted anew where there is one."""
+    new = {"text": text, "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "bigint"))}
+    return [new[c].alias(c) if c in new else docs[c] for c in docs.columns]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep (7)."""
+    good = quality_rules(docs).where("kept").select("doc_id").distinct()
+    return docs.join(good, "doc_id", "left_semi").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the least id, of each group linked by 5-word shingles at a similarity of 0.8 (4)."""
+    groups = jaccard_components(docs, k=5, percent=80)
+    others = groups.where("component_id != doc_id").select("doc_id").distinct()
+    return docs.where("doc_id is not null").join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
 
-STAGES: list = []
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without windows of 50 words that a smaller id has as well (1); texts with none are as they were.
+
+    A text of which nothing is left goes.
+    """
+    cut = substring_dedup(docs).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("kept"))
+    v = cut.withColumnsRenamed({"doc_id": "__doc_id", "kept": "__kept"})
+    both = docs.join(v, docs["doc_id"] == v["__doc_id"], "left").where("__kept is null or __kept != ''")
+    return both.select(_refilled(docs, F.coalesce(F.col("__kept"), docs["text"])))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with every secret span replaced by <secret> (8)."""
+    found, _ = secret_scan(docs)
+    both = _with(docs, found.where(F.size("spans") > 0).select("doc_id", "spans").dropDuplicates(["doc_id"]))
+    # spans may overlap: each piece of text runs from the furthest end so far to the next start
+    walked = F.aggregate(
+        "__spans",
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.when(
+            s["start"] >= acc["at"],
+            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(docs["text"], acc["at"] + 1, s["start"] - acc["at"]), F.lit("<secret>")).alias("out")),
+        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
+        lambda acc: F.concat(acc["out"], F.substring(docs["text"], acc["at"] + 1, F.length(docs["text"]))),
+    )
+    clean = docs.join(both.select(F.col("__doc_id").alias("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    return clean.unionByName(both.select(_refilled(docs, walked)))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of 2,048 tokens and what goes into each (9)."""
+    return best_fit_packing(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("secret scans", secrets),
+    ("best-fit packing", packing),
+]
+#: The stages' verdicts (sketches, suffix runs, packing) are not SQL: tests/llm holds run() against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over documents, each written and read again as the next one's input."""
+    from eralith.llm._spark import written
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

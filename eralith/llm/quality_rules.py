@@ -72,7 +72,7 @@ def quality_rules(
     """(doc_id, counts..., base_failed, kept, reasons): one row per row of docs that has an id.
 
     Fence of a measure: upper quartile + width * interquartile range of the texts of its language and source, never
-    below its least fence in MEASURES. Groups of fewer than least_group texts take their language's, then all texts'.
+    below 1.5 upper quartiles nor below its least fence in MEASURES. Groups of fewer than least_group texts take their language's, then all texts'.
     Null language or source: a group of its own. Texts without words fail the base rules (fewer than 10 words); they
     and others that fail them count in no sketch. Rows without an id are left out.
     """
@@ -92,7 +92,7 @@ def quality_rules(
 
     def fence(m: str, least: float) -> F.Column:
         q1, q3 = (F.kll_sketch_get_quantile_double(m, F.lit(q)) for q in (0.25, 0.75))
-        return F.greatest(F.lit(least), q3 + width * (q3 - q1)).alias(f"fence_{m}")
+        return F.greatest(F.lit(least), q3 * 1.5, q3 + width * (q3 - q1)).alias(f"fence_{m}")
 
     def fences(sk: DataFrame, *keys: str) -> DataFrame:
         return sk.where(F.col("n") >= (least_group if keys else 1)).select(*keys, *(fence(m, least) for m, (_, least) in MEASURES.items()))

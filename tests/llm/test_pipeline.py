@@ -1,0 +1,39 @@
+"""The pipeline against a brute-force version of its first four stages, and the packing of what they keep."""
+
+import re
+
+import corpus_pipeline
+from tests.llm.test_operators import WORD, components, shingles
+
+
+def test_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, sf_dir).cache()
+        out[name] = docs
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == before.columns
+    kept = {r.doc_id: r.text for r in out["quality rules"].collect()}
+    root = components({d: shingles(t or "", 5) for d, t in kept.items()}, 80)
+    want = {d: t for d, t in kept.items() if root[d] == d}
+    assert {r.doc_id: r.text for r in out["n-gram Jaccard join"].collect()} == want
+    first, cut = {}, {}
+    for d, t in sorted(want.items()):
+        w = WORD.findall(t)
+        runs = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+        gone = {j for i, x in enumerate(runs) if first.get(x, d) < d for j in range(i, i + 50)}
+        for x in runs:
+            first.setdefault(x, d)
+        cut[d] = " ".join(x for j, x in enumerate(w) if j not in gone) if gone else t
+    cut = {d: t for d, t in cut.items() if t}
+    assert {r.doc_id: r.text for r in out["substring dedup"].collect()} == cut
+    clean = {r.doc_id: r for r in out["secret scans"].collect()}
+    assert set(clean) == set(cut) and all(r.n_chars == len(r.text) or r.text == cut[d] for d, r in clean.items())
+    assert not any(re.search(r"AKIA[A-Z0-9]{14}|[0-9a-f]{16}", r.text) for r in clean.values())
+    packed = out["best-fit packing"].groupBy("doc_id").sum("n_tokens").collect()
+    assert {r[0] for r in packed} == set(clean)
+
+
+def test_run(spark, sf_dir):
+    assert corpus_pipeline.run(spark, sf_dir).count() > 5
