@@ -1,7 +1,476 @@
-"""Every registered query of the cohort engine and the SQL it is held against."""
+"""Every registered query of the cohort engine and the SQL that it is held against.
+
+A query is a function (spark, sf_dir) -> DataFrame built from operators; its SQL is written independently over the same
+projections, for DuckDB.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from eralith.functions import kernels as k
+from eralith.operators import characterise as ch
+from eralith.operators import cohort as co
+from eralith.operators import definition as de
+from eralith.operators import diagnostics as di
+from eralith.operators import drug as dr
+from eralith.operators import enrich as en
+from eralith.operators import incidence as ic
+from eralith.operators import pathways as pa
+from eralith.operators import results as re_
+from eralith.operators import survival as su
+from eralith.operators import vocabulary as vo
+from eralith.sources.clinical import PROJECTIONS, Clinical, project
+from eralith.streaming import eras
+
+QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "cohort_by_sex"
+
+#: Derived tables of the oracle, over the projections: cohorts that several queries share.
+_DERIVED = {
+    "brand3": "SELECT p.person_id, d.start_date, d.end_date, o.observation_period_start_date os, o.observation_period_end_date oe FROM (SELECT person_id, drug_concept_id, drug_exposure_start_date AS start_date, drug_exposure_end_date AS end_date FROM drug_exposure) d JOIN concept_ancestor a ON a.descendant_concept_id = d.drug_concept_id AND a.ancestor_concept_id = 1000003 JOIN person p USING (person_id) JOIN observation_period o ON o.person_id = d.person_id AND d.start_date BETWEEN o.observation_period_start_date AND o.observation_period_end_date",
+    "target": "SELECT CAST(1 AS BIGINT) AS cohort_definition_id, person_id AS subject_id, MIN(start_date) AS cohort_start_date, MAX(oe) AS cohort_end_date FROM brand3 GROUP BY person_id",
+    "outcome": "SELECT CAST(1 AS BIGINT) AS cohort_definition_id, person_id AS subject_id, condition_start_date AS cohort_start_date, condition_end_date AS cohort_end_date FROM condition_occurrence WHERE condition_concept_id = 3000001",
+    "other": "SELECT CAST(1 AS BIGINT) AS cohort_definition_id, person_id AS subject_id, condition_start_date AS cohort_start_date, condition_end_date AS cohort_end_date FROM condition_occurrence WHERE condition_concept_id = 3000002",
+    "birth": "SELECT person_id, gender_concept_id, year_of_birth, make_date(year_of_birth, month_of_birth, day_of_birth) AS birth FROM person",
+    "surv": """SELECT t.subject_id, 1 AS cohort_definition_id, CASE WHEN early = 0 THEN CASE WHEN ev IS NOT NULL AND ev <= last THEN ev ELSE last END END AS time, CASE WHEN early = 0 THEN CASE WHEN ev IS NOT NULL AND ev <= last THEN 1 ELSE 0 END END AS status
+        FROM (SELECT t.subject_id, date_diff('day', t.cohort_start_date, MAX(o.observation_period_end_date)) AS last, MIN(CASE WHEN e.cohort_start_date >= t.cohort_start_date THEN date_diff('day', t.cohort_start_date, e.cohort_start_date) END) AS ev,
+                     COALESCE(MAX(CASE WHEN e.cohort_start_date < t.cohort_start_date AND date_diff('day', e.cohort_start_date, t.cohort_start_date) <= 180 THEN 1 ELSE 0 END), 0) AS early
+              FROM target t JOIN observation_period o ON o.person_id = t.subject_id AND t.cohort_start_date BETWEEN o.observation_period_start_date AND o.observation_period_end_date LEFT JOIN outcome e ON e.subject_id = t.subject_id GROUP BY t.subject_id, t.cohort_start_date) t""",
+}
+
+
+def with_tables(sql: str) -> str:
+    """sql with the WITH clause of the projections and derived tables that it uses."""
+    every = {n: re.sub(r"\{(\w+)\}", r"\1", q) for n, q in PROJECTIONS.items()} | _DERIVED
+    need, todo = [], [sql]
+    while todo:
+        text = todo.pop()
+        for n in every:
+            if n not in need and re.search(rf"\b{n}\b", text):
+                need.append(n)
+                todo.append(every[n])
+    order = [n for n in every if n in need]
+    ctes = ", ".join(f"{n} AS ({every[n]})" for n in order)
+    return f"WITH {ctes} {sql}" if order else sql
+
+
+def query(oracle: str | None = None, clinical: bool = True):
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = (lambda spark, sf_dir: f(project(spark, sf_dir))) if clinical else f
+        if oracle:
+            ORACLE_SQL[f.__name__] = with_tables(oracle)
+        return f
+
+    return add
+
+
+def target(c: Clinical) -> DataFrame:
+    return co.concept_cohort(c, {"brand3": [1000003]})
+
+
+def condition(c: Clinical, concept: int) -> DataFrame:
+    return co.event_cohort(c["condition_occurrence"].where(F.col("condition_concept_id") == concept), "person_id", "condition_start_date", "condition_end_date")
+
+
+def longs(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({x: F.col(x).cast("long") for x in columns})
+
+
+# cohorts
+
+
+@query("SELECT CASE WHEN gender_concept_id = 8507 THEN 'Male' ELSE 'Female' END AS sex, count(*) AS n_subjects, CAST(round(avg(year(cohort_start_date) - year_of_birth), 6) AS DOUBLE) AS mean_age FROM target JOIN person ON person_id = subject_id GROUP BY 1")
+def cohort_by_sex(c):
+    d = en.add_demographics(c, target(c)).join(c["person"].select(F.col("person_id").alias("subject_id"), "year_of_birth"), "subject_id")
+    return d.groupBy("sex").agg(F.count("*").alias("n_subjects"), F.round(F.avg(F.year("cohort_start_date") - F.col("year_of_birth")), 6).alias("mean_age"))
+
+
+@query("SELECT * FROM target")
+def cohort_concept_first(c):
+    return target(c)
+
+
+_ISLANDS = "SELECT CAST(1 AS BIGINT) AS cohort_definition_id, person_id AS subject_id, MIN(s) AS cohort_start_date, MAX(e) AS cohort_end_date FROM (SELECT *, SUM(f) OVER (PARTITION BY person_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN MAX(e) OVER (PARTITION BY person_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} >= s THEN 0 ELSE 1 END AS f FROM (SELECT person_id, start_date AS s, least(end_date, oe) AS e FROM brand3))) GROUP BY person_id, g"
+
+
+@query(_ISLANDS.replace("{gap}", "0"))
+def cohort_concept_all(c):
+    return co.concept_cohort(c, {"brand3": [1000003]}, limit="all", end="event")
+
+
+@query(_ISLANDS.replace("{gap}", "30"))
+def cohort_era_gap(c):
+    return co.concept_cohort(c, {"brand3": [1000003]}, limit="all", end="event", gap=30)
+
+
+@query("SELECT cohort_definition_id, count(*) AS number_records, count(DISTINCT subject_id) AS number_subjects FROM (SELECT CASE WHEN a.ancestor_concept_id = 1000003 THEN CAST(1 AS BIGINT) ELSE CAST(2 AS BIGINT) END AS cohort_definition_id, d.person_id AS subject_id FROM drug_exposure d JOIN concept_ancestor a ON a.descendant_concept_id = d.drug_concept_id AND a.ancestor_concept_id IN (1000003, 1000005) JOIN observation_period o ON o.person_id = d.person_id AND drug_exposure_start_date >= observation_period_start_date + 365 AND drug_exposure_start_date <= observation_period_end_date GROUP BY 1, 2) GROUP BY 1")
+def cohort_counts_prior(c):
+    return co.cohort_counts(co.concept_cohort(c, {"a": [1000003], "b": [1000005]}, prior=365))
+
+
+@query("SELECT cohort_definition_id, subject_id, cohort_start_date, cohort_end_date FROM (SELECT *, lag(cohort_end_date) OVER (PARTITION BY subject_id ORDER BY cohort_start_date, cohort_end_date) AS b FROM outcome) WHERE b IS NULL OR date_diff('day', b, cohort_start_date) > 200")
+def cohort_washout(c):
+    return co.require_prior_washout(condition(c, 3000001), 200)
+
+
+@query("SELECT person_id, concept_id, start_date, end_date, domain FROM (SELECT DISTINCT person_id, drug_concept_id AS concept_id, drug_exposure_start_date AS start_date, drug_exposure_end_date AS end_date, 'drug' AS domain FROM drug_exposure UNION ALL SELECT DISTINCT person_id, condition_concept_id, condition_start_date, condition_end_date, 'condition' FROM condition_occurrence)")
+def connector_flatten(c):
+    return co.flatten(c, ("drug", "condition"))
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT person_id) AS n_persons FROM drug_exposure WHERE person_id IN (SELECT subject_id FROM target)")
+def connector_subset_cohort(c):
+    return co.subset_to_cohort(c, target(c))["drug_exposure"].agg(F.count("*").alias("n_rows"), F.count_distinct("person_id").alias("n_persons"))
+
+
+@query()
+def connector_sample(c):
+    return co.sample_persons(c, 100, seed=1)["person"].select("person_id")
+
+
+@query("SELECT \"table\", n_rows, n_distinct, md5(\"table\" || '|' || n_rows || '|' || n_distinct) AS hash FROM (SELECT 'person' AS \"table\", count(*) AS n_rows, count(DISTINCT person_id) AS n_distinct FROM person UNION ALL SELECT 'drug_exposure', count(*), count(DISTINCT drug_concept_id) FROM drug_exposure)")
+def connector_data_hash(c):
+    return di.data_hash(c, {"person": "person_id", "drug_exposure": "drug_concept_id"})
+
+
+@query("SELECT (SELECT count(DISTINCT person_id) FROM person) AS persons, count(*) AS observation_periods, min(observation_period_start_date) AS earliest, max(observation_period_end_date) AS latest FROM observation_period")
+def connector_snapshot(c):
+    return di.snapshot(c)
+
+
+@query("SELECT route, quantile_disc(quantity, 0.25) AS q25_quantity, quantile_disc(quantity, 0.5) AS q50_quantity, quantile_disc(quantity, 0.9) AS q90_quantity FROM drug_exposure GROUP BY route")
+def connector_quantile(c):
+    return ch.quantiles(c["drug_exposure"], ["quantity"], [0.25, 0.5, 0.9], ["route"])
+
+
+# enrichment
+
+_AGE = "CAST((year(cohort_start_date) * 10000 + month(cohort_start_date) * 100 + day(cohort_start_date) - year(birth) * 10000 - month(birth) * 100 - day(birth)) // 10000 AS BIGINT)"
+
+
+@query(f"SELECT subject_id, {_AGE} AS age, CASE WHEN gender_concept_id = 8507 THEN 'Male' ELSE 'Female' END AS sex, CAST(date_diff('day', observation_period_start_date, cohort_start_date) AS BIGINT) AS prior_observation, CAST(date_diff('day', cohort_start_date, observation_period_end_date) AS BIGINT) AS future_observation FROM target JOIN birth b ON b.person_id = subject_id JOIN observation_period o ON o.person_id = subject_id")
+def enrich_demographics(c):
+    d = en.add_demographics(c, target(c)).select("subject_id", "age", "sex", "prior_observation", "future_observation")
+    return longs(d, "age", "prior_observation", "future_observation")
+
+
+@query(f"SELECT age_group, count(*) AS n FROM (SELECT CASE WHEN age BETWEEN 0 AND 17 THEN 'child' WHEN age BETWEEN 18 AND 64 THEN 'adult' WHEN age >= 65 THEN 'old' ELSE 'None' END AS age_group FROM (SELECT {_AGE} AS age FROM target JOIN birth b ON b.person_id = subject_id)) GROUP BY 1")
+def enrich_age_groups(c):
+    d = en.add_category(en.add_demographics(c, target(c)), "age", {"child": (0, 17), "adult": (18, 64), "old": (65, None)}, "age_group")
+    return d.groupBy("age_group").agg(F.count("*").alias("n"))
+
+
+def _hits(window: str, lo: str | None, hi: str | None) -> str:
+    test = " AND ".join(x for x in (lo and f"e.drug_exposure_end_date >= t.cohort_start_date + ({lo})", hi and f"e.drug_exposure_start_date <= t.cohort_start_date + ({hi})") if x)
+    return f"CAST(count(CASE WHEN {test} THEN 1 END) AS BIGINT) AS drug_count_{window}, CAST(max(CASE WHEN {test} THEN 1 ELSE 0 END) AS BIGINT) AS drug_flag_{window}, min(CASE WHEN {test} THEN e.drug_exposure_start_date END) AS drug_date_{window}, CAST(date_diff('day', t.cohort_start_date, min(CASE WHEN {test} THEN e.drug_exposure_start_date END)) AS BIGINT) AS drug_days_{window}"
+
+
+@query(f"SELECT t.subject_id, {_hits('m90_m1', '-90', '-1')}, {_hits('0_inf', '0', None)} FROM target t LEFT JOIN drug_exposure e ON e.person_id = t.subject_id GROUP BY t.subject_id, t.cohort_start_date")
+def enrich_table_intersect(c):
+    d = en.add_intersect(target(c), c.events("drug"), [(-90, -1), (0, None)], name="drug").drop("cohort_definition_id", "cohort_start_date", "cohort_end_date")
+    return longs(d, *(x for x in d.columns if "date" not in x))
+
+
+@query("SELECT t.subject_id, CAST(count(CASE WHEN o.cohort_start_date <= t.cohort_start_date - 1 AND o.cohort_end_date >= t.cohort_start_date - 365 THEN 1 END) AS BIGINT) AS n_before FROM target t LEFT JOIN outcome o ON o.subject_id = t.subject_id GROUP BY t.subject_id, t.cohort_start_date")
+def enrich_cohort_intersect(c):
+    d = en.add_cohort_intersect(target(c), condition(c, 3000001), [(-365, -1)], name="o", what=("count",))
+    return d.select("subject_id", F.col("o_count_m365_m1").alias("n_before"))
+
+
+@query("SELECT t.subject_id, CAST(max(CASE WHEN a.descendant_concept_id IS NOT NULL AND e.drug_exposure_start_date <= t.cohort_start_date + 30 AND e.drug_exposure_end_date >= t.cohort_start_date THEN 1 ELSE 0 END) AS BIGINT) AS brand5 FROM target t LEFT JOIN drug_exposure e ON e.person_id = t.subject_id LEFT JOIN concept_ancestor a ON a.descendant_concept_id = e.drug_concept_id AND a.ancestor_concept_id = 1000005 GROUP BY t.subject_id")
+def enrich_concept_intersect(c):
+    d = en.add_concept_intersect(c, target(c), {"brand5": [1000005]}, [(0, 30)], what=("flag",))
+    return longs(d.select("subject_id", F.col("brand5_flag_0_30").alias("brand5")), "brand5")
+
+
+@query("SELECT subject_id, CAST(CASE WHEN observation_period_start_date <= cohort_start_date - 365 AND observation_period_end_date >= cohort_start_date + 100 THEN 1 ELSE 0 END AS BIGINT) AS in_observation FROM target JOIN observation_period ON person_id = subject_id")
+def enrich_in_observation(c):
+    return longs(en.add_in_observation(c, target(c), window=(-365, 100)).select("subject_id", "in_observation"), "in_observation")
+
+
+@query("SELECT subject_id, CAST(CASE WHEN death_date >= cohort_start_date THEN 1 ELSE 0 END AS BIGINT) AS death_flag, CAST(CASE WHEN death_date >= cohort_start_date THEN date_diff('day', cohort_start_date, death_date) END AS BIGINT) AS days_to_death FROM target LEFT JOIN death ON person_id = subject_id")
+def enrich_death(c):
+    d = en.add_death(c, target(c)).select("subject_id", F.col("death_flag_0_inf").alias("death_flag"), F.col("death_days_0_inf").alias("days_to_death"))
+    return longs(d, "death_flag", "days_to_death")
+
+
+# vocabulary
+
+
+@query("SELECT concept_id, concept_name FROM concept WHERE (lower(concept_name) LIKE '%red%' OR lower(concept_name) LIKE '%ring%') AND lower(concept_name) NOT LIKE '%small%' AND domain_id = 'Drug'")
+def vocabulary_search(c):
+    return vo.search(c, ["RED", "ring"], exclude=["Small"], domains=["drug"]).select("concept_id", "concept_name")
+
+
+@query("SELECT ancestor_concept_id, c.concept_id, concept_name FROM concept_ancestor JOIN concept c ON c.concept_id = descendant_concept_id WHERE ancestor_concept_id IN (1000001, 1000002)")
+def vocabulary_descendants(c):
+    return vo.descendants(c, [1000001, 1000002])
+
+
+@query("SELECT ingredient.concept_name AS ingredient, count(*) AS n_codes FROM concept ingredient JOIN concept_ancestor ON ancestor_concept_id = ingredient.concept_id WHERE concept_class_id = 'Ingredient' GROUP BY 1")
+def vocabulary_ingredients(c):
+    return vo.ingredient_codes(c).groupBy("ingredient").agg(F.count("*").alias("n_codes"))
+
+
+@query("SELECT drug_concept_id AS concept_id, CAST(year(drug_exposure_start_date) AS BIGINT) AS year, CASE WHEN gender_concept_id = 8507 THEN 'Male' ELSE 'Female' END AS sex, count(*) AS n_records, count(DISTINCT person_id) AS n_persons FROM drug_exposure JOIN concept_ancestor ON descendant_concept_id = drug_concept_id AND ancestor_concept_id = 1000001 JOIN person USING (person_id) GROUP BY 1, 2, 3")
+def vocabulary_code_use(c):
+    return longs(vo.code_use(c, vo.descendants(c, [1000001]), by=("year", "sex")), "year")
+
+
+@query("SELECT concept_class_id, count(DISTINCT c.concept_id) AS n_concepts FROM concept c JOIN concept_ancestor ON descendant_concept_id = c.concept_id AND ancestor_concept_id IN (1000001, 1000002) GROUP BY 1")
+def vocabulary_stratify(c):
+    return vo.stratify_by_class(c, vo.descendants(c, [1000001, 1000002]).select("concept_id")).drop("concept_ids")
+
+
+@query("SELECT in_codelist, count(*) AS n FROM (SELECT CASE WHEN b.concept_id IS NULL THEN 'only first' WHEN a.concept_id IS NULL THEN 'only second' ELSE 'both' END AS in_codelist FROM (SELECT concept_id FROM concept WHERE concept_name LIKE '%red%' AND domain_id = 'Drug') a FULL JOIN (SELECT concept_id FROM concept WHERE concept_name LIKE '%ring%' AND domain_id = 'Drug') b USING (concept_id)) GROUP BY 1")
+def vocabulary_compare(c):
+    return vo.compare(vo.search(c, ["red"], domains=["drug"]), vo.search(c, ["ring"], domains=["drug"])).groupBy("in_codelist").agg(F.count("*").alias("n"))
+
+
+@query("SELECT drug_concept_id AS concept_id, count(*) AS n_records, count(DISTINCT person_id) AS n_persons FROM drug_exposure JOIN concept_ancestor x ON x.descendant_concept_id = drug_concept_id JOIN (SELECT ancestor_concept_id AS a FROM concept_ancestor WHERE descendant_concept_id = 5 AND ancestor_concept_id > 1000000) ON a = x.ancestor_concept_id WHERE drug_concept_id <> 5 GROUP BY 1")
+def vocabulary_orphans(c):
+    return vo.orphan_codes(c, c["concept"].where("concept_id = 5").select("concept_id"))
+
+
+# incidence and prevalence
+
+_DEN = "SELECT person_id AS subject_id, greatest(observation_period_start_date + 180, DATE '1996-01-01', CAST(birth + INTERVAL 18 YEAR AS DATE)) AS s, least(observation_period_end_date, DATE '2000-12-31', CAST(birth + INTERVAL 65 YEAR AS DATE) - 1) AS e FROM observation_period JOIN birth USING (person_id)"
+
+
+def _denominator(c):
+    return ic.denominator(c, "1996-01-01", "2000-12-31", ages=((18, 64),), prior=180)
+
+
+@query(f"SELECT CAST(1 AS BIGINT) AS cohort_definition_id, subject_id, s AS cohort_start_date, e AS cohort_end_date FROM ({_DEN}) WHERE s <= e")
+def incidence_denominator(c):
+    return _denominator(c)
+
+
+_YEARS = f"SELECT subject_id, s, e, make_date(CAST(y AS INT), 1, 1) AS i, make_date(CAST(y AS INT), 12, 31) AS j FROM (SELECT *, unnest(range(year(s), year(e) + 1)) AS y FROM ({_DEN}) WHERE s <= e)"
+
+
+@query(f"SELECT interval_start, CAST(count(*) AS BIGINT) AS n_persons, CAST(sum(days) AS BIGINT) AS person_days, CAST(sum(n) AS BIGINT) AS n_events, round(sum(n) / (sum(days) / 365.25) * 100000, 6) AS rate_100000 FROM (SELECT i AS interval_start, d.subject_id, max(date_diff('day', greatest(s, i), least(e, j)) + 1) AS days, count(o.first) AS n FROM ({_YEARS}) d LEFT JOIN (SELECT subject_id, min(cohort_start_date) AS first FROM outcome GROUP BY 1) o ON o.subject_id = d.subject_id AND o.first BETWEEN i AND j GROUP BY 1, 2) GROUP BY 1")
+def incidence_yearly(c):
+    d = ic.incidence(_denominator(c), condition(c, 3000001))
+    return longs(d.select("interval_start", "n_persons", "person_days", "n_events", F.round("rate_100000", 6).alias("rate_100000")), "person_days", "n_events")
+
+
+@query()
+def incidence_repeated_limits(c):
+    d = ic.incidence(_denominator(c), condition(c, 3000001), interval="quarters", washout=90, repeated=True)
+    return d.withColumn("limits", ic.poisson_limits(F.col("n_events").cast("double"), F.col("person_years"))).select("*", "limits.*").drop("limits")
+
+
+def _prevalence(end: str) -> str:
+    p, z2 = "(k * 1.0 / n)", "(1.959963984540054 * 1.959963984540054)"
+    half = f"1.959963984540054 * sqrt({p} * (1 - {p}) / n + {z2} / (4.0 * n * n))"
+    return f"SELECT interval_start, n AS n_persons, k AS n_cases, round({p}, 6) AS prevalence, round(greatest(0, ({p} + {z2} / (2 * n) - {half}) / (1 + {z2} / n)), 6) AS lower, round(least(1, ({p} + {z2} / (2 * n) + {half}) / (1 + {z2} / n)), 6) AS upper FROM (SELECT i AS interval_start, count(DISTINCT d.subject_id) AS n, count(DISTINCT o.subject_id) AS k FROM ({_YEARS}) d LEFT JOIN target o ON o.subject_id = d.subject_id AND o.cohort_start_date <= least(e, {end}) AND o.cohort_end_date >= greatest(s, i) WHERE s <= {end} AND e >= i GROUP BY 1)"
+
+
+def _rounded(d: DataFrame) -> DataFrame:
+    return d.select("interval_start", "n_persons", "n_cases", *(F.round(x, 6).alias(x) for x in ("prevalence", "lower", "upper")))
+
+
+@query(_prevalence("i"))
+def prevalence_point(c):
+    return _rounded(ic.prevalence(_denominator(c), target(c)))
+
+
+@query(_prevalence("j"))
+def prevalence_period(c):
+    return _rounded(ic.prevalence(_denominator(c), target(c), kind="period"))
+
+
+# characteristics
+
+
+@query(f"SELECT sex, variable, CAST(min(v) AS DOUBLE) AS min, CAST(quantile_disc(v, 0.25) AS DOUBLE) AS q25, CAST(quantile_cont(v, 0.5) AS DOUBLE) AS median, CAST(quantile_disc(v, 0.75) AS DOUBLE) AS q75, CAST(max(v) AS DOUBLE) AS max, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd FROM (SELECT CASE WHEN gender_concept_id = 8507 THEN 'Male' ELSE 'Female' END AS sex, unnest(['age', 'future_observation']) AS variable, unnest([CAST({_AGE} AS DOUBLE), CAST(date_diff('day', cohort_start_date, cohort_end_date) AS DOUBLE)]) AS v FROM target JOIN birth b ON b.person_id = subject_id) GROUP BY 1, 2")
+def characteristics_numeric(c):
+    d = ch.numeric_estimates(en.add_demographics(c, target(c)), ["sex"], ["age", "future_observation"])
+    return d.select("sex", "variable", "min", "q25", "median", "q75", "max", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+@query("SELECT 'sex' AS variable, CASE WHEN gender_concept_id = 8507 THEN 'Male' ELSE 'Female' END AS level, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM target), 6) AS percentage FROM target JOIN person ON person_id = subject_id GROUP BY 2")
+def characteristics_categorical(c):
+    d = ch.categorical_estimates(en.add_demographics(c, target(c)), ["cohort_definition_id"], ["sex"])
+    return d.select("variable", "level", "count", F.round("percentage", 6).alias("percentage"))
+
+
+@query("SELECT sex, region, count(*) AS number_records FROM (SELECT CASE WHEN gender_concept_id = 8507 THEN 'Male' ELSE 'Female' END AS sex, region FROM target JOIN person ON person_id = subject_id JOIN location USING (location_id)) GROUP BY GROUPING SETS ((), (sex), (region))")
+def characteristics_strata(c):
+    d = en.add_demographics(c, target(c)).join(c["person"].select(F.col("person_id").alias("subject_id"), "location_id"), "subject_id").join(c["location"], "location_id")
+    return ch.strata_counts(d, [["sex"], ["region"]]).select("sex", "region", "number_records")
+
+
+_THREE = "(SELECT DISTINCT person_id, condition_concept_id - 3000000 AS k FROM condition_occurrence WHERE condition_concept_id <= 3000003)"
+
+
+def _three(c):
+    e = c["condition_occurrence"].where("condition_concept_id <= 3000003")
+    return e.select((F.col("condition_concept_id") - 3000000).alias("cohort_definition_id"), F.col("person_id").alias("subject_id"), F.col("condition_start_date").alias("cohort_start_date"), F.col("condition_end_date").alias("cohort_end_date"))
+
+
+@query(f"SELECT a.k AS cohort_a, b.k AS cohort_b, CAST(count(DISTINCT a.person_id) FILTER (NOT EXISTS (SELECT 1 FROM {_THREE} x WHERE x.person_id = a.person_id AND x.k = b.k)) AS BIGINT) AS only_a, CAST(count(DISTINCT CASE WHEN a.person_id = c.person_id THEN c.person_id END) AS BIGINT) AS both FROM {_THREE} a JOIN (SELECT DISTINCT k FROM {_THREE}) b ON a.k <> b.k LEFT JOIN {_THREE} c ON c.person_id = a.person_id AND c.k = b.k GROUP BY 1, 2")
+def characteristics_overlap(c):
+    return ch.cohort_overlap(_three(c)).select("cohort_a", "cohort_b", "only_a", "both")
+
+
+_FIRST = "(SELECT person_id, condition_concept_id - 3000000 AS k, min(condition_start_date) AS s FROM condition_occurrence WHERE condition_concept_id <= 3000003 GROUP BY 1, 2)"
+
+
+@query(f"SELECT a.k AS cohort_a, b.k AS cohort_b, count(*) AS n, CAST(min(date_diff('day', a.s, b.s)) AS BIGINT) AS min_days, round(avg(date_diff('day', a.s, b.s)), 6) AS mean_days, CAST(max(date_diff('day', a.s, b.s)) AS BIGINT) AS max_days FROM {_FIRST} a JOIN {_FIRST} b ON a.person_id = b.person_id AND a.k <> b.k GROUP BY 1, 2")
+def characteristics_timing(c):
+    d = ch.cohort_timing(_three(c)).withColumn("mean_days", F.round("mean_days", 6))
+    return longs(d, "min_days", "max_days")
+
+
+@query('SELECT "window", concept_id, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM target), 6) AS percentage FROM (SELECT DISTINCT subject_id, \'-365 to -1\' AS "window", condition_concept_id AS concept_id FROM target JOIN condition_occurrence ON person_id = subject_id AND condition_start_date BETWEEN cohort_start_date - 365 AND cohort_start_date - 1 UNION ALL SELECT DISTINCT subject_id, \'0 to inf\', condition_concept_id FROM target JOIN condition_occurrence ON person_id = subject_id AND condition_start_date >= cohort_start_date) GROUP BY 1, 2')
+def characteristics_large_scale(c):
+    d = ch.large_scale(target(c), c.events("condition"), [(-365, -1), (0, None)])
+    return d.select("window", "concept_id", "count", F.round("percentage", 6).alias("percentage"))
+
+
+# drug use
+
+
+@query("SELECT t.subject_id, CAST(count(e.person_id) AS BIGINT) AS number_exposures, CAST(coalesce(sum(date_diff('day', drug_exposure_start_date, drug_exposure_end_date) + 1), 0) AS BIGINT) AS days_prescribed, round(coalesce(sum(e.quantity), 0), 6) AS cumulative_quantity, CAST(date_diff('day', t.cohort_start_date, min(drug_exposure_start_date)) AS BIGINT) AS time_to_exposure FROM target t LEFT JOIN (SELECT d.* FROM drug_exposure d JOIN concept_ancestor a ON a.descendant_concept_id = drug_concept_id AND ancestor_concept_id = 1000003) e ON e.person_id = t.subject_id AND drug_exposure_start_date BETWEEN t.cohort_start_date AND t.cohort_end_date GROUP BY t.subject_id, t.cohort_start_date")
+def drug_use(c):
+    d = dr.add_drug_use(c, target(c), vo.descendants(c, [1000003]))
+    return longs(d.select("subject_id", "number_exposures", "days_prescribed", F.round("cumulative_quantity", 6).alias("cumulative_quantity"), "time_to_exposure"), "number_exposures", "days_prescribed", "time_to_exposure")
+
+
+@query()
+def drug_use_all(c):
+    return dr.add_drug_use(c, target(c), vo.descendants(c, [1000003]))
+
+
+@query("SELECT CAST(day AS BIGINT) AS day, CAST(count(*) AS BIGINT) AS n_observed FROM (SELECT unnest(range(0, least(date_diff('day', cohort_start_date, cohort_end_date), 365) + 1)) AS day FROM target) GROUP BY 1")
+def drug_coverage_observed(c):
+    return dr.proportion_covered(target(c), c, 365).select("day", F.col("n_observed").cast("long").alias("n_observed"))
+
+
+@query()
+def drug_coverage(c):
+    return dr.proportion_covered(co.concept_cohort(c, {"brand3": [1000003]}, limit="all", end="event"), c, 365)
+
+
+@query("SELECT indication, count(*) AS n FROM (SELECT t.subject_id, CASE WHEN max(CASE WHEN o.subject_id IS NOT NULL THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN p.subject_id IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN 'high and urgent' WHEN max(CASE WHEN o.subject_id IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN 'urgent' WHEN max(CASE WHEN p.subject_id IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN 'high' ELSE 'unknown' END AS indication FROM target t LEFT JOIN outcome o ON o.subject_id = t.subject_id AND o.cohort_start_date BETWEEN t.cohort_start_date - 180 AND t.cohort_start_date LEFT JOIN other p ON p.subject_id = t.subject_id AND p.cohort_start_date BETWEEN t.cohort_start_date - 180 AND t.cohort_start_date GROUP BY 1) GROUP BY 1")
+def drug_indication(c):
+    both = condition(c, 3000001).unionByName(condition(c, 3000002).withColumn("cohort_definition_id", F.lit(2).cast("long")))
+    return dr.indication(target(c), both, {1: "urgent", 2: "high"}, (-180, 0)).groupBy("indication").agg(F.count("*").alias("n"))
+
+
+@query()
+def drug_restart(c):
+    t = co.concept_cohort(c, {"brand3": [1000003]}, limit="all", end="event", gap=30)
+    s = co.concept_cohort(c, {"brand5": [1000005]}, limit="all", end="event", gap=30)
+    return dr.restart(t, s, c)
+
+
+# survival
+
+_STEP = "SELECT time, count(*) AS n_left, sum(status) AS d FROM surv WHERE time IS NOT NULL GROUP BY time"
+_RISK = f"SELECT time, n_left, d, sum(n_left) OVER (ORDER BY time DESC) AS n FROM ({_STEP})"
+
+
+@query("SELECT CAST(subject_id AS BIGINT) AS subject_id, CAST(time AS BIGINT) AS time, CAST(status AS BIGINT) AS status FROM surv")
+def survival_times(c):
+    return longs(su.add_survival(c, target(c), condition(c, 3000001), washout=180).select("subject_id", "time", "status"), "time", "status")
+
+
+@query(f"SELECT CAST(time AS BIGINT) AS time, CAST(n AS BIGINT) AS n_risk, CAST(d AS BIGINT) AS n_events, CAST(n_left - d AS BIGINT) AS n_censored, round(CASE WHEN max(CASE WHEN d = n THEN 1 ELSE 0 END) OVER (ORDER BY time) = 1 THEN 0.0 ELSE exp(sum(CASE WHEN d < n THEN ln(1 - d * 1.0 / n) ELSE 0 END) OVER (ORDER BY time)) END, 6) AS survival FROM ({_RISK})")
+def survival_kaplan_meier(c):
+    d = su.kaplan_meier(su.add_survival(c, target(c), condition(c, 3000001), washout=180))
+    return d.select("time", "n_risk", "n_events", "n_censored", F.round("survival", 6).alias("survival"))
+
+
+@query("SELECT CAST(time // 180 * 180 AS BIGINT) AS interval, CAST(sum(count(*)) OVER (ORDER BY time // 180 * 180 DESC) AS BIGINT) AS n_risk, CAST(sum(status) AS BIGINT) AS n_events, CAST(count(*) - sum(status) AS BIGINT) AS n_censored FROM surv WHERE time IS NOT NULL GROUP BY time // 180 * 180")
+def survival_risk_table(c):
+    return su.risk_table(su.add_survival(c, target(c), condition(c, 3000001), washout=180), 180).drop("cohort_definition_id")
+
+
+@query()
+def survival_competing(c):
+    t = su.add_survival(c, target(c), condition(c, 3000001), washout=180, name="o_")
+    t = su.add_survival(c, t, co.event_cohort(c["death"], "person_id", "death_date", "death_date"), washout=180, name="c_")
+    return su.cumulative_incidence(su.with_competing(t, "o_", "c_"))
+
+
+@query()
+def survival_summary(c):
+    return su.survival_summary(su.kaplan_meier(su.add_survival(c, target(c), condition(c, 3000001), washout=180)))
+
+
+# pathways, definitions, diagnostics, results, streams
+
+
+@query("SELECT pathway, count(*) AS n_persons FROM (SELECT person_id, string_agg(k, '-' ORDER BY s, k) AS pathway FROM (SELECT person_id, CASE condition_concept_id WHEN 3000001 THEN 'a' WHEN 3000002 THEN 'b' ELSE 'c' END AS k, min(condition_start_date) AS s FROM condition_occurrence WHERE condition_concept_id <= 3000003 GROUP BY 1, 2) GROUP BY 1) GROUP BY 1")
+def pathway_first(c):
+    return pa.first_eras(_three(c), {1: "a", 2: "b", 3: "c"})
+
+
+@query()
+def pathway_combinations(c):
+    events = co.concept_cohort(c, {"a": [1000003], "b": [1000005], "c": [1000007]}, limit="all", end="event")
+    return pa.pathway_counts(pa.treatment_history(target(c), events, {1: "brand3", 2: "brand5", 3: "brand7"}, combination_window=5))
+
+
+DEFINITION = {
+    "ConceptSets": [{"id": 0, "expression": {"items": [{"concept": {"CONCEPT_ID": 1000003}, "includeDescendants": True}]}}, {"id": 1, "expression": {"items": [{"concept": {"CONCEPT_ID": 3000001}}]}}],
+    "PrimaryCriteria": {"CriteriaList": [{"DrugExposure": {"CodesetId": 0, "Age": {"Value": 18, "Op": "gte"}}}], "ObservationWindow": {"PriorDays": 90, "PostDays": 0}, "PrimaryCriteriaLimit": {"Type": "First"}},
+    "InclusionRules": [{"name": "none urgent before", "expression": {"Type": "ALL", "CriteriaList": [{"Criteria": {"ConditionOccurrence": {"CodesetId": 1}}, "StartWindow": {"Start": {"Days": 365, "Coeff": -1}, "End": {"Days": 1, "Coeff": -1}}, "Occurrence": {"Type": 0, "Count": 0}}]}}],
+    "EndStrategy": {"DateOffset": {"DateField": "StartDate", "Offset": 60}},
+    "CollapseSettings": {"EraPad": 0},
+}
+_PRIMARY = "SELECT person_id, min(start_date) AS s, max(oe) AS oe FROM brand3 JOIN person USING (person_id) WHERE year(start_date) - year_of_birth >= 18 AND os + 90 <= start_date GROUP BY 1"
+
+
+@query(f"SELECT CAST(1 AS BIGINT) AS cohort_definition_id, person_id AS subject_id, s AS cohort_start_date, least(s + 60, oe) AS cohort_end_date FROM ({_PRIMARY}) p WHERE NOT EXISTS (SELECT 1 FROM outcome o WHERE o.subject_id = p.person_id AND o.cohort_start_date BETWEEN s - 365 AND s - 1)")
+def definition_cohort(c):
+    return de.generate(c, DEFINITION)[0]
+
+
+@query(f"SELECT 'Initial events' AS reason, count(*) AS number_records, count(DISTINCT person_id) AS number_subjects FROM ({_PRIMARY}) UNION ALL SELECT 'none urgent before', count(*), count(DISTINCT person_id) FROM ({_PRIMARY}) p WHERE NOT EXISTS (SELECT 1 FROM outcome o WHERE o.subject_id = p.person_id AND o.cohort_start_date BETWEEN s - 365 AND s - 1)")
+def definition_attrition(c):
+    return de.generate(c, DEFINITION)[1].drop("reason_id")
+
+
+@query("SELECT drug_concept_id, count(*) AS n_records, count(DISTINCT person_id) AS n_persons, CAST(min(date_diff('day', drug_exposure_start_date, drug_exposure_end_date) + 1) AS BIGINT) AS min_days, round(avg(date_diff('day', drug_exposure_start_date, drug_exposure_end_date) + 1), 6) AS mean_days, CAST(max(date_diff('day', drug_exposure_start_date, drug_exposure_end_date) + 1) AS BIGINT) AS max_days FROM drug_exposure GROUP BY 1")
+def diagnostics_durations(c):
+    return longs(di.drug_durations(c["drug_exposure"]).drop("n_negative").withColumn("mean_days", F.round("mean_days", 6)), "min_days", "max_days")
+
+
+@query("SELECT 'quantity' AS variable, count(*) AS n_records, count(*) - count(quantity) AS n_missing FROM drug_exposure UNION ALL SELECT 'route', count(*), count(*) - count(route) FROM drug_exposure")
+def diagnostics_missing(c):
+    return di.drug_missing(c["drug_exposure"].select("quantity", "route")).drop("share")
+
+
+@query()
+def diagnostics_days_between(c):
+    return di.drug_days_between(c["drug_exposure"])
+
+
+@query("SELECT CAST(1 AS BIGINT) AS result_id, region, sex, CASE WHEN n < 8 THEN '-' ELSE CAST(n AS VARCHAR) END AS count FROM (SELECT region, CASE WHEN gender_concept_id = 8507 THEN 'Male' ELSE 'Female' END AS sex, count(*) AS n FROM target JOIN person ON person_id = subject_id JOIN location USING (location_id) WHERE subject_id % 20 = 3 GROUP BY 1, 2)")
+def result_suppressed_tidy(c):
+    d = en.add_demographics(c, target(c)).where("subject_id % 20 = 3").join(c["person"].select(F.col("person_id").alias("subject_id"), "location_id"), "subject_id").join(c["location"], "location_id")
+    counts = d.groupBy("region", "sex").agg(F.count("*").alias("count"))
+    long = re_.suppress(re_.melt(counts, ["region"], ["sex"], "Number records", {"count": "integer"}), 8)
+    return re_.pivot_estimates(re_.tidy(long, ["region"], ["sex"]), ["count"]).select("result_id", "region", "sex", "count")
+
+
+@query("SELECT user_id, session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events, round(sum(value), 4) AS total_value FROM (SELECT *, min(ts) OVER (PARTITION BY user_id, g) AS session_start FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events))) GROUP BY user_id, session_start", clinical=False)
+def stream_sessions(spark, sf_dir):
+    return eras.sessions(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("total_value", F.round("total_value", 4))
+
+
+@query(clinical=False)
+def kernel_calendar(spark, sf_dir):
+    c = project(spark, sf_dir)
+    grid = c["observation_period"].select("person_id", F.explode(k.calendar(F.col("observation_period_start_date"), F.col("observation_period_end_date"), "quarters")).alias("i"))
+    return grid.groupBy("i.start").agg(F.count("*").alias("n_persons"))
