@@ -47,8 +47,8 @@ def suppress(df: DataFrame, minimum: int = 5) -> DataFrame:
     keys = ["result_id", "cdm_name", "group_name", "group_level", "strata_name", "strata_level", "additional_name", "additional_level"]
     count = F.when(F.lower("variable_name").isin("number records", "number subjects") | (F.col("estimate_name") == "count"), F.col("estimate_value").try_cast("double"))
     small = df.withColumn("_c", count).where((F.col("_c") > 0) & (F.col("_c") < minimum)).select(*keys).distinct().withColumn("_small", F.lit(1))
-    on = [df[k].eqNullSafe(small[k]) for k in keys]
-    d = df.join(small, on, "left").select(*(df[c] for c in df.columns), "_small")
+    small = small.withColumnsRenamed({k: f"_{k}" for k in keys})
+    d = df.join(small, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").select(*df.columns, "_small")
     return d.withColumn("estimate_value", F.when(F.col("_small").isNull(), F.col("estimate_value")).otherwise("-")).drop("_small")
 
 
