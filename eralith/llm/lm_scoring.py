@@ -11,12 +11,11 @@ No task ever holds the whole model. Texts are taken in blocks of bounded size, w
 A block asks for its distinct n-grams, as sorted 64-bit hashes, with its own training counts; shards of the hash range
 add the counts up and answer each block in its own order. So counting and look-up are one exchange, whose size
 follows the input; a frequent n-gram comes once from each block, however often it stands there. The block then
-builds the part of the automaton that its texts can reach, and walks it.
+builds the part of the automaton that its texts can reach, as arrays, and traverses it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -115,80 +114,48 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """States are numbered contexts; state 0 is the empty context. arcs: (state, word) -> (weight, next state)."""
-
-    def __init__(self) -> None:
-        self.arcs: list[dict[int, tuple[float, int]]] = [{}]
-        self.fail, self.fail_weight = [0], [0.0]
-
-    def state(self, fail: int, weight: float) -> int:
-        self.arcs.append({})
-        self.fail.append(fail)
-        self.fail_weight.append(weight)
-        return len(self.arcs) - 1
-
-    def score(self, tokens: list[int], state: int) -> float:
-        """Summed weights of one traversal; state 0 has an arc for every word."""
-        arcs, fail, fail_weight = self.arcs, self.fail, self.fail_weight
-        total = 0.0
-        for w in tokens:
-            arc = arcs[state].get(w)
-            while arc is None:
-                total += fail_weight[state]
-                state = fail[state]
-                arc = arcs[state].get(w)
-            total += arc[0]
-            state = arc[1]
-        return total
-
-
-def _reachable(block: _Block, answers: list[np.ndarray], first_words: np.ndarray, order: int, m: float, start_count: float) -> tuple[Automaton, int]:
-    """The part of the automaton that the block's texts can reach, and the state in which texts begin.
-
-    first_words: probability of each of the block's words.
+    """The part of the automaton that a block's texts can reach, compiled to arrays.
+
+    A state is a context of up to order - 1 words that was seen in training. At each place the state that a traversal
+    carries there is the longest such context of the words before it, and the n-gram that ends there numbers the
+    arc that it tries: arc[n] holds the weights of arcs, failure[n] those of the failure arcs of the states they leave.
     """
-    auto = Automaton()
-    # the highest-order context of each distinct n-gram that was seen in training is a state
-    states: list[np.ndarray] = []
-    first = np.cumsum(block.sizes) - block.sizes
-    begin = auto.state(0, math.log10(m / (start_count + m))) if order > 1 and start_count else 0
-    word_of = [np.zeros(len(k), np.int64) for k in block.keys]
-    before = [np.full(len(k), -1, np.int64) for k in block.keys]  # the (n-1)-gram that the n-gram extends; -1: a text's start
-    suffix = [np.full(len(k), -1, np.int64) for k in block.keys]
-    for n in range(order):
-        word_of[n][block.at[n]] = block.tokens
-        if n:
-            prev = np.empty(len(block.tokens), np.int64)
-            prev[1:] = block.at[n - 1][:-1]
-            prev[first] = -1
-            before[n][block.at[n]] = prev
-            suffix[n][block.at[n]] = block.at[n - 1]
-    for n in range(order - 1):
-        of = np.zeros(len(block.keys[n]), np.int64)
-        seen = np.flatnonzero(answers[n] > 0)
-        back = states[n - 1][suffix[n]] if n else np.zeros(len(of), np.int64)
-        for i, c, b in zip(seen.tolist(), answers[n][seen].tolist(), back[seen].tolist(), strict=True):
-            of[i] = auto.state(b, math.log10(m / (c + m)))
-        if n:
-            unseen = answers[n] == 0
-            of[unseen] = back[unseen]
-        states.append(of)
-    prob = first_words
-    into = states[0] if states else np.zeros(len(prob), np.int64)
-    auto.arcs[0] = dict(zip(word_of[0].tolist(), zip(np.log10(prob).tolist(), into.tolist(), strict=True), strict=True))
-    for n in range(1, order):
-        c = answers[n].astype(float)
-        begins = before[n] < 0
-        held = np.where(begins, start_count if n == 1 else 0.0, answers[n - 1][before[n]])
-        lower = prob[suffix[n]]
-        prob = np.where(held > 0, (c + m * lower) / (held + m), lower)
-        source = np.where(begins, begin, states[n - 1][before[n]])
-        into = states[n] if n < order - 1 else states[n - 1][suffix[n]]
-        use = np.flatnonzero((c > 0) & (held > 0))
-        arcs = auto.arcs
-        for s, w, p, t in zip(source[use].tolist(), word_of[n][use].tolist(), np.log10(prob[use]).tolist(), into[use].tolist(), strict=True):
-            arcs[s][w] = (p, t)
-    return auto, begin
+
+    def __init__(self, block: _Block, answers: list[np.ndarray], first_words: np.ndarray, order: int, m: float, start_count: float):
+        self.block = block
+        first = np.cumsum(block.sizes) - block.sizes
+        prob = first_words
+        self.arc, self.failure, self.seen = [np.log10(prob)], [np.zeros(len(prob))], [np.ones(len(prob), bool)]
+        for n in range(1, order):
+            # of each n-gram: the shorter one that it extends (-1: a text's start) and the one that it ends with
+            before, suffix = np.full(len(block.keys[n]), -1, np.int64), np.empty(len(block.keys[n]), np.int64)
+            previous = np.empty(len(block.tokens), np.int64)
+            previous[1:] = block.at[n - 1][:-1]
+            previous[first] = -1
+            before[block.at[n]] = previous
+            suffix[block.at[n]] = block.at[n - 1]
+            held = np.where(before < 0, start_count if n == 1 else 0.0, answers[n - 1][before]).astype(float)
+            c = answers[n].astype(float)
+            prob = np.where(held > 0, (c + m * prob[suffix]) / (held + m), prob[suffix])
+            self.arc.append(np.log10(prob))
+            self.failure.append(np.where(held > 0, np.log10(m / (held + m)), 0.0))
+            self.seen.append((c > 0) & (held > 0))
+
+    def traverse(self) -> np.ndarray:
+        """log10 probability of each text: weights of the arcs and failure arcs on its way from left to right, summed.
+
+        A state depends on the order - 1 words before it alone, so all places are walked at once: each tries its
+        longest state's arc; where there is none it pays the failure arc and goes on from the shorter state.
+        """
+        weight = np.zeros(len(self.block.tokens))
+        way = np.arange(len(weight))
+        for n in range(len(self.arc) - 1, -1, -1):
+            tried = self.block.at[n][way]
+            hit = self.seen[n][tried]
+            weight[way] += np.where(hit, self.arc[n][tried], self.failure[n][tried])
+            way = way[~hit]
+        ends = np.cumsum(self.block.sizes)
+        return np.add.reduceat(weight, ends - self.block.sizes)
 
 
 def lm_scores(
@@ -223,16 +190,14 @@ def lm_scores(
         c = found[0].astype(float)
         base = np.log10((c + 1) / (total + known + 1))
         p = np.where(c > 0, (c - discount) / total, discount * known / total) if total else np.ones(len(c))
-        auto, begin = _reachable(block, found, p, order, prior, float(n_train))
+        score = Automaton(block, found, p, order, prior, float(n_train)).traverse()
         ends = np.cumsum(block.sizes)
         at = block.at[0]
         add = lambda v: np.add.reduceat(v[at], ends - block.sizes)
-        toks = block.tokens.tolist()
-        score = [auto.score(toks[a:b], begin) for a, b in zip((ends - block.sizes).tolist(), ends.tolist(), strict=True)]
         n = len(block.docs)
         one = pa.table({
             "doc_id": block.docs, "held_out": ~block.train, "n_tokens": block.sizes, "n_known": add((c > 0).astype(np.int64)),
-            "train_tokens": np.full(n, total), "base_score": add(base), "score": np.array(score, float),
+            "train_tokens": np.full(n, total), "base_score": add(base), "score": score,
         })
         return pa.concat_tables([one] * len(heads))
 
