@@ -72,12 +72,14 @@ def secret_scan(versions: DataFrame, id_col: str = "doc_id", text_col: str = "te
         unseen = unseen.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
     texts = v.join(unseen, ["doc_id", "blob"], "left_semi")
     new = scan_blobs(texts)
-    found = new.where(F.size("spans") > 0).dropDuplicates(["blob"])
+    # whether a blob has spans is asked only of the deduplicated findings: asked earlier, Catalyst would answer it below
+    # the semi join, by scanning every copy and every blob that the ledger knows
+    book = new.dropDuplicates(["blob"])
+    found = book.where(F.size("spans") > 0)
     if ledger is not None:
         found = found.unionByName(ledger.where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)))
     empty = F.array().cast(new.schema["spans"].dataType)
     findings = paths.join(found.select("blob", "spans"), "blob", "left").withColumn("spans", F.coalesce("spans", empty))
-    book = new.dropDuplicates(["blob"])
     return findings, book if ledger is None else ledger.unionByName(book)
 
 
