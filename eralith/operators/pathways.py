@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ def treatment_history(
 
     Eras of one treatment are merged over era_gap days. Where two overlap for combination_window days or more they form
     a combination; a shorter overlap is a switch, which ends the earlier one. filter_treatments: "all", "first" (each
-    treatment's first time) or "changes" (no repeat of the one before). Persons are grouped for the sequential part;
-    a person's eras are few.
+    treatment's first time) or "changes" (no repeat of the one before). Persons are dealt out and sorted for the
+    sequential part and stream through it; a person's eras are few.
     """
     label = F.create_map(*(F.lit(x) for k, v in names.items() for x in (k, v)))
     e = events.select(F.col("subject_id").alias("person_id"), label[F.col("cohort_definition_id").cast("int")].alias("treatment"), F.col("cohort_start_date").alias("start_date"), F.col("cohort_end_date").alias("end_date"))
@@ -28,9 +29,8 @@ def treatment_history(
     e = e.join(t, "person_id").where("start_date between _s and _e").select("person_id", "treatment", "start_date", F.least("end_date", "_e").alias("end_date"))
     e = islands(e, ["person_id", "treatment"], "start_date", "end_date", era_gap).where(F.datediff("end_date", "start_date") >= least_era)
 
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(s.toordinal(), x.toordinal(), (n,)) for s, x, n in zip(pdf["start_date"], pdf["end_date"], pdf["treatment"], strict=True)]
-        rows.sort()
+    def combine(rows: list[tuple]) -> list[tuple]:
+        """Steps (start, end, treatments) of one person's eras (start, end, (treatment,)), sorted."""
         i = 0
         while i + 1 < len(rows):
             (s1, e1, a), (s2, e2, b) = rows[i], rows[i + 1]
@@ -38,7 +38,7 @@ def treatment_history(
                 i += 1
                 continue
             both = tuple(sorted({*a, *b}))
-            if min(e1, e2) - s2 < combination_window or both == a or both == b:
+            if (min(e1, e2) - s2).days < combination_window or both in (a, b):
                 new = [(s1, s2, a), (s2, max(e1, e2) if both == b else e2, b)]
             elif e1 <= e2:
                 new = [(s1, s2, a), (s2, e1, both), (e1, e2, b)]
@@ -47,20 +47,34 @@ def treatment_history(
             rows[i : i + 2] = [r for r in new if r[1] > r[0]]
             rows.sort()
             i = max(i - 1, 0)
-        if filter_treatments != "all":
-            kept: list = []
-            for r in rows:
-                seen = {k[2] for k in kept} if filter_treatments == "first" else {kept[-1][2]} if kept else set()
-                if r[2] not in seen:
-                    kept.append(r)
-            rows = kept
-        day = pd.Timestamp.fromordinal
-        return pd.DataFrame({
-            "person_id": [pdf["person_id"].iloc[0]] * len(rows), "sequence": range(1, len(rows) + 1), "treatments": [list(r[2]) for r in rows],
-            "start_date": [day(r[0]).date() for r in rows], "end_date": [day(r[1]).date() for r in rows],
-        })
+        if filter_treatments == "all":
+            return rows
+        kept: list = []
+        for r in rows:
+            seen = {k[2] for k in kept} if filter_treatments == "first" else {k[2] for k in kept[-1:]}
+            if r[2] not in seen:
+                kept.append(r)
+        return kept
 
-    return e.groupBy("person_id").applyInPandas(combine, "person_id long, sequence long, treatments array<string>, start_date date, end_date date")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Persons stand together and in order; the last one of a batch may go on in the next."""
+        person, held = None, []
+        for b in chain(batches, [None]):
+            out = []
+            rows = [(None,) * 4] if b is None else zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)
+            for p, n, s, e in rows:
+                if p != person:
+                    out += [(person, i, list(t), s1, e1) for i, (s1, e1, t) in enumerate(combine(sorted(held)), 1)]
+                    person, held = p, []
+                if p is not None:
+                    held.append((s, e, (n,)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names_)
+
+    names_ = ["person_id", "sequence", "treatments", "start_date", "end_date"]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.date32(), pa.date32()]
+    sorted_ = e.select("person_id", "treatment", "start_date", "end_date").repartition("person_id").sortWithinPartitions("person_id", "start_date")
+    return sorted_.mapInArrow(work, "person_id long, sequence long, treatments array<string>, start_date date, end_date date")
 
 
 def pathway_counts(history: DataFrame, least: int = 0) -> DataFrame:
