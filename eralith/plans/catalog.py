@@ -21,6 +21,7 @@ from eralith.operators import drug as dr
 from eralith.operators import enrich as en
 from eralith.operators import incidence as ic
 from eralith.operators import pathways as pa
+from eralith.operators import pregnancy as pr
 from eralith.operators import results as re_
 from eralith.operators import survival as su
 from eralith.operators import vocabulary as vo
@@ -464,6 +465,36 @@ def result_suppressed_tidy(c):
     return re_.pivot_estimates(re_.tidy(long, ["region"], ["sex"]), ["count"]).select("result_id", "region", "sex", "count")
 
 
+def _outcomes(c):
+    kind = F.create_map(*(F.lit(x) for kv in {3000001: "LB", 3000002: "SA", 3000003: "DELIV"}.items() for x in kv))
+    return c["condition_occurrence"].select("person_id", F.col("condition_start_date").alias("record_date"), kind[F.col("condition_concept_id").cast("int")].alias("category"))
+
+
+def _timing(c):
+    k_ = (F.col("visit_concept_id") - 9200).cast("int")
+    return c["visit_occurrence"].select("person_id", F.col("visit_start_date").alias("record_date"), (k_ * 2 - 1).alias("min_month"), (k_ * 2 + 1).alias("max_month"))
+
+
+@query()
+def pregnancy_outcome_episodes(c):
+    return pr.outcome_episodes(_outcomes(c))
+
+
+@query()
+def pregnancy_timing_episodes(c):
+    return pr.timing_episodes(_timing(c))
+
+
+@query()
+def pregnancy_merged(c):
+    return pr.merge_episodes(pr.outcome_episodes(_outcomes(c)), pr.timing_episodes(_timing(c)))
+
+
+@query()
+def pregnancy_validation(c):
+    return pr.validate_episodes(pr.timing_episodes(_timing(c)))
+
+
 @query("SELECT user_id, session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events, round(sum(value), 4) AS total_value FROM (SELECT *, min(ts) OVER (PARTITION BY user_id, g) AS session_start FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events))) GROUP BY user_id, session_start", clinical=False)
 def stream_sessions(spark, sf_dir):
     return eras.sessions(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("total_value", F.round("total_value", 4))
