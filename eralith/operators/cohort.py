@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from eralith.functions.kernels import closure, islands, pick
 from eralith.sources.clinical import DOMAINS, Clinical
 
+#: Codes that a resolved concept set may have to be broadcast (about 2 MB).
+MOST_CODES = 50_000
 COHORT = ["cohort_definition_id", "subject_id", "cohort_start_date", "cohort_end_date"]
 
 
 def concept_events(c: Clinical, concepts: Mapping[str, Sequence[int]], descendants: bool = True, excluded: Sequence[int] = ()) -> DataFrame:
     """(cohort_definition_id, person_id, start_date, end_date) of all events with a concept of each named set.
 
-    Only domains that the concepts belong to are read; concept sets are small, so Spark may broadcast them by size.
+    Only domains that the concepts belong to are read.
     """
     spark = c["person"].sparkSession
     rows = [(n, int(i), descendants, False) for n, ids in concepts.items() for i in ids] + [(n, int(i), True, True) for n in concepts for i in excluded]
@@ -27,7 +29,13 @@ def concept_events(c: Clinical, concepts: Mapping[str, Sequence[int]], descendan
     numbers = F.create_map(*(F.lit(x) for k, n in enumerate(concepts, 1) for x in (n, k)))
     resolved = closure(seeds, c["concept_ancestor"]).join(c["concept"].select("concept_id", "domain_id"), "concept_id")
     resolved = resolved.select(numbers[F.col("name")].cast("long").alias("cohort_definition_id"), "concept_id", F.lower("domain_id").alias("domain"))
-    domains = [r.domain for r in resolved.select("domain").distinct().collect() if r.domain in DOMAINS]
+    # a codelist of bounded size is resolved once and broadcast; a longer one stays a join
+    head = resolved.limit(MOST_CODES + 1).collect()
+    if len(head) <= MOST_CODES:
+        domains = {r.domain for r in head if r.domain in DOMAINS}
+        resolved = F.broadcast(spark.createDataFrame(head, resolved.schema))
+    else:
+        domains = {r.domain for r in resolved.select("domain").distinct().collect() if r.domain in DOMAINS}
     out = None
     for d in sorted(domains):
         e = c.events(d).join(resolved.where(F.col("domain") == d).drop("domain"), "concept_id")
