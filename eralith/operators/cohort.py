@@ -121,3 +121,40 @@ def flatten(c: Clinical, domains: Sequence[str] = tuple(DOMAINS)) -> DataFrame:
     return out
 
 
+def intersect_cohorts(cohort: DataFrame, ids: Sequence[int], number: int) -> DataFrame:
+    """Time that a subject spends in all the cohorts at once: days where as many are open as there are cohorts."""
+    from pyspark.sql import Window
+
+    merged = islands(cohort.where(F.col("cohort_definition_id").isin(list(ids))), COHORT[:2], *COHORT[2:], gap=1)
+    step = F.explode(F.array(F.struct(F.col("cohort_start_date").alias("d"), F.lit(1).alias("x")), F.struct(F.date_add("cohort_end_date", 1).alias("d"), F.lit(-1).alias("x"))))
+    e = merged.select("subject_id", step.alias("e")).groupBy("subject_id", F.col("e.d").alias("d")).agg(F.sum("e.x").alias("x"))
+    w = Window.partitionBy("subject_id").orderBy("d")
+    e = e.withColumns({"open": F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)), "to": F.date_sub(F.lead("d").over(w), 1)}).where(F.col("open") == len(set(ids)))
+    out = e.select(F.lit(number).cast("long").alias(COHORT[0]), "subject_id", F.col("d").alias(COHORT[2]), F.col("to").alias(COHORT[3]))
+    return islands(out, COHORT[:2], *COHORT[2:], gap=1)
+
+
+def union_cohorts(cohort: DataFrame, ids: Sequence[int], number: int, gap: int = 0) -> DataFrame:
+    d = cohort.where(F.col("cohort_definition_id").isin(list(ids))).withColumn("cohort_definition_id", F.lit(number).cast("long"))
+    return islands(d, COHORT[:2], *COHORT[2:], gap=gap)
+
+
+def pad_dates(c: Clinical, cohort: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
+    """Entries lengthened by days at either end, kept inside their observation period, and merged anew."""
+    op = c["observation_period"].select(F.col("person_id").alias("_p"), F.col("observation_period_start_date").alias("_s"), F.col("observation_period_end_date").alias("_e"))
+    d = cohort.join(op, (F.col("subject_id") == F.col("_p")) & F.col("cohort_start_date").between(F.col("_s"), F.col("_e")))
+    d = d.withColumns({"cohort_start_date": F.greatest(F.date_sub("cohort_start_date", before), "_s"), "cohort_end_date": F.least(F.date_add("cohort_end_date", after), "_e")})
+    return islands(d.where("cohort_start_date <= cohort_end_date"), COHORT[:2], *COHORT[2:])
+
+
+def attrition(steps: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """(reason_id, reason, number_records, number_subjects, excluded_records, excluded_subjects) of named steps."""
+    from functools import reduce
+
+    from pyspark.sql import Window
+
+    one = lambda k, n, d: d.agg(F.lit(k).cast("long").alias("reason_id"), F.lit(n).alias("reason"), F.count("*").alias("number_records"), F.count_distinct("subject_id").alias("number_subjects"))
+    a = reduce(DataFrame.unionByName, [one(k, n, d) for k, (n, d) in enumerate(steps, 1)])
+    w = Window.orderBy("reason_id")  # over one row per step
+    lost = lambda x: F.coalesce(F.lag(x).over(w) - F.col(x), F.lit(0))
+    return a.withColumns({"excluded_records": lost("number_records"), "excluded_subjects": lost("number_subjects")})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eralith.functions.kernels import calendar, islands, overlap_days, wilson
+from eralith.functions.kernels import calendar, islands, overlap_days, packed_age, wilson
 from eralith.operators.enrich import birth_date
 from eralith.sources.clinical import Clinical
 
@@ -34,6 +34,47 @@ def denominator(c: Clinical, start: str | None = None, end: str | None = None, a
     return d.where("cohort_start_date <= cohort_end_date")
 
 
+def target_denominator(
+    c: Clinical, target: DataFrame, time_at_risk: Sequence[tuple[int, int | None]] = ((0, None),), ages: Sequence[tuple[int, int]] = ((0, 150),),
+    sexes: Sequence[str] = ("Both",), prior: int = 0,
+) -> DataFrame:
+    """Time at risk within target entries: days lo to hi after the start, for those who meet age, sex and prior days then."""
+    p = c["person"].select(F.col("person_id").alias("subject_id"), birth_date().alias("birth"), F.when(F.col("gender_concept_id") == 8507, "Male").otherwise("Female").alias("sex"))
+    op = c["observation_period"].select(F.col("person_id").alias("_p"), F.col("observation_period_start_date").alias("o_start"), F.col("observation_period_end_date").alias("o_end"))
+    specs = [(i, a, s, t) for i, (a, s, t) in enumerate(((a, s, t) for a in ages for s in sexes for t in time_at_risk), 1)]
+    spec = F.array(*(F.struct(F.lit(i).cast("long").alias("id"), F.lit(a[0]).alias("lo"), F.lit(a[1]).alias("hi"), F.lit(s).alias("want"), F.lit(t[0]).alias("t0"), F.lit(t[1]).cast("int").alias("t1")) for i, a, s, t in specs))
+    index = F.col("cohort_start_date")
+    d = target.select("subject_id", "cohort_start_date", "cohort_end_date").join(p, "subject_id")
+    d = d.join(op, (F.col("subject_id") == F.col("_p")) & index.between(F.col("o_start"), F.col("o_end"))).withColumn("_spec", F.explode(spec)).select("*", "_spec.*")
+    d = d.where((F.col("want").isin("Both") | (F.col("want") == F.col("sex"))) & packed_age(F.col("birth"), index).between(F.col("lo"), F.col("hi")) & (F.datediff(index, "o_start") >= prior))
+    end = F.least("cohort_end_date", "o_end", F.when(F.col("t1").isNotNull(), F.date_add(index, F.col("t1"))))
+    d = d.select(F.col("id").alias("cohort_definition_id"), "subject_id", F.date_add(index, F.col("t0")).alias("_s"), end.alias("_e"))
+    return d.where("_s <= _e").select("cohort_definition_id", "subject_id", F.col("_s").alias("cohort_start_date"), F.col("_e").alias("cohort_end_date"))
+
+
+def censored(denominator: DataFrame, censor: DataFrame) -> DataFrame:
+    """Time at risk cut the day before each person's first censoring event."""
+    first = censor.groupBy("subject_id").agg(F.date_sub(F.min("cohort_start_date"), 1).alias("_c"))
+    d = denominator.join(first, "subject_id", "left").withColumn("cohort_end_date", F.least("cohort_end_date", "_c")).drop("_c")
+    return d.where("cohort_start_date <= cohort_end_date").select(denominator.columns)
+
+
+def complete_intervals(estimates: DataFrame, denominator: DataFrame) -> DataFrame:
+    """Estimates of the intervals that lie inside the span of all time at risk; the span is one row."""
+    span = denominator.agg(F.min("cohort_start_date").alias("_lo"), F.max("cohort_end_date").alias("_hi"))
+    return estimates.join(F.broadcast(span), (F.col("interval_start") >= F.col("_lo")) & (F.col("interval_end") <= F.col("_hi"))).drop("_lo", "_hi")
+
+
+def by_strata(denominator: DataFrame, strata: DataFrame, columns: Sequence[str], estimate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """estimate() within each level of the strata columns of (subject_id, columns...), which come back as columns.
+
+    The levels travel inside the cohort id, so one pass estimates all strata.
+    """
+    d = denominator.join(strata.select("subject_id", *columns), "subject_id").withColumn("cohort_definition_id", F.struct("cohort_definition_id", *columns))
+    out = estimate(d).withColumnRenamed("cohort_definition_id", "_id")
+    return out.select("_id.*", *(c for c in out.columns if c != "_id"))
+
+
 def incidence(denominator: DataFrame, outcome: DataFrame, interval: str = "years", washout: int | None = None, repeated: bool = False, study: tuple[str, str] | None = None) -> DataFrame:
     """Per calendar interval: persons, days and years at risk, events and the rate per 100,000 person-years.
 

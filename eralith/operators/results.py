@@ -65,3 +65,37 @@ def add_settings(df: DataFrame, settings: DataFrame) -> DataFrame:
 def tidy(df: DataFrame, group: Sequence[str], strata: Sequence[str], settings: DataFrame | None = None) -> DataFrame:
     d = split(split(df, "group", group), "strata", strata)
     return add_settings(d, settings) if settings is not None else d
+
+
+def bind(*results: DataFrame) -> DataFrame:
+    """Results one below the other, with result ids that stay apart: the n-th has 1,000 n added."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [r.withColumn("result_id", F.col("result_id") + 1000 * n) for n, r in enumerate(results)])
+
+
+def filter_pairs(df: DataFrame, kind: str, **levels: str) -> DataFrame:
+    """Rows whose {kind} pairs hold exactly these levels."""
+    pairs = F.map_from_arrays(F.split(F.col(f"{kind}_name"), SEPARATOR), F.split(F.col(f"{kind}_level"), SEPARATOR))
+    for name, level in levels.items():
+        df = df.where(F.try_element_at(pairs, F.lit(name)).eqNullSafe(F.lit(level)))
+    return df
+
+
+def export(df: DataFrame, path: str) -> None:
+    """CSV files with a header; nulls as NA."""
+    df.select(*COLUMNS).write.mode("overwrite").options(header="true", nullValue="NA", escape='"').csv(path)
+
+
+def read_export(spark, path: str) -> DataFrame:
+    schema = ", ".join(f"{c} {'long' if c == 'result_id' else 'string'}" for c in COLUMNS)
+    return spark.read.options(header="true", nullValue="NA", escape='"').schema(schema).csv(path)
+
+
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """A small table as Markdown; one of more rows than most is an error and not cut off."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])

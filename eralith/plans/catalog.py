@@ -288,6 +288,41 @@ def prevalence_period(c):
     return _rounded(ic.prevalence(_denominator(c), target(c), kind="period"))
 
 
+@query("SELECT t.subject_id, t.cohort_start_date, least(t.cohort_end_date, t.cohort_start_date + 180) AS cohort_end_date FROM target t JOIN birth b ON b.person_id = t.subject_id JOIN observation_period o ON o.person_id = t.subject_id WHERE gender_concept_id = 8507 AND date_diff('day', observation_period_start_date, t.cohort_start_date) >= 30 AND " + _AGE + " BETWEEN 18 AND 64")
+def incidence_target_denominator(c):
+    return ic.target_denominator(c, target(c), time_at_risk=((0, 180),), ages=((18, 64),), sexes=("Male",), prior=30).drop("cohort_definition_id")
+
+
+@query(f"SELECT d.subject_id, s AS cohort_start_date, least(e, f - 1) AS cohort_end_date FROM (SELECT * FROM ({_DEN}) WHERE s <= e) d LEFT JOIN (SELECT subject_id, min(cohort_start_date) AS f FROM other GROUP BY 1) o ON o.subject_id = d.subject_id WHERE s <= coalesce(least(e, f - 1), e)")
+def incidence_censored(c):
+    return ic.censored(_denominator(c), condition(c, 3000002)).drop("cohort_definition_id")
+
+
+@query(f"SELECT sex, interval_start, CAST(count(*) AS BIGINT) AS n_persons, CAST(sum(n) AS BIGINT) AS n_events FROM (SELECT CASE WHEN gender_concept_id = 8507 THEN 'Male' ELSE 'Female' END AS sex, i AS interval_start, d.subject_id, count(o.first) AS n FROM ({_YEARS}) d JOIN person p ON p.person_id = d.subject_id LEFT JOIN (SELECT subject_id, min(cohort_start_date) AS first FROM outcome GROUP BY 1) o ON o.subject_id = d.subject_id AND o.first BETWEEN i AND j GROUP BY 1, 2, 3) GROUP BY 1, 2")
+def incidence_by_sex(c):
+    sex = c["person"].select(F.col("person_id").alias("subject_id"), F.when(F.col("gender_concept_id") == 8507, "Male").otherwise("Female").alias("sex"))
+    d = ic.by_strata(_denominator(c), sex, ["sex"], lambda x: ic.incidence(x, condition(c, 3000001)))
+    return longs(d.select("sex", "interval_start", "n_persons", "n_events"), "n_events")
+
+
+@query()
+def incidence_complete_quarters(c):
+    den = _denominator(c)
+    return ic.complete_intervals(ic.incidence(den, condition(c, 3000001), interval="quarters"), den)
+
+
+@query()
+def cohort_intersection(c):
+    return co.intersect_cohorts(co.concept_cohort(c, {"a": [1000003], "b": [1000005]}, limit="all", end="event"), [1, 2], 9)
+
+
+@query()
+def cohort_attrition(c):
+    t = target(c)
+    steps = [("all", t), ("adult", co.require_demographics(c, t, ages=(18, 150))), ("prior", co.require_demographics(c, t, ages=(18, 150), prior=180))]
+    return co.attrition(steps)
+
+
 # characteristics
 
 

@@ -107,3 +107,31 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     batch = {tuple(r) for r in eras.sessions(spark.read.parquet(f"{tmp_path}/in")).where("user_id < 9").collect()}
     assert {tuple(r) for r in spark.table("s").collect()} == batch
+
+
+def test_intersection_and_attrition(spark):
+    from eralith.operators import cohort as co
+
+    schema = "cohort_definition_id long, subject_id long, cohort_start_date date, cohort_end_date date"
+    d = spark.createDataFrame([(1, 7, D(2020, 1, 1), D(2020, 1, 20)), (1, 7, D(2020, 2, 1), D(2020, 2, 9)), (2, 7, D(2020, 1, 10), D(2020, 2, 3)), (2, 8, D(2020, 1, 1), D(2020, 1, 2))], schema)
+    got = sorted((r.cohort_start_date, r.cohort_end_date) for r in co.intersect_cohorts(d, [1, 2], 9).collect())
+    assert got == [(D(2020, 1, 10), D(2020, 1, 20)), (D(2020, 2, 1), D(2020, 2, 3))]
+    a = co.attrition([("all", d), ("one", d.where("cohort_definition_id = 1"))]).orderBy("reason_id").collect()
+    assert [(r.number_records, r.excluded_records, r.excluded_subjects) for r in a] == [(4, 0, 0), (2, 2, 1)]
+
+
+def test_result_files_and_mock(spark, tmp_path):
+    from eralith.operators import cohort as co
+    from eralith.sources.mock import mock_clinical
+
+    c = mock_clinical(spark, 50)
+    counts = co.cohort_counts(co.concept_cohort(c, {"a": [1], "b": [1001]}))
+    assert {r.cohort_definition_id for r in counts.collect()} == {1, 2}
+    r = re_.melt(counts, ["cohort_definition_id"], [], "Number subjects", {"number_subjects": "integer"})
+    both = re_.bind(r, r)
+    assert {x.result_id for x in both.collect()} == {1, 1001}
+    re_.export(both, f"{tmp_path}/r")
+    back = re_.read_export(spark, f"{tmp_path}/r")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, both.collect()), key=str)
+    one = re_.filter_pairs(back, "group", cohort_definition_id="1")
+    assert one.count() == 2 and re_.markdown(one).count("\n") == 3
