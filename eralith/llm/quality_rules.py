@@ -24,7 +24,7 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 #: measure -> (expression, least fence): what no group's fence goes below, so that groups with next to no spread
 #: don't reject on a trace.
 MEASURES = {
-    "symbol_share": ("n_symbols / word_chars", 0.1),
+    "symbol_share": ("n_symbols / word_chars", 0.05),
     "dup_line_share": ("n_dup_lines / n_lines", 0.5),
     "repeat_share": ("n_repeat_words / n_words", 0.2),
     "word_length": ("word_chars / n_words", 12.0),
