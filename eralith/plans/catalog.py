@@ -17,6 +17,7 @@ from eralith.operators import characterise as ch
 from eralith.operators import cohort as co
 from eralith.operators import definition as de
 from eralith.operators import diagnostics as di
+from eralith.operators import dose as do
 from eralith.operators import drug as dr
 from eralith.operators import enrich as en
 from eralith.operators import incidence as ic
@@ -409,6 +410,21 @@ def drug_restart(c):
     return dr.restart(t, s, c)
 
 
+_DOSE = "CASE WHEN amount_unit_concept_id = 8576 THEN amount_value * quantity / days WHEN amount_unit_concept_id = 9655 THEN amount_value / 1000 * quantity / days WHEN denominator_unit_concept_id = 8587 THEN numerator_value * quantity / days ELSE numerator_value * 24 / 36 END"
+
+
+@query(f"SELECT person_id, drug_concept_id, drug_exposure_start_date, quantity, round({_DOSE}, 6) AS daily_dose, CAST('milligram' AS VARCHAR) AS unit FROM (SELECT *, date_diff('day', drug_exposure_start_date, drug_exposure_end_date) + 1 AS days FROM drug_exposure JOIN drug_strength USING (drug_concept_id))")
+def drug_daily_dose(c):
+    d = do.daily_dose(c, c["drug_exposure"])
+    return d.select("person_id", "drug_concept_id", "drug_exposure_start_date", "quantity", F.round("daily_dose", 6).alias("daily_dose"), "unit")
+
+
+@query(f"SELECT CAST(CASE WHEN amount_unit_concept_id = 8576 THEN 9 WHEN amount_unit_concept_id = 9655 THEN 7 WHEN denominator_unit_concept_id = 8587 THEN 34 ELSE 2 END AS BIGINT) AS pattern_id, count(*) AS n_records, round(avg({_DOSE}), 6) AS mean_dose FROM (SELECT *, date_diff('day', drug_exposure_start_date, drug_exposure_end_date) + 1 AS days FROM drug_exposure JOIN drug_strength USING (drug_concept_id) WHERE ingredient_concept_id = 1000004) GROUP BY 1")
+def drug_pattern_coverage(c):
+    d = longs(do.pattern_coverage(c, 1000004), "pattern_id")
+    return d.select("pattern_id", "n_records", F.round("mean_dose", 6).alias("mean_dose"))
+
+
 # survival
 
 _STEP = "SELECT time, count(*) AS n_left, sum(status) AS d FROM surv WHERE time IS NOT NULL GROUP BY time"

@@ -52,6 +52,15 @@ PROJECTIONS = {
         SELECT 1000000 + CAST(substr(p_brand, 7) AS BIGINT), p_partkey, 1 FROM {part}
         UNION ALL
         SELECT DISTINCT CAST(substr(o_orderpriority, 1, 1) AS BIGINT) + 3000000, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) + 3000000, 0 FROM {orders}""",
+    "drug_strength": """
+        SELECT p_partkey AS drug_concept_id, 1000000 + CAST(substr(p_brand, 7) AS BIGINT) AS ingredient_concept_id,
+               CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) END AS amount_value,
+               CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 8576 ELSE 9655 END END AS amount_unit_concept_id,
+               CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_size AS DOUBLE) END AS numerator_value,
+               CASE WHEN p_partkey % 3 <> 0 THEN 8576 END AS numerator_unit_concept_id,
+               CASE WHEN p_partkey % 3 = 2 THEN CAST(36 AS DOUBLE) END AS denominator_value,
+               CASE WHEN p_partkey % 3 = 1 THEN 8587 WHEN p_partkey % 3 = 2 THEN 8505 END AS denominator_unit_concept_id
+        FROM {part}""",
     "location": """
         SELECT CAST(n_nationkey AS BIGINT) AS location_id, n_name AS state, r_name AS region FROM {nation} JOIN {region} ON n_regionkey = r_regionkey""",
 }

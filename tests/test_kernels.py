@@ -135,3 +135,13 @@ def test_result_files_and_mock(spark, tmp_path):
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, both.collect()), key=str)
     one = re_.filter_pairs(back, "group", cohort_definition_id="1")
     assert one.count() == 2 and re_.markdown(one).count("\n") == 3
+
+
+def test_dose_patterns(spark):
+    from eralith.operators import dose as do
+
+    mg, hour, ml = (do.UNITS[u] for u in ("milligram", "hour", "milliliter"))
+    rows = [(1, 5.0, mg, None, None, None, None), (2, None, None, 10.0, mg, 48.0, hour), (3, None, None, 2.0, mg, None, hour), (4, None, None, 3.0, mg, 1.0, ml), (5, 5.0, mg, 1.0, mg, None, None), (6, None, None, None, None, None, None)]
+    s = spark.createDataFrame(rows, "drug_concept_id long, amount_value double, amount_unit_concept_id int, numerator_value double, numerator_unit_concept_id int, denominator_value double, denominator_unit_concept_id int")
+    got = {r.drug_concept_id: r.pattern_id for r in do.strength_patterns(s).collect()}
+    assert got == {1: 9, 2: 2, 3: 5, 4: 18, 5: None, 6: None}
