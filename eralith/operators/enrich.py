@@ -105,3 +105,38 @@ def add_death(c: Clinical, df: DataFrame, index: str = "cohort_start_date", wind
 def add_cohort_name(df: DataFrame, names: Mapping[int, str]) -> DataFrame:
     table = F.create_map(*(F.lit(x) for k, v in names.items() for x in (k, v)))
     return df.withColumn("cohort_name", table[F.col("cohort_definition_id").cast("int")])
+
+
+def add_date_of_birth(c: Clinical, df: DataFrame) -> DataFrame:
+    who = _person(df)
+    return df.join(c["person"].select(F.col("person_id").alias(who), birth_date().alias("date_of_birth")), who, "left")
+
+
+def add_observation_period(c: Clinical, df: DataFrame, index: str = "cohort_start_date") -> DataFrame:
+    """observation_period_number (by start within the person), and its start and end, of the period that holds the index."""
+    from pyspark.sql import Window
+
+    who = _person(df)
+    w = Window.partitionBy("person_id").orderBy("observation_period_start_date", "observation_period_end_date")
+    op = c["observation_period"].select(F.col("person_id").alias("_p"), F.row_number().over(w).alias("observation_period_number"), "observation_period_start_date", "observation_period_end_date")
+    on = (F.col(who) == F.col("_p")) & F.col(index).between(F.col("observation_period_start_date"), F.col("observation_period_end_date"))
+    return df.join(op, on, "left").drop("_p")
+
+
+def add_record_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """record_number within each key, days_from_previous and days_to_next record by the first order column."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(*order)
+    d = df.withColumns({"record_number": F.row_number().over(w), "days_from_previous": F.datediff(order[0], F.lag(order[0]).over(w)), "days_to_next": F.datediff(F.lead(order[0]).over(w), order[0])})
+    return d
+
+
+def add_intersect_field(df: DataFrame, events: DataFrame, field: str, window: Window_, index: str = "cohort_start_date", last: bool = False, name: str = "value") -> DataFrame:
+    """name: field of a person's first (or last) event in the window, by start, end and the field itself."""
+    who = _person(df)
+    e = events.select(F.col("person_id").alias("_p"), F.col("start_date").alias("_s"), F.coalesce("end_date", "start_date").alias("_e"), F.col(field).alias("_f"))
+    ids = df.select(who, index).distinct()
+    hit = ids.join(e, (F.col(who) == F.col("_p")) & in_window(F.col(index), F.col("_s"), F.col("_e"), window))
+    pick = (F.max if last else F.min)(F.struct("_s", "_e", "_f"))
+    return df.join(hit.groupBy(who, index).agg(pick.alias("_x")).select(who, index, F.col("_x._f").alias(name)), [who, index], "left")

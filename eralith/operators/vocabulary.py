@@ -70,3 +70,49 @@ def orphan_codes(c: Clinical, ids: DataFrame, domain: str = "drug") -> DataFrame
     up = c["concept_ancestor"].join(ids.select(F.col("concept_id").alias("descendant_concept_id")), "descendant_concept_id").select("ancestor_concept_id").distinct()
     near = c["concept_ancestor"].join(up, "ancestor_concept_id").select(F.col("descendant_concept_id").alias("concept_id")).distinct()
     return code_use(c, near.join(ids, "concept_id", "left_anti"), domain)
+
+
+def ancestors(c: Clinical, ids: Sequence[int], include_self: bool = True) -> DataFrame:
+    """(descendant_concept_id, concept_id, concept_name) above each id."""
+    a = c["concept_ancestor"].where(F.col("descendant_concept_id").isin(list(ids)))
+    if not include_self:
+        a = a.where("ancestor_concept_id != descendant_concept_id")
+    return a.join(c["concept"], a["ancestor_concept_id"] == c["concept"]["concept_id"]).select("descendant_concept_id", "concept_id", "concept_name")
+
+
+def mapped(c: Clinical, ids: DataFrame, relationship: str = "Maps to") -> DataFrame:
+    """(concept_id, mapped_concept_id) over one kind of relationship."""
+    r = c["concept_relationship"].where(F.col("relationship_id") == relationship)
+    return ids.select("concept_id").distinct().join(r, F.col("concept_id") == F.col("concept_id_1")).select("concept_id", F.col("concept_id_2").alias("mapped_concept_id")).distinct()
+
+
+def union(*codelists: DataFrame) -> DataFrame:
+    """Name-wise union of (name, concept_id)."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [x.select("name", "concept_id") for x in codelists]).distinct()
+
+
+def intersect(*codelists: DataFrame) -> DataFrame:
+    """Name-wise intersection of (name, concept_id): one count of codelists per code, not a chain of joins."""
+    from functools import reduce
+
+    tagged = [x.select("name", "concept_id").distinct().withColumn("n", F.lit(1)) for x in codelists]
+    return reduce(DataFrame.unionByName, tagged).groupBy("name", "concept_id").agg(F.sum("n").alias("n")).where(F.col("n") == len(codelists)).drop("n")
+
+
+def codes_in_use(c: Clinical, ids: DataFrame, domains: Sequence[str] = ("drug", "condition", "visit")) -> DataFrame:
+    """Codes of a codelist that some record of the domains holds."""
+    from functools import reduce
+
+    used = reduce(DataFrame.unionByName, [c.events(d).select("concept_id").distinct() for d in domains]).distinct()
+    return ids.join(used, "concept_id", "left_semi")
+
+
+def code_use_with_zeros(c: Clinical, ids: DataFrame, domain: str = "drug") -> DataFrame:
+    """Records and persons of every code of the list, 0 for those not in use."""
+    return ids.select("concept_id").distinct().join(code_use(c, ids, domain), "concept_id", "left").fillna(0, subset=["n_records", "n_persons"])
+
+
+def subset_by_domain(c: Clinical, ids: DataFrame, domains: Sequence[str]) -> DataFrame:
+    return ids.join(c["concept"].where(F.lower("domain_id").isin([d.lower() for d in domains])), "concept_id", "left_semi")

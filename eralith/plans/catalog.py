@@ -202,6 +202,23 @@ def enrich_death(c):
     return longs(d, "death_flag", "days_to_death")
 
 
+@query("SELECT subject_id, birth AS date_of_birth, CAST(1 AS BIGINT) AS observation_period_number, observation_period_end_date FROM target JOIN birth ON person_id = subject_id JOIN observation_period o ON o.person_id = subject_id")
+def enrich_birth_and_period(c):
+    d = en.add_observation_period(c, en.add_date_of_birth(c, target(c)))
+    return longs(d.select("subject_id", "date_of_birth", "observation_period_number", "observation_period_end_date"), "observation_period_number")
+
+
+@query("SELECT subject_id, cohort_start_date, CAST(row_number() OVER w AS BIGINT) AS record_number, CAST(date_diff('day', cohort_start_date, lead(cohort_start_date) OVER w) AS BIGINT) AS days_to_next FROM outcome WINDOW w AS (PARTITION BY subject_id ORDER BY cohort_start_date)")
+def enrich_record_order(c):
+    d = en.add_record_order(condition(c, 3000001), ["subject_id"], ["cohort_start_date", "cohort_end_date"])
+    return longs(d.select("subject_id", "cohort_start_date", "record_number", "days_to_next"), "record_number", "days_to_next")
+
+
+@query("SELECT t.subject_id, min_by(c.condition_concept_id, struct_pack(a := condition_start_date, b := condition_end_date, c := condition_concept_id)) AS first_condition FROM target t LEFT JOIN condition_occurrence c ON c.person_id = t.subject_id AND condition_start_date >= t.cohort_start_date + 1 GROUP BY 1")
+def enrich_first_field(c):
+    return en.add_intersect_field(target(c), c.events("condition"), "concept_id", (1, None), name="first_condition").select("subject_id", "first_condition")
+
+
 # vocabulary
 
 
@@ -240,6 +257,26 @@ def vocabulary_orphans(c):
     return vo.orphan_codes(c, c["concept"].where("concept_id = 5").select("concept_id"))
 
 
+@query("SELECT descendant_concept_id, ancestor_concept_id AS concept_id, concept_name FROM concept_ancestor JOIN concept ON concept_id = ancestor_concept_id WHERE descendant_concept_id IN (3, 4) AND ancestor_concept_id <> descendant_concept_id")
+def vocabulary_ancestors(c):
+    return vo.ancestors(c, [3, 4], include_self=False)
+
+
+@query("SELECT c.concept_id, count(person_id) AS n_records, count(DISTINCT person_id) AS n_persons FROM concept c LEFT JOIN drug_exposure ON drug_concept_id = c.concept_id WHERE domain_id = 'Drug' AND concept_name LIKE '%red%' GROUP BY 1")
+def vocabulary_code_use_zeros(c):
+    return vo.code_use_with_zeros(c, vo.search(c, ["red"], domains=["drug"]))
+
+
+@query("SELECT concept_id FROM concept WHERE concept_id IN (SELECT drug_concept_id FROM drug_exposure UNION SELECT condition_concept_id FROM condition_occurrence)")
+def vocabulary_in_use(c):
+    return vo.codes_in_use(c, c["concept"].select("concept_id"), ("drug", "condition"))
+
+
+@query("SELECT 'x' AS name, concept_id FROM concept WHERE domain_id = 'Drug' AND concept_name LIKE '%red%' AND concept_name LIKE '%ring%'")
+def vocabulary_intersect(c):
+    return vo.intersect(*(vo.search(c, [w], domains=["drug"]).select(F.lit("x").alias("name"), "concept_id") for w in ("red", "ring")))
+
+
 # incidence and prevalence
 
 _DEN = "SELECT person_id AS subject_id, greatest(observation_period_start_date + 180, DATE '1996-01-01', CAST(birth + INTERVAL 18 YEAR AS DATE)) AS s, least(observation_period_end_date, DATE '2000-12-31', CAST(birth + INTERVAL 65 YEAR AS DATE) - 1) AS e FROM observation_period JOIN birth USING (person_id)"
