@@ -102,9 +102,48 @@ def _limited(events: DataFrame, limit: Mapping | None) -> DataFrame:
     return events if kind == "All" else pick(events, ["person_id"], ["start_date", "end_date", "event_id"], last=kind == "Last")
 
 
+def _with_era_end(c: Clinical, codes: DataFrame, events: DataFrame, era: Mapping) -> DataFrame:
+    """_era_end: end of the era of the code set's drug records that holds the event's start, plus an offset; else its own end."""
+    drug = c.events("drug").join(codes.where(F.col("name") == str(era["DrugCodesetId"])).select("concept_id"), "concept_id", "left_semi")
+    eras = islands(drug, ["person_id"], "start_date", "end_date", int(era.get("GapDays", 0)))
+    e = eras.select(F.col("person_id").alias("_p"), F.col("start_date").alias("_s"), F.date_add("end_date", int(era.get("Offset", 0))).alias("_x"), F.col("end_date").alias("_e"))
+    ends = events.select("event_id", "person_id", "start_date").join(e, (F.col("person_id") == F.col("_p")) & F.col("start_date").between(F.col("_s"), F.col("_e")))
+    ends = ends.groupBy("event_id").agg(F.max("_x").alias("_era_end"))
+    return events.join(ends, "event_id", "left").withColumn("_era_end", F.coalesce("_era_end", "end_date"))
+
+
+#: Keys that stay as they are inside a definition: a concept's own fields and flags.
+_KEEP = ("CONCEPT_ID", "isExcluded", "includeDescendants", "includeMapped", "concept", "items", "expression", "id", "name")
+
+
+def pascal(x):
+    """A definition with camelCase keys in the PascalCase form."""
+    if isinstance(x, list):
+        return [pascal(v) for v in x]
+    if not isinstance(x, Mapping):
+        return x
+    return {k if k in _KEEP else k[:1].upper() + k[1:]: pascal(v) for k, v in x.items()}
+
+
+def generate_set(c: Clinical, definitions: Mapping[str, str | Mapping]) -> tuple[DataFrame, DataFrame, dict[int, str]]:
+    """Cohorts and attrition of several named definitions, numbered in the order of their names, and the names."""
+    names = dict(enumerate(sorted(definitions), 1))
+    made = [(k, *generate(c, definitions[n], k)) for k, n in names.items()]
+    cohort = reduce(DataFrame.unionByName, [x for _, x, _ in made])
+    attrition = reduce(DataFrame.unionByName, [x.withColumn("cohort_definition_id", F.lit(k).cast("long")) for k, _, x in made])
+    return cohort, attrition, names
+
+
+def read_definitions(folder: str) -> dict[str, Mapping]:
+    """Definitions of a driver-side folder of JSON files, by their stems."""
+    from pathlib import Path
+
+    return {p.stem: json.loads(p.read_text()) for p in sorted(Path(folder).glob("*.json"))}
+
+
 def generate(c: Clinical, definition: str | Mapping, number: int = 1) -> tuple[DataFrame, DataFrame]:
     """(cohort, attrition) of a definition. attrition: (reason, number_records, number_subjects), in the order of reasons."""
-    d = json.loads(definition) if isinstance(definition, str) else definition
+    d = pascal(json.loads(definition) if isinstance(definition, str) else definition)
     codes = _codes(c, d)
     primary = d["PrimaryCriteria"]
     events = reduce(DataFrame.unionByName, [_criterion(c, codes, i) for i in primary["CriteriaList"]]).distinct()
@@ -121,13 +160,21 @@ def generate(c: Clinical, definition: str | Mapping, number: int = 1) -> tuple[D
         events = events.join(_group(c, codes, events, rule["expression"]), "event_id", "left_semi")
         steps.append((rule.get("name", "rule"), events))
     events = _limited(events, d.get("ExpressionLimit"))
-    exit_ = d.get("EndStrategy", {}).get("DateOffset")
-    end = F.date_add("start_date" if exit_.get("DateField", "StartDate") == "StartDate" else "end_date", int(exit_.get("Offset", 0))) if exit_ else F.col("o_end")
+    strategy = d.get("EndStrategy") or {}
+    exit_ = strategy.get("DateOffset")
+    if not exit_ and "CustomEra" in strategy:
+        events = _with_era_end(c, codes, events, strategy["CustomEra"])
+    end = F.col("_era_end") if "_era_end" in events.columns else F.date_add("start_date" if exit_.get("DateField", "StartDate") == "StartDate" else "end_date", int(exit_.get("Offset", 0))) if exit_ else F.col("o_end")
     out = events.withColumn("_end", F.least(end, "o_end"))
     for item in d.get("CensoringCriteria", []):
         e = _criterion(c, codes, item).select(F.col("person_id").alias("_p"), F.col("start_date").alias("_s"))
         first = out.select("event_id", "person_id", "start_date").join(e, (F.col("person_id") == F.col("_p")) & (F.col("_s") >= F.col("start_date"))).groupBy("event_id").agg(F.min("_s").alias("_s"))
         out = out.join(first, "event_id", "left").withColumn("_end", F.least("_end", "_s")).drop("_s")
+    window = d.get("CensorWindow") or {}
+    for side, column, clamp in (("StartDate", "start_date", F.greatest), ("EndDate", "_end", F.least)):
+        if window.get(side):
+            out = out.withColumn(column, clamp(F.col(column), F.lit(window[side]).cast("date")))
+    out = out.where("start_date <= _end")
     pad = int(d.get("CollapseSettings", {}).get("EraPad", 0))
     cohort = islands(out.select(F.lit(number).cast("long").alias("cohort_definition_id"), F.col("person_id").alias("subject_id"), F.col("start_date").alias("cohort_start_date"), F.col("_end").alias("cohort_end_date")), ["cohort_definition_id", "subject_id"], "cohort_start_date", "cohort_end_date", pad)
     count = lambda k, name, df: df.agg(F.lit(k).alias("reason_id"), F.lit(name).alias("reason"), F.count("*").alias("number_records"), F.count_distinct("person_id").alias("number_subjects"))

@@ -89,3 +89,31 @@ def first_eras(events: DataFrame, names: Mapping[int, str], era_gap: int = 30) -
     e = events.groupBy("subject_id", "cohort_definition_id").agg(F.min("cohort_start_date").alias("s"))
     e = e.select("subject_id", "s", label[F.col("cohort_definition_id").cast("int")].alias("t"))
     return e.groupBy("subject_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("s", "t")))["t"], "-").alias("pathway")).groupBy("pathway").agg(F.count("*").alias("n_persons"))
+
+
+def event_durations(history: DataFrame) -> DataFrame:
+    """(treatment, kind, n_events, n_persons, min, median, mean and max days) of each treatment or combination."""
+    days = F.datediff("end_date", "start_date")
+    kind = F.when(F.size("treatments") > 1, "combination").otherwise("single")
+    return history.groupBy(F.array_join("treatments", "+").alias("treatment"), kind.alias("kind")).agg(
+        F.count("*").alias("n_events"), F.count_distinct("person_id").alias("n_persons"), F.min(days).alias("min_days"), F.percentile(days, F.lit(0.5)).alias("median_days"),
+        F.avg(days).alias("mean_days"), F.max(days).alias("max_days"),
+    )
+
+
+def split_by_duration(events: DataFrame, number: int, cutoff: int, long_number: int) -> DataFrame:
+    """Events of one cohort that last cutoff days or more, renumbered as a cohort of their own."""
+    is_long = (F.col("cohort_definition_id") == number) & (F.datediff("cohort_end_date", "cohort_start_date") >= cutoff)
+    return events.withColumn("cohort_definition_id", F.when(is_long, F.lit(long_number).cast("long")).otherwise(F.col("cohort_definition_id")))
+
+
+def anchored(target: DataFrame, start: str = "start", start_days: int = 0, end: str = "end", end_days: int = 0) -> DataFrame:
+    """Target entries moved to a window around their start or end, in which treatments are looked for."""
+    at = {"start": F.col("cohort_start_date"), "end": F.col("cohort_end_date")}
+    d = target.withColumns({"_a": F.date_add(at[start], start_days), "_b": F.date_add(at[end], end_days)}).where("_a <= _b")
+    return d.withColumns({"cohort_start_date": F.col("_a"), "cohort_end_date": F.col("_b")}).drop("_a", "_b")
+
+
+def shortened(history: DataFrame, most: int) -> DataFrame:
+    """The first steps of each pathway."""
+    return history.where(F.col("sequence") <= most)

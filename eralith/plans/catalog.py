@@ -59,7 +59,8 @@ def with_tables(sql: str) -> str:
                 todo.append(every[n])
     order = [n for n in every if n in need]
     ctes = ", ".join(f"{n} AS ({every[n]})" for n in order)
-    return f"WITH {ctes} {sql}" if order else sql
+    own = sql[5:] if sql.startswith("WITH ") else ""
+    return f"WITH {ctes}, {own}" if own else f"WITH {ctes} {sql}" if order else sql
 
 
 def query(oracle: str | None = None, clinical: bool = True):
@@ -530,6 +531,30 @@ def definition_attrition(c):
     return de.generate(c, DEFINITION)[1].drop("reason_id")
 
 
+ERA_DEFINITION = {
+    "conceptSets": DEFINITION["ConceptSets"],
+    "primaryCriteria": {"criteriaList": [{"drugExposure": {"codesetId": 0}}], "observationWindow": {"priorDays": 0, "postDays": 0}, "primaryCriteriaLimit": {"type": "First"}},
+    "endStrategy": {"customEra": {"drugCodesetId": 0, "gapDays": 30, "offset": 5}},
+    "censorWindow": {"endDate": "2000-06-30"},
+}
+
+
+@query("WITH d AS (SELECT person_id, drug_exposure_start_date AS s, drug_exposure_end_date AS e FROM drug_exposure JOIN concept_ancestor ON descendant_concept_id = drug_concept_id AND ancestor_concept_id = 1000003), g AS (SELECT person_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(f) OVER (PARTITION BY person_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN max(e) OVER (PARTITION BY person_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 30 >= s THEN 0 ELSE 1 END AS f FROM d)) GROUP BY person_id, g) SELECT CAST(1 AS BIGINT) AS cohort_definition_id, t.subject_id, t.cohort_start_date, least(g.e + 5, t.cohort_end_date, DATE '2000-06-30') AS cohort_end_date FROM target t JOIN g ON g.person_id = t.subject_id AND t.cohort_start_date BETWEEN g.s AND g.e WHERE t.cohort_start_date <= DATE '2000-06-30'")
+def definition_era_exit(c):
+    return de.generate(c, ERA_DEFINITION)[0]
+
+
+@query()
+def definition_set(c):
+    return de.generate_set(c, {"era": ERA_DEFINITION, "offset": DEFINITION})[0]
+
+
+@query()
+def pathway_durations(c):
+    events = co.concept_cohort(c, {"a": [1000003], "b": [1000005], "c": [1000007]}, limit="all", end="event")
+    return pa.event_durations(pa.treatment_history(pa.anchored(target(c)), events, {1: "brand3", 2: "brand5", 3: "brand7"}, combination_window=5, filter_treatments="all"))
+
+
 @query("SELECT drug_concept_id, count(*) AS n_records, count(DISTINCT person_id) AS n_persons, CAST(min(date_diff('day', drug_exposure_start_date, drug_exposure_end_date) + 1) AS BIGINT) AS min_days, round(avg(date_diff('day', drug_exposure_start_date, drug_exposure_end_date) + 1), 6) AS mean_days, CAST(max(date_diff('day', drug_exposure_start_date, drug_exposure_end_date) + 1) AS BIGINT) AS max_days FROM drug_exposure GROUP BY 1")
 def diagnostics_durations(c):
     return longs(di.drug_durations(c["drug_exposure"]).drop("n_negative").withColumn("mean_days", F.round("mean_days", 6)), "min_days", "max_days")
