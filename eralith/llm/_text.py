@@ -155,3 +155,15 @@ def covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
 
 def lists(flat: pa.Array, lengths: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), flat)
+
+
+def gathered(key: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal keys of one text (of) brought together: (order, first place in order, number) of each group.
+
+    What a text repeats, however often, then goes through a shuffle as one row.
+    """
+    order = np.lexsort((key, of))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (of[order][1:] != of[order][:-1])
+    first = np.flatnonzero(new)
+    return order, first, np.diff(np.append(first, len(order)))

@@ -6,7 +6,7 @@ equal runs of ``anchor + period - 1`` words share an aligned anchor. Only where
 full windows (128-bit hashes) compared, which is the extension of the match to its exact ends.
 
 Shuffled are anchors (six of 31 positions), then the windows around shared anchors, then removed positions: all
-proportional to the input. Of equal texts the one with the least id speaks for all; a text of a window or more that
+proportional to the input. What a text repeats within itself travels once, with all its places. Of equal texts the one with the least id speaks for all; a text of a window or more that
 has an equal text with a smaller id goes as a whole. Groups are never collected: each is one sorted stream.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eralith.llm._spark import documents, id_filter, shared_runs, written
-from eralith.llm._text import Words, covered, lists, slices, spread, windows
+from eralith.llm._text import Words, covered, gathered, lists, slices, windows
 
 #: Period and cover: every difference modulo 31 is a difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -53,12 +53,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 of = np.searchsorted(w.first, start, "right") - 1
                 at = start - w.first[of]
                 use = in_cover[at % PERIOD] & long[of]
-                of = of[use] + t.first
-                yield pa.record_batch([pa.array(h[use].view(np.int64)), sig[of], doc[of], pa.array(at[use].astype(np.int32))], names=["h", "sig", "doc", "at"])
+                h, of, at = h[use].view(np.int64), of[use], at[use].astype(np.int32)
+                order, first, n = gathered(h, of)
+                of = of[order[first]] + t.first
+                yield pa.record_batch([pa.array(h[order[first]]), sig[of], doc[of], lists(pa.array(at[order]), n)], names=["h", "sig", "doc", "at"])
 
-    found = d.mapInArrow(anchors, "h long, sig long, doc long, at int")
-    refs = shared_runs(found, ["h"], ["at"], "doc long, sig long, at int", between_texts=True)
-    refs = written(refs.groupBy("doc", "sig").agg(F.array_sort(F.collect_list("at")).alias("at")))
+    found = d.mapInArrow(anchors, "h long, sig long, doc long, at array<int>")
+    refs = shared_runs(found, ["h"], ["at"], "doc long, sig long, at array<int>", between_texts=True)
+    refs = written(refs.groupBy("doc", "sig").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at")))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,18 +80,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if not len(start):
                     continue
                 of = np.searchsorted(w.first, start, "right") - 1
-                local = pa.array((start - w.first[of]).astype(np.int32))
-                both = []
-                for which in (0, 1):
-                    _, h = windows(w.hashes(which), np.array([0, len(w.start)]), window)
-                    both.append(pa.array(h[start].view(np.int64)))
-                of += t.first
-                yield pa.record_batch([*both, sig[of], doc[of], local], names=["h", "h2", "sig", "doc", "at"])
+                local = (start - w.first[of]).astype(np.int32)
+                h, h2 = (windows(w.hashes(which), np.array([0, len(w.start)]), window)[1][start].view(np.int64) for which in (0, 1))
+                order, first, n = gathered(h, of)
+                lead = order[first]
+                of = of[lead] + t.first
+                yield pa.record_batch([pa.array(h[lead]), pa.array(h2[lead]), sig[of], doc[of], lists(pa.array(local[order]), n)], names=["h", "h2", "sig", "doc", "at"])
 
     near = id_filter(refs, "doc")
     dense = (
         d.where(near(F.col("doc"))).join(refs, ["doc", "sig"]).select("doc", "sig", "text", "at")
-        .mapInArrow(around, "h long, h2 long, sig long, doc long, at int")
+        .mapInArrow(around, "h long, h2 long, sig long, doc long, at array<int>")
     )
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +109,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             last, least = (h[-1], h2[-1]), first[-1]
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(doc > first)) for c in ("doc", "sig", "at")], names=["doc", "sig", "at"])
 
-    removed = dense.repartition("h", "h2").sortWithinPartitions("h", "h2", "doc").mapInArrow(later, "doc long, sig long, at int")
-    removed = removed.groupBy("doc", "sig").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    removed = dense.repartition("h", "h2").sortWithinPartitions("h", "h2", "doc").mapInArrow(later, "doc long, sig long, at array<int>")
+    removed = removed.groupBy("doc", "sig").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
     # equal texts: all but those with the least id go as a whole, if they hold a window
     sigs = d.select("doc", "sig", F.xxhash64(F.lit(1), F.col("text")).alias("sig2"))
     equal = sigs.groupBy("sig", "sig2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
