@@ -19,6 +19,7 @@ from eralith.operators import definition as de
 from eralith.operators import diagnostics as di
 from eralith.operators import dose as do
 from eralith.operators import drug as dr
+from eralith.operators import drug_checks as dc
 from eralith.operators import enrich as en
 from eralith.operators import incidence as ic
 from eralith.operators import pathways as pa
@@ -565,6 +566,30 @@ def diagnostics_missing(c):
     return di.drug_missing(c["drug_exposure"].select("quantity", "route")).drop("share")
 
 
+_RECORDS = "(SELECT a.ancestor_concept_id AS ingredient_concept_id, d.* FROM drug_exposure d JOIN concept_ancestor a ON a.descendant_concept_id = drug_concept_id AND a.ancestor_concept_id IN (1000001, 1000002))"
+
+
+@query(f"SELECT ingredient_concept_id, count(*) AS n_total, count(DISTINCT person_id) AS n_persons FROM {_RECORDS} GROUP BY 1")
+def diagnostics_summary(c):
+    return dc.execute_checks(c, [1000001, 1000002], ["summary"], sample=None)["summary"].drop("n_sample")
+
+
+@query(f"SELECT ingredient_concept_id, route AS category, CASE WHEN count(*) >= 5 THEN count(*) END AS n_records, CASE WHEN count(DISTINCT person_id) >= 5 THEN count(DISTINCT person_id) END AS n_persons FROM {_RECORDS} GROUP BY 1, 2")
+def diagnostics_route(c):
+    return dc.execute_checks(c, [1000001, 1000002], ["route"], sample=None)["route"]
+
+
+@query(f"SELECT ingredient_concept_id, count(*) AS n_records, CAST(min(quantity) AS DOUBLE) AS min, CAST(quantile_cont(quantity, 0.25) AS DOUBLE) AS q25, CAST(quantile_cont(quantity, 0.5) AS DOUBLE) AS q50, CAST(max(quantity) AS DOUBLE) AS max, round(avg(quantity), 6) AS mean FROM {_RECORDS} GROUP BY 1")
+def diagnostics_quantity(c):
+    d = dc.execute_checks(c, [1000001, 1000002], ["quantity"], sample=None)["quantity"]
+    return d.select("ingredient_concept_id", "n_records", "min", "q25", "q50", "max", F.round("mean", 6).alias("mean"))
+
+
+@query()
+def diagnostics_sampled_missing(c):
+    return dc.execute_checks(c, [1000001, 1000002], ["missing"], sample=50)["missing"]
+
+
 @query()
 def diagnostics_days_between(c):
     return di.drug_days_between(c["drug_exposure"])
