@@ -25,10 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/eralith/{spark.sparkContext.applicationId}"
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written, once its results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, read from a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/eralith/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -76,7 +86,8 @@ def shared_runs(
     """Rows of (keys..., sig, doc, columns...) whose keys also stand elsewhere.
 
     Of equal texts (sig) the one with the least doc speaks for all; so a key counts as shared if two different
-    texts have it (between_texts), or if it stands at two places of those least documents. One sort for each
+    texts have it (between_texts), or if it stands at two places of those least documents (a row may stand for n places,
+    if n is among the columns). One sort for each
     partition; a task reads its rows as a stream and holds no more than the rows of one text for one key, so a
     key that stands in a third of all rows needs no more memory than others. aggregate: (doc, sig, n) counts.
     """
@@ -108,7 +119,8 @@ def shared_runs(
             speaks = doc == least
             run = np.cumsum(new)  # 0: the run that goes on
             n_runs = int(run[-1]) + 1
-            amount = np.bincount(run, weights=new_sub if between_texts else speaks, minlength=n_runs)
+            weight = new_sub if between_texts else speaks * np.asarray(table["n"]) if "n" in columns else speaks
+            amount = np.bincount(run, weights=weight, minlength=n_runs)
             if goes_on:
                 amount[0] += rows
             is_shared = amount >= 2

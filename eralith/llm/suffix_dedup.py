@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eralith.llm._spark import documents, id_filter, shared_runs, written
-from eralith.llm._text import Texts, combine, covered, mix, rolling_bytes, slices, spread
+from eralith.llm._text import Texts, combine, covered, gathered, lists, mix, rolling_bytes, slices, spread
 
 #: Bytes that decide on a point; one in so many positions is a point.
 CONTEXT, EVERY = 16, 64
@@ -127,17 +127,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 base = np.repeat(t.offsets[:-1], np.diff(ends[t.first : t.first + t.n + 1]))
                 start = spread(base + (r >> 12), r & _MOST)
                 of = np.searchsorted(t.offsets, start, "right") - 1
-                digits = (rolling_bytes(t.data, k).ranges(start, start + length).view(np.int64) for k in (0, 1))
-                local = pa.array(start - t.offsets[of])
-                of += t.first
-                yield pa.record_batch([*map(pa.array, digits), sig[of], doc[of], local], names=["h", "h2", "sig", "doc", "at"])
+                h, h2 = (rolling_bytes(t.data, k).ranges(start, start + length).view(np.int64) for k in (0, 1))
+                local = start - t.offsets[of]
+                order, first, n = gathered(h, of)
+                lead = order[first]
+                of = of[lead] + t.first
+                yield pa.record_batch([pa.array(h[lead]), pa.array(h2[lead]), sig[of], doc[of], pa.array(n), lists(pa.array(local[order]), n)], names=["h", "h2", "sig", "doc", "n", "at"])
 
     near = id_filter(open_, "doc")
     every = (
         d.where(near(F.col("doc"))).join(open_, ["doc", "sig"]).select("doc", "sig", "text", "ref")
-        .mapInArrow(every_suffix, "h long, h2 long, sig long, doc long, at long")
+        .mapInArrow(every_suffix, "h long, h2 long, sig long, doc long, n long, at array<long>")
     )
-    equal_suffixes = shared_runs(every, ["h", "h2"], ["at"], "doc long, sig long, at long", between_texts=False)
+    equal_suffixes = shared_runs(every, ["h", "h2"], ["n", "at"], "doc long, sig long, n long, at array<long>", between_texts=False)
+    equal_suffixes = equal_suffixes.select("doc", "sig", F.explode("at").alias("at"))
     settled = refs.select("doc", "sig", F.explode("ref").alias("r")).where("r % 2 = 1")
     settled = settled.select("doc", "sig", F.expr("shiftright(r, 13)").alias("at"), F.expr(f"shiftright(r, 13) + (shiftright(r, 1) & {_MOST}) + {length - 1}").alias("to"))
     spans = settled.unionByName(equal_suffixes.select("doc", "sig", "at", (F.col("at") + length).alias("to")))
