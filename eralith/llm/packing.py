@@ -79,7 +79,8 @@ def best_fit_packing(
                 take = pa.array(row + t.first)
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)).take(take) for c in ("doc_id", "source", "cluster")), *(pa.array(x.astype(np.int64)) for x in (piece, piece * (capacity - 1), size))], names=["doc_id", "source", "cluster", "piece", "start", "n_tokens"])
 
-    pieces = written(d.mapInArrow(measure, "doc_id long, source long, cluster long, piece long, start long, n_tokens long"))
+    pieces = d.mapInArrow(measure, "doc_id long, source long, cluster long, piece long, start long, n_tokens long")
+    pieces = written(pieces.withColumn("serial", F.monotonically_increasing_id()))
     groups = max(1, round(pieces.count() / group_pieces))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -90,6 +91,11 @@ def best_fit_packing(
         return pdf[["doc_id", "piece", "start", "n_tokens", "bin_group", "bin", "residual"]]
 
     dealt = pieces.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    # an id that stands in very many rows fills its group: such groups are dealt out anew by the written row's number
+    large = dealt.groupBy("bin_group").agg(F.count("*").alias("n")).where(F.col("n") > 4 * group_pieces)
+    if not large.isEmpty():
+        part = F.pmod(F.xxhash64("serial"), F.ceil(F.col("n") / group_pieces)) + 1
+        dealt = dealt.join(large, "bin_group", "left").withColumn("bin_group", F.col("bin_group") + groups * F.coalesce(part, F.lit(0)))
     return dealt.groupBy("bin_group").applyInPandas(pack, "doc_id long, piece long, start long, n_tokens long, bin_group long, bin long, residual long")
 
 

@@ -297,6 +297,16 @@ def test_packing(spark, sf_dir, rows):
         assert max(Counter(source[r["doc_id"]] for r in b).values()) <= 4
 
 
+def test_packing_splits_large_groups(spark):
+    from eralith.llm.packing import best_fit_packing
+
+    docs = spark.createDataFrame([(1, f"a b c {i % 50}", "s") for i in range(900)] + [(i, "x y", "t") for i in range(2, 100)], "doc_id long, text string, source string")
+    got = best_fit_packing(docs, capacity=16, group_pieces=64).collect()
+    groups = Counter(r.bin_group for r in got)
+    assert len(got) == 998 and max(groups.values()) < 260
+    assert all(r.residual >= 0 for r in got)
+
+
 def test_best_fit_is_tightest():
     import random
 
