@@ -21,6 +21,8 @@ from eralith.llm._text import Words, covered, mix, slices, windows
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
+#: Languages and sources whose fences may be broadcast (under 10 MB); more of them are joined.
+MOST_BROADCAST = 100_000
 #: measure -> (expression, least fence): what no group's fence goes below, so that groups with next to no spread
 #: don't reject on a trace.
 MEASURES = {
@@ -108,7 +110,9 @@ def quality_rules(
         .join(rename(fences(merged()), "c").withColumn("one", F.lit(1)), "one", "left")
         .select("g0", "g1", *(F.coalesce(f"a_{x}", f"b_{x}", f"c_{x}", F.lit(MEASURES[x[6:]][1])).alias(x) for x in wide))
     )
-    out = c.join(table, ["g0", "g1"])
+    # a source may hold a third of all rows, so the fences go to the rows where they are few
+    table = written(table)
+    out = c.join(F.broadcast(table) if table.count() <= MOST_BROADCAST else table, ["g0", "g1"])
     reasons = F.array_compact(F.array(F.when(F.col("base_failed"), F.lit("base")), *(F.when(F.col(m) > F.col(f"fence_{m}"), F.lit(m)) for m in MEASURES)))
     return out.withColumn("reasons", reasons).select("doc_id", *_COUNTS, "base_failed", (F.size("reasons") == 0).alias("kept"), "reasons")
 
