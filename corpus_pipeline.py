@@ -16,12 +16,6 @@ from eralith.llm.secret_scan import secret_scan
 from eralith.llm.substring_dedup import substring_dedup
 
 
-def _with(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Rows of docs joined with one row per id of verdict, under names that cannot clash."""
-    v = verdict.withColumnsRenamed({c: f"__{c}" for c in verdict.columns})
-    return docs.join(v, docs["doc_id"] == v["__doc_id"])
-
-
 def _refilled(docs: DataFrame, text: Column) -> list[Column]:
     """The columns of docs with another text, and n_chars counted anew where there is one."""
     new = {"text": text, "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "bigint"))}
@@ -38,7 +32,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, the least id, of each group linked by 5-word shingles at a similarity of 0.8 (4)."""
     groups = jaccard_components(docs, k=5, percent=80)
     others = groups.where("component_id != doc_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
+    kept = docs.where("doc_id is not null").join(others, "doc_id", "left_anti").select(docs.columns)
+    # rows of one id are one document; texts are shuffled for that only where ids do repeat
+    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +52,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every secret span replaced by <secret> (8)."""
     found, _ = secret_scan(docs)
-    both = _with(docs, found.where(F.size("spans") > 0).select("doc_id", "spans").dropDuplicates(["doc_id"]))
+    v = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__doc_id"), F.col("spans").alias("__spans")).dropDuplicates(["__doc_id"])
+    both = docs.join(v, docs["doc_id"] == v["__doc_id"], "left")
     # spans may overlap: each piece of text runs from the furthest end so far to the next start
     walked = F.aggregate(
         "__spans",
@@ -66,8 +64,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(docs["text"], acc["at"] + 1, F.length(docs["text"]))),
     )
-    clean = docs.join(both.select(F.col("__doc_id").alias("doc_id")), "doc_id", "left_anti").select(docs.columns)
-    return clean.unionByName(both.select(_refilled(docs, walked)))
+    return both.select(_refilled(docs, F.when(F.col("__spans").isNull(), docs["text"]).otherwise(walked)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
