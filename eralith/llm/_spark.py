@@ -66,10 +66,10 @@ def id_filter(ids: DataFrame, key: str) -> Callable[[Column], Column]:
         ids.select(at.alias("b"))
         .groupBy(F.shiftright("b", 6).cast("int").alias("w"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("m"))
-        .toPandas()
+        .toArrow()
     )
     table = np.zeros(bits >> 6, np.int64)
-    table[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
+    table[words["w"].to_numpy()] = words["m"].to_numpy()
     shared = ids.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
