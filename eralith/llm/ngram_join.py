@@ -95,8 +95,10 @@ def jaccard_components(
     elsewhere = shared_runs(d.mapInArrow(tokens, "h long, sig long, doc long"), ["h"], [], "doc long, sig long, n long", between_texts=True, aggregate=True)
     elsewhere = elsewhere.groupBy("sig").agg(F.sum("n").alias("m"))
     allowed = F.col("n") - F.expr(f"({percent} * n + 99) div 100")
-    # a small set may have no shingle in the quarter at all
-    some = classes.join(elsewhere, "sig", "left").where((F.col("n_sub") - F.coalesce("m", F.lit(0)) <= allowed) & (allowed > 0))
+    # a small set may have no shingle in the quarter at all; one that is inside a larger set misses none (allowed = 0).
+    # A partner holds at least one shingle more or less, so sets with 100 * n < percent * (n + 1) link with equals alone
+    linkable = F.col("n") * 100 >= (F.col("n") + 1) * percent
+    some = classes.join(elsewhere, "sig", "left").where((F.col("n_sub") - F.coalesce("m", F.lit(0)) <= allowed) & linkable)
     alive = written(some.select(F.col("least").alias("doc"), "n", "sig"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

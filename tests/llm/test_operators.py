@@ -143,6 +143,20 @@ def test_ngram_join(spark, sf_dir, rows):
     same(run(spark, sf_dir, 4), [{"doc_id": d, "n_shingles": len(sets[d]), "component_id": root[d]} for d, *_ in rows])
 
 
+@pytest.mark.parametrize("k, percent", [(4, 85), (5, 80), (1, 50), (2, 100)])
+def test_ngram_join_contained(spark, k, percent):
+    """Short sets that lie whole in one of a shingle more: the same components as by brute force."""
+    from eralith.llm.ngram_join import jaccard_components
+
+    docs = [(100 * n + j, " ".join(f"v{n}x{i}" for i in range(n + j))) for n in range(1, 13) for j in range(2)]
+    docs += [(5000 + n, " ".join(f"v{n}x{i}" for i in range(n)) + " w") for n in range(1, 13)]
+    sets = {d: shingles(t, k) for d, t in docs}
+    want = components(sets, percent)
+    assert (k, percent) != (4, 85) or want[901] == 900
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), k=k, percent=percent).collect()}
+    assert got == want
+
+
 def test_ngram_join_large_groups(spark, monkeypatch):
     """Chains of near copies beyond a block and a short list: the same components as by brute force."""
     import random
