@@ -23,13 +23,14 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 #: Languages and sources whose fences may be broadcast (under 10 MB); more of them are joined.
 MOST_BROADCAST = 100_000
-#: measure -> (expression, least fence): what no group's fence goes below, so that groups with next to no spread
-#: don't reject on a trace.
+#: measure -> (count, what it is a share of, slack): a text goes if its count exceeds the fence's share by more than
+#: slack, so that groups with next to no spread don't reject on a trace: two pairs of symbols, one repeated line, two
+#: phrases of five words that come twice, one long word. No fence has a fixed share.
 MEASURES = {
-    "symbol_share": ("n_symbols / word_chars", 0.05),
-    "dup_line_share": ("n_dup_lines / n_lines", 0.5),
-    "repeat_share": ("n_repeat_words / n_words", 0.2),
-    "word_length": ("word_chars / n_words", 12.0),
+    "symbol_share": ("n_symbols", "word_chars", 4),
+    "dup_line_share": ("n_dup_lines", "n_lines", 1),
+    "repeat_share": ("n_repeat_words", "n_words", 20),
+    "word_length": ("word_chars", "n_words", 40),
 }
 
 
@@ -74,7 +75,7 @@ def quality_rules(
     """(doc_id, counts..., base_failed, kept, reasons): one row per row of docs that has an id.
 
     Fence of a measure: upper quartile + width * interquartile range of the texts of its language and source, never
-    below 1.5 upper quartiles nor below its least fence in MEASURES. Groups of fewer than least_group texts take their language's, then all texts'.
+    below 1.5 upper quartiles; a text may exceed it by the slack in MEASURES, which is a count. Groups of fewer than least_group texts take their language's, then all texts'.
     Null language or source: a group of its own. Texts without words fail the base rules (fewer than 10 words); they
     and others that fail them count in no sketch. Rows without an id are left out.
     """
@@ -85,19 +86,19 @@ def quality_rules(
         *_COUNTS,
         F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words").alias("base_failed"),
     )
-    c = written(c.withColumns({m: F.expr(f"if(n_words > 0, cast({e} as double), 0d)") for m, (e, _) in MEASURES.items()}))
+    c = written(c.withColumns({m: F.expr(f"if(n_words > 0, cast({n} / {of} as double), 0d)") for m, (n, of, _) in MEASURES.items()}))
     sketches = c.where("not base_failed").groupBy("g0", "g1").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(m, F.lit(400)).alias(m) for m in MEASURES))
     sketches = written(sketches)
 
     def merged(*keys: str) -> DataFrame:
         return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in MEASURES))
 
-    def fence(m: str, least: float) -> F.Column:
+    def fence(m: str) -> F.Column:
         q1, q3 = (F.kll_sketch_get_quantile_double(m, F.lit(q)) for q in (0.25, 0.75))
-        return F.greatest(F.lit(least), q3 * 1.5, q3 + width * (q3 - q1)).alias(f"fence_{m}")
+        return F.greatest(q3 * 1.5, q3 + width * (q3 - q1)).alias(f"fence_{m}")
 
     def fences(sk: DataFrame, *keys: str) -> DataFrame:
-        return sk.where(F.col("n") >= (least_group if keys else 1)).select(*keys, *(fence(m, least) for m, (_, least) in MEASURES.items()))
+        return sk.where(F.col("n") >= (least_group if keys else 1)).select(*keys, *(fence(m) for m in MEASURES))
 
     groups = c.select("g0", "g1").distinct()
     wide = [f"fence_{m}" for m in MEASURES]
@@ -108,12 +109,12 @@ def quality_rules(
         .join(rename(fences(merged("g0"), "g0"), "b"), ["g0"], "left")
         .withColumn("one", F.lit(1))
         .join(rename(fences(merged()), "c").withColumn("one", F.lit(1)), "one", "left")
-        .select("g0", "g1", *(F.coalesce(f"a_{x}", f"b_{x}", f"c_{x}", F.lit(MEASURES[x[6:]][1])).alias(x) for x in wide))
+        .select("g0", "g1", *(F.coalesce(f"a_{x}", f"b_{x}", f"c_{x}").alias(x) for x in wide))  # null: all texts fail the base rules
     )
     # a source may hold a third of all rows, so the fences go to the rows where they are few
     table = written(table)
     out = c.join(F.broadcast(table) if table.count() <= MOST_BROADCAST else table, ["g0", "g1"])
-    reasons = F.array_compact(F.array(F.when(F.col("base_failed"), F.lit("base")), *(F.when(F.col(m) > F.col(f"fence_{m}"), F.lit(m)) for m in MEASURES)))
+    reasons = F.array_compact(F.array(F.when(F.col("base_failed"), F.lit("base")), *(F.when(F.col(n) > F.col(f"fence_{m}") * F.col(of) + slack, F.lit(m)) for m, (n, of, slack) in MEASURES.items())))
     return out.withColumn("reasons", reasons).select("doc_id", *_COUNTS, "base_failed", (F.size("reasons") == 0).alias("kept"), "reasons")
 
 

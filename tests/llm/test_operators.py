@@ -274,6 +274,22 @@ def test_quality_adapts(spark):
     assert not kept.pop(5000) and all(kept.values())
 
 
+def test_quality_fences_follow_groups(spark):
+    """Where texts of a source never repeat lines or phrases, a text that does so goes, however low the share; a trace stays."""
+    from eralith.llm.quality_rules import quality_rules
+
+    line = lambda d, i: " ".join(f"w{d}x{i}x{j}" for j in range(4))
+    text = lambda d, n: "\n".join(line(d, i) for i in range(n))
+    half = "\n".join(x for i in range(49) for x in ([line(1000, i)] if i else [line(1000, 0)] * 48))
+    phrases = text(2000, 100) + "\n" + text(2000, 8)
+    one = text(3000, 60) + "\n" + line(3000, 0)
+    docs = [(d, text(d, 50), "en", "prose") for d in range(600)] + [(1000, half, "en", "prose"), (2000, phrases, "en", "prose"), (3000, one, "en", "prose")]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert 0.4 < got[1000].n_dup_lines / got[1000].n_lines < 0.5 and "dup_line_share" in got[1000].reasons
+    assert not got[2000].base_failed and "repeat_share" in got[2000].reasons
+    assert got[3000].kept and all(got[d].kept for d in range(600))
+
+
 def test_secret_scan(spark, sf_dir, rows):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     want = []
