@@ -603,6 +603,15 @@ def result_suppressed_tidy(c):
     return re_.pivot_estimates(re_.tidy(long, ["region"], ["sex"]), ["count"]).select("result_id", "region", "sex", "count")
 
 
+@query("SELECT CAST(1 AS BIGINT) AS result_id, region, sex, birth_year, CASE WHEN n < 8 THEN '-' ELSE CAST(n AS VARCHAR) END AS count FROM (SELECT region, CASE WHEN gender_concept_id = 8507 THEN 'Male' ELSE 'Female' END AS sex, CAST(year_of_birth AS VARCHAR) AS birth_year, count(*) AS n FROM target JOIN person ON person_id = subject_id JOIN location USING (location_id) GROUP BY 1, 2, 3)")
+def result_suppressed_strata(c):
+    p = c["person"].select(F.col("person_id").alias("subject_id"), "location_id", F.col("year_of_birth").cast("string").alias("birth_year"))
+    d = en.add_demographics(c, target(c)).join(p, "subject_id").join(c["location"], "location_id")
+    counts = d.groupBy("region", "sex", "birth_year").agg(F.count("*").alias("count"))
+    long = re_.suppress(re_.melt(counts, ["region"], ["sex", "birth_year"], "Number records", {"count": "integer"}), 8)
+    return re_.pivot_estimates(re_.tidy(long, ["region"], ["sex", "birth_year"]), ["count"]).select("result_id", "region", "sex", "birth_year", "count")
+
+
 def _outcomes(c):
     kind = F.create_map(*(F.lit(x) for kv in {3000001: "LB", 3000002: "SA", 3000003: "DELIV"}.items() for x in kv))
     return c["condition_occurrence"].select("person_id", F.col("condition_start_date").alias("record_date"), kind[F.col("condition_concept_id").cast("int")].alias("category"))

@@ -49,3 +49,14 @@ def test_query(spark, name):
 @needs_data
 def test_entry(spark):
     assert entry.entry(spark).count() == 2 and set(catalog.ORACLE_SQL) <= set(entry.queries())
+
+
+@needs_data
+def test_suppression_counts_the_whole_cohort(spark):
+    """Some cells are shown and some suppressed, and no subject is left out before cells are counted."""
+    from eralith.sources.clinical import project
+
+    rows = catalog.QUERIES["result_suppressed_strata"](spark, str(SF)).collect()
+    shown, hidden = [int(r["count"]) for r in rows if r["count"] != "-"], sum(r["count"] == "-" for r in rows)
+    n = catalog.target(project(spark, str(SF))).count()
+    assert hidden and sum(shown) + hidden <= n <= sum(shown) + 7 * hidden
