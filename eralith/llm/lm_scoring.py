@@ -96,6 +96,15 @@ def _ask(order: int, shards: int):
     return ask
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as 32-bit integers, or all as 64-bit ones where the greatest needs them."""
+    return counts.astype("<u4" if counts.max(initial=0) < 1 << 32 else "<u8").tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u8" if len(raw) == 8 * n else "<u4").astype(np.int64)
+
+
 def _answer(table: pa.Table) -> pa.Table:
     """Sums of one shard and order, for each block in the order of its keys; and how many keys have each small count."""
     keys = [np.frombuffer(x.as_py(), "<u8") for x in table["keys"]]
@@ -103,7 +112,7 @@ def _answer(table: pa.Table) -> pa.Table:
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts))
     cut = np.cumsum([0, *map(len, keys)])
-    answers = [total[at[a:b]].astype("<u4").tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+    answers = [_packed(total[at[a:b]]) for a, b in zip(cut, cut[1:], strict=False)]
     facts = [total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()]
     m = table.num_rows
     first = [None] * (m - 1)
@@ -186,7 +195,8 @@ def lm_scores(
         shard = [(k % np.uint64(shards)).astype(np.int64) for k in block.keys]
         for r in rows:
             if r["kind"]:
-                found[r["n"] - 1][shard[r["n"] - 1] == r["shard"]] = np.frombuffer(r["counts"], "<u4")
+                mine = shard[r["n"] - 1] == r["shard"]
+                found[r["n"] - 1][mine] = _unpacked(r["counts"], np.count_nonzero(mine))
         c = found[0].astype(float)
         base = np.log10((c + 1) / (total + known + 1))
         p = np.where(c > 0, (c - discount) / total, discount * known / total) if total else np.ones(len(c))

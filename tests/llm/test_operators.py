@@ -86,6 +86,24 @@ def test_lm_orders(spark, sf_dir, rows, order):
     assert prefix.count() == 5
 
 
+def test_lm_counts_beyond_32_bits():
+    """Blocks whose counts add up to more than 2^32 - 1 get the exact sum; others keep the short form."""
+    import numpy as np
+    import pyarrow as pa
+
+    from eralith.llm import lm_scoring
+
+    keys, counts = [np.array(x, "<u8") for x in ([5, 9], [5], [9])], [np.array(x, "<u4") for x in ([4_000_000_000, 3], [4_000_000_000], [4])]
+    table = pa.table({
+        "shard": [0] * 3, "block": [1, 2, 3], "n": [1] * 3,
+        "keys": pa.array([x.tobytes() for x in keys], pa.binary()), "counts": pa.array([x.tobytes() for x in counts], pa.binary()),
+    })
+    out = lm_scoring._answer(table).to_pylist()
+    assert [np.frombuffer(r["counts"], t).tolist() for r, t in zip(out, ("<u8", "<u8", "<u4"), strict=True)] == [[8_000_000_000, 7], [8_000_000_000], [7]]
+    assert [lm_scoring._unpacked(r["counts"], len(k)).tolist() for r, k in zip(out, keys, strict=True)] == [[8_000_000_000, 7], [8_000_000_000], [7]]
+    assert out[0]["facts"][0] == 8_000_000_007
+
+
 def test_fingerprint(spark, sf_dir, rows):
     ids = sorted({d for d, *_ in rows})
     text = dict((d, t) for d, t, *_ in rows)
