@@ -16,19 +16,45 @@ from eralith.sources.clinical import Clinical
 CRITERIA = {"DrugExposure": "drug", "ConditionOccurrence": "condition", "VisitOccurrence": "visit"}
 
 
+#: Part of a definition -> keys that are applied, and those that change no result. Any other key that is set raises.
+_APPLIED = {
+    "definition": "ConceptSets PrimaryCriteria AdditionalCriteria InclusionRules QualifiedLimit ExpressionLimit EndStrategy CensoringCriteria CensorWindow CollapseSettings Title CdmVersionRange Name name Description Id id",
+    "PrimaryCriteria": "CriteriaList ObservationWindow PrimaryCriteriaLimit",
+    "concept set item": "concept isExcluded includeDescendants",
+    "criterion": "CodesetId First Age Gender OccurrenceStartDate",
+    "correlated criterion": "Criteria StartWindow EndWindow Occurrence",
+    "window": "Start End",
+    "occurrence": "Type Count IsDistinct",
+    "group": "Type Count CriteriaList DemographicCriteriaList Groups",
+    "demographic criterion": "Age Gender",
+    "end strategy": "DateOffset CustomEra",
+    "custom era": "DrugCodesetId GapDays Offset",
+}
+
+
+def _only(part: str, x: Mapping | None) -> Mapping:
+    """x, if it sets no key that would be ignored; false, null and empty values set nothing."""
+    more = sorted(k for k, v in (x or {}).items() if k not in _APPLIED[part].split() and v not in (None, False, [], {}, ""))
+    if more:
+        raise ValueError(f"not supported in a {part}: {', '.join(more)}")
+    return x or {}
+
+
 def _codes(c: Clinical, definition: Mapping) -> DataFrame:
     spark = c["person"].sparkSession
     rows = [
         (str(s["id"]), int(i["concept"]["CONCEPT_ID"]), bool(i.get("includeDescendants")), bool(i.get("isExcluded")))
-        for s in definition["ConceptSets"] for i in s["expression"]["items"]
+        for s in definition["ConceptSets"] for i in (_only("concept set item", i) for i in s["expression"]["items"])
     ]
     return closure(spark.createDataFrame(rows, "name string, concept_id long, include_descendants boolean, is_excluded boolean"), c["concept_ancestor"])
 
 
 def _criterion(c: Clinical, codes: DataFrame, item: Mapping) -> DataFrame:
     """(person_id, start_date, end_date) of one domain criterion, with its age, sex and first filters."""
-    kind = next(k for k in item if k in CRITERIA)
-    spec = item[kind]
+    if len(item) != 1 or not item.keys() <= CRITERIA.keys():
+        raise ValueError(f"not one supported criterion: {', '.join(item)}")
+    (kind,) = item
+    spec = _only("criterion", item[kind])
     e = c.events(CRITERIA[kind])
     if "CodesetId" in spec:
         e = e.join(codes.where(F.col("name") == str(spec["CodesetId"])).select("concept_id"), "concept_id", "left_semi")
@@ -62,8 +88,10 @@ def _bound(side: Mapping | None, index: Column) -> Column | None:
 
 def _met(c: Clinical, codes: DataFrame, events: DataFrame, item: Mapping) -> DataFrame:
     """Ids of events for which a correlated criterion has the wanted number of occurrences; zero counts too."""
+    _only("correlated criterion", item)
     e = _criterion(c, codes, item["Criteria"]).select(F.col("person_id").alias("_p"), F.col("start_date").alias("_s"), F.col("end_date").alias("_e"))
-    window = item.get("StartWindow", {})
+    window = _only("window", item.get("StartWindow"))
+    _only("window", item.get("EndWindow"))
     on = (F.col("person_id") == F.col("_p")) & (F.col("_s") >= F.col("o_start")) & (F.col("_s") <= F.col("o_end"))
     lo, hi = (_bound(window.get(k), F.col("start_date")) for k in ("Start", "End"))
     on = on & (F.col("_s") >= lo) if lo is not None else on
@@ -72,7 +100,7 @@ def _met(c: Clinical, codes: DataFrame, events: DataFrame, item: Mapping) -> Dat
         lo, hi = (_bound(item["EndWindow"].get(k), F.col("start_date")) for k in ("Start", "End"))
         on = on & (F.col("_e") >= lo) if lo is not None else on
         on = on & (F.col("_e") <= hi) if hi is not None else on
-    occurs = item.get("Occurrence", {"Type": 2, "Count": 1})
+    occurs = _only("occurrence", item.get("Occurrence", {"Type": 2, "Count": 1}))
     n = F.count_distinct("_s") if occurs.get("IsDistinct") else F.count("_p")
     found = events.join(e, on, "left").groupBy("event_id").agg(n.alias("n"))
     want = int(occurs.get("Count", 1))
@@ -81,8 +109,10 @@ def _met(c: Clinical, codes: DataFrame, events: DataFrame, item: Mapping) -> Dat
 
 def _group(c: Clinical, codes: DataFrame, events: DataFrame, group: Mapping) -> DataFrame:
     """Ids of events that meet a criteria group: one count of met members per event decides for every type."""
+    _only("group", group)
     members = [_met(c, codes, events, i) for i in group.get("CriteriaList", [])] + [_group(c, codes, events, g) for g in group.get("Groups", [])]
     for d in group.get("DemographicCriteriaList", []):
+        _only("demographic criterion", d)
         p = events.join(c["person"].select("person_id", "gender_concept_id", "year_of_birth"), "person_id")
         if "Age" in d:
             p = p.where(_compare(F.year("start_date") - F.col("year_of_birth"), d["Age"]))
@@ -144,8 +174,9 @@ def read_definitions(folder: str) -> dict[str, Mapping]:
 def generate(c: Clinical, definition: str | Mapping, number: int = 1) -> tuple[DataFrame, DataFrame]:
     """(cohort, attrition) of a definition. attrition: (reason, number_records, number_subjects), in the order of reasons."""
     d = pascal(json.loads(definition) if isinstance(definition, str) else definition)
+    _only("definition", d)
     codes = _codes(c, d)
-    primary = d["PrimaryCriteria"]
+    primary = _only("PrimaryCriteria", d["PrimaryCriteria"])
     events = reduce(DataFrame.unionByName, [_criterion(c, codes, i) for i in primary["CriteriaList"]]).distinct()
     op = c["observation_period"].select("person_id", F.col("observation_period_start_date").alias("o_start"), F.col("observation_period_end_date").alias("o_end"))
     w = primary.get("ObservationWindow", {})
@@ -160,7 +191,8 @@ def generate(c: Clinical, definition: str | Mapping, number: int = 1) -> tuple[D
         events = events.join(_group(c, codes, events, rule["expression"]), "event_id", "left_semi")
         steps.append((rule.get("name", "rule"), events))
     events = _limited(events, d.get("ExpressionLimit"))
-    strategy = d.get("EndStrategy") or {}
+    strategy = _only("end strategy", d.get("EndStrategy"))
+    _only("custom era", strategy.get("CustomEra"))
     exit_ = strategy.get("DateOffset")
     if not exit_ and "CustomEra" in strategy:
         events = _with_era_end(c, codes, events, strategy["CustomEra"])

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from eralith.functions import kernels as k
@@ -145,3 +146,33 @@ def test_dose_patterns(spark):
     s = spark.createDataFrame(rows, "drug_concept_id long, amount_value double, amount_unit_concept_id int, numerator_value double, numerator_unit_concept_id int, denominator_value double, denominator_unit_concept_id int")
     got = {r.drug_concept_id: r.pattern_id for r in do.strength_patterns(s).collect()}
     assert got == {1: 9, 2: 2, 3: 5, 4: 18, 5: None, 6: None}
+
+
+@pytest.mark.parametrize("key", ["includeMapped", "RestrictVisit", "UseIndexEnd", "UseEventEnd", "DateAdjustment", "Race", "Ethnicity", "domain"])
+def test_definition_raises_on_what_it_lacks(spark, key):
+    """A key that would be ignored raises by its name, where it is set; false and null are as if it were absent."""
+    from eralith.operators.definition import generate
+
+    on = lambda k, v=True: {k: v} if k == key else {}
+    table = lambda schema: spark.createDataFrame([], schema)
+
+    class Tables(dict):
+        def events(self, domain):
+            return table("person_id long, concept_id long, start_date date, end_date date")
+
+    c = Tables(
+        person=table("person_id long, gender_concept_id long, year_of_birth int"), concept_ancestor=table("ancestor_concept_id long, descendant_concept_id long"),
+        observation_period=table("person_id long, observation_period_start_date date, observation_period_end_date date"),
+    )
+
+    def definition(on):
+        member = {"Criteria": {"DrugExposure": {"CodesetId": 0}}, "StartWindow": {"Start": {"Days": 1, "Coeff": -1}, **on("UseIndexEnd"), **on("UseEventEnd")}, **on("RestrictVisit")}
+        return {
+            "ConceptSets": [{"id": 0, "expression": {"items": [{"concept": {"CONCEPT_ID": 1}, **on("includeMapped")}]}}],
+            "PrimaryCriteria": {"CriteriaList": [{"DrugExposure": {"CodesetId": 0, **on("DateAdjustment", {"StartOffset": 1})}}, *([{"Measurement": {}}] if on("domain") else [])]},
+            "InclusionRules": [{"name": "a", "expression": {"Type": "ALL", "CriteriaList": [member], "DemographicCriteriaList": [{**on("Race", [{"CONCEPT_ID": 1}]), **on("Ethnicity", [{"CONCEPT_ID": 1}])}]}}],
+        }
+
+    with pytest.raises(ValueError, match="Measurement" if key == "domain" else key):
+        generate(c, definition(on))
+    assert generate(c, definition(lambda k, v=None: {} if k == "domain" else {k: None} if k == key else {}))[0].columns
