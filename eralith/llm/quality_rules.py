@@ -1,9 +1,11 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Measures of each text are sketched (KLL) per language and source; sketches of small groups are replaced by the merged
-sketch of their language, and where that is small too, of all texts. A text is rejected if a measure lies beyond the
-fence that its group's quantiles set; a join on (language, source) carries the fences to the texts. Sketches have a
-fixed size and partial aggregates merge, so a source with a third of all rows is no heavier than others.
+Measures of each text are sketched per language and source: a sketch counts values in buckets whose edges grow by 2 %,
+so a quantile is right to 1 % of its value, sketches merge by adding counts, and the result depends neither on the order
+of rows nor on lost and repeated tasks. Languages and all texts have sketches by merging. A group's fence is drawn
+towards its language's, and that towards all texts', by ``prior`` texts' weight, alike at every group size. A text is
+rejected if a measure lies beyond its group's fence; a join on (language, source) carries the fences to the texts.
+Sketches have a bounded size and are partial aggregates, so a source with a third of all rows is no heavier than others.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eralith.llm._spark import written
@@ -32,6 +34,8 @@ MEASURES = {
     "repeat_share": ("n_repeat_words", "n_words", 20),
     "word_length": ("word_chars", "n_words", 40),
 }
+#: Natural logarithm of the ratio of a sketch's bucket edges; the bucket of zeros.
+STEP, ZERO = 0.02, -(1 << 20)
 
 
 def text_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -68,16 +72,41 @@ def text_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     return out.withColumnsRenamed({f"k{i}": f"_{c}" for i, c in enumerate(keep)})
 
 
+def sketches(values: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
+    """(by..., measure, bucket, n): quantile sketches of non-negative columns; they merge by adding n."""
+    bucket = lambda m: F.when(F.col(m) > 0, F.ceil(F.log(m) / STEP)).otherwise(ZERO).cast("int")
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(m).alias("bucket")) for m in measures)))
+    return values.select(*by, each.alias("v")).groupBy(*by, "v.measure", "v.bucket").agg(F.count("*").alias("n"))
+
+
+def merged(sk: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches of wider groups."""
+    return sk.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
+
+
+def quantiles(sk: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """(by..., measure, n, one column a share): the value up to which that share of a sketch lies, within 1 %.
+
+    A sketch has some thousand buckets at most, so its window is bounded.
+    """
+    group = Window.partitionBy(*by, "measure")
+    value = F.when(F.col("bucket") > ZERO, F.exp(F.col("bucket") * STEP - STEP / 2)).otherwise(0.0)
+    w = sk.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "of": F.sum("n").over(group), "value": value})
+    return w.groupBy(*by, "measure").agg(F.max("of").alias("n"), *(F.min(F.when(F.col("upto") >= F.col("of") * q, F.col("value"))).alias(c) for c, q in shares.items()))
+
+
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, str] = ("lang", "source"),
-    width: float = 3.0, least_group: int = 500,
+    width: float = 3.0, prior: int = 50,
 ) -> DataFrame:
     """(doc_id, counts..., base_failed, kept, reasons): one row per row of docs that has an id.
 
-    Fence of a measure: upper quartile + width * interquartile range of the texts of its language and source, never
-    below 1.5 upper quartiles; a text may exceed it by the slack in MEASURES, which is a count. Groups of fewer than least_group texts take their language's, then all texts'.
-    Null language or source: a group of its own. Texts without words fail the base rules (fewer than 10 words); they
-    and others that fail them count in no sketch. Rows without an id are left out.
+    Fence of a sketch: upper quartile + width * interquartile range, never below 1.5 upper quartiles. The fence of a
+    language and source is the mean of its own sketch's, weighing as many as its texts, and its language's, weighing
+    prior; the language's is drawn to all texts' in the same way. A text may exceed its fence by the slack in MEASURES,
+    which is a count. Null language or source: a group of its own. A null text is an empty one; texts without words
+    fail the base rules (fewer than 10 words); they and others that fail them count in no sketch. Rows without an id
+    are left out; repeated rows count and are judged as often as they stand.
     """
     c = text_counts(docs.where(F.col(id_col).isNotNull()), text_col, (id_col, *by))
     c = c.select(
@@ -86,34 +115,25 @@ def quality_rules(
         *_COUNTS,
         F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words").alias("base_failed"),
     )
-    c = written(c.withColumns({m: F.expr(f"if(n_words > 0, cast({n} / {of} as double), 0d)") for m, (n, of, _) in MEASURES.items()}))
-    sketches = c.where("not base_failed").groupBy("g0", "g1").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(m, F.lit(400)).alias(m) for m in MEASURES))
-    sketches = written(sketches)
-
-    def merged(*keys: str) -> DataFrame:
-        return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in MEASURES))
+    c = written(c)
+    shares = c.where("not base_failed").select("g0", "g1", *(F.expr(f"{n} / {of}").alias(m) for m, (n, of, _) in MEASURES.items()))
+    own = written(sketches(shares, ["g0", "g1"], list(MEASURES)))
 
-    def fence(m: str) -> F.Column:
-        q1, q3 = (F.kll_sketch_get_quantile_double(m, F.lit(q)) for q in (0.25, 0.75))
-        return F.greatest(q3 * 1.5, q3 + width * (q3 - q1)).alias(f"fence_{m}")
+    def fences(sk: DataFrame, by: list[str], p: str) -> DataFrame:
+        fence = F.greatest(F.col("q3") * 1.5, F.col("q3") + (F.col("q3") - F.col("q1")) * width)
+        return quantiles(sk, by, {"q1": 0.25, "q3": 0.75}).select(*by, "measure", F.col("n").alias(f"n_{p}"), fence.alias(f"f_{p}"))
 
-    def fences(sk: DataFrame, *keys: str) -> DataFrame:
-        return sk.where(F.col("n") >= (least_group if keys else 1)).select(*keys, *(fence(m) for m in MEASURES))
-
-    groups = c.select("g0", "g1").distinct()
-    wide = [f"fence_{m}" for m in MEASURES]
-    rename = lambda df, p: df.withColumnsRenamed({x: f"{p}_{x}" for x in wide})
-    # one row for each language and source; the single row of all texts joins by a constant
+    drawn = lambda p, wider: (F.coalesce(f"n_{p}", F.lit(0)) * F.coalesce(f"f_{p}", F.lit(0.0)) + wider * prior) / (F.coalesce(f"n_{p}", F.lit(0)) + prior)
     table = (
-        groups.join(rename(fences(sketches, "g0", "g1"), "a"), ["g0", "g1"], "left")
-        .join(rename(fences(merged("g0"), "g0"), "b"), ["g0"], "left")
-        .withColumn("one", F.lit(1))
-        .join(rename(fences(merged()), "c").withColumn("one", F.lit(1)), "one", "left")
-        .select("g0", "g1", *(F.coalesce(f"a_{x}", f"b_{x}", f"c_{x}").alias(x) for x in wide))  # null: all texts fail the base rules
-    )
-    # a source may hold a third of all rows, so the fences go to the rows where they are few
-    table = written(table)
-    out = c.join(F.broadcast(table) if table.count() <= MOST_BROADCAST else table, ["g0", "g1"])
+        c.select("g0", "g1").distinct().withColumn("measure", F.explode(F.array(*map(F.lit, MEASURES))))
+        .join(fences(merged(own, []), [], "all"), "measure", "left")
+        .join(fences(merged(own, ["g0"]), ["g0"], "lang"), ["g0", "measure"], "left")
+        .join(fences(own, ["g0", "g1"], "own"), ["g0", "g1", "measure"], "left")
+        .groupBy("g0", "g1").pivot("measure", list(MEASURES)).agg(F.first(drawn("own", drawn("lang", F.col("f_all")))))
+    )
+    # a source may hold a third of all rows, so the fences go to the rows where they are few; without any, all texts fail the base rules
+    table = written(table.withColumnsRenamed({m: f"fence_{m}" for m in MEASURES}))
+    out = c.join(F.broadcast(table) if table.count() <= MOST_BROADCAST else table, ["g0", "g1"], "left")
     reasons = F.array_compact(F.array(F.when(F.col("base_failed"), F.lit("base")), *(F.when(F.col(n) > F.col(f"fence_{m}") * F.col(of) + slack, F.lit(m)) for m, (n, of, slack) in MEASURES.items())))
     return out.withColumn("reasons", reasons).select("doc_id", *_COUNTS, "base_failed", (F.size("reasons") == 0).alias("kept"), "reasons")
 
@@ -121,4 +141,4 @@ def quality_rules(
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Verdicts of quality_rules over documents."""
     out = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("reasons", ",").alias("reasons"))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from eralith.llm.queries import QUERIES
 
@@ -113,10 +114,24 @@ def test_fingerprint(spark, sf_dir, rows):
         nxt, h = text[ids[ids.index(d) - 1]], len(t) // 2
         want.append({"doc_id": d, "n_chars": len(t), "edited_sha256": sha(t[: len(t) - h] + nxt[:h])})
     same(got, want)
-    prints = {}
-    for r in got:
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        assert prints.setdefault(text[r["doc_id"]], r["fingerprint"]) == r["fingerprint"]
+    def sketch(t):
+        words = WORD.findall(t)
+        hashes = set()
+        for i in range(max(len(words) - 4, min(len(words), 1))):
+            h = 42  # Spark's hash of an array: each element's, seeded with the one before
+            for x in words[i : i + 5]:
+                h = xxhash.xxh64(x.encode(), seed=h).intdigest()
+            hashes.add(h >> 4)
+        return {h for h in hashes if h < (1 << 60) // 8 or h == min(hashes)}
+
+    spell = lambda s: "".join(f"{h:015x}" for h in sorted(s))
+    likeness = lambda a, b: len(a & b) / min(len(a), len(b)) if a and b else float(len(a) == len(b))
+    want = []
+    for d, t, *_ in rows:
+        nxt, h = text[ids[ids.index(d) - 1]], len(t) // 2
+        own, edited, other = sketch(t), sketch(t[: len(t) - h] + nxt[:h]), sketch(nxt)
+        want.append({"doc_id": d, "fingerprint": spell(own), "edited_fingerprint": spell(edited), "near_edited": likeness(own, edited), "near_next": likeness(own, other)})
+    same(got, want)
 
 
 def test_sketches_merge(spark):
@@ -321,14 +336,30 @@ def test_secret_scan(spark, sf_dir, rows):
 
 
 def test_secret_ledger(spark):
-    from eralith.llm.secret_scan import secret_scan
+    from pyspark.sql import functions as F
+
+    from eralith.llm.secret_scan import VERSIONS, addressed, findings, scanned, secret_scan
 
-    v1 = spark.createDataFrame([(1, "token = abcdefghijkl12"), (2, "nothing"), (3, "token = abcdefghijkl12")], "doc_id long, text string")
+    schema = "doc_id long, text string"
+    v1 = spark.createDataFrame([(1, "token = abcdefghijkl12"), (2, "nothing"), (3, "token = abcdefghijkl12")], schema)
     found, ledger = secret_scan(v1)
     assert {r.doc_id for r in found.collect() if r.spans} == {1, 3} and ledger.count() == 2
-    v2 = spark.createDataFrame([(4, "nothing"), (5, "token = abcdefghijkl12"), (6, "passwd: 1234567890abc")], "doc_id long, text string")
+    v2 = spark.createDataFrame([(4, "nothing"), (5, "token = abcdefghijkl12"), (6, "passwd: 1234567890abc")], schema)
     found, ledger = secret_scan(v2, ledger=ledger)
     assert {r.doc_id for r in found.collect() if r.spans} == {5, 6} and ledger.count() == 3
+    # what the ledger says of a pair that it holds is believed: the blob is not read again
+    told = ledger.withColumn("spans", F.array().cast(ledger.schema["spans"].dataType))
+    known, _ = secret_scan(spark.createDataFrame([(7, "token = abcdefghijkl12")], schema), ledger=told)
+    assert known.first().spans == []
+    # one rule at a new version, one added: just these read the blobs of this commit; others keep their rows
+    blank = ledger.select("blob", F.map_filter("versions", lambda k, _: k != "hex").alias("versions"), "spans")
+    v3 = addressed(spark.createDataFrame([(8, "token = abcdefghijkl12 deadbeefdeadbeef"), (9, "nothing")], schema))
+    rules = VERSIONS | {"assign": 2}
+    after = scanned(v3, blank, rules)
+    got = {r.doc_id: [s.name for s in r.spans] for r in findings(v3, after).collect()}
+    assert got == {8: ["assign", "hex"], 9: []}
+    versions = [r.versions for r in after.collect()]
+    assert len(versions) == 4 and sum(v["assign"] == 2 for v in versions) == 2 and sum("hex" not in v for v in versions) == 2
 
 
 def test_packing(spark, sf_dir, rows):
