@@ -1,16 +1,19 @@
 """Secret scans over an incremental blob ledger, in DataFrame functions only.
 
-Every historical version of a path is content-addressed (SHA-256). Each blob is scanned once per rule version: pairs of
-blob and rule version that the ledger already holds are anti-joined away, what remains is scanned, and findings join
-back to all paths by address. Thousands of copies of one text cost one scan.
+Every historical version of a path is content-addressed (SHA-256). The ledger has one row a blob: the version of each
+rule that has read it, and what they found. Blobs that all current rule versions have read are anti-joined away; the
+others are read by just the rules that have not, and findings join back to all paths by address. Thousands of copies of
+one text cost one scan, a commit costs its new blobs, and a new rule version reads each blob for that rule alone.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RULE_VERSION = "1"
+from eralith.llm._spark import written
 
 #: Rule -> (pattern, group whose length counts, least length), listed in the order of kinds.
 RULES = {
@@ -22,6 +25,11 @@ RULES = {
     "chat_token": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
     "web_token": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
 }
+#: rule -> version; a rule whose pattern changes gets a new one.
+VERSIONS = dict.fromkeys(RULES, 1)
+#: Parts that the paths of one blob are joined in, as one blob may stand at a third of all paths.
+PARTS = 16
+SPANS = "array<struct<start:int,kind:int,name:string,end:int>>"
 BASE_KINDS = ("assign", "access", "hex")
 
 
@@ -34,11 +42,10 @@ def _spans(text: Column, kind: str) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     lengths = F.zip_with(F.split(text, pattern, -1), F.zip_with(matches, counted, lambda m, c: F.struct(F.length(m).alias("n"), F.length(c).alias("c"))), lambda p, m: F.struct(F.length(p).alias("gap"), m.n.alias("n"), m.c.alias("c")))
-    span = "array<struct<start:int,kind:int,name:string,end:int>>"
     number = list(RULES).index(kind)
     walked = F.aggregate(
         lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("found")),
+        F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found")),
         lambda acc, x: F.struct(
             (acc.at + x.gap + F.coalesce(x.n, F.lit(0))).alias("at"),
             F.when(
@@ -48,39 +55,57 @@ def _spans(text: Column, kind: str) -> Column:
         ),
     )
     # texts without a match, nearly all of them, need no walk
-    return F.when(F.regexp_like(text, F.lit(pattern)), walked.found).otherwise(F.array().cast(span))
-
-
-def scan_blobs(blobs: DataFrame) -> DataFrame:
-    """(blob, rule_version, spans) of (blob, content): spans sorted by start, then by rule."""
-    found = F.flatten(F.array(*(_spans(F.col("content"), kind) for kind in RULES)))
-    return blobs.select("blob", F.lit(RULE_VERSION).alias("rule_version"), F.array_sort(found).alias("spans"))
-
+    return F.when(F.regexp_like(text, F.lit(pattern)), walked.found).otherwise(F.array().cast(SPANS))
 
-def secret_scan(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger): findings (doc_id, blob, spans) for every row with an id; the ledger with the new pairs.
 
-    ledger: what an earlier call returned, or None at first. A null text is an empty blob; an empty blob has no spans.
-    Rows with the same id and text give the same row once each; a row without an id is left out.
-    """
+def addressed(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, blob, content) of every row with an id; a null text is an empty blob."""
     v = versions.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("content"))
-    v = v.where("doc_id is not null").withColumn("blob", F.unhex(F.sha2("content", 256)))
-    paths = v.select("doc_id", "blob")
-    # one path of each blob brings its content; pairs that the ledger holds are not read again
-    unseen = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
-    if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    texts = v.join(unseen, ["doc_id", "blob"], "left_semi")
-    new = scan_blobs(texts)
-    # whether a blob has spans is asked only of the deduplicated findings: asked earlier, Catalyst would answer it below
-    # the semi join, by scanning every copy and every blob that the ledger knows
-    book = new.dropDuplicates(["blob"])
-    found = book.where(F.size("spans") > 0)
-    if ledger is not None:
-        found = found.unionByName(ledger.where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)))
-    empty = F.array().cast(new.schema["spans"].dataType)
-    findings = paths.join(found.select("blob", "spans"), "blob", "left").withColumn("spans", F.coalesce("spans", empty))
-    return findings, book if ledger is None else ledger.unionByName(book)
+    return v.where("doc_id is not null").withColumn("blob", F.unhex(F.sha2("content", 256)))
+
+
+def scanned(v: DataFrame, ledger: DataFrame | None = None, rules: dict[str, int] | None = None) -> DataFrame:
+    """The ledger (blob, versions, spans) with the blobs of v (addressed): only pairs of blob and rule version that it lacks are read."""
+    rules = VERSIONS if rules is None else rules
+    # one path of each blob brings its content
+    unseen = v.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    has = lambda rule: F.coalesce(F.element_at("versions", rule) == rules[rule], F.lit(False))
+    if ledger is None:
+        unseen = unseen.select("*", F.lit(None).cast("map<string,int>").alias("versions"), F.lit(None).cast(SPANS).alias("earlier"))
+    else:
+        current = reduce(Column.__and__, map(has, rules), F.lit(True))
+        unseen = unseen.join(ledger.where(current).select("blob"), "blob", "left_anti")
+        unseen = unseen.join(ledger.where(~current).select("blob", "versions", F.col("spans").alias("earlier")), "blob", "left")
+    texts = v.join(unseen, ["doc_id", "blob"])
+    each = (F.when(has(rule), F.filter("earlier", lambda s, rule=rule: s["name"] == rule)).otherwise(_spans(F.col("content"), rule)) for rule in rules)
+    now = F.create_map(*(F.lit(x) for pair in rules.items() for x in pair))
+    # rows that repeat bring a blob more than once
+    new = texts.select("blob", now.alias("versions"), F.array_sort(F.flatten(F.array(*each))).alias("spans")).dropDuplicates(["blob"])
+    return new if ledger is None else ledger.join(unseen.select("blob"), "blob", "left_anti").unionByName(new)
+
+
+def findings(v: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(doc_id, blob, spans) of every row of v: what the ledger knows of its blob."""
+    # whether a blob has spans is asked of whole ledger rows alone: Catalyst may not ask it of every copy, by scanning it
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
+    found = ledger.where(F.size("spans") > 0).select("blob", "spans", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    paths = v.select("doc_id", "blob", part.alias("part"))
+    return paths.join(found, ["blob", "part"], "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+
+
+def secret_scan(
+    versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: dict[str, int] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(findings, ledger): findings (doc_id, blob, spans) for every row with an id; the ledger with what is new, written.
+
+    ledger: what an earlier call returned, or None at first. rules: the rules in force and their versions, VERSIONS by
+    default; a ledger's findings of other rules are dropped once its blob is read again. spans are sorted by start, then
+    by rule. A null text is an empty blob, which has no spans. Rows with the same id and text give the same row once
+    each; a row without an id is left out.
+    """
+    v = addressed(versions, id_col, text_col)
+    ledger = written(scanned(v, ledger, rules))
+    return findings(v, ledger), ledger
 
 
 def span_text(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
@@ -90,10 +115,16 @@ def span_text(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
-    """Digest of secret_scan over documents, beginning with an empty ledger."""
-    found, _ = secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Digest of secret_scan over documents as a history of two commits: ids up to the middle, then the others.
+
+    The second commit is scanned against the ledger that the first has left, so texts that both hold are read once.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    middle = docs.agg(F.expr("min(doc_id) div 2 + max(doc_id) div 2")).first()[0] or 0
+    earlier, ledger = secret_scan(docs.where(F.col("doc_id") <= middle))
+    later, _ = secret_scan(docs.where(F.col("doc_id") > middle), ledger=ledger)
     n = lambda kind: F.size(F.filter("spans", lambda s: s["name"] == kind)).cast("long")
-    return found.select(
+    return earlier.unionByName(later).select(
         "doc_id", *(n(k).alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(span_text(F.col("spans"), BASE_KINDS).cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"),
     )
