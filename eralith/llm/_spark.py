@@ -17,9 +17,11 @@ MOST_BITS = 1 << 27
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset (a single machine), one of our own."""
+    """The folder that spark.checkpoint.dir names; only where it is unset on a single machine, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="eralith-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

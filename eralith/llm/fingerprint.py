@@ -8,13 +8,15 @@ smaller sketch that the other has too, stays meaningful between very unequal doc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eralith.llm._spark import written
+
 #: One hash in so many is retained.
 SCALE = 8
 _RANGE = 1 << 60
-_SPLITS = 512
+_PER_RANGE = 100_000
 
 
 def with_sketch(df: DataFrame, text: str, out: str, shingle: int = 5, scale: int = SCALE) -> DataFrame:
@@ -59,21 +61,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def next_ids(ids: DataFrame) -> DataFrame:
     """(doc_id, next): the next lower id, and the highest after the lowest; of distinct ids, without a global sort.
 
-    Ids are dealt into ranges of about equal size and looked up within each; a range's lowest id looks to the highest
-    of the range below. Only the ends of at most 512 ranges meet in one task.
+    Ids are dealt into ranges of about ``_PER_RANGE`` ids, whose numbers are written, and looked up within each; a range's
+    lowest id looks to the highest of the range below. Only one row a range meets in one task.
     """
-    from pyspark.sql import Window
-
     ids = ids.select("doc_id").distinct()
-    ends = ids.agg(F.percentile_approx("doc_id", [i / _SPLITS for i in range(1, _SPLITS)], 10_000).alias("s")).first()["s"]
-    ends = sorted(set(ends or []))
-    at = F.size(F.filter(F.array(*map(F.lit, ends)), lambda s: s < F.col("doc_id"))) if ends else F.lit(0)
-    ids = ids.withColumn("part", at)
-    w = Window.partitionBy("part").orderBy("doc_id")
-    inside = ids.withColumn("next", F.lag("doc_id").over(w))
+    ranges = ids.count() // _PER_RANGE + 1
+    ids = written(ids.repartitionByRange(ranges, "doc_id").withColumn("part", F.spark_partition_id()))
+    inside = ids.withColumn("next", F.lag("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
     tops = ids.groupBy("part").agg(F.max("doc_id").alias("top"))
-    order = Window.orderBy("part")
-    tops = tops.select("part", F.coalesce(F.lag("top").over(order), F.max("top").over(Window.partitionBy())).alias("below"))
+    tops = tops.select("part", F.coalesce(F.lag("top").over(Window.orderBy("part")), F.max("top").over(Window.partitionBy())).alias("below"))
     return inside.join(tops, "part").select("doc_id", F.coalesce("next", "below").alias("next"))
 
 
