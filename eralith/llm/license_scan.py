@@ -1,14 +1,16 @@
 """License scans: matching statistics against a generalised suffix automaton of template tokens, chained into spans.
 
-The automaton holds every token run of every template, so it is as small as the templates (a few hundred states) and is
+The automaton holds every token run of every template, so it is as small as the templates (some thousand states) and is
 built once in each task. A text streams through it word by word: the state is the longest run ending here that occurs
 in a template, and its length is the matching statistic. Matches of ``least_match`` tokens or more are placed in
 their templates; those of one template that follow one another in text and template are chained, gaps allowed up
-to ``most_gap`` words, and the template's covered share decides on the label.
+to ``most_gap`` words. A chain names its template's licence if it covers a share of the template or a number of words that
+no accident reaches; of chains that overlap in the text the one that covers most stays, as licences share clauses.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,17 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eralith.llm._text import slices
+from eralith.llm.license_texts import TEMPLATES
 
-#: Label -> opening texts of public licences.
-TEMPLATES = {
-    "apache": "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "cc-by": "this work is licensed under a creative commons attribution 4.0 international license to view a copy of this license visit creativecommons org licenses by 4.0",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-    "mpl": "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at",
-}
 #: Base phrase -> label.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -107,14 +100,16 @@ class SuffixAutomaton:
 
 
 def chains(matches: list[tuple[int, int, int, int]], most_gap: int, longest: int) -> list[tuple[int, int, int, int]]:
-    """Best chain for each template of (start, end, template, template start): (template, covered, start, end).
+    """Chains of (start, end, template, template start), best first: (template, covered, start, end).
 
-    Matches of a chain follow one another, without overlap, in text and in template.
+    Matches of a chain follow one another, without overlap, in text and in template. Each match is the end of the best
+    chain that it can end; chains of any templates are told from the one that covers most (then: the earlier template,
+    the earlier place), and none that overlaps one told before in the text.
     """
-    best: dict[int, tuple[int, int, int, int]] = {}
     by: dict[int, list] = {}
     for m in sorted(set(matches), key=lambda m: (m[2], m[0], m[3])):
         by.setdefault(m[2], []).append(m)
+    ends = []
     for template, ms in by.items():
         score: list[tuple[int, int]] = []  # covered so far, text start of the chain
         for i, (start, end, _, at) in enumerate(ms):
@@ -126,29 +121,36 @@ def chains(matches: list[tuple[int, int, int, int]], most_gap: int, longest: int
                 if start - s > most_gap + longest:  # no match is longer than a template
                     break
             score.append(top)
-            if template not in best or top[0] > best[template][1]:
-                best[template] = (template, top[0], top[1], end)
-    return list(best.values())
+            ends.append((-top[0], template, top[1], end))
+    told: list[tuple[int, int, int, int]] = []
+    starts: list[tuple[int, int]] = []  # text spans told, sorted
+    for covered, template, start, end in sorted(ends):
+        i = bisect_left(starts, (start, end))
+        if (i and starts[i - 1][1] > start) or (i < len(starts) and starts[i][0] < end):
+            continue
+        starts.insert(i, (start, end))
+        told.append((template, -covered, start, end))
+    return told
 
 
 def license_scan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_match: int = 6, most_gap: int = 20, least_share: float = 0.3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_match: int = 6, most_gap: int = 20, least_share: float = 0.3, least_words: int = 40
 ) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans), one row per row with an id.
 
-    base_labels: labels of the phrases found; labels: those and the labels of templates of which least_share is
-    covered. score: the largest covered share, 1 where a phrase alone names the license. spans: (label, start, end,
-    covered) of chains that gave a label, in words. Null and empty texts: zeros, nulls, no labels.
+    base_labels: labels of the phrases found; labels: those and the labels of templates of which least_share or
+    least_words words are covered (license_texts lists the licences). score: the largest covered share, 1 where a phrase
+    names a license. spans: (label, start, end, covered) of all chains that gave a label, in words, by start. Null and
+    empty texts: zeros, nulls, no labels. A row without an id is left out; rows that repeat are scanned each.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    names = list(TEMPLATES)
+    names = [label for label, _ in TEMPLATES]
     span = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("covered", pa.int64())]))
     types = [pa.int64()] * 5 + [pa.list_(pa.string())] * 2 + [pa.float64(), span]
     fields = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequences = [t.encode().split() for t in TEMPLATES.values()]
-        sequences = [[w for x in s for w in words_of(x)] for s in sequences]
+        sequences = [words_of(t.encode()) for _, t in TEMPLATES]
         sizes = [len(s) for s in sequences]
         automaton = SuffixAutomaton(sequences)
         alphabet = {w for s in sequences for w in s}
@@ -162,21 +164,23 @@ def license_scan(
                     joined = b" " + b" ".join(words) + b" "
                     places, base = [], set()
                     for phrase, label in phrases:
-                        i = joined.find(phrase)
+                        i, word, last = joined.find(phrase), 0, 0
                         while i >= 0:
-                            places.append(joined.count(b" ", 0, i))
+                            word, last = word + joined.count(b" ", last, i), i
+                            places.append(word)
                             base.add(label)
                             i = joined.find(phrase, i + 1)
                     found = []
                     for start, run in _runs(words, alphabet, least_match):
                         for s, e, state in automaton.matches(run, least_match):
                             found += [(start + s, start + e, k, end - (e - s) + 1) for k, end in automaton.ends[state]]
-                    spans = [(names[k], s, e, c) for k, c, s, e in chains(found, most_gap, max(sizes)) if c >= least_share * sizes[k]] if found else []
-                    share = max((c / len(sequences[names.index(n)]) for n, _, _, c in spans), default=0.0)
+                    chained = [x for x in chains(found, most_gap, max(sizes)) if x[1] >= min(least_share * sizes[x[0]], least_words)] if found else []
+                    spans = sorted((s, e, names[k], c) for k, c, s, e in chained)
+                    share = max((c / sizes[k] for k, c, _, _ in chained), default=0.0)
                     rows.append((
                         len(words), len(places), min(places, default=None), max(places, default=None), sorted(base),
-                        sorted(base | {x[0] for x in spans}), 1.0 if base else share,
-                        [dict(zip(("label", "start", "end", "covered"), x, strict=True)) for x in sorted(spans)],
+                        sorted(base | {x[2] for x in spans}), 1.0 if base else share,
+                        [dict(zip(("start", "end", "label", "covered"), x, strict=True)) for x in spans],
                     ))
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([ids.slice(t.first, t.n), *(pa.array(c, ty) for c, ty in zip(columns, types[1:], strict=True))], names=fields)

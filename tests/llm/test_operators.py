@@ -418,14 +418,46 @@ def test_license_scan(spark, sf_dir, rows):
 
 
 def test_license_templates(spark):
+    """Every template, its middle alone, two licences in one file, and words of licences that are none."""
     from eralith.llm.license_scan import TEMPLATES, license_scan
 
-    docs = [(i, "before " + t.upper().replace(" ", ", ") + " after") for i, t in enumerate(TEMPLATES.values())]
-    docs += [(90, "permission to use the license terms of any software is free"), (91, TEMPLATES["mit"][:200] + " some words between " + TEMPLATES["mit"][200:])]
-    got = {r.doc_id: (list(r.labels), r.score) for r in license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    for i, label in enumerate(TEMPLATES):
-        assert label in got[i][0] and got[i][1] == 1.0
-    assert got[90] == ([], 0.0) and got[91][0] == ["mit"]
+    n = len(TEMPLATES)
+    middle = lambda t: " ".join(t.split()[len(t.split()) // 4 :])
+    docs = [(i, "before " + t.upper() + " after") for i, (_, t) in enumerate(TEMPLATES)] + [(100 + i, middle(t)) for i, (_, t) in enumerate(TEMPLATES)]
+    mit, zlib_ = TEMPLATES[0][1], next(t for label, t in TEMPLATES if label == "zlib")
+    docs += [(200, "permission to use the license terms of any software is free"), (201, mit[:300] + " some words between " + mit[300:]), (202, mit + " x " * 50 + zlib_ + " y " * 50 + mit)]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    phrased = {"gpl", "apache"}
+    for i, (label, _) in enumerate(TEMPLATES):
+        assert label in got[i].labels and got[i].score == 1.0 and {s.label for s in got[i].spans} == {label}, label
+        assert set(got[i].labels) <= {label} | phrased
+    assert n >= 20 and sum(label in got[100 + i].labels for i, (label, _) in enumerate(TEMPLATES)) >= n - 2
+    assert got[200].labels == [] and got[200].score == 0.0 and got[201].labels == ["mit"]
+    assert [s.label for s in got[202].spans] == ["mit", "zlib", "mit"] and got[202].spans[0].covered == got[202].spans[2].covered
+
+
+def test_chains(spark):
+    """Chains against all orders of a few matches."""
+    import itertools
+    import random
+
+    from eralith.llm.license_scan import chains
+
+    rng = random.Random(8)
+    for _ in range(60):
+        ms = []
+        for _ in range(rng.randrange(1, 7)):
+            s, n = rng.randrange(40), rng.randrange(3, 8)
+            ms.append((s, s + n, rng.randrange(2), rng.randrange(30)))
+        ok = lambda a, b: a[2] == b[2] and a[1] <= b[0] and a[3] + a[1] - a[0] <= b[3] and b[0] - a[1] <= 10
+        best = max(
+            sum(m[1] - m[0] for m in pick)
+            for k in range(1, len(ms) + 1) for pick in itertools.permutations(ms, k) if all(ok(a, b) for a, b in zip(pick, pick[1:], strict=False))
+        )
+        told = chains(ms, 10, 100)
+        assert told[0][1] == best
+        spans = sorted(x[2:] for x in told)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
 def test_automaton_statistics():
