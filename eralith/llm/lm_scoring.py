@@ -125,46 +125,92 @@ def _answer(table: pa.Table) -> pa.Table:
 class Automaton:
     """The part of the automaton that a block's texts can reach, compiled to arrays.
 
-    A state is a context of up to order - 1 words that was seen in training. At each place the state that a traversal
-    carries there is the longest such context of the words before it, and the n-gram that ends there numbers the
-    arc that it tries: arc[n] holds the weights of arcs, failure[n] those of the failure arcs of the states they leave.
+    A state is a context of up to order - 1 words that training has seen: state 0 is the empty context, state 1 a text's
+    beginning, the others are numbered by length and n-gram. An arc (state, word) has a target and a weight, the word's
+    smoothed log10 probability there; the failure arc of a state leads to the context without its first word. From the
+    empty context every word has an arc, unknown ones too.
     """
 
     def __init__(self, block: _Block, answers: list[np.ndarray], first_words: np.ndarray, order: int, m: float, start_count: float):
-        self.block = block
-        first = np.cumsum(block.sizes) - block.sizes
+        self.block, self.order = block, order
+        first, sizes = np.cumsum(block.sizes) - block.sizes, [len(k) for k in block.keys]
+        base = 2 + np.concatenate([[0], np.cumsum(sizes[: order - 1])]).astype(np.int64)  # state of the first n-gram of each length
+        states = int(base[order - 1])
+        self.failure, self.fail_weight = np.zeros(states, np.int64), np.zeros(states)
+        self.fail_weight[1] = np.log10(m / (start_count + m))
         prob = first_words
-        self.arc, self.failure, self.seen = [np.log10(prob)], [np.zeros(len(prob))], [np.ones(len(prob), bool)]
+        # arcs of the empty context: one for each word
+        self.root_weight = np.log10(prob)
+        self.root_target = np.where(answers[0] > 0, base[0] + np.arange(sizes[0]), 0) if order > 1 else np.zeros(sizes[0], np.int64)
+        keys, targets, weights = [np.array([np.iinfo(np.int64).max])], [np.zeros(1, np.int64)], [np.zeros(1)]  # an end that no key reaches
         for n in range(1, order):
-            # of each n-gram: the shorter one that it extends (-1: a text's start) and the one that it ends with
-            before, suffix = np.full(len(block.keys[n]), -1, np.int64), np.empty(len(block.keys[n]), np.int64)
+            # of each n-gram: its context's state, the shorter n-gram that it ends with, its last word
+            context, suffix, word = (np.empty(sizes[n], np.int64) for _ in range(3))
             previous = np.empty(len(block.tokens), np.int64)
-            previous[1:] = block.at[n - 1][:-1]
-            previous[first] = -1
-            before[block.at[n]] = previous
-            suffix[block.at[n]] = block.at[n - 1]
-            held = np.where(before < 0, start_count if n == 1 else 0.0, answers[n - 1][before]).astype(float)
+            previous[1:] = base[n - 1] + block.at[n - 1][:-1]
+            previous[first] = 1 if n == 1 else 0  # longer contexts than a text's beginning are none
+            context[block.at[n]], suffix[block.at[n]], word[block.at[n]] = previous, block.at[n - 1], block.tokens
+            count = np.concatenate([[0.0 if n > 1 else 1.0, start_count if n == 1 else 0.0], answers[n - 1]]).astype(float)
+            held = count[np.where(context < 2, context, context - base[n - 1] + 2)]
             c = answers[n].astype(float)
             prob = np.where(held > 0, (c + m * prob[suffix]) / (held + m), prob[suffix])
-            self.arc.append(np.log10(prob))
-            self.failure.append(np.where(held > 0, np.log10(m / (held + m)), 0.0))
-            self.seen.append((c > 0) & (held > 0))
-
-    def traverse(self) -> np.ndarray:
-        """log10 probability of each text: weights of the arcs and failure arcs on its way from left to right, summed.
-
-        A state depends on the order - 1 words before it alone, so all places are walked at once: each tries its
-        longest state's arc; where there is none it pays the failure arc and goes on from the shorter state.
-        """
-        weight = np.zeros(len(self.block.tokens))
-        way = np.arange(len(weight))
-        for n in range(len(self.arc) - 1, -1, -1):
-            tried = self.block.at[n][way]
-            hit = self.seen[n][tried]
-            weight[way] += np.where(hit, self.arc[n][tried], self.failure[n][tried])
+            arc = (c > 0) & (held > 0)
+            keys.append(context[arc] * sizes[0] + word[arc])
+            weights.append(np.log10(prob[arc]))
+            # on: the n-gram itself as a context, or the one that it ends with where it is as long as contexts get
+            targets.append(base[n] + np.flatnonzero(arc) if n < order - 1 else base[n - 1] + suffix[arc])
+            own = slice(base[n - 1], base[n - 1] + sizes[n - 1])
+            self.fail_weight[own] = np.log10(m / (answers[n - 1] + m))
+            if n > 1:
+                self.failure[own] = base[n - 2] + shorter
+            shorter = suffix
+        keys, targets, weights = (np.concatenate(x) for x in (keys, targets, weights))
+        by = np.argsort(keys, kind="stable")
+        self.keys, self.target, self.weight = keys[by], targets[by], weights[by]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, next state) of reading one word in each state: failure arcs until there is an arc."""
+        weight, at_state, after = np.zeros(len(state)), state.copy(), np.full(len(state), -1)
+        way = np.flatnonzero(state)
+        while len(way):
+            key = at_state[way] * len(self.root_weight) + word[way]
+            at = np.searchsorted(self.keys, key)
+            hit = self.keys[at] == key
+            weight[way[hit]] += self.weight[at[hit]]
+            after[way[hit]] = self.target[at[hit]]
             way = way[~hit]
-        ends = np.cumsum(self.block.sizes)
-        return np.add.reduceat(weight, ends - self.block.sizes)
+            weight[way] += self.fail_weight[at_state[way]]
+            at_state[way] = self.failure[at_state[way]]
+            way = way[at_state[way] > 0]
+        way = np.flatnonzero(after < 0)
+        weight[way] += self.root_weight[word[way]]
+        after[way] = self.root_target[word[way]]
+        return weight, after
+
+    def traverse(self, piece: int = 256) -> np.ndarray:
+        """log10 probability of each text by one walk from left to right that carries the state.
+
+        All texts of the block take a step at a time. Long ones are cut into pieces that walk side by side: a piece begins
+        order - 1 words early in the empty context, and as a state holds no more words than that, has the true one when
+        its own words begin.
+        """
+        sizes = self.block.sizes
+        first = np.cumsum(sizes) - sizes
+        pieces = -(-sizes // piece)
+        text = np.repeat(np.arange(len(sizes)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        early = np.where(nth > 0, self.order - 1, 0)
+        start = first[text] + nth * piece - early
+        length = np.minimum(sizes[text] - nth * piece, piece) + early
+        by = np.argsort(-length, kind="stable")
+        text, start, length, early = text[by], start[by], length[by], early[by]
+        state = np.where(start == first[text], 1, 0) if self.order > 1 else np.zeros(len(text), np.int64)
+        active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
+        total = np.zeros(len(text))
+        for t, n in enumerate(active.tolist()):
+            weight, state[:n] = self.step(state[:n], self.block.tokens[start[:n] + t])
+            total[:n] += np.where(early[:n] <= t, weight, 0.0)
+        return np.bincount(text, weights=total, minlength=len(sizes))
 
 
 def lm_scores(

@@ -70,6 +70,38 @@ def test_lm_scoring(spark, sf_dir, rows):
         assert r["score"] == pytest.approx(score[r["doc_id"]])
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("trained", [True, False])
+def test_lm_walk(spark, order, trained):
+    """The automaton's walk against probabilities by their definition, on texts longer than a piece of the walk."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from eralith.llm.lm_scoring import lm_scores
+
+    rng = random.Random(order)
+    docs = [(i, " ".join(rng.choice("abcdef" if i < 20 else "abcdefgh") for _ in range(rng.choice([0, 1, 2, 5, 40, 700])))) for i in range(40)]
+    got = {r.doc_id: r.score for r in lm_scores(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") >= (20 if trained else 0), order=order, prior=3.0).collect()}
+    learn = [[*t.split(), None] for d, t in docs if trained and d < 20]
+    grams = Counter(tuple(ws[max(i - k, 0) : i + 1]) if i >= k else (0, *ws[: i + 1]) for ws in learn for i in range(len(ws)) for k in range(order) if i >= k - 1)
+    c = Counter(w for ws in learn for w in ws)
+    n, v = sum(c.values()), len(c)
+    once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
+    cut = min(0.9, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
+
+    def prob(h, w):
+        if not h:
+            return ((c[w] - cut) / n if c[w] else cut * v / n) if n else 1.0
+        held = len(learn) if h == (0,) else grams[h]
+        return (grams[(*h, w)] + 3 * prob(h[1:], w)) / (held + 3) if held else prob(h[1:], w)
+
+    for d, t in docs:
+        ws = [0, *t.split(), None]
+        want = sum(math.log10(prob(tuple(ws[max(i - order + 1, 0) : i]), ws[i])) for i in range(1, len(ws)))
+        assert got[d] == pytest.approx(want), d
+
+
 @pytest.mark.parametrize("order", [1, 3])
 def test_lm_orders(spark, sf_dir, rows, order):
     """Probabilities of what may follow a text's beginning add up to one."""
