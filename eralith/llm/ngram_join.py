@@ -9,7 +9,9 @@ Sets of equal shingles form one class, spoken for by its least id. What is left
    overlap; whoever shares a long list goes in one cluster. Clusters are the components of these edges.
 4. A cluster is searched in blocks of bounded size, each pair of blocks in one task: the query's short inverted lists are
    merged, its long ones are probed by binary search for those documents alone that can still reach the overlap
-   (DivideSkip). A task tells a spanning forest of the links that it found, never all pairs.
+   (DivideSkip). A task tells a spanning forest of the links that it found, never all pairs. A cluster beyond one block
+   is first held against a few of its own members, one after another: what links to one of these is one group already,
+   and pairs of blocks of the same group, in a large cluster of near copies nearly all, need no search.
 
 Components of all links are then found by alternating stars. No list or class is collected, capped or sampled.
 """
@@ -25,10 +27,12 @@ from pyspark.sql import functions as F
 
 from eralith.llm._components import components
 from eralith.llm._spark import id_filter, shared_runs, written
-from eralith.llm._text import Rolling, Words, mix, slices, spread, windows
+from eralith.llm._text import Rolling, Words, lists, mix, slices, spread, windows
 
 #: Longest prefix list whose pairs are looked at one by one; documents in one block of a cluster.
 SHORT_LIST, BLOCK = 64, 512
+#: Members that a large cluster is held against before it is searched.
+LEADERS = 3
 
 
 def shingle_sets(texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +52,13 @@ def shingle_sets(texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     return g[new], np.bincount(of[new], minlength=texts.n)
 
 
+def _signature(g: np.ndarray, of: np.ndarray, n: np.ndarray, salt: int = 0x51ED270B) -> np.ndarray:
+    """Hash of each set of shingles g, whatever their order."""
+    total = np.zeros(len(n), np.uint64)
+    np.add.at(total, of, mix(g ^ np.uint64(salt)))
+    return mix(total + n.astype(np.uint64)).view(np.int64)
+
+
 def _required(n: int, percent: int) -> int:
     """Least overlap with any partner of a set of n."""
     return -(-percent * n // 100)
@@ -60,7 +71,8 @@ def jaccard_components(
 
     Words: runs without ASCII white space, A-Z lower-cased. Two rows link when 100 * intersection >= percent * union of
     their k-word shingle sets. component_id: the least id that links reach. Rows without words (null and empty texts)
-    have no shingles and no links. Rows with equal ids are one node, linked as any of them. Without an id: left out.
+    have no shingles and no links. Rows with equal ids are one node, linked as any of them; those of equal text too are
+    told once each. Without an id: left out.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
 
@@ -69,11 +81,7 @@ def jaccard_components(
             for t in slices(b.column(1)):
                 g, n = shingle_sets(t, k)
                 of = np.repeat(np.arange(t.n), n)
-                sig = []
-                for salt in (0x51ED270B, 0xB492B66F):  # order-free: sums of mixed members
-                    total = np.zeros(t.n, np.uint64)
-                    np.add.at(total, of, mix(g ^ np.uint64(salt)))
-                    sig.append(pa.array(mix(total + n.astype(np.uint64)).view(np.int64)))
+                sig = [pa.array(_signature(g, of, n, salt)) for salt in (0x51ED270B, 0xB492B66F)]
                 sub = np.bincount(of[g % np.uint64(4) == 0], minlength=t.n)
                 yield pa.record_batch([b.column(0).slice(t.first, t.n), pa.array(n.astype(np.int64)), pa.array(sub.astype(np.int64)), *sig], names=["doc", "n", "n_sub", "sig", "sig2"])
 
@@ -83,9 +91,7 @@ def jaccard_components(
             for t in slices(b.column(1)):
                 g, n = shingle_sets(t, k)
                 of = np.repeat(np.arange(t.n), n)
-                total = np.zeros(t.n, np.uint64)
-                np.add.at(total, of, mix(g ^ np.uint64(0x51ED270B)))
-                sig = mix(total + n.astype(np.uint64)).view(np.int64)
+                sig = _signature(g, of, n)
                 use = g % np.uint64(4) == 0
                 yield pa.record_batch([pa.array(g[use].view(np.int64)), sig[of[use]], doc[t.first + of[use]]], names=["h", "sig", "doc"])
 
@@ -99,18 +105,23 @@ def jaccard_components(
     # A partner holds at least one shingle more or less, so sets with 100 * n < percent * (n + 1) link with equals alone
     linkable = F.col("n") * 100 >= (F.col("n") + 1) * percent
     some = classes.join(elsewhere, "sig", "left").where((F.col("n_sub") - F.coalesce("m", F.lit(0)) <= allowed) & linkable)
-    alive = written(some.select(F.col("least").alias("doc"), "n", "sig"))
+    alive = written(some.select("least", "n", "sig"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            sig = np.asarray(b.column(0))
             for t in slices(b.column(1)):
                 g, n = shingle_sets(t, k)
-                at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                yield pa.record_batch([b.column(0).slice(t.first, t.n), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(at, pa.array(g.view(np.int64)))], names=["doc", "n", "items"])
+                of = np.repeat(np.arange(t.n), n)
+                mine = sig[t.first : t.first + t.n] == _signature(g, of, n)  # an id may stand at several texts
+                g, n = g[mine[of]], n[mine]
+                yield pa.record_batch([pa.array(sig[t.first : t.first + t.n][mine]), pa.array(n.astype(np.int64)), lists(pa.array(g.view(np.int64)), n)], names=["doc", "n", "items"])
 
-    near = id_filter(alive, "doc")
-    full = d.where(near(F.col("doc"))).join(alive.select("doc", F.col("n").alias("n0")), "doc").select("doc", "text", "n0")
-    full = written(full.select("doc", "text").mapInArrow(sets, "doc long, n long, items array<long>").join(alive.select("doc", "n"), ["doc", "n"], "left_semi").dropDuplicates(["doc"]))
+    # from here on a class is known by its signature
+    near = id_filter(alive, "least")
+    full = d.where(near(F.col("doc"))).join(alive.select(F.col("least").alias("doc"), "sig"), "doc").select("sig", "text")
+    full = written(full.mapInArrow(sets, "doc long, n long, items array<long>").dropDuplicates(["doc"]))
+    alive = alive.select(F.col("sig").alias("doc"), "n")
     # 2: prefixes by exact counts among what is left; places count shingles that only this set has first
     # dealt out by shingle once, for the count and for the join with it
     token = full.select("doc", F.explode("items").alias("h")).repartition("h")
@@ -133,20 +144,49 @@ def jaccard_components(
     cluster = components(pairs.unionByName(stars))
     member = cluster.unionByName(cluster.select(F.col("root").alias("node"), "root").distinct())
     # 4: search in pairs of blocks
-    size = member.groupBy("root").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
-    member = member.join(size, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = full.join(member, full["doc"] == member["node"]).select("root", "block", "doc", "items", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = full.join(member, full["doc"] == member["node"]).select("root", "doc", "n", "items")
+    large = member.groupBy("root").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("root")
+    led = _led(placed.join(large, "root", "left_semi"), percent)
+    placed = placed.join(led, ["root", "doc"], "left").withColumn("led", F.coalesce("led", F.lit(0)))
+    groups = member.withColumnRenamed("node", "doc").join(led, ["root", "doc"], "left").groupBy("root", F.coalesce("led", F.lit(0)).alias("led")).agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
+    groups = groups.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("led", "blocks"))).alias("blocks"))  # LEADERS + 1 entries at most
+    placed = placed.join(groups, "root").withColumn("block", F.pmod(F.xxhash64("doc"), F.element_at("blocks", F.col("led"))).cast("int") * (LEADERS + 1) + F.col("led"))
+    # blocks are numbered with their group as the remainder
+    others = F.flatten(F.transform(F.map_entries("blocks"), lambda g: F.transform(F.sequence(F.lit(0), g["value"] - 1), lambda b: b * (LEADERS + 1) + g["key"])))
+    others = F.filter(others, lambda o: (F.col("led") == 0) | (o % (LEADERS + 1) != F.col("led")))
+    placed = placed.select("root", "block", "doc", "items", F.explode(others).alias("other"))
     placed = placed.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "items")
-    links = written(placed.groupBy("root", "i", "j").applyInArrow(_search(percent), "a long, b long"))
-    found = components(links)
-    out = stats.join(classes.select("sig", "sig2", "least"), ["sig", "sig2"], "left").withColumn("least", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")))
+    links = placed.groupBy("root", "i", "j").applyInArrow(_search(percent), "a long, b long")
+    leaders = led.groupBy("root", "led").agg(F.min("doc").alias("a"))
+    links = links.unionByName(led.join(leaders, ["root", "led"]).select("a", F.col("doc").alias("b")))
     # rows of one id are one node: their classes meet in it
-    twice = stats.where("n > 0").groupBy("doc").agg(F.count_distinct("sig").alias("m")).where("m > 1")
-    if not twice.isEmpty():
-        ties = out.join(twice, "doc", "left_semi").select(F.col("doc").alias("a"), F.col("least").alias("b"))
-        found = components(links.unionByName(ties))
-    out = out.join(found, out["least"] == found["node"], "left")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "least").alias("component_id"))
+    ties = stats.where("n > 0").groupBy("doc").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a < z")
+    ties = stats.where("n > 0").join(ties, "doc").select("a", F.col("sig").alias("b"))
+    found = components(written(links.unionByName(ties)))
+    found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    # of a component its least id
+    found = found.join(classes.select(F.col("sig").alias("node"), "least"), "node")
+    found = found.join(found.groupBy("root").agg(F.min("least").alias("component")), "root").select(F.col("node").alias("sig"), "component")
+    out = stats.join(classes.select("sig", "sig2", "least"), ["sig", "sig2"], "left").join(found, "sig", "left")
+    component = F.when(F.col("n") > 0, F.coalesce("component", "least")).otherwise(F.col("doc"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _led(placed: DataFrame, percent: int) -> DataFrame:
+    """(root, doc, led): members of large clusters (root, doc, n, items) that link to the led-th leader; written.
+
+    Each leader is the least of the members that none has led yet.
+    """
+    led = None
+    for k in range(1, LEADERS + 1):
+        rest = placed if led is None else placed.join(led, ["root", "doc"], "left_anti")
+        least = rest.groupBy("root").agg(F.min_by(F.struct("n", "items"), "doc").alias("lead"))
+        both = F.size(F.array_intersect("items", "lead.items"))
+        now = rest.join(least, "root").where((100 + percent) * both >= percent * (F.col("n") + F.col("lead.n"))).select("root", "doc", F.lit(k).alias("led"))
+        led = written(now if led is None else led.unionByName(now))
+        if k == 1 and led.isEmpty():  # no large cluster: a leader links to itself
+            break
+    return led
 
 
 def _search(percent: int):
@@ -165,7 +205,7 @@ def _search(percent: int):
         # inverted lists of block j as one sorted array of token * m + document
         indexed = block[of] == j
         post = np.sort(token[indexed] * m + of[indexed])
-        lists = np.searchsorted(post, np.arange(token.max() + 2 if len(token) else 1) * m)
+        first = np.searchsorted(post, np.arange(token.max() + 2 if len(token) else 1) * m)
         root = list(range(m))
 
         def top(x: int) -> int:
@@ -179,15 +219,19 @@ def _search(percent: int):
             ts = token[ends[q] : ends[q + 1]]
             n = len(ts)
             least = _required(n, percent)
-            length = lists[ts + 1] - lists[ts]
+            length = first[ts + 1] - first[ts]
             order = np.argsort(length, kind="stable")
             # long lists are set aside for probing; what remains must still be reached by merging
             aside = min(least - 1, int(least / (0.01 * np.log2(max(int(length[order[-1]]), 2)) + 1)))
             short, long = ts[order[: n - aside]], ts[order[n - aside :]]
-            merged = post[spread(lists[short], lists[short + 1] - lists[short])] % m
-            count = np.bincount(merged, minlength=m)
-            hit = np.flatnonzero(count >= least - aside)
-            hit = hit[(hit > q) if i == j else (hit >= 0)]
+            # a stable sort finds the sorted lists as runs and merges them; equal neighbours are one document's hits
+            merged = np.sort(post[spread(first[short], first[short + 1] - first[short])] % m, kind="stable")
+            edge = np.flatnonzero(np.diff(merged, prepend=-1, append=m))
+            often = np.diff(edge)
+            hit, count = merged[edge[:-1]], np.zeros(m, np.int64)
+            count[hit] = often
+            hit = hit[often >= least - aside]
+            hit = hit[hit > q] if i == j else hit
             hit = hit[(percent * np.maximum(sizes[hit], n) <= 100 * np.minimum(sizes[hit], n))]
             if not len(hit):
                 continue

@@ -28,10 +28,11 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text): words in windows that a smaller id has too are removed.
+    """(doc_id, n_words, n_removed, kept_text, cut_text): words in windows that a smaller id has too are removed.
 
-    Words are runs without ASCII white space; kept words are joined by one space. Windows are judged on the input.
-    Null and empty texts: 0, 0, ''. A row without id is left out. Rows with the same id do not remove from each
+    Words are runs without ASCII white space; kept words are joined by one space. cut_text is the text as it was, line
+    breaks and all, without the removed words and the white space behind them; null where none is removed. Windows are
+    judged on the input. Null and empty texts: 0, 0, '', null. A row without id is left out. Rows with the same id do not remove from each
     other. Windows of fewer than 31 words would leave no room for an anchor: ValueError.
     """
     anchor = window - PERIOD + 1
@@ -126,28 +127,41 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ends, flat = (at.offsets.to_numpy(), np.asarray(at.values).astype(np.int64)) if at is not None else (None, None)
             copy = np.asarray(pc.fill_null(b.column(b.schema.get_field_index("copy")), False)) if at is not None else None
             for t in slices(b.column(b.schema.get_field_index("text"))):
-                n_words, n_removed, kept = [], [], []
+                n_words, n_removed, kept, cut = [], [], [], []
+                w = Words(t) if at is not None else None
                 for j, raw in enumerate(t.each()):
                     words = raw.split()
-                    n, row = len(words), t.first + j
+                    n, row, rest = len(words), t.first + j, None
                     if at is not None:
                         starts = flat[ends[row] : ends[row + 1]]
                         if copy[row] and n >= window:
-                            words = []
+                            words, rest = [], b""
                         elif len(starts):
                             gone = covered(starts, starts + window, n)
                             words = [words[k] for k in np.flatnonzero(~gone).tolist()]
+                            rest = _without(raw, gone, *(x[w.first[j] : w.first[j + 1]] - t.offsets[j] for x in (w.start, w.end)))
+                    cut.append(rest)
                     n_words.append(n)
                     n_removed.append(n - len(words))
                     kept.append(b" ".join(words))
-                yield pa.record_batch([doc.slice(t.first, t.n), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+                yield pa.record_batch([doc.slice(t.first, t.n), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), *(pa.array(x, pa.binary()).cast(pa.string()) for x in (kept, cut))], names=["doc_id", "n_words", "n_removed", "kept_text", "cut_text"])
 
-    schema = "doc_id long, n_words long, n_removed long, kept_text string"
+    schema = "doc_id long, n_words long, n_removed long, kept_text string, cut_text string"
     plain = d.where(~touched(F.col("doc"))).select("doc", "text").mapInArrow(keep, schema)
     cut = d.where(touched(F.col("doc"))).join(known, ["doc", "sig"], "left").select("doc", "text", "at", "copy").mapInArrow(keep, schema)
     return plain.unionByName(cut)
 
 
+def _without(raw: bytes, gone: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
+    """raw without the words that are gone (start and end of every word) and the white space behind them."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]))).tolist()
+    out, at = [], 0
+    for a, b in zip(edge[::2], edge[1::2], strict=True):
+        out.append(raw[at : start[a]])
+        at = start[b] if b < len(start) else end[-1]
+    return b"".join([*out, raw[at:]])
+
+
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Digest of substring_dedup over documents, windows of 50 words."""
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -244,6 +244,16 @@ def test_ngram_join_large_groups(spark, monkeypatch):
     assert got == want
 
 
+def test_ngram_join_repeated_ids(spark):
+    """An id with two texts links the groups of both; rows of equal id and text are told once each."""
+    from eralith.llm.ngram_join import jaccard_components
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = [(1, a + " x"), (5, a), (5, b), (5, b), (7, b + " y"), (8, c), (9, c + " z"), (3, b)]
+    got = jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (3, 1), (5, 1), (5, 1), (5, 1), (7, 1), (8, 8), (9, 8)]
+
+
 def test_bpe(spark, sf_dir, rows):
     import numpy as np
     import public_tokenizers as p
