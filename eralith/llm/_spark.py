@@ -37,14 +37,34 @@ def clear_written(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Folders of the tables written so far, in order.
+_written: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, read from a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def n_written() -> int:
+    return len(_written)
+
+
+def drop_written(spark: SparkSession, since: int, until: int) -> None:
+    """Deletes the tables number since to until - 1, which nothing may read any more."""
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, _written[since:until]):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_hash(text: Column) -> Column:
+    """What tells texts of one id apart in an operator's result."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def documents(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """(doc, text, sig, more...) without rows that have no id. sig tells texts of one id apart."""
     d = docs.select(

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eralith.llm._spark import written
+from eralith.llm._spark import text_hash, written
 from eralith.llm._text import Words, covered, mix, slices, windows
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -99,7 +99,7 @@ def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, str] = ("lang", "source"),
     width: float = 3.0, prior: int = 50,
 ) -> DataFrame:
-    """(doc_id, counts..., base_failed, kept, reasons): one row per row of docs that has an id.
+    """(doc_id, text_hash, counts..., base_failed, kept, reasons): one row per row of docs that has an id.
 
     Fence of a sketch: upper quartile + width * interquartile range, never below 1.5 upper quartiles. The fence of a
     language and source is the mean of its own sketch's, weighing as many as its texts, and its language's, weighing
@@ -108,13 +108,14 @@ def quality_rules(
     fail the base rules (fewer than 10 words); they and others that fail them count in no sketch. Rows without an id
     are left out; repeated rows count and are judged as often as they stand.
     """
-    c = text_counts(docs.where(F.col(id_col).isNotNull()), text_col, (id_col, *by))
+    group = (F.coalesce(F.col(x).cast("string"), F.lit("\0")).alias(f"g{i}") for i, x in enumerate(by))
+    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), *group, F.col(text_col).alias("text"))
+    c = text_counts(d, "text", ("doc_id", "text_hash", "g0", "g1")).withColumnsRenamed({f"_{x}": x for x in ("doc_id", "text_hash", "g0", "g1")})
     c = c.select(
-        F.col(f"_{id_col}").cast("long").alias("doc_id"),
-        *(F.coalesce(F.col(f"_{x}").cast("string"), F.lit("\0")).alias(f"g{i}") for i, x in enumerate(by)),
+        "doc_id", "text_hash", "g0", "g1",
         *_COUNTS,
         F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words").alias("base_failed"),
-    )
+    )
     c = written(c)
     shares = c.where("not base_failed").select("g0", "g1", *(F.expr(f"{n} / {of}").alias(m) for m, (n, of, _) in MEASURES.items()))
     own = written(sketches(shares, ["g0", "g1"], list(MEASURES)))
@@ -135,7 +136,7 @@ def quality_rules(
     table = written(table.withColumnsRenamed({m: f"fence_{m}" for m in MEASURES}))
     out = c.join(F.broadcast(table) if table.count() <= MOST_BROADCAST else table, ["g0", "g1"], "left")
     reasons = F.array_compact(F.array(F.when(F.col("base_failed"), F.lit("base")), *(F.when(F.col(n) > F.col(f"fence_{m}") * F.col(of) + slack, F.lit(m)) for m, (n, of, slack) in MEASURES.items())))
-    return out.withColumn("reasons", reasons).select("doc_id", *_COUNTS, "base_failed", (F.size("reasons") == 0).alias("kept"), "reasons")
+    return out.withColumn("reasons", reasons).select("doc_id", "text_hash", *_COUNTS, "base_failed", (F.size("reasons") == 0).alias("kept"), "reasons")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -28,11 +28,11 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text, cut_text): words in windows that a smaller id has too are removed.
+    """(doc_id, text_hash, n_words, n_removed, kept_text, cut_text): words in windows that a smaller id has too are removed.
 
     Words are runs without ASCII white space; kept words are joined by one space. cut_text is the text as it was, line
     breaks and all, without the removed words and the white space behind them; null where none is removed. Windows are
-    judged on the input. Null and empty texts: 0, 0, '', null. A row without id is left out. Rows with the same id do not remove from each
+    judged on the input. text_hash tells texts of one id apart. Null and empty texts: 0, 0, '', null. A row without id is left out. Rows with the same id do not remove from each
     other. Windows of fewer than 31 words would leave no room for an anchor: ValueError.
     """
     anchor = window - PERIOD + 1
@@ -121,7 +121,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc = b.column(b.schema.get_field_index("doc"))
+            doc, sig = (b.column(b.schema.get_field_index(c)) for c in ("doc", "sig"))
             i = b.schema.get_field_index("at")
             at = pc.fill_null(b.column(i), pa.scalar([], pa.list_(pa.int32()))) if i >= 0 else None
             ends, flat = (at.offsets.to_numpy(), np.asarray(at.values).astype(np.int64)) if at is not None else (None, None)
@@ -144,11 +144,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     n_words.append(n)
                     n_removed.append(n - len(words))
                     kept.append(b" ".join(words))
-                yield pa.record_batch([doc.slice(t.first, t.n), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), *(pa.array(x, pa.binary()).cast(pa.string()) for x in (kept, cut))], names=["doc_id", "n_words", "n_removed", "kept_text", "cut_text"])
+                yield pa.record_batch([doc.slice(t.first, t.n), sig.slice(t.first, t.n), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), *(pa.array(x, pa.binary()).cast(pa.string()) for x in (kept, cut))], names=["doc_id", "text_hash", "n_words", "n_removed", "kept_text", "cut_text"])
 
-    schema = "doc_id long, n_words long, n_removed long, kept_text string, cut_text string"
-    plain = d.where(~touched(F.col("doc"))).select("doc", "text").mapInArrow(keep, schema)
-    cut = d.where(touched(F.col("doc"))).join(known, ["doc", "sig"], "left").select("doc", "text", "at", "copy").mapInArrow(keep, schema)
+    schema = "doc_id long, text_hash long, n_words long, n_removed long, kept_text string, cut_text string"
+    plain = d.where(~touched(F.col("doc"))).select("doc", "sig", "text").mapInArrow(keep, schema)
+    cut = d.where(touched(F.col("doc"))).join(known, ["doc", "sig"], "left").select("doc", "sig", "text", "at", "copy").mapInArrow(keep, schema)
     return plain.unionByName(cut)
 
 
