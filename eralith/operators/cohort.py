@@ -112,7 +112,7 @@ def sample_persons(c: Clinical, n: int, seed: int = 0) -> Clinical:
     return Clinical({k: t.join(ids, "person_id", "left_semi") if "person_id" in t.columns else t for k, t in c.tables.items()}, c.cohorts, c.name)
 
 
-def flatten(c: Clinical, domains: Sequence[str] = tuple(DOMAINS)) -> DataFrame:
+def flatten(c: Clinical, domains: Sequence[str] = ("condition", "drug", "procedure", "measurement", "visit", "death", "observation")) -> DataFrame:
     """Distinct (person_id, concept_id, start_date, end_date, domain) of several domains under one roof."""
     out = None
     for d in domains:

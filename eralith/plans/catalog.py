@@ -123,6 +123,11 @@ def cohort_washout(c):
     return co.require_prior_washout(condition(c, 3000001), 200)
 
 
+@query("SELECT person_id, concept_id, start_date, end_date, domain FROM (SELECT DISTINCT person_id, measurement_concept_id AS concept_id, measurement_date AS start_date, measurement_date AS end_date, 'measurement' AS domain FROM measurement UNION ALL SELECT DISTINCT person_id, procedure_concept_id, procedure_date, procedure_date, 'procedure' FROM procedure_occurrence UNION ALL SELECT DISTINCT person_id, device_concept_id, device_exposure_start_date, device_exposure_end_date, 'device' FROM device_exposure UNION ALL SELECT DISTINCT person_id, observation_concept_id, observation_date, observation_date, 'observation' FROM observation)")
+def connector_flatten_more(c):
+    return co.flatten(c, ("measurement", "procedure", "device", "observation"))
+
+
 @query("SELECT person_id, concept_id, start_date, end_date, domain FROM (SELECT DISTINCT person_id, drug_concept_id AS concept_id, drug_exposure_start_date AS start_date, drug_exposure_end_date AS end_date, 'drug' AS domain FROM drug_exposure UNION ALL SELECT DISTINCT person_id, condition_concept_id, condition_start_date, condition_end_date, 'condition' FROM condition_occurrence)")
 def connector_flatten(c):
     return co.flatten(c, ("drug", "condition"))
@@ -540,12 +545,88 @@ ERA_DEFINITION = {
 }
 
 
-@query("WITH d AS (SELECT person_id, drug_exposure_start_date AS s, drug_exposure_end_date AS e FROM drug_exposure JOIN concept_ancestor ON descendant_concept_id = drug_concept_id AND ancestor_concept_id = 1000003), g AS (SELECT person_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(f) OVER (PARTITION BY person_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN max(e) OVER (PARTITION BY person_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 30 >= s THEN 0 ELSE 1 END AS f FROM d)) GROUP BY person_id, g) SELECT CAST(1 AS BIGINT) AS cohort_definition_id, t.subject_id, t.cohort_start_date, least(g.e + 5, t.cohort_end_date, DATE '2000-06-30') AS cohort_end_date FROM target t JOIN g ON g.person_id = t.subject_id AND t.cohort_start_date BETWEEN g.s AND g.e WHERE t.cohort_start_date <= DATE '2000-06-30'")
+_ERA_EXIT = "WITH d AS (SELECT person_id, drug_exposure_start_date AS s, drug_exposure_end_date AS e FROM drug_exposure JOIN concept_ancestor ON descendant_concept_id = drug_concept_id AND ancestor_concept_id = 1000003), g AS (SELECT person_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(f) OVER (PARTITION BY person_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN max(e) OVER (PARTITION BY person_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 30 >= s THEN 0 ELSE 1 END AS f FROM d)) GROUP BY person_id, g) SELECT CAST(1 AS BIGINT) AS cohort_definition_id, t.subject_id, t.cohort_start_date, least(g.e + 5, t.cohort_end_date, DATE '2000-06-30') AS cohort_end_date FROM target t JOIN g ON g.person_id = t.subject_id AND t.cohort_start_date BETWEEN g.s AND g.e WHERE t.cohort_start_date <= DATE '2000-06-30'"
+
+
+@query(_ERA_EXIT)
 def definition_era_exit(c):
     return de.generate(c, ERA_DEFINITION)[0]
 
 
-@query()
+#: Entries of each person: the first measurement of 4000001 above 200,000, in a unit, with 30 days of observation before.
+MEASUREMENT_DEFINITION = {
+    "ConceptSets": [{"id": 0, "expression": {"items": [{"concept": {"CONCEPT_ID": 4000001}}]}}],
+    "PrimaryCriteria": {
+        "CriteriaList": [{"Measurement": {"CodesetId": 0, "ValueAsNumber": {"Value": 200000, "Op": "gt"}, "Unit": [{"CONCEPT_ID": 8701}]}}],
+        "ObservationWindow": {"PriorDays": 30, "PostDays": 0}, "PrimaryCriteriaLimit": {"Type": "First"},
+    },
+}
+
+
+@query("SELECT CAST(1 AS BIGINT) AS cohort_definition_id, person_id AS subject_id, min(measurement_date) AS cohort_start_date, max(observation_period_end_date) AS cohort_end_date FROM measurement JOIN observation_period USING (person_id) WHERE measurement_concept_id = 4000001 AND value_as_number > 200000 AND unit_concept_id = 8701 AND observation_period_start_date + 30 <= measurement_date AND measurement_date <= observation_period_end_date GROUP BY person_id")
+def definition_measurement(c):
+    return de.generate(c, MEASUREMENT_DEFINITION)[0]
+
+
+#: Procedures of two kinds, each with a device of the same visit; the entry ends 20 days after the procedure.
+PROCEDURE_DEFINITION = {
+    "ConceptSets": [{"id": 0, "expression": {"items": [{"concept": {"CONCEPT_ID": 5000001}}, {"concept": {"CONCEPT_ID": 5000002}}]}}],
+    "PrimaryCriteria": {"CriteriaList": [{"ProcedureOccurrence": {"CodesetId": 0, "ProcedureType": [{"CONCEPT_ID": 32801}, {"CONCEPT_ID": 32802}]}}]},
+    "InclusionRules": [{"name": "device", "expression": {"Type": "ALL", "CriteriaList": [{"Criteria": {"DeviceExposure": {"Quantity": {"Value": 10, "Extent": 30, "Op": "bt"}}}, "RestrictVisit": True, "IgnoreObservationPeriod": True}]}}],
+    "EndStrategy": {"DateOffset": {"DateField": "StartDate", "Offset": 20}},
+}
+
+
+@query("WITH e AS (SELECT DISTINCT person_id, procedure_date AS s, visit_occurrence_id AS v, observation_period_end_date AS oe FROM procedure_occurrence p JOIN observation_period o USING (person_id) WHERE procedure_concept_id IN (5000001, 5000002) AND procedure_type_concept_id IN (32801, 32802) AND procedure_date BETWEEN observation_period_start_date AND observation_period_end_date AND EXISTS (SELECT 1 FROM device_exposure d WHERE d.person_id = p.person_id AND d.visit_occurrence_id = p.visit_occurrence_id AND quantity BETWEEN 10 AND 30)), f AS (SELECT person_id, s, least(s + 20, oe) AS e FROM e) SELECT CAST(1 AS BIGINT) AS cohort_definition_id, person_id AS subject_id, min(s) AS cohort_start_date, max(e) AS cohort_end_date FROM (SELECT *, sum(n) OVER (PARTITION BY person_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN max(e) OVER (PARTITION BY person_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= s THEN 0 ELSE 1 END AS n FROM f)) GROUP BY person_id, g")
+def definition_procedure(c):
+    return de.generate(c, PROCEDURE_DEFINITION)[0]
+
+
+#: Observations of final state, of women or of those born before 1950, with no other observation of the kind in the 60 days after the index's end.
+OBSERVATION_DEFINITION = {
+    "ConceptSets": [{"id": 0, "expression": {"items": [{"concept": {"CONCEPT_ID": 6000003}}]}}],
+    "PrimaryCriteria": {"CriteriaList": [{"Observation": {"CodesetId": 0, "ValueAsString": {"Text": "F", "Op": "eq"}}}]},
+    "AdditionalCriteria": {
+        "Type": "ALL",
+        "CriteriaList": [{"Criteria": {"Observation": {"CodesetId": 0}}, "StartWindow": {"Start": {"Days": 1, "Coeff": 1}, "End": {"Days": 60, "Coeff": 1}, "UseIndexEnd": True}, "Occurrence": {"Type": 0, "Count": 0}}],
+        "Groups": [{"Type": "ANY", "DemographicCriteriaList": [{"Gender": [{"CONCEPT_ID": 8532}]}, {"Age": {"Value": 45, "Op": "gte"}}]}],
+    },
+    "QualifiedLimit": {"Type": "Last"},
+    "EndStrategy": {"DateOffset": {"DateField": "EndDate", "Offset": 7}},
+    "CensoringCriteria": [{"Death": {}}],
+}
+
+
+@query("SELECT CAST(1 AS BIGINT) AS cohort_definition_id, person_id AS subject_id, s AS cohort_start_date, least(s + 7, oe, coalesce((SELECT min(death_date) FROM death d WHERE d.person_id = x.person_id AND death_date >= s), DATE '9999-01-01')) AS cohort_end_date FROM (SELECT person_id, max(o.observation_date) AS s, max(observation_period_end_date) AS oe FROM observation o JOIN observation_period p USING (person_id) JOIN person USING (person_id) WHERE observation_concept_id = 6000003 AND value_as_string = 'F' AND (gender_concept_id = 8532 OR year(o.observation_date) - year_of_birth >= 45) AND o.observation_date BETWEEN observation_period_start_date AND observation_period_end_date AND NOT EXISTS (SELECT 1 FROM observation b WHERE b.person_id = o.person_id AND b.observation_concept_id = 6000003 AND b.observation_date BETWEEN o.observation_date + 1 AND o.observation_date + 60) GROUP BY person_id) x")
+def definition_observation(c):
+    return de.generate(c, OBSERVATION_DEFINITION)[0]
+
+
+def _at_least(n: int) -> dict:
+    """A definition of n rules: no fewer than 1, 2, ... records of different kinds since the beginning of observation."""
+    kinds = ["ConditionOccurrence", "VisitOccurrence", "Measurement", "Observation", "DrugExposure"]
+    rule = lambda k: {"Criteria": {kinds[k % 5]: {}}, "StartWindow": {"Start": {"Coeff": -1}, "End": {"Days": 30 * (k + 1), "Coeff": 1}}, "Occurrence": {"Type": 2, "Count": k // 2 + 1}}
+    return DEFINITION | {"InclusionRules": [{"name": f"rule {k:02d}", "expression": {"Type": "ALL", "CriteriaList": [rule(k)]}} for k in range(n)]}
+
+
+def _many(n: int) -> str:
+    table = [("condition_occurrence", "condition_start_date"), ("visit_occurrence", "visit_start_date"), ("measurement", "measurement_date"), ("observation", "observation_date"), ("drug_exposure", "drug_exposure_start_date")]
+    cross = lambda k: f"(SELECT count(*) FROM {table[k % 5][0]} r WHERE r.person_id = p.person_id AND r.{table[k % 5][1]} BETWEEN os AND oe AND r.{table[k % 5][1]} <= s + {30 * (k + 1)}) >= {k // 2 + 1}"
+    step = lambda name, k: f"SELECT '{name}' AS reason, count(*) AS number_records, count(DISTINCT person_id) AS number_subjects FROM e" + (f" WHERE {' AND '.join(f'c{i}' for i in range(k))}" if k else "")
+    steps = [step("Initial events", 0), *(step(f"rule {k:02d}", k + 1) for k in range(n))]
+    first = "SELECT person_id, min(start_date) AS s, max(oe) AS oe, max(os) AS os FROM brand3 JOIN person USING (person_id) WHERE year(start_date) - year_of_birth >= 18 AND os + 90 <= start_date GROUP BY 1"
+    return f"WITH e AS (SELECT *, {', '.join(f'{cross(k)} AS c{k}' for k in range(n))} FROM ({first}) p) {' UNION ALL '.join(steps)}"
+
+
+@query(_many(12))
+def definition_rules_many(c):
+    return de.generate(c, _at_least(12))[1].drop("reason_id")
+
+
+_BRAND_OFFSET = f"SELECT CAST(2 AS BIGINT) AS cohort_definition_id, person_id AS subject_id, s AS cohort_start_date, least(s + 60, oe) AS cohort_end_date FROM ({_PRIMARY}) p WHERE NOT EXISTS (SELECT 1 FROM outcome o WHERE o.subject_id = p.person_id AND o.cohort_start_date BETWEEN s - 365 AND s - 1)"
+
+
+@query(_ERA_EXIT + " UNION ALL " + _BRAND_OFFSET)
 def definition_set(c):
     return de.generate_set(c, {"era": ERA_DEFINITION, "offset": DEFINITION})[0]
 

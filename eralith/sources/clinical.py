@@ -36,8 +36,26 @@ PROJECTIONS = {
                CAST(l_shipdate AS DATE) + (CAST(l_quantity AS INT) - 1) AS drug_exposure_end_date, l_quantity AS quantity,
                CAST(l_quantity AS BIGINT) AS days_supply, l_returnflag AS route, l_orderkey AS visit_occurrence_id
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    "procedure_occurrence": """
+        SELECT l_orderkey * 8 + l_linenumber AS procedure_occurrence_id, o_custkey AS person_id, CAST(5000000 + l_linenumber AS BIGINT) AS procedure_concept_id,
+               CAST(l_shipdate AS DATE) AS procedure_date, l_orderkey AS visit_occurrence_id, CAST(32800 + l_linenumber % 3 AS BIGINT) AS procedure_type_concept_id
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'""",
+    "measurement": """
+        SELECT o_orderkey AS measurement_id, o_custkey AS person_id, 4000000 + CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS measurement_concept_id,
+               CAST(o_orderdate AS DATE) AS measurement_date, o_totalprice AS value_as_number, CAST(8700 + o_orderkey % 2 AS BIGINT) AS unit_concept_id,
+               o_orderkey AS visit_occurrence_id
+        FROM {orders}""",
+    "observation": """
+        SELECT o_orderkey AS observation_id, o_custkey AS person_id, 6000000 + o_orderkey % 7 AS observation_concept_id,
+               CAST(o_orderdate AS DATE) AS observation_date, o_orderstatus AS value_as_string, o_orderkey AS visit_occurrence_id
+        FROM {orders}""",
+    "device_exposure": """
+        SELECT l_orderkey * 8 + l_linenumber AS device_exposure_id, o_custkey AS person_id, CAST(7000000 + l_linenumber AS BIGINT) AS device_concept_id,
+               CAST(l_shipdate AS DATE) AS device_exposure_start_date, CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) AS device_exposure_end_date,
+               CAST(l_quantity AS BIGINT) AS quantity, l_orderkey AS visit_occurrence_id
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_linestatus = 'F'""",
     "death": """
-        SELECT o_custkey AS person_id, MAX(CAST(o_orderdate AS DATE)) AS death_date FROM {orders} WHERE o_custkey % 20 = 0 GROUP BY o_custkey""",
+        SELECT o_custkey AS person_id, MAX(CAST(o_orderdate AS DATE)) AS death_date, CAST(0 AS BIGINT) AS cause_concept_id FROM {orders} WHERE o_custkey % 20 = 0 GROUP BY o_custkey""",
     "concept": """
         SELECT p_partkey AS concept_id, p_name AS concept_name, 'Drug' AS domain_id, p_type AS concept_class_id, 'S' AS standard_concept FROM {part}
         UNION ALL
@@ -66,11 +84,37 @@ PROJECTIONS = {
 }
 _BASE = ("customer", "orders", "lineitem", "part", "nation", "region")
 
-#: Domain -> (table, concept column, start, end).
+@dataclass(frozen=True)
+class Domain:
+    """Columns of a clinical table by their role; None where the table has none."""
+
+    table: str
+    concept: str | None
+    start: str
+    end: str
+    type: str | None = None
+    source_concept: str | None = None
+
+
+def _domain(table: str, name: str, start: str, end: str | None = None) -> Domain:
+    return Domain(table, f"{name}_concept_id", start, end or start, f"{name}_type_concept_id", f"{name}_source_concept_id")
+
+
+#: Domain -> where its records are.
 DOMAINS = {
-    "drug": ("drug_exposure", "drug_concept_id", "drug_exposure_start_date", "drug_exposure_end_date"),
-    "condition": ("condition_occurrence", "condition_concept_id", "condition_start_date", "condition_end_date"),
-    "visit": ("visit_occurrence", "visit_concept_id", "visit_start_date", "visit_end_date"),
+    "drug": _domain("drug_exposure", "drug", "drug_exposure_start_date", "drug_exposure_end_date"),
+    "condition": _domain("condition_occurrence", "condition", "condition_start_date", "condition_end_date"),
+    "visit": _domain("visit_occurrence", "visit", "visit_start_date", "visit_end_date"),
+    "procedure": _domain("procedure_occurrence", "procedure", "procedure_date"),
+    "measurement": _domain("measurement", "measurement", "measurement_date"),
+    "observation": _domain("observation", "observation", "observation_date"),
+    "device": _domain("device_exposure", "device", "device_exposure_start_date", "device_exposure_end_date"),
+    "specimen": _domain("specimen", "specimen", "specimen_date"),
+    "visit_detail": _domain("visit_detail", "visit_detail", "visit_detail_start_date", "visit_detail_end_date"),
+    "death": Domain("death", "cause_concept_id", "death_date", "death_date", "death_type_concept_id", "cause_source_concept_id"),
+    "observation_period": Domain("observation_period", None, "observation_period_start_date", "observation_period_end_date", "period_type_concept_id"),
+    "condition_era": Domain("condition_era", "condition_concept_id", "condition_era_start_date", "condition_era_end_date"),
+    "drug_era": Domain("drug_era", "drug_concept_id", "drug_era_start_date", "drug_era_end_date"),
 }
 
 
@@ -96,8 +140,8 @@ class Clinical:
 
     def events(self, domain: str) -> DataFrame:
         """(person_id, concept_id, start_date, end_date) of one domain: null ends become starts, ends before starts go."""
-        table, concept, start, end = DOMAINS[domain]
-        e = self.tables[table].select("person_id", F.col(concept).cast("long").alias("concept_id"), F.col(start).alias("start_date"), F.coalesce(end, start).alias("end_date"))
+        d = DOMAINS[domain]
+        e = self.tables[d.table].select("person_id", F.col(d.concept).cast("long").alias("concept_id"), F.col(d.start).alias("start_date"), F.coalesce(d.end, d.start).alias("end_date"))
         return e.where("start_date <= end_date")
 
 

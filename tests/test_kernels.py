@@ -148,31 +148,87 @@ def test_dose_patterns(spark):
     assert got == {1: 9, 2: 2, 3: 5, 4: 18, 5: None, 6: None}
 
 
-@pytest.mark.parametrize("key", ["includeMapped", "RestrictVisit", "UseIndexEnd", "UseEventEnd", "DateAdjustment", "Race", "Ethnicity", "domain"])
-def test_definition_raises_on_what_it_lacks(spark, key):
+def test_definition_raises_on_what_it_lacks(spark):
     """A key that would be ignored raises by its name, where it is set; false and null are as if it were absent."""
-    from eralith.operators.definition import generate
+    from eralith.operators.definition_types import parse
+
+    def definition(**more):
+        return {
+            "ConceptSets": [{"id": 0, "expression": {"items": [{"concept": {"CONCEPT_ID": 1}, "isExcluded": False}]}}],
+            "PrimaryCriteria": {"CriteriaList": [{"DrugExposure": {"CodesetId": 0, **more}}], "ObservationWindow": {"PriorDays": 3}},
+        }
 
-    on = lambda k, v=True: {k: v} if k == key else {}
-    table = lambda schema: spark.createDataFrame([], schema)
+    with pytest.raises(ValueError, match="GeneticMarker"):
+        parse(definition(GeneticMarker=1))
+    with pytest.raises(ValueError, match="not a known criterion"):
+        parse({"PrimaryCriteria": {"CriteriaList": [{"PayerPlanPeriod": {}}]}})
+    tree = parse(definition(GeneticMarker=False, DrugType=[{"CONCEPT_ID": 5}], Age={"Value": 3}))
+    spec = tree.primary_criteria.criteria_list[0]
+    assert spec.domain == "drug" and spec.record_type[0].concept_id == 5 and spec.age.op == "gte" and tree.primary_criteria.observation_window.prior_days == 3
+    assert parse({"primaryCriteria": {"criteriaList": [{"drugExposure": {"codesetId": 0}}]}}).primary_criteria.criteria_list[0].codeset_id == 0
+
+
+def _tables(spark):
+    from eralith.sources.clinical import Clinical
+
+    table = lambda schema, *rows: spark.createDataFrame(list(rows), schema).selectExpr(*(f"cast({x.split()[0]} as {x.split()[1]}) as {x.split()[0]}" for x in schema.split(", ")))
+    rows = lambda text, *rs: spark.createDataFrame([tuple(map(str, r)) for r in rs], ", ".join(f"{x.split()[0]} string" for x in text.split(", "))).selectExpr(*(f"cast({x.split()[0]} as {x.split()[1]}) as {x.split()[0]}" for x in text.split(", ")))
+    return Clinical({
+        "person": rows("person_id long, gender_concept_id long, year_of_birth int, race_concept_id long", (1, 8507, 1950, 7), (2, 8532, 1960, 8), (3, 8532, 1970, 7)),
+        "observation_period": rows("person_id long, observation_period_start_date date, observation_period_end_date date", *((p, "2000-01-01", "2001-12-31") for p in (1, 2, 3))),
+        "concept_ancestor": table("ancestor_concept_id long, descendant_concept_id long", (1, 1), (1, 2)),
+        "concept_relationship": rows("concept_id_1 long, concept_id_2 long, relationship_id string", (50, 2, "Maps to"), (51, 9, "Maps to")),
+        "drug_exposure": rows(
+            "person_id long, drug_concept_id long, drug_exposure_start_date date, drug_exposure_end_date date, visit_occurrence_id long, stop_reason string",
+            (1, 2, "2000-03-01", "2000-03-10", 11, "done"), (2, 50, "2000-03-01", "2000-03-10", 21, "stopped early"), (3, 51, "2000-03-01", "2000-03-10", 31, "done"), (3, 1, "2000-05-01", "2000-05-02", 32, "x"),
+        ),
+        "condition_occurrence": rows(
+            "person_id long, condition_concept_id long, condition_start_date date, condition_end_date date, visit_occurrence_id long",
+            (1, 5, "2000-03-11", "2000-03-20", 11), (2, 5, "2000-03-05", "2000-04-01", 99), (3, 5, "2000-04-20", "2000-05-01", 32),
+        ),
+    })
+
+
+def test_definition_filters(spark):
+    """Mapped codes, adjusted dates, text and race filters, nested criteria, windows from either end, visits."""
+    from eralith.operators.definition import generate
 
-    class Tables(dict):
-        def events(self, domain):
-            return table("person_id long, concept_id long, start_date date, end_date date")
+    c = _tables(spark)
+
+    def persons(criterion=None, member=None, demographic=None, mapped=True):
+        rules = {"Type": "ALL", "CriteriaList": [member] if member else [], "DemographicCriteriaList": [demographic] if demographic else []}
+        d = {
+            "ConceptSets": [{"id": 0, "expression": {"items": [{"concept": {"CONCEPT_ID": 1}, "includeDescendants": True, "includeMapped": mapped}]}}],
+            "PrimaryCriteria": {"CriteriaList": [{"DrugExposure": {"CodesetId": 0, **(criterion or {})}}]},
+            "InclusionRules": [{"name": "r", "expression": rules}], "EndStrategy": {"DateOffset": {"DateField": "EndDate", "Offset": 0}},
+        }
+        return sorted((r.subject_id, str(r.cohort_start_date)) for r in generate(c, d)[0].collect())
+
+    assert persons(mapped=False) == [(1, "2000-03-01"), (3, "2000-05-01")]
+    assert persons() == [(1, "2000-03-01"), (2, "2000-03-01"), (3, "2000-05-01")]
+    assert persons({"StopReason": {"Text": "early", "Op": "contains"}}) == [(2, "2000-03-01")]
+    assert persons({"DateAdjustment": {"StartWith": "END_DATE", "StartOffset": -1, "EndWith": "END_DATE", "EndOffset": 3}}) == [(1, "2000-03-09"), (2, "2000-03-09"), (3, "2000-05-01")]
+    assert persons(demographic={"Race": [{"CONCEPT_ID": 7}]}) == [(1, "2000-03-01"), (3, "2000-05-01")]
+    ill = {"Criteria": {"ConditionOccurrence": {}}}
+    assert persons(member=ill | {"RestrictVisit": True}) == [(1, "2000-03-01"), (3, "2000-05-01")]
+    after_end = {"Start": {"Days": 1, "Coeff": 1}, "End": {"Days": 5, "Coeff": 1}, "UseIndexEnd": True}
+    assert persons(member=ill | {"StartWindow": after_end}) == [(1, "2000-03-01")]
+    until_start = {"Start": {"Days": 5, "Coeff": -1}, "End": {"Days": 0, "Coeff": 1}, "UseEventEnd": True}
+    assert persons(member=ill | {"StartWindow": until_start}) == [(3, "2000-05-01")]
+    nested = {"CorrelatedCriteria": {"Type": "ALL", "CriteriaList": [{"Criteria": {"ConditionOccurrence": {}}, "StartWindow": {"Start": {"Days": 0, "Coeff": 1}, "End": {"Days": 5, "Coeff": 1}}}]}}
+    assert persons(nested) == [(2, "2000-03-01")]
+
+
+def test_definition_plan_grows_by_rule(spark):
+    """Relations in the optimised plan: as many more for every further rule, however many there are."""
+    from eralith.operators.definition import generate
 
-    c = Tables(
-        person=table("person_id long, gender_concept_id long, year_of_birth int"), concept_ancestor=table("ancestor_concept_id long, descendant_concept_id long"),
-        observation_period=table("person_id long, observation_period_start_date date, observation_period_end_date date"),
-    )
+    c = _tables(spark)
+    rule = {"name": "r", "expression": {"Type": "ALL", "CriteriaList": [{"Criteria": {"ConditionOccurrence": {}}, "StartWindow": {"Start": {"Days": 9, "Coeff": -1}, "End": {"Days": 9, "Coeff": 1}}}]}}
 
-    def definition(on):
-        member = {"Criteria": {"DrugExposure": {"CodesetId": 0}}, "StartWindow": {"Start": {"Days": 1, "Coeff": -1}, **on("UseIndexEnd"), **on("UseEventEnd")}, **on("RestrictVisit")}
-        return {
-            "ConceptSets": [{"id": 0, "expression": {"items": [{"concept": {"CONCEPT_ID": 1}, **on("includeMapped")}]}}],
-            "PrimaryCriteria": {"CriteriaList": [{"DrugExposure": {"CodesetId": 0, **on("DateAdjustment", {"StartOffset": 1})}}, *([{"Measurement": {}}] if on("domain") else [])]},
-            "InclusionRules": [{"name": "a", "expression": {"Type": "ALL", "CriteriaList": [member], "DemographicCriteriaList": [{**on("Race", [{"CONCEPT_ID": 1}]), **on("Ethnicity", [{"CONCEPT_ID": 1}])}]}}],
-        }
+    def relations(n):
+        made = generate(c, {"ConceptSets": [], "PrimaryCriteria": {"CriteriaList": [{"DrugExposure": {}}]}, "InclusionRules": [rule] * n})
+        return [df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + df._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") for df in made]
 
-    with pytest.raises(ValueError, match="Measurement" if key == "domain" else key):
-        generate(c, definition(on))
-    assert generate(c, definition(lambda k, v=None: {} if k == "domain" else {k: None} if k == key else {}))[0].columns
+    one, five, nine = relations(1), relations(5), relations(9)
+    assert [b - a for a, b in zip(one, five, strict=True)] == [b - a for a, b in zip(five, nine, strict=True)] and max(nine) < 40
