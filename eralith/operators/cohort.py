@@ -108,7 +108,7 @@ def subset_to_cohort(c: Clinical, cohort: DataFrame) -> Clinical:
 def sample_persons(c: Clinical, n: int, seed: int = 0) -> Clinical:
     """n persons by the order of a seeded hash: the same ones every time."""
     ids = c["person"].join(c["observation_period"], "person_id", "left_semi").select("person_id").distinct()
-    ids = ids.orderBy(F.xxhash64(F.lit(seed), "person_id"), "person_id").limit(n)
+    ids = ids.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "person_id")), "person_id").limit(n)
     return Clinical({k: t.join(ids, "person_id", "left_semi") if "person_id" in t.columns else t for k, t in c.tables.items()}, c.cohorts, c.name)
 
 

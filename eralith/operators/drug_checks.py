@@ -30,7 +30,7 @@ def ingredient_records(c: Clinical, ingredients: Sequence[int], sample: int | No
     if sample is None:
         return r
     # a threshold on a hash keeps about sample records of each without sorting them
-    key = F.pmod(F.xxhash64(F.lit(seed), *c["drug_exposure"].columns), F.lit(1 << 40))
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *sorted(c["drug_exposure"].columns))), 1, 10), 16, 10).cast("long")
     return r.where(key < F.ceil(F.lit(float(1 << 40)) * sample / F.col("n_total")))
 
 

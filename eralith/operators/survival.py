@@ -67,7 +67,8 @@ def with_competing(times: DataFrame, outcome: str, competing: str) -> DataFrame:
     """time and status (0, 1 outcome, 2 competing first) from two pairs of add_survival columns."""
     o_t, o_s, c_t, c_s = (F.col(f"{p}{x}") for p in (outcome, competing) for x in ("time", "status"))
     status = F.when((o_s == 1) & ((c_s != 1) | (o_t <= c_t)), 1).when(c_s == 1, 2).otherwise(0)
-    return times.withColumns({"status": F.when(o_t.isNotNull() & c_t.isNotNull(), status), "time": F.least(o_t, c_t)})
+    known = o_t.isNotNull() & c_t.isNotNull()  # neither event lies in the washout
+    return times.withColumns({"status": F.when(known, status), "time": F.when(known, F.least(o_t, c_t))})
 
 
 def risk_table(times: DataFrame, gap: int, by: Sequence[str] = ("cohort_definition_id",)) -> DataFrame:

@@ -37,6 +37,7 @@ FLAGSHIP = "cohort_by_sex"
 #: Derived tables of the oracle, over the projections: cohorts that several queries share.
 _DERIVED = {
     "brand3": "SELECT p.person_id, d.start_date, d.end_date, o.observation_period_start_date os, o.observation_period_end_date oe FROM (SELECT person_id, drug_concept_id, drug_exposure_start_date AS start_date, drug_exposure_end_date AS end_date FROM drug_exposure) d JOIN concept_ancestor a ON a.descendant_concept_id = d.drug_concept_id AND a.ancestor_concept_id = 1000003 JOIN person p USING (person_id) JOIN observation_period o ON o.person_id = d.person_id AND d.start_date BETWEEN o.observation_period_start_date AND o.observation_period_end_date",
+    "brand5": "SELECT p.person_id, drug_exposure_start_date AS start_date, drug_exposure_end_date AS end_date, o.observation_period_start_date os, o.observation_period_end_date oe FROM drug_exposure d JOIN concept_ancestor a ON a.descendant_concept_id = d.drug_concept_id AND a.ancestor_concept_id = 1000005 JOIN person p USING (person_id) JOIN observation_period o ON o.person_id = d.person_id AND drug_exposure_start_date BETWEEN o.observation_period_start_date AND o.observation_period_end_date",
     "target": "SELECT CAST(1 AS BIGINT) AS cohort_definition_id, person_id AS subject_id, MIN(start_date) AS cohort_start_date, MAX(oe) AS cohort_end_date FROM brand3 GROUP BY person_id",
     "outcome": "SELECT CAST(1 AS BIGINT) AS cohort_definition_id, person_id AS subject_id, condition_start_date AS cohort_start_date, condition_end_date AS cohort_end_date FROM condition_occurrence WHERE condition_concept_id = 3000001",
     "other": "SELECT CAST(1 AS BIGINT) AS cohort_definition_id, person_id AS subject_id, condition_start_date AS cohort_start_date, condition_end_date AS cohort_end_date FROM condition_occurrence WHERE condition_concept_id = 3000002",
@@ -60,8 +61,9 @@ def with_tables(sql: str) -> str:
                 todo.append(every[n])
     order = [n for n in every if n in need]
     ctes = ", ".join(f"{n} AS ({every[n]})" for n in order)
-    own = sql[5:] if sql.startswith("WITH ") else ""
-    return f"WITH {ctes}, {own}" if own else f"WITH {ctes} {sql}" if order else sql
+    kind = "WITH RECURSIVE" if sql.startswith("WITH RECURSIVE ") else "WITH"
+    own = sql[len(kind) + 1 :] if sql.startswith("WITH ") else ""
+    return f"{kind} {ctes}, {own}" if own else f"WITH {ctes} {sql}" if order else sql
 
 
 def query(oracle: str | None = None, clinical: bool = True):
@@ -138,7 +140,7 @@ def connector_subset_cohort(c):
     return co.subset_to_cohort(c, target(c))["drug_exposure"].agg(F.count("*").alias("n_rows"), F.count_distinct("person_id").alias("n_persons"))
 
 
-@query()
+@query("SELECT person_id FROM (SELECT DISTINCT person_id FROM person SEMI JOIN observation_period USING (person_id)) ORDER BY md5('1|' || person_id), person_id LIMIT 100")
 def connector_sample(c):
     return co.sample_persons(c, 100, seed=1)["person"].select("person_id")
 
@@ -307,6 +309,19 @@ def incidence_yearly(c):
     return longs(d.select("interval_start", "n_persons", "person_days", "n_events", F.round("rate_100000", 6).alias("rate_100000")), "person_days", "n_events")
 
 
+_QUARTERS = f"SELECT subject_id, s, e, CAST(q AS DATE) AS i, CAST(q + INTERVAL 3 MONTH AS DATE) - 1 AS j FROM (SELECT *, unnest(generate_series(date_trunc('quarter', s), e, INTERVAL 3 MONTH)) AS q FROM ({_DEN}) WHERE s <= e)"
+_EVENTS = "SELECT subject_id, min(cohort_start_date) AS d FROM outcome GROUP BY 1"
+_RATES = "SELECT CAST(1 AS BIGINT) AS cohort_definition_id, interval_start, interval_end, CAST(count(*) AS BIGINT) AS n_persons, CAST(sum(days) AS BIGINT) AS person_days, CAST(sum(n) AS BIGINT) AS n_events, round(sum(days) / 365.25, 6) AS person_years, round(sum(n) / (sum(days) / 365.25) * 100000, 6) AS rate_100000 FROM (SELECT i AS interval_start, j AS interval_end, d.subject_id, max(date_diff('day', greatest(s, i), least(e, j)) + 1) AS days, count(o.d) AS n FROM ({intervals}) d LEFT JOIN ({events}) o ON o.subject_id = d.subject_id AND o.d BETWEEN i AND j GROUP BY 1, 2, 3) GROUP BY 1, 2, 3"
+#: Dates of each person's outcomes that lie more than 90 days after the last one kept.
+_KEPT = "WITH RECURSIVE o AS (SELECT subject_id, d, row_number() OVER (PARTITION BY subject_id ORDER BY d) AS n FROM (SELECT DISTINCT subject_id, cohort_start_date AS d FROM outcome)), kept AS (SELECT subject_id, d, n, d AS last FROM o WHERE n = 1 UNION ALL SELECT o.subject_id, o.d, o.n, CASE WHEN o.d - kept.last > 90 THEN o.d ELSE kept.last END FROM kept JOIN o ON o.subject_id = kept.subject_id AND o.n = kept.n + 1) "
+
+
+@query(_KEPT + _RATES.format(intervals=_QUARTERS, events="SELECT subject_id, d FROM kept WHERE d = last"))
+def incidence_repeated(c):
+    d = ic.incidence(_denominator(c), condition(c, 3000001), interval="quarters", washout=90, repeated=True)
+    return longs(d, "n_persons", "person_days", "n_events").withColumns({x: F.round(x, 6) for x in ("person_years", "rate_100000")})
+
+
 @query()
 def incidence_repeated_limits(c):
     d = ic.incidence(_denominator(c), condition(c, 3000001), interval="quarters", washout=90, repeated=True)
@@ -350,18 +365,19 @@ def incidence_by_sex(c):
     return longs(d.select("sex", "interval_start", "n_persons", "n_events"), "n_events")
 
 
-@query()
+@query(_RATES.format(intervals=_QUARTERS, events=_EVENTS) + f" HAVING interval_start >= (SELECT min(s) FROM ({_DEN}) WHERE s <= e) AND interval_end <= (SELECT max(e) FROM ({_DEN}) WHERE s <= e)")
 def incidence_complete_quarters(c):
     den = _denominator(c)
-    return ic.complete_intervals(ic.incidence(den, condition(c, 3000001), interval="quarters"), den)
+    d = ic.complete_intervals(ic.incidence(den, condition(c, 3000001), interval="quarters"), den)
+    return longs(d, "n_persons", "person_days", "n_events").withColumns({x: F.round(x, 6) for x in ("person_years", "rate_100000")})
 
 
-@query()
+@query("WITH e AS (SELECT a.ancestor_concept_id AS k, d.person_id, unnest(range(0, date_diff('day', drug_exposure_start_date, least(drug_exposure_end_date, observation_period_end_date)) + 1)) AS x, drug_exposure_start_date AS s FROM drug_exposure d JOIN concept_ancestor a ON a.descendant_concept_id = d.drug_concept_id AND a.ancestor_concept_id IN (1000003, 1000005) JOIN observation_period o ON o.person_id = d.person_id AND drug_exposure_start_date BETWEEN observation_period_start_date AND observation_period_end_date), day AS (SELECT person_id, s + CAST(x AS INT) AS d FROM e GROUP BY 1, 2 HAVING count(DISTINCT k) = 2) SELECT CAST(9 AS BIGINT) AS cohort_definition_id, person_id AS subject_id, min(d) AS cohort_start_date, max(d) AS cohort_end_date FROM (SELECT *, d - CAST(row_number() OVER (PARTITION BY person_id ORDER BY d) AS INT) AS g FROM day) GROUP BY person_id, g")
 def cohort_intersection(c):
     return co.intersect_cohorts(co.concept_cohort(c, {"a": [1000003], "b": [1000005]}, limit="all", end="event"), [1, 2], 9)
 
 
-@query()
+@query(f"WITH s AS (SELECT *, {_AGE} AS age, date_diff('day', (SELECT max(observation_period_start_date) FROM observation_period o WHERE o.person_id = t.subject_id AND t.cohort_start_date BETWEEN o.observation_period_start_date AND o.observation_period_end_date), cohort_start_date) AS prior FROM target t JOIN birth b ON b.person_id = t.subject_id), n AS (SELECT 1 AS reason_id, 'all' AS reason, count(*) AS r, count(DISTINCT subject_id) AS p FROM s UNION ALL SELECT 2, 'adult', count(*), count(DISTINCT subject_id) FROM s WHERE age BETWEEN 18 AND 150 UNION ALL SELECT 3, 'prior', count(*), count(DISTINCT subject_id) FROM s WHERE age BETWEEN 18 AND 150 AND prior >= 180) SELECT CAST(reason_id AS BIGINT) AS reason_id, reason, r AS number_records, p AS number_subjects, coalesce(lag(r) OVER (ORDER BY reason_id) - r, 0) AS excluded_records, coalesce(lag(p) OVER (ORDER BY reason_id) - p, 0) AS excluded_subjects FROM n")
 def cohort_attrition(c):
     t = target(c)
     steps = [("all", t), ("adult", co.require_demographics(c, t, ages=(18, 150))), ("prior", co.require_demographics(c, t, ages=(18, 150), prior=180))]
@@ -426,9 +442,11 @@ def drug_use(c):
     return longs(d.select("subject_id", "number_exposures", "days_prescribed", F.round("cumulative_quantity", 6).alias("cumulative_quantity"), "time_to_exposure"), "number_exposures", "days_prescribed", "time_to_exposure")
 
 
-@query()
+@query("WITH x AS (SELECT t.subject_id, t.cohort_start_date AS i, t.cohort_end_date AS c, drug_exposure_start_date AS s, drug_exposure_end_date AS e, quantity AS q, days_supply FROM target t JOIN (SELECT d.* FROM drug_exposure d JOIN concept_ancestor a ON a.descendant_concept_id = drug_concept_id AND ancestor_concept_id = 1000003) d ON d.person_id = t.subject_id AND drug_exposure_start_date BETWEEN t.cohort_start_date AND t.cohort_end_date), era AS (SELECT subject_id, i, count(*) AS n FROM (SELECT *, CASE WHEN max(e) OVER w + 30 >= s THEN 0 ELSE 1 END AS f FROM (SELECT subject_id, i, s, least(e, c) AS e FROM x) WINDOW w AS (PARTITION BY subject_id, i ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE f = 1 GROUP BY 1, 2), day AS (SELECT subject_id, i, count(DISTINCT d) AS n FROM (SELECT subject_id, i, s + CAST(unnest(range(0, date_diff('day', s, least(e, c)) + 1)) AS INT) AS d FROM x) GROUP BY 1, 2), f AS (SELECT *, row_number() OVER (PARTITION BY subject_id, i ORDER BY s, e, q, days_supply) AS k FROM x), a AS (SELECT subject_id, i, count(*) AS n, sum(date_diff('day', s, e) + 1) AS p, sum(q) AS q, sum(q / (date_diff('day', s, e) + 1) * (date_diff('day', s, least(e, c)) + 1)) AS dose FROM x GROUP BY 1, 2) SELECT t.subject_id, t.cohort_start_date, coalesce(a.n, 0) AS number_exposures, coalesce(era.n, 0) AS number_eras, coalesce(day.n, 0) AS days_exposed, CAST(coalesce(a.p, 0) AS BIGINT) AS days_prescribed, date_diff('day', t.cohort_start_date, f.s) AS time_to_exposure, date_diff('day', f.s, f.e) + 1 AS initial_exposure_duration, coalesce(f.q, 0) AS initial_quantity, coalesce(a.q, 0) AS cumulative_quantity, round(coalesce(f.q / (date_diff('day', f.s, f.e) + 1), 0), 6) AS initial_daily_dose, round(coalesce(a.dose, 0), 6) AS cumulative_dose FROM target t LEFT JOIN a ON a.subject_id = t.subject_id LEFT JOIN era ON era.subject_id = t.subject_id LEFT JOIN day ON day.subject_id = t.subject_id LEFT JOIN f ON f.subject_id = t.subject_id AND f.k = 1")
 def drug_use_all(c):
-    return dr.add_drug_use(c, target(c), vo.descendants(c, [1000003]))
+    d = dr.add_drug_use(c, target(c), vo.descendants(c, [1000003])).drop("cohort_definition_id", "cohort_end_date")
+    d = longs(d, "number_exposures", "number_eras", "days_exposed", "days_prescribed", "time_to_exposure", "initial_exposure_duration")
+    return d.withColumns({x: F.round(x, 6) for x in ("initial_daily_dose", "cumulative_dose")})
 
 
 @query("SELECT CAST(day AS BIGINT) AS day, CAST(count(*) AS BIGINT) AS n_observed FROM (SELECT unnest(range(0, least(date_diff('day', cohort_start_date, cohort_end_date), 365) + 1)) AS day FROM target) GROUP BY 1")
@@ -436,9 +454,10 @@ def drug_coverage_observed(c):
     return dr.proportion_covered(target(c), c, 365).select("day", F.col("n_observed").cast("long").alias("n_observed"))
 
 
-@query()
+@query(f"WITH e AS ({_ISLANDS.replace('{gap}', '0')}), f AS (SELECT subject_id, min(cohort_start_date) AS i FROM e GROUP BY 1), seen AS (SELECT f.subject_id, f.i, least(date_diff('day', i, observation_period_end_date), 365) AS n FROM f JOIN observation_period o ON o.person_id = f.subject_id), cover AS (SELECT DISTINCT e.subject_id, date_diff('day', i, cohort_start_date) + x AS day FROM (SELECT *, unnest(range(0, date_diff('day', cohort_start_date, cohort_end_date) + 1)) AS x FROM e) e JOIN seen USING (subject_id)), total AS (SELECT day, count(*) AS n FROM (SELECT unnest(range(0, n + 1)) AS day FROM seen WHERE n >= 0) GROUP BY 1) SELECT CAST(1 AS BIGINT) AS cohort_definition_id, CAST(total.day AS BIGINT) AS day, CAST(count(s.subject_id) AS BIGINT) AS n_covered, CAST(max(total.n) AS BIGINT) AS n_observed, round(count(s.subject_id) / max(total.n), 6) AS ppc FROM total LEFT JOIN cover c ON c.day = total.day LEFT JOIN seen s ON s.subject_id = c.subject_id AND c.day <= s.n GROUP BY total.day")
 def drug_coverage(c):
-    return dr.proportion_covered(co.concept_cohort(c, {"brand3": [1000003]}, limit="all", end="event"), c, 365)
+    d = dr.proportion_covered(co.concept_cohort(c, {"brand3": [1000003]}, limit="all", end="event"), c, 365)
+    return longs(d, "n_covered", "n_observed").withColumn("ppc", F.round("ppc", 6))
 
 
 @query("SELECT indication, count(*) AS n FROM (SELECT t.subject_id, CASE WHEN max(CASE WHEN o.subject_id IS NOT NULL THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN p.subject_id IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN 'high and urgent' WHEN max(CASE WHEN o.subject_id IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN 'urgent' WHEN max(CASE WHEN p.subject_id IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN 'high' ELSE 'unknown' END AS indication FROM target t LEFT JOIN outcome o ON o.subject_id = t.subject_id AND o.cohort_start_date BETWEEN t.cohort_start_date - 180 AND t.cohort_start_date LEFT JOIN other p ON p.subject_id = t.subject_id AND p.cohort_start_date BETWEEN t.cohort_start_date - 180 AND t.cohort_start_date GROUP BY 1) GROUP BY 1")
@@ -447,7 +466,10 @@ def drug_indication(c):
     return dr.indication(target(c), both, {1: "urgent", 2: "high"}, (-180, 0)).groupBy("indication").agg(F.count("*").alias("n"))
 
 
-@query()
+_RESTART = "CASE WHEN coalesce(again <= least({n}, rest), false) AND coalesce(switch <= least({n}, rest), false) THEN 'restart and switch' WHEN coalesce(again <= least({n}, rest), false) THEN 'restart' WHEN coalesce(switch <= least({n}, rest), false) THEN 'switch' ELSE 'untreated' END AS drug_restart_{n}"
+
+
+@query(f"WITH t AS ({_ISLANDS.replace('{gap}', '30')}), s AS ({_ISLANDS.replace('{gap}', '30').replace('brand3', 'brand5')}), d AS (SELECT t.*, date_diff('day', cohort_end_date, lead(cohort_start_date) OVER (PARTITION BY subject_id ORDER BY cohort_start_date, cohort_end_date)) AS again, (SELECT min(date_diff('day', t.cohort_end_date, s.cohort_start_date)) FROM s WHERE s.subject_id = t.subject_id AND s.cohort_start_date > t.cohort_end_date) AS switch, date_diff('day', cohort_end_date, observation_period_end_date) AS rest FROM t LEFT JOIN observation_period ON person_id = subject_id) SELECT cohort_definition_id, subject_id, cohort_start_date, cohort_end_date, {', '.join(_RESTART.format(n=n) for n in (180, 365))} FROM d")
 def drug_restart(c):
     t = co.concept_cohort(c, {"brand3": [1000003]}, limit="all", end="event", gap=30)
     s = co.concept_cohort(c, {"brand5": [1000005]}, limit="all", end="event", gap=30)
@@ -491,16 +513,29 @@ def survival_risk_table(c):
     return su.risk_table(su.add_survival(c, target(c), condition(c, 3000001), washout=180), 180).drop("cohort_definition_id")
 
 
-@query()
+_COMPETING = """
+WITH death_at AS (SELECT t.subject_id, date_diff('day', t.cohort_start_date, max(observation_period_end_date)) AS last, min(CASE WHEN death_date >= t.cohort_start_date THEN date_diff('day', t.cohort_start_date, death_date) END) AS ev, coalesce(max(CASE WHEN death_date < t.cohort_start_date AND date_diff('day', death_date, t.cohort_start_date) <= 180 THEN 1 ELSE 0 END), 0) AS early
+  FROM target t JOIN observation_period o ON o.person_id = t.subject_id AND t.cohort_start_date BETWEEN o.observation_period_start_date AND o.observation_period_end_date LEFT JOIN death d ON d.person_id = t.subject_id GROUP BY t.subject_id, t.cohort_start_date),
+c AS (SELECT subject_id, CASE WHEN ev <= last THEN ev ELSE last END AS time, CASE WHEN ev <= last THEN 1 ELSE 0 END AS status FROM death_at WHERE early = 0),
+b AS (SELECT least(o.time, c.time) AS time, CASE WHEN o.status = 1 AND (c.status <> 1 OR o.time <= c.time) THEN 1 WHEN c.status = 1 THEN 2 ELSE 0 END AS status FROM surv o JOIN c USING (subject_id) WHERE o.time IS NOT NULL),
+step AS (SELECT time, count(*) FILTER (status = 1) AS one, count(*) FILTER (status = 2) AS two, sum(count(*)) OVER (ORDER BY time DESC) AS n FROM b GROUP BY time),
+d AS (SELECT *, exp(coalesce(sum(CASE WHEN one + two < n THEN ln(1 - (one + two) / n) ELSE -1e9 END) OVER (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * one / n AS d FROM step)
+SELECT CAST(1 AS BIGINT) AS cohort_definition_id, CAST(time AS BIGINT) AS time, CAST(n AS BIGINT) AS n_risk, one AS n_events, two AS n_competing, round(sum(d) OVER (ORDER BY time), 6) AS cumulative_incidence FROM d
+"""
+
+
+@query(_COMPETING.strip())
 def survival_competing(c):
     t = su.add_survival(c, target(c), condition(c, 3000001), washout=180, name="o_")
     t = su.add_survival(c, t, co.event_cohort(c["death"], "person_id", "death_date", "death_date"), washout=180, name="c_")
-    return su.cumulative_incidence(su.with_competing(t, "o_", "c_"))
+    d = su.cumulative_incidence(su.with_competing(t, "o_", "c_"))
+    return longs(d, "n_risk", "n_events", "n_competing").withColumn("cumulative_incidence", F.round("cumulative_incidence", 6))
 
 
-@query()
+@query(f"WITH km AS (SELECT time, n, d, CASE WHEN max(CASE WHEN d = n THEN 1 ELSE 0 END) OVER (ORDER BY time) = 1 THEN 0.0 ELSE exp(sum(CASE WHEN d < n THEN ln(1 - d * 1.0 / n) ELSE 0 END) OVER (ORDER BY time)) END AS s FROM ({_RISK})), a AS (SELECT *, coalesce(lag(s) OVER (ORDER BY time), 1.0) * (time - coalesce(lag(time) OVER (ORDER BY time), 0)) AS area FROM km) SELECT CAST(1 AS BIGINT) AS cohort_definition_id, CAST(max(n) AS BIGINT) AS n_records, CAST(sum(d) AS BIGINT) AS n_events, CAST(min(CASE WHEN s <= 0.5 THEN time END) AS BIGINT) AS median_survival, round(sum(area), 6) AS restricted_mean FROM a")
 def survival_summary(c):
-    return su.survival_summary(su.kaplan_meier(su.add_survival(c, target(c), condition(c, 3000001), washout=180)))
+    d = su.survival_summary(su.kaplan_meier(su.add_survival(c, target(c), condition(c, 3000001), washout=180)))
+    return longs(d, "n_records", "n_events", "median_survival").withColumn("restricted_mean", F.round("restricted_mean", 6))
 
 
 # pathways, definitions, diagnostics, results, streams
@@ -666,14 +701,25 @@ def diagnostics_quantity(c):
     return d.select("ingredient_concept_id", "n_records", "min", "q25", "q50", "max", F.round("mean", 6).alias("mean"))
 
 
-@query()
+def _sampled_missing() -> str:
+    columns = ["drug_concept_id", "person_id", "drug_exposure_start_date", "drug_exposure_end_date", "quantity", "days_supply", "route", "visit_occurrence_id"]
+    few = lambda x: f"CASE WHEN {x} = 0 OR {x} >= 5 THEN {x} END"
+    one = lambda x: f"SELECT ingredient_concept_id, '{x}' AS variable, {few('count(*)')} AS n_records, {few(f'(count(*) - count({x}))')} AS n_missing, round(CASE WHEN count(*) - count({x}) = 0 OR count(*) - count({x}) >= 5 THEN (count(*) - count({x})) / count(*) END, 6) AS share FROM s GROUP BY 1"
+    key = f"CAST('0x' || substr(md5(concat_ws('|', 0, {', '.join(sorted(columns))})), 1, 10) AS BIGINT)"
+    return (
+        f"WITH r AS (SELECT d.*, ancestor_concept_id AS ingredient_concept_id, count(*) OVER (PARTITION BY ancestor_concept_id) AS n_total FROM drug_exposure d JOIN concept_ancestor ON descendant_concept_id = drug_concept_id AND ancestor_concept_id IN (1000001, 1000002)), "
+        f"s AS (SELECT * FROM r WHERE {key} < ceil(1099511627776.0 * 50 / n_total)) {' UNION ALL '.join(one(x) for x in columns)}"
+    )
+
+
+@query(_sampled_missing())
 def diagnostics_sampled_missing(c):
-    return dc.execute_checks(c, [1000001, 1000002], ["missing"], sample=50)["missing"]
+    return dc.execute_checks(c, [1000001, 1000002], ["missing"], sample=50)["missing"].withColumn("share", F.round("share", 6))
 
 
-@query()
+@query("SELECT drug_concept_id, count(g) AS n_gaps, CAST(min(g) AS BIGINT) AS min_gap, round(avg(g), 6) AS mean_gap, CAST(max(g) AS BIGINT) AS max_gap FROM (SELECT drug_concept_id, date_diff('day', lag(drug_exposure_start_date) OVER (PARTITION BY drug_concept_id, person_id ORDER BY drug_exposure_start_date, drug_exposure_end_date), drug_exposure_start_date) AS g FROM drug_exposure) GROUP BY 1")
 def diagnostics_days_between(c):
-    return di.drug_days_between(c["drug_exposure"])
+    return longs(di.drug_days_between(c["drug_exposure"]), "min_gap", "max_gap").withColumn("mean_gap", F.round("mean_gap", 6))
 
 
 @query("SELECT CAST(1 AS BIGINT) AS result_id, region, sex, CASE WHEN n < 8 THEN '-' ELSE CAST(n AS VARCHAR) END AS count FROM (SELECT region, CASE WHEN gender_concept_id = 8507 THEN 'Male' ELSE 'Female' END AS sex, count(*) AS n FROM target JOIN person ON person_id = subject_id JOIN location USING (location_id) WHERE subject_id % 20 = 3 GROUP BY 1, 2)")
@@ -703,22 +749,64 @@ def _timing(c):
     return c["visit_occurrence"].select("person_id", F.col("visit_start_date").alias("record_date"), (k_ * 2 - 1).alias("min_month"), (k_ * 2 + 1).alias("max_month"))
 
 
-@query()
+#: Outcome records from the latest back, and what is left in groups from each first date.
+_HIP = """
+o AS (SELECT person_id, d, k, CAST(k IN ('LB', 'SB', 'DELIV') AS INT) AS late, row_number() OVER (PARTITION BY person_id ORDER BY d DESC, k DESC) AS n
+  FROM (SELECT person_id, condition_start_date AS d, CASE condition_concept_id WHEN 3000001 THEN 'LB' WHEN 3000002 THEN 'SA' WHEN 3000003 THEN 'DELIV' END AS k FROM condition_occurrence) WHERE k IS NOT NULL),
+back AS (
+  SELECT person_id, n, d, k, d AS last, late, true AS kept FROM o WHERE n = 1
+  UNION ALL SELECT o.person_id, o.n, o.d, o.k, CASE WHEN ok THEN o.d ELSE last END, CASE WHEN ok THEN o.late ELSE b_late END, ok
+  FROM (SELECT o.*, last, b.late AS b_late, date_diff('day', o.d, last) >= CASE o.late + b.late WHEN 2 THEN 168 WHEN 1 THEN 56 ELSE 42 END AS ok FROM back b JOIN o ON o.person_id = b.person_id AND o.n = b.n + 1) o
+),
+found AS (SELECT person_id, d - CASE k WHEN 'SA' THEN 168 ELSE 308 END AS s, d AS e, k, d AS outcome, 1 AS m FROM back WHERE kept),
+g AS (SELECT person_id, condition_start_date AS d, row_number() OVER (PARTITION BY person_id ORDER BY condition_start_date) AS n FROM condition_occurrence c
+  WHERE condition_concept_id > 3000003 AND NOT EXISTS (SELECT 1 FROM found f WHERE f.person_id = c.person_id AND condition_start_date BETWEEN s AND e)),
+forth AS (SELECT person_id, n, d, d AS s FROM g WHERE n = 1 UNION ALL SELECT g.person_id, g.n, g.d, CASE WHEN date_diff('day', s, g.d) > 305 THEN g.d ELSE s END FROM forth JOIN g ON g.person_id = forth.person_id AND g.n = forth.n + 1),
+every AS (SELECT * FROM found UNION ALL SELECT person_id, s, max(d), 'PREG', NULL, count(*) FROM forth GROUP BY person_id, s),
+hip AS (SELECT person_id, row_number() OVER (PARTITION BY person_id ORDER BY s, e, k) AS episode_id, s AS episode_start_date, e AS episode_end_date, k AS category, outcome AS outcome_date, CAST(m AS BIGINT) AS n_records FROM every)
+""".strip()
+#: Records in order; each goes on with the episode or opens one.
+_PPS = """
+v AS (SELECT person_id, visit_start_date AS d, (visit_concept_id - 9200) * 2 - 1 AS lo, (visit_concept_id - 9200) * 2 + 1 AS hi, row_number() OVER (PARTITION BY person_id ORDER BY visit_start_date, visit_concept_id) AS n FROM visit_occurrence),
+walk AS (
+  SELECT person_id, n, d, d AS s, 1 AS ep FROM v WHERE n = 1
+  UNION ALL SELECT person_id, n, d, CASE WHEN fresh THEN d ELSE s END, ep + CAST(fresh AS INT)
+  FROM (SELECT v.*, w.s, w.ep, date_diff('day', w.d, v.d) > 300 OR (NOT (date_diff('day', w.s, v.d) / 30.0 BETWEEN lo - 2 AND hi + 2) AND date_diff('day', w.d, v.d) > 30) AS fresh FROM walk w JOIN v ON v.person_id = w.person_id AND v.n = w.n + 1)
+),
+pps AS (SELECT person_id, row_number() OVER (PARTITION BY person_id ORDER BY ep) AS episode_id, min(s) AS episode_start_date, max(d) AS episode_end_date, 'PREG' AS category, CAST(NULL AS DATE) AS outcome_date, count(*) AS n_records FROM walk GROUP BY person_id, ep HAVING date_diff('day', min(s), max(d)) <= 365)
+""".strip()
+#: Pairs by the distance of their ends, each episode once.
+_MERGED = """,
+pair AS (SELECT h.person_id, h.episode_id AS h, p.episode_id AS p, row_number() OVER (PARTITION BY h.person_id ORDER BY abs(date_diff('day', h.episode_end_date, p.episode_end_date)), h.episode_id, p.episode_id) AS n
+  FROM hip h JOIN pps p ON h.person_id = p.person_id AND h.episode_start_date <= p.episode_end_date AND p.episode_start_date <= h.episode_end_date),
+take AS (
+  SELECT person_id, n, h, p, [h] AS hs, [p] AS ps, true AS ok FROM pair WHERE n = 1
+  UNION ALL SELECT person_id, n, h, p, CASE WHEN free THEN list_append(hs, h) ELSE hs END, CASE WHEN free THEN list_append(ps, p) ELSE ps END, free
+  FROM (SELECT pair.*, hs, ps, NOT list_contains(hs, pair.h) AND NOT list_contains(ps, pair.p) AS free FROM take t JOIN pair ON pair.person_id = t.person_id AND pair.n = t.n + 1)
+),
+m AS (SELECT person_id, h, p FROM take WHERE ok)
+SELECT coalesce(h.person_id, p.person_id) AS person_id, least(h.episode_start_date, p.episode_start_date) AS episode_start_date, greatest(h.episode_end_date, p.episode_end_date) AS episode_end_date,
+  coalesce(h.category, 'PREG') AS category, h.outcome_date, coalesce(p.n_records, 0) AS n_records, CASE WHEN h.person_id IS NULL THEN 'PPS' WHEN p.person_id IS NULL THEN 'HIP' ELSE 'HIP+PPS' END AS source
+FROM (SELECT hip.*, m.p FROM hip LEFT JOIN m ON m.person_id = hip.person_id AND m.h = hip.episode_id) h FULL JOIN pps p ON p.person_id = h.person_id AND p.episode_id = h.p
+"""
+
+
+@query("WITH RECURSIVE " + _HIP + " SELECT * FROM hip")
 def pregnancy_outcome_episodes(c):
     return pr.outcome_episodes(_outcomes(c))
 
 
-@query()
+@query("WITH RECURSIVE " + _PPS + " SELECT * FROM pps")
 def pregnancy_timing_episodes(c):
     return pr.timing_episodes(_timing(c))
 
 
-@query()
+@query("WITH RECURSIVE " + _HIP + ", " + _PPS + _MERGED)
 def pregnancy_merged(c):
     return pr.merge_episodes(pr.outcome_episodes(_outcomes(c)), pr.timing_episodes(_timing(c)))
 
 
-@query()
+@query("WITH RECURSIVE " + _PPS + " SELECT count(*) AS n_episodes, count(*) FILTER (e < s) AS n_inverted, count(*) FILTER (date_diff('day', s, e) > 365) AS n_long, count(*) FILTER (b >= s) AS n_overlapping FROM (SELECT episode_start_date AS s, episode_end_date AS e, lag(episode_end_date) OVER (PARTITION BY person_id ORDER BY episode_start_date, episode_end_date) AS b FROM pps)")
 def pregnancy_validation(c):
     return pr.validate_episodes(pr.timing_episodes(_timing(c)))
 
@@ -728,8 +816,8 @@ def stream_sessions(spark, sf_dir):
     return eras.sessions(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("total_value", F.round("total_value", 4))
 
 
-@query(clinical=False)
+@query("SELECT CAST(q AS DATE) AS start, count(*) AS n_persons FROM (SELECT unnest(generate_series(date_trunc('quarter', observation_period_start_date), observation_period_end_date, INTERVAL 3 MONTH)) AS q FROM observation_period) GROUP BY 1", clinical=False)
 def kernel_calendar(spark, sf_dir):
     c = project(spark, sf_dir)
     grid = c["observation_period"].select("person_id", F.explode(k.calendar(F.col("observation_period_start_date"), F.col("observation_period_end_date"), "quarters")).alias("i"))
-    return grid.groupBy("i.start").agg(F.count("*").alias("n_persons"))
+    return grid.groupBy(F.col("i.start").alias("start")).agg(F.count("*").alias("n_persons"))
