@@ -40,6 +40,33 @@ def data_hash(c: Clinical, keys: dict[str, str]) -> DataFrame:
     return d.withColumn("hash", F.md5(F.concat_ws("|", "table", "n_rows", "n_distinct")))
 
 
+def benchmark(c: Clinical) -> dict[str, float]:
+    """Seconds of six probes: distinct and grouped counts, a join, a collected table and ranges by sex."""
+    import time
+
+    drug, person = c["drug_exposure"], c["person"]
+    probes = {
+        "distinct_concepts": drug.select("drug_concept_id").distinct(), "records_by_concept": drug.groupBy("drug_concept_id").count(),
+        "join_person": drug.join(person, "person_id"), "persons": person, "join_concept": drug.join(c["concept"], drug["drug_concept_id"] == c["concept"]["concept_id"]),
+        "birth_years_by_sex": person.groupBy("gender_concept_id").agg(F.min("year_of_birth"), F.max("year_of_birth")),
+    }
+    out = {}
+    for name, df in probes.items():
+        begin = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        out[name] = time.perf_counter() - begin
+    return out
+
+
+def snapshot_with_source(c: Clinical) -> DataFrame:
+    """The snapshot with the vocabulary's version and the source's own words, where the tables are there; else null."""
+    text = lambda table, where, column: c[table].where(where).agg(F.max(column).alias(column)) if table in c else None
+    d = snapshot(c).withColumn("cdm_name", F.lit(c.name))
+    for part, name in ((text("vocabulary", "vocabulary_id = 'None'", "vocabulary_version"), "vocabulary_version"), (text("cdm_source", "true", "cdm_source_name"), "cdm_source_name")):
+        d = d.crossJoin(part) if part is not None else d.withColumn(name, F.lit(None).cast("string"))  # one row each
+    return d
+
+
 def snapshot(c: Clinical) -> DataFrame:
     """One row: persons, observation periods, first and last observed day."""
     op = c["observation_period"].agg(F.count("*").alias("observation_periods"), F.min("observation_period_start_date").alias("earliest"), F.max("observation_period_end_date").alias("latest"))

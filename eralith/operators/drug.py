@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,6 +81,37 @@ def proportion_covered(cohort: DataFrame, c: Clinical, days: int) -> DataFrame:
     return d.select("cohort_definition_id", F.col("day").cast("long").alias("day"), *(v.alias(k) for k, v in n.items())).where("n_observed > 0").withColumn("ppc", F.col("n_covered") / F.col("n_observed"))
 
 
+def ingredient_cohorts(c: Clinical, ingredients: DataFrame, gap: int = 1) -> DataFrame:
+    """Eras of use of each ingredient (cohort_definition_id, ingredient_concept_id): exposures to its descendants."""
+    a = c["concept_ancestor"].join(ingredients, F.col("ancestor_concept_id") == F.col("ingredient_concept_id"))
+    return _eras(c, a.select("cohort_definition_id", F.col("descendant_concept_id").alias("drug_concept_id")), gap)
+
+
+def atc_cohorts(c: Clinical, word: str | None = None, levels: Sequence[str] = ("ATC 1st",), gap: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(cohort, settings): eras of use of the drugs below each ATC concept; a cohort is numbered by its concept."""
+    from eralith.operators.vocabulary import atc_codes
+
+    atc = atc_codes(c, word, levels)
+    below = c["concept_ancestor"].join(atc, F.col("ancestor_concept_id") == F.col("concept_id"))
+    cohort = _eras(c, below.select(F.col("concept_id").alias("cohort_definition_id"), F.col("descendant_concept_id").alias("drug_concept_id")), gap)
+    return cohort, atc.select(F.col("concept_id").alias("cohort_definition_id"), F.col("name").alias("cohort_name"))
+
+
+def _eras(c: Clinical, codes: DataFrame, gap: int) -> DataFrame:
+    op = c["observation_period"].select("person_id", F.col("observation_period_start_date").alias("_s"), F.col("observation_period_end_date").alias("_e"))
+    d = c["drug_exposure"].join(codes.distinct(), "drug_concept_id").join(op, "person_id")
+    d = d.where("drug_exposure_start_date between _s and _e")
+    end = F.least(F.coalesce("drug_exposure_end_date", "drug_exposure_start_date"), "_e")
+    d = d.select(F.col("cohort_definition_id").cast("long").alias("cohort_definition_id"), F.col("person_id").alias("subject_id"), F.col("drug_exposure_start_date").alias("cohort_start_date"), end.alias("cohort_end_date"))
+    return islands(d.where("cohort_start_date <= cohort_end_date"), ["cohort_definition_id", "subject_id"], "cohort_start_date", "cohort_end_date", gap)
+
+
+def add_treatment(df: DataFrame, cohorts: DataFrame, names: Mapping[int, str], window: tuple[int | None, int | None]) -> DataFrame:
+    """treatment: names of the treatment cohorts that meet the window, sorted and joined; "untreated" where none does."""
+    d = indication(df, cohorts, dict(names), window).withColumnRenamed("indication", "treatment")
+    return d.withColumn("treatment", F.when(F.col("treatment") == "unknown", "untreated").otherwise(F.col("treatment")))
+
+
 def indication(df: DataFrame, cohorts: DataFrame, names: dict[int, str], window: tuple[int | None, int | None]) -> DataFrame:
     """indication: names of the indication cohorts that meet the window, sorted and joined; "unknown" where none does."""
     from eralith.functions.kernels import in_window

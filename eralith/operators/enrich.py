@@ -21,6 +21,22 @@ def birth_date() -> Column:
     return F.make_date("year_of_birth", F.coalesce("month_of_birth", F.lit(1)), F.coalesce("day_of_birth", F.lit(1)))
 
 
+def add_concept_name(c: Clinical, df: DataFrame, *columns: str) -> DataFrame:
+    """{column}_name of each concept column; without columns, of all that end in _concept_id."""
+    for column in columns or [x for x in df.columns if x.endswith("_concept_id")]:
+        names = c["concept"].select(F.col("concept_id").alias("_c"), F.col("concept_name").alias(f"{column}_name"))
+        df = df.join(names, F.col(column) == F.col("_c"), "left").drop("_c")
+    return df
+
+
+def add_cdm_name(c: Clinical, df: DataFrame) -> DataFrame:
+    return df.withColumn("cdm_name", F.lit(c.name))
+
+
+def filter_cohort_id(cohort: DataFrame, ids: Sequence[int]) -> DataFrame:
+    return cohort.where(F.col("cohort_definition_id").isin(list(ids)))
+
+
 def add_demographics(c: Clinical, df: DataFrame, index: str = "cohort_start_date") -> DataFrame:
     """age, gender_concept_id, sex, prior_observation, future_observation (null outside observation)."""
     who = _person(df)

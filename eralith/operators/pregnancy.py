@@ -105,6 +105,52 @@ def merge_episodes(hip: DataFrame, pps: DataFrame) -> DataFrame:
     )
 
 
+#: Concept of a trimester -> its months.
+TRIMESTERS = {3025455: (0, 3), 3025456: (3, 6), 3025457: (6, 9)}
+
+
+def refine_starts(episodes: DataFrame, evidence: DataFrame, trimesters: dict[int, tuple[int, int]] | None = None) -> DataFrame:
+    """Episodes with esd_start_date, gestational_age_weeks, precision and final_start_date.
+
+    evidence (person_id, record_date, kind, concept_id, weeks): kind GW has a number of weeks, kind GR3m a trimester's
+    concept; it counts within 30 days of an episode. The latest weeks from 1 to 45 give the start ("high"), otherwise the
+    middle of the trimesters that the records share, or of all they span, before the first record ("medium"); with
+    neither ("low") the outcome's longest term, or the start as it was.
+    """
+    months = trimesters or TRIMESTERS
+    low, high = (F.create_map(*(F.lit(x) for k, v in months.items() for x in (k, v[i]))) for i in (0, 1))
+    e = evidence.select(
+        F.col("person_id").alias("_p"), F.col("record_date").alias("_d"), F.col("kind").alias("_k"), F.col("weeks").cast("double").alias("_w"),
+        F.try_element_at(low, F.col("concept_id").cast("int")).alias("_lo"), F.try_element_at(high, F.col("concept_id").cast("int")).alias("_hi"),
+    )
+    on = (F.col("person_id") == F.col("_p")) & F.col("_d").between(F.date_sub("episode_start_date", 30), F.date_add("episode_end_date", 30))
+    is_gw, is_gr = (F.col("_k") == "GW") & F.col("_w").isNotNull(), F.col("_k") == "GR3m"
+    d = episodes.join(e, on, "left").groupBy(episodes.columns).agg(
+        F.max(F.when(is_gw, F.struct("_d", "_w"))).alias("_g"), F.min(F.when(is_gr, F.col("_d"))).alias("_first"),
+        F.max(F.when(is_gr, F.col("_lo"))).alias("_a"), F.min(F.when(is_gr, F.col("_hi"))).alias("_b"),
+        F.min(F.when(is_gr, F.col("_lo"))).alias("_least"), F.max(F.when(is_gr, F.col("_hi"))).alias("_most"),
+    )
+    weeks = F.col("_g._w")
+    sure = F.coalesce(weeks.between(1, 45), F.lit(False))
+    middle = F.when(F.col("_a") <= F.col("_b"), F.col("_a") + F.col("_b")).otherwise(F.col("_least") + F.col("_most")) / 2.0
+    start = F.when(sure, F.date_sub(F.col("_g._d"), F.floor(weeks * 7).cast("int"))).otherwise(F.date_sub("_first", F.floor(middle * 30).cast("int")))
+    term = F.create_map(*(F.lit(x) for kv in LONGEST_TERM.items() for x in kv))
+    by_outcome = F.date_sub("outcome_date", F.try_element_at(term, F.col("category")))
+    return d.withColumns({
+        "esd_start_date": start, "gestational_age_weeks": F.when(sure, weeks).otherwise(middle * 4.33),
+        "precision": F.when(sure, "high").when(middle.isNotNull(), "medium").otherwise("low"),
+        "final_start_date": F.coalesce(start, by_outcome, F.col("episode_start_date")),
+    }).drop("_g", "_first", "_a", "_b", "_least", "_most")
+
+
+def collect_records(c, concepts: DataFrame, domains: tuple[str, ...] = ("condition", "procedure", "observation", "measurement")) -> DataFrame:
+    """(person_id, record_date, category, concept_id) of all records of several domains whose concept (concept_id, category) tells of a pregnancy."""
+    from functools import reduce
+
+    events = reduce(DataFrame.unionByName, [c.events(d) for d in domains])
+    return events.join(concepts, "concept_id").select("person_id", F.col("start_date").alias("record_date"), "category", "concept_id")
+
+
 def validate_episodes(episodes: DataFrame, most_days: int = MOST_DAYS) -> DataFrame:
     """One row: inverted, over-long and overlapping episodes."""
     from pyspark.sql import Window

@@ -32,13 +32,18 @@ def split(df: DataFrame, kind: str, names: Sequence[str]) -> DataFrame:
     return df.withColumns({n: F.coalesce(F.try_element_at(pairs, F.lit(n)), F.lit("overall")) for n in names}).drop(f"{kind}_name", f"{kind}_level")
 
 
-def melt(df: DataFrame, group: Sequence[str], strata: Sequence[str], variable: str, estimates: Mapping[str, str], name: str = "clinical", result_id: int = 1) -> DataFrame:
-    """A wide summary as result rows: one per estimate. estimates: column -> type."""
+def melt(
+    df: DataFrame, group: Sequence[str], strata: Sequence[str], variable: str, estimates: Mapping[str, str], name: str = "clinical", result_id: int = 1,
+    level: str | None = None, additional: Sequence[str] = (),
+) -> DataFrame:
+    """A wide summary as result rows: one per estimate. estimates: column -> type; variable: a column or a fixed name."""
     value = lambda c, ty: F.format_string("%.6f", F.col(c).cast("double")) if ty == "numeric" else F.col(c).cast("string")
     rows = F.explode(F.array(*(F.struct(F.lit(c).alias("estimate_name"), F.lit(ty).alias("estimate_type"), value(c, ty).alias("estimate_value")) for c, ty in estimates.items())))
-    d = df.select(*group, *strata, F.lit(variable).alias("variable_name") if variable not in df.columns else F.col(variable).alias("variable_name"), rows.alias("_e")).select("*", "_e.*").drop("_e")
-    d = unite(unite(unite(d, group, "group"), strata, "strata"), [], "additional")
-    d = d.withColumns({"result_id": F.lit(result_id).cast("long"), "cdm_name": F.lit(name), "variable_level": F.lit(None).cast("string")})
+    named = F.lit(variable) if variable not in df.columns else F.col(variable)
+    at = F.col(level).cast("string") if level else F.lit(None).cast("string")
+    d = df.select(*group, *strata, *additional, named.alias("variable_name"), at.alias("variable_level"), rows.alias("_e")).select("*", "_e.*").drop("_e")
+    d = unite(unite(unite(d, group, "group"), strata, "strata"), additional, "additional")
+    d = d.withColumns({"result_id": F.lit(result_id).cast("long"), "cdm_name": F.lit(name)})
     return d.select(*COLUMNS)
 
 
@@ -82,6 +87,67 @@ def filter_pairs(df: DataFrame, kind: str, **levels: str) -> DataFrame:
     return df
 
 
+def filter_settings(df: DataFrame, settings: DataFrame, **values: str) -> DataFrame:
+    """Rows of the results whose settings have these values."""
+    for name, value in values.items():
+        settings = settings.where(F.col(name).eqNullSafe(F.lit(value)))
+    return df.join(settings.select("result_id"), "result_id", "left_semi").select(df.columns)
+
+
+def tidy_columns(df: DataFrame, group: Sequence[str], strata: Sequence[str], settings: DataFrame | None = None) -> list[str]:
+    return tidy(df, group, strata, settings).columns
+
+
+#: Decimals of each type of estimate.
+DECIMALS = {"integer": 0, "numeric": 2, "percentage": 1, "proportion": 3}
+
+
+def format_estimate_value(df: DataFrame, decimals: Mapping[str, int] | None = None, decimal_mark: str = ".", big_mark: str = ",") -> DataFrame:
+    """Values rounded by their type, with marks; texts, dates, suppressed and unreadable values stay."""
+    by, value = DECIMALS | dict(decimals or {}), F.col("estimate_value").try_cast("double")
+    out = F.col("estimate_value")
+    for kind, n in by.items():
+        text = F.translate(F.format_number(value, n), ",.", "\1\2")
+        text = F.replace(F.replace(text, F.lit("\1"), F.lit(big_mark)), F.lit("\2"), F.lit(decimal_mark))
+        out = F.when((F.col("estimate_type") == kind) & value.isNotNull(), text).otherwise(out)
+    return df.withColumn("estimate_value", out)
+
+
+def format_estimate_name(df: DataFrame, names: Mapping[str, str], keys: Sequence[str]) -> DataFrame:
+    """Estimates put together: names maps a new name to a template such as "<count> (<percentage>%)".
+
+    keys tell the rows of one template apart; estimates that no template uses stay as they are. A template applies where
+    all its estimates are there.
+    """
+    import re
+
+    used = sorted({x for t in names.values() for x in re.findall(r"<(\w+)>", t)})
+    rest = df.where(~F.col("estimate_name").isin(used))
+    held = F.map_from_entries(F.collect_list(F.when(F.col("estimate_name").isin(used), F.struct("estimate_name", "estimate_value"))))
+    wide = df.where(F.col("estimate_name").isin(used)).groupBy(*keys).agg(held.alias("_v"))
+    made = []
+    for name, template in names.items():
+        parts = [F.try_element_at("_v", F.lit(p)) if k % 2 else F.lit(p) for k, p in enumerate(re.split(r"<(\w+)>", template))]
+        made.append(F.struct(F.lit(name).alias("estimate_name"), F.concat(*parts).alias("estimate_value")))
+    rows = wide.select(*keys, F.explode(F.array(*made)).alias("_e")).select(*keys, "_e.*", F.lit("character").alias("estimate_type")).where("estimate_value is not null")
+    columns = [*keys, "estimate_name", "estimate_type", "estimate_value"]
+    return rest.select(*columns).unionByName(rows.select(*columns))
+
+
+def format_min_cell_count(df: DataFrame, settings: DataFrame) -> DataFrame:
+    """Suppressed values as "<n", n from the settings' min_cell_count, 5 where they have none."""
+    least = F.col("min_cell_count").try_cast("int") if "min_cell_count" in settings.columns else F.lit(None).cast("int")
+    d = df.join(settings.select("result_id", least.alias("_n")), "result_id", "left")
+    return d.withColumn("estimate_value", F.when(F.col("estimate_value") == "-", F.concat(F.lit("<"), F.coalesce("_n", F.lit(5)))).otherwise(F.col("estimate_value"))).select(df.columns)
+
+
+def format_header(df: DataFrame, header: Sequence[str], levels: Sequence[Sequence[str]], value: str = "estimate_value") -> DataFrame:
+    """value spread over one column for each combination of levels of the header columns; names: levels joined by " | "."""
+    keys = [x for x in df.columns if x not in (*header, value)]
+    names = [" | ".join(x) for x in levels]
+    return df.withColumn("_h", F.concat_ws(" | ", *header)).groupBy(*keys).pivot("_h", names).agg(F.first(value))
+
+
 def export(df: DataFrame, path: str) -> None:
     """CSV files with a header; nulls as NA."""
     df.select(*COLUMNS).write.mode("overwrite").options(header="true", nullValue="NA", escape='"').csv(path)

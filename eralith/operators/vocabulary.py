@@ -46,9 +46,29 @@ def subset_by_class(c: Clinical, ids: DataFrame, classes: Sequence[str]) -> Data
     return ids.join(c["concept"].where(F.col("concept_class_id").isin(list(classes))), "concept_id", "left_semi")
 
 
-def stratify_by_class(c: Clinical, ids: DataFrame) -> DataFrame:
-    """Codes by class: (concept_class_id, n_concepts, concept_ids)."""
-    return ids.join(c["concept"], "concept_id").groupBy("concept_class_id").agg(F.count_distinct("concept_id").alias("n_concepts"), F.array_sort(F.collect_set("concept_id")).alias("concept_ids"))
+def atc_codes(c: Clinical, word: str | None = None, levels: Sequence[str] = ()) -> DataFrame:
+    """(name, concept_id) of ATC concepts by a word of their names and by level, such as "ATC 1st"."""
+    a = c["concept"].where("vocabulary_id = 'ATC'")
+    a = a.where(F.lower("concept_name").contains(word.lower())) if word else a
+    a = a.where(F.col("concept_class_id").isin(list(levels))) if levels else a
+    return a.select(F.regexp_replace(F.lower("concept_name"), " ", "_").alias("name"), F.col("concept_id").cast("long").alias("concept_id")).distinct()
+
+
+def subset_by_vocabulary(c: Clinical, ids: DataFrame, vocabularies: Sequence[str]) -> DataFrame:
+    return ids.join(c["concept"].where(F.col("vocabulary_id").isin(list(vocabularies))), "concept_id", "left_semi")
+
+
+def stratify_by_domain(c: Clinical, ids: DataFrame) -> DataFrame:
+    return stratify_by_class(c, ids, "domain_id")
+
+
+def stratify_by_vocabulary(c: Clinical, ids: DataFrame) -> DataFrame:
+    return stratify_by_class(c, ids, "vocabulary_id")
+
+
+def stratify_by_class(c: Clinical, ids: DataFrame, column: str = "concept_class_id") -> DataFrame:
+    """Codes by class, or by another column of concepts: (column, n_concepts, concept_ids)."""
+    return ids.join(c["concept"], "concept_id").groupBy(column).agg(F.count_distinct("concept_id").alias("n_concepts"), F.array_sort(F.collect_set("concept_id")).alias("concept_ids"))
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:

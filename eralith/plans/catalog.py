@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +26,10 @@ from eralith.operators import incidence as ic
 from eralith.operators import pathways as pa
 from eralith.operators import pregnancy as pr
 from eralith.operators import results as re_
+from eralith.operators import summaries as sm
 from eralith.operators import survival as su
 from eralith.operators import vocabulary as vo
-from eralith.sources.clinical import PROJECTIONS, Clinical, project
+from eralith.sources.clinical import PROJECTIONS, Clinical, project, with_eras
 from eralith.streaming import eras
 
 QUERIES: dict[str, Callable] = {}
@@ -775,6 +777,17 @@ walk AS (
 ),
 pps AS (SELECT person_id, row_number() OVER (PARTITION BY person_id ORDER BY ep) AS episode_id, min(s) AS episode_start_date, max(d) AS episode_end_date, 'PREG' AS category, CAST(NULL AS DATE) AS outcome_date, count(*) AS n_records FROM walk GROUP BY person_id, ep HAVING date_diff('day', min(s), max(d)) <= 365)
 """.strip()
+#: Evidence within 30 days of each episode: the latest weeks, else the middle of the trimesters.
+_REFINED = """),
+ev AS (SELECT person_id, measurement_date AS d, measurement_concept_id = 4000004 AS gw, floor(value_as_number / 5000) AS w, measurement_id % 3 * 3 AS lo FROM measurement WHERE measurement_concept_id IN (4000004, 4000005)),
+close AS (SELECT x.*, ev.d, ev.gw, ev.w, ev.lo FROM (SELECT *, row_number() OVER () AS r FROM merged) x LEFT JOIN ev ON ev.person_id = x.person_id AND ev.d BETWEEN episode_start_date - 30 AND episode_end_date + 30),
+best AS (SELECT r, max({'d': d, 'w': w}) FILTER (gw AND w IS NOT NULL) AS g, min(d) FILTER (NOT gw) AS f, max(lo) FILTER (NOT gw) AS a, min(lo + 3) FILTER (NOT gw) AS b, min(lo) FILTER (NOT gw) AS least, max(lo + 3) FILTER (NOT gw) AS most FROM close GROUP BY r),
+refined AS (
+  SELECT m.*, CASE WHEN g.w BETWEEN 1 AND 45 THEN 'high' WHEN f IS NOT NULL THEN 'medium' ELSE 'low' END AS precision,
+    coalesce(CASE WHEN g.w BETWEEN 1 AND 45 THEN g.d - CAST(floor(g.w * 7) AS INT) ELSE f - CAST(floor(CASE WHEN a <= b THEN a + b ELSE least + most END / 2.0 * 30) AS INT) END,
+      outcome_date - CASE category WHEN 'SA' THEN 168 WHEN 'LB' THEN 308 WHEN 'DELIV' THEN 308 END, episode_start_date) AS final
+  FROM (SELECT *, row_number() OVER () AS r FROM merged) m JOIN best USING (r)
+)"""
 #: Pairs by the distance of their ends, each episode once.
 _MERGED = """,
 pair AS (SELECT h.person_id, h.episode_id AS h, p.episode_id AS p, row_number() OVER (PARTITION BY h.person_id ORDER BY abs(date_diff('day', h.episode_end_date, p.episode_end_date)), h.episode_id, p.episode_id) AS n
@@ -811,6 +824,142 @@ def pregnancy_validation(c):
     return pr.validate_episodes(pr.timing_episodes(_timing(c)))
 
 
+@query("SELECT category, source, CAST(count(*) AS BIGINT) AS n_episodes, CAST(count(*) FILTER (final < episode_start_date) AS BIGINT) AS n_earlier, CAST(sum(date_diff('day', final, episode_end_date)) AS BIGINT) AS days, precision FROM refined GROUP BY ALL".replace("SELECT category", "WITH RECURSIVE " + _HIP + ", " + _PPS + _MERGED.replace("\nSELECT", ",\nmerged AS (SELECT") + _REFINED + " SELECT category", 1))
+def pregnancy_refined(c):
+    e = c["measurement"].where("measurement_concept_id in (4000004, 4000005)").select(
+        "person_id", F.col("measurement_date").alias("record_date"), F.when(F.col("measurement_concept_id") == 4000004, "GW").otherwise("GR3m").alias("kind"),
+        (F.lit(3025455) + F.col("measurement_id") % 3).alias("concept_id"), F.floor(F.col("value_as_number") / 5000).alias("weeks"),
+    )
+    d = pr.refine_starts(pr.merge_episodes(pr.outcome_episodes(_outcomes(c)), pr.timing_episodes(_timing(c))), e)
+    n = lambda x: F.sum(x).cast("long")
+    return d.groupBy("category", "source", "precision").agg(F.count("*").alias("n_episodes"), n((F.col("final_start_date") < F.col("episode_start_date")).cast("int")).alias("n_earlier"), n(F.datediff("episode_end_date", "final_start_date")).alias("days"))
+
+
+# names, strata and cohorts by ingredient and class
+
+
+@query("SELECT domain_id, count(DISTINCT concept_id) AS n_concepts FROM concept GROUP BY 1")
+def vocabulary_by_domain(c):
+    return vo.stratify_by_domain(c, c["concept"].select("concept_id")).select("domain_id", "n_concepts")
+
+
+@query("SELECT vocabulary_id, count(DISTINCT concept_id) AS n_concepts FROM concept GROUP BY 1")
+def vocabulary_by_vocabulary(c):
+    return vo.stratify_by_vocabulary(c, c["concept"].select("concept_id")).select("vocabulary_id", "n_concepts")
+
+
+@query("SELECT concept_id FROM concept WHERE vocabulary_id IN ('Brand', 'Priority')")
+def vocabulary_subset(c):
+    return vo.subset_by_vocabulary(c, c["concept"].select("concept_id"), ["Brand", "Priority"])
+
+
+@query("SELECT concept_id FROM concept WHERE lower(domain_id) = 'condition'")
+def vocabulary_subset_domain(c):
+    return vo.subset_by_domain(c, c["concept"].select("concept_id"), ["Condition"])
+
+
+@query("SELECT replace(lower(concept_name), ' ', '_') AS name, concept_id FROM concept WHERE vocabulary_id = 'ATC' AND lower(concept_name) LIKE '%m%'")
+def vocabulary_atc(c):
+    return vo.atc_codes(c, "M", ["ATC 1st"])
+
+
+_ERA_COHORT = "SELECT cohort_definition_id, subject_id, MIN(s) AS cohort_start_date, MAX(e) AS cohort_end_date FROM (SELECT *, SUM(f) OVER (PARTITION BY cohort_definition_id, subject_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN MAX(e) OVER (PARTITION BY cohort_definition_id, subject_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} >= s THEN 0 ELSE 1 END AS f FROM (SELECT {number} AS cohort_definition_id, person_id AS subject_id, drug_exposure_start_date AS s, least(drug_exposure_end_date, observation_period_end_date) AS e FROM drug_exposure d JOIN concept_ancestor ON descendant_concept_id = drug_concept_id AND {which} JOIN observation_period o USING (person_id) WHERE drug_exposure_start_date BETWEEN observation_period_start_date AND observation_period_end_date))) GROUP BY cohort_definition_id, subject_id, g"
+
+
+@query(_ERA_COHORT.format(gap=30, number="CAST(ancestor_concept_id - 1000000 AS BIGINT)", which="ancestor_concept_id IN (1000003, 1000005)"))
+def drug_ingredient_cohorts(c):
+    i = c["concept"].where("concept_id in (1000003, 1000005)").select((F.col("concept_id") - 1000000).alias("cohort_definition_id"), F.col("concept_id").alias("ingredient_concept_id"))
+    return dr.ingredient_cohorts(c, i, gap=30)
+
+
+@query(_ERA_COHORT.format(gap=1, number="ancestor_concept_id", which="ancestor_concept_id >= 8000000"))
+def drug_atc_cohorts(c):
+    return dr.atc_cohorts(c)[0]
+
+
+@query("SELECT treatment, count(*) AS n FROM (SELECT t.subject_id, CASE WHEN max(CASE WHEN o.subject_id IS NOT NULL THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN p.subject_id IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN 'high and urgent' WHEN max(CASE WHEN o.subject_id IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN 'urgent' WHEN max(CASE WHEN p.subject_id IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN 'high' ELSE 'untreated' END AS treatment FROM target t LEFT JOIN outcome o ON o.subject_id = t.subject_id AND o.cohort_end_date >= t.cohort_start_date AND o.cohort_start_date <= t.cohort_start_date + 90 LEFT JOIN other p ON p.subject_id = t.subject_id AND p.cohort_end_date >= t.cohort_start_date AND p.cohort_start_date <= t.cohort_start_date + 90 GROUP BY 1) GROUP BY 1")
+def drug_treatment(c):
+    both = condition(c, 3000001).unionByName(condition(c, 3000002).withColumn("cohort_definition_id", F.lit(2).cast("long")))
+    return dr.add_treatment(target(c), both, {1: "urgent", 2: "high"}, (0, 90)).groupBy("treatment").agg(F.count("*").alias("n"))
+
+
+@query("SELECT person_id, drug_concept_id, min(s) AS drug_era_start_date, max(e) AS drug_era_end_date FROM (SELECT *, SUM(f) OVER (PARTITION BY person_id, drug_concept_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN MAX(e) OVER (PARTITION BY person_id, drug_concept_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 30 >= s THEN 0 ELSE 1 END AS f FROM (SELECT person_id, ancestor_concept_id AS drug_concept_id, drug_exposure_start_date AS s, drug_exposure_end_date AS e FROM drug_exposure JOIN concept_ancestor ON descendant_concept_id = drug_concept_id WHERE ancestor_concept_id BETWEEN 1000000 AND 1999999))) GROUP BY person_id, drug_concept_id, g")
+def connector_drug_eras(c):
+    return with_eras(c)["drug_era"].drop("drug_era_id")
+
+
+@query("SELECT subject_id, cohort_start_date, n.concept_name AS drug_concept_id_name, 'clinical' AS cdm_name FROM target t JOIN drug_exposure d ON d.person_id = t.subject_id AND d.drug_exposure_start_date = t.cohort_start_date LEFT JOIN concept n ON n.concept_id = d.drug_concept_id")
+def enrich_names(c):
+    d = target(c).join(c["drug_exposure"], (F.col("person_id") == F.col("subject_id")) & (F.col("drug_exposure_start_date") == F.col("cohort_start_date")))
+    d = en.add_cdm_name(c, en.add_concept_name(c, en.filter_cohort_id(d, [1]), "drug_concept_id"))
+    return d.select("subject_id", "cohort_start_date", "drug_concept_id_name", "cdm_name")
+
+
+# summarised results
+
+
+def _cohorts(c):
+    return sm.cohort_table(c, {"brand3": [1000003], "brand5": [1000005]})
+
+
+def _estimates(result):
+    return result[0].select("group_level", "strata_name", "strata_level", "variable_name", "variable_level", "estimate_name", "estimate_value", "additional_level")
+
+
+def _rows(select: str) -> str:
+    return f"SELECT group_level, strata_name, strata_level, variable_name, CAST(variable_level AS VARCHAR) AS variable_level, estimate_name, CAST(estimate_value AS VARCHAR) AS estimate_value, additional_level FROM ({select})"
+
+
+_OVERALL = "'overall' AS strata_name, 'overall' AS strata_level"
+_BOTH = "both_ AS (SELECT 'brand3' AS cohort_name, subject_id, cohort_start_date, cohort_end_date FROM target UNION ALL SELECT 'brand5', person_id, min(start_date), max(oe) FROM brand5 GROUP BY person_id)"
+_SEX = "CASE WHEN gender_concept_id = 8507 THEN 'Male' ELSE 'Female' END"
+
+
+@query(f"WITH {_BOTH} " + _rows(" UNION ALL ".join(f"SELECT cohort_name AS group_level, {s}, '{v}' AS variable_name, NULL AS variable_level, 'count' AS estimate_name, {n} AS estimate_value, 'overall' AS additional_level FROM both_ JOIN person ON person_id = subject_id GROUP BY ALL" for s in (_OVERALL, f"'sex' AS strata_name, {_SEX} AS strata_level") for v, n in (("Number records", "count(*)"), ("Number subjects", "count(DISTINCT subject_id)")))))
+def summary_cohort_count(c):
+    t = _cohorts(c)
+    t = replace(t, entries=en.add_demographics(c, t.entries))
+    return _estimates(sm.summarise_cohort_count(t, [["sex"]]))
+
+
+@query(f"WITH {_BOTH}, d AS (SELECT cohort_name, {_AGE} AS age, {_SEX} AS sex FROM both_ JOIN birth b ON b.person_id = subject_id) " + _rows(f"SELECT cohort_name AS group_level, {_OVERALL}, 'age' AS variable_name, NULL AS variable_level, unnest(['min', 'q25', 'median', 'q75', 'max', 'mean', 'sd']) AS estimate_name, printf('%.6f', unnest([CAST(min(age) AS DOUBLE), CAST(quantile_disc(age, 0.25) AS DOUBLE), quantile_cont(age, 0.5), CAST(quantile_disc(age, 0.75) AS DOUBLE), CAST(max(age) AS DOUBLE), avg(age), stddev_samp(age)])) AS estimate_value, 'overall' AS additional_level FROM d GROUP BY cohort_name UNION ALL SELECT cohort_name, {_OVERALL}, 'sex', sex, 'count', CAST(count(*) AS VARCHAR), 'overall' FROM d GROUP BY cohort_name, sex"))
+def summary_characteristics(c):
+    d = _estimates(sm.summarise_characteristics(c, _cohorts(c)))
+    return d.where("variable_name = 'age' or (variable_name = 'sex' and estimate_name = 'count')")
+
+
+@query(f"WITH {_BOTH}, s AS (SELECT count(*) FILTER (a AND b) AS x, count(*) FILTER (a AND NOT b) AS y, count(*) FILTER (b AND NOT a) AS z FROM (SELECT subject_id, bool_or(cohort_name = 'brand3') AS a, bool_or(cohort_name = 'brand5') AS b FROM both_ GROUP BY 1)) " + _rows(" UNION ALL ".join(f"SELECT '{p}' AS group_level, {_OVERALL}, '{v}' AS variable_name, NULL AS variable_level, 'count' AS estimate_name, {n} AS estimate_value, 'overall' AS additional_level FROM s" for p, v, n in (("brand3 &&& brand5", "Only in reference cohort", "y"), ("brand3 &&& brand5", "In both cohorts", "x"), ("brand3 &&& brand5", "Only in comparator cohort", "z"), ("brand5 &&& brand3", "Only in reference cohort", "z"), ("brand5 &&& brand3", "In both cohorts", "x"), ("brand5 &&& brand3", "Only in comparator cohort", "y")))))
+def summary_cohort_overlap(c):
+    return _estimates(sm.summarise_cohort_overlap(_cohorts(c))).where("estimate_name = 'count'")
+
+
+@query(f"WITH {_BOTH}, p AS (SELECT a.cohort_name || ' &&& ' || b.cohort_name AS g, date_diff('day', a.cohort_start_date, b.cohort_start_date) AS d FROM both_ a JOIN both_ b ON a.subject_id = b.subject_id AND a.cohort_name <> b.cohort_name) " + _rows(f"SELECT g AS group_level, {_OVERALL}, 'Days between cohort entries' AS variable_name, NULL AS variable_level, unnest(['count', 'min', 'mean', 'max']) AS estimate_name, unnest([CAST(count(*) AS VARCHAR), CAST(min(d) AS VARCHAR), printf('%.6f', avg(d)), CAST(max(d) AS VARCHAR)]) AS estimate_value, 'overall' AS additional_level FROM p GROUP BY g"))
+def summary_cohort_timing(c):
+    return _estimates(sm.summarise_cohort_timing(_cohorts(c)))
+
+
+@query(f"WITH {_BOTH} " + _rows(f"SELECT cohort_name AS group_level, {_OVERALL}, concept_name AS variable_name, '-30 to -1' AS variable_level, 'count' AS estimate_name, count(DISTINCT subject_id) AS estimate_value, CAST(condition_concept_id AS VARCHAR) AS additional_level FROM both_ JOIN condition_occurrence o ON o.person_id = subject_id AND condition_start_date BETWEEN cohort_start_date - 30 AND cohort_start_date - 1 JOIN concept ON concept_id = condition_concept_id GROUP BY ALL"))
+def summary_large_scale(c):
+    return _estimates(sm.summarise_large_scale_characteristics(c, _cohorts(c), "condition", [(-30, -1)], 0.0)).where("estimate_name = 'count'")
+
+
+@query(f"WITH {_BOTH}, x AS (SELECT cohort_name, subject_id, count(d.person_id) AS n FROM both_ LEFT JOIN (SELECT person_id, drug_exposure_start_date AS s FROM drug_exposure JOIN concept_ancestor ON descendant_concept_id = drug_concept_id AND ancestor_concept_id = 1000003) d ON d.person_id = subject_id AND s BETWEEN cohort_start_date AND cohort_end_date GROUP BY 1, 2) " + _rows(f"SELECT cohort_name AS group_level, {_OVERALL}, 'number_exposures' AS variable_name, NULL AS variable_level, unnest(['min', 'median', 'max', 'mean']) AS estimate_name, printf('%.6f', unnest([CAST(min(n) AS DOUBLE), quantile_cont(n, 0.5), CAST(max(n) AS DOUBLE), avg(n)])) AS estimate_value, 'overall' AS additional_level FROM x GROUP BY 1"))
+def summary_drug_utilisation(c):
+    d = _estimates(sm.summarise_drug_utilisation(c, _cohorts(c), vo.descendants(c, [1000003]).select("concept_id")))
+    return d.where("variable_name = 'number_exposures' and estimate_name in ('min', 'median', 'max', 'mean')")
+
+
+@query(f"WITH {_BOTH}, n AS (SELECT cohort_name, count(*) AS r0, count(*) FILTER ({_AGE} >= 40) AS r1 FROM both_ t JOIN birth b ON b.person_id = subject_id GROUP BY 1) " + _rows(" UNION ALL ".join(f"SELECT cohort_name AS group_level, 'reason &&& reason_id' AS strata_name, '{r} &&& {k}' AS strata_level, '{v}' AS variable_name, NULL AS variable_level, 'count' AS estimate_name, {n} AS estimate_value, 'overall' AS additional_level FROM n" for k, r, ns in ((1, "Initial qualifying events", ("r0", "r0", "0", "0")), (2, "Aged 40 or more", ("r1", "r1", "r0 - r1", "r0 - r1"))) for v, n in zip(("number_records", "number_subjects", "excluded_records", "excluded_subjects"), ns, strict=True))))
+def summary_cohort_attrition(c):
+    t = _cohorts(c)
+    return _estimates(sm.summarise_cohort_attrition(t.step("Aged 40 or more", co.require_demographics(c, t.entries, ages=(40, 150)))))
+
+
+@query(_rows(f"SELECT 'brand' || k AS group_level, 'codelist_name &&& codelist_type' AS strata_name, 'brand' || k || ' &&& index event' AS strata_level, 'Number concepts' AS variable_name, NULL AS variable_level, 'count' AS estimate_name, 1 AS estimate_value, 'overall' AS additional_level FROM (SELECT unnest([3, 5]) AS k)"))
+def summary_cohort_codelist(c):
+    return _estimates(sm.summarise_cohort_codelist(_cohorts(c)))
+
+
 @query("SELECT user_id, session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events, round(sum(value), 4) AS total_value FROM (SELECT *, min(ts) OVER (PARTITION BY user_id, g) AS session_start FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events))) GROUP BY user_id, session_start", clinical=False)
 def stream_sessions(spark, sf_dir):
     return eras.sessions(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("total_value", F.round("total_value", 4))

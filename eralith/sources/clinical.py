@@ -57,11 +57,13 @@ PROJECTIONS = {
     "death": """
         SELECT o_custkey AS person_id, MAX(CAST(o_orderdate AS DATE)) AS death_date, CAST(0 AS BIGINT) AS cause_concept_id FROM {orders} WHERE o_custkey % 20 = 0 GROUP BY o_custkey""",
     "concept": """
-        SELECT p_partkey AS concept_id, p_name AS concept_name, 'Drug' AS domain_id, p_type AS concept_class_id, 'S' AS standard_concept FROM {part}
+        SELECT p_partkey AS concept_id, p_name AS concept_name, 'Drug' AS domain_id, p_type AS concept_class_id, 'S' AS standard_concept, 'Part' AS vocabulary_id FROM {part}
         UNION ALL
-        SELECT DISTINCT 1000000 + CAST(substr(p_brand, 7) AS BIGINT), p_brand, 'Drug', 'Ingredient', 'S' FROM {part}
+        SELECT DISTINCT 1000000 + CAST(substr(p_brand, 7) AS BIGINT), p_brand, 'Drug', 'Ingredient', 'S', 'Brand' FROM {part}
         UNION ALL
-        SELECT DISTINCT CAST(substr(o_orderpriority, 1, 1) AS BIGINT) + 3000000, o_orderpriority, 'Condition', 'Disorder', 'S' FROM {orders}""",
+        SELECT DISTINCT CAST(8000000 + ascii(substr(p_type, 1, 1)) * 256 + ascii(substr(p_type, 2, 1)) AS BIGINT), p_type, 'Drug', 'ATC 1st', 'C', 'ATC' FROM {part}
+        UNION ALL
+        SELECT DISTINCT CAST(substr(o_orderpriority, 1, 1) AS BIGINT) + 3000000, o_orderpriority, 'Condition', 'Disorder', 'S', 'Priority' FROM {orders}""",
     "concept_ancestor": """
         SELECT p_partkey AS ancestor_concept_id, p_partkey AS descendant_concept_id, 0 AS min_levels_of_separation FROM {part}
         UNION ALL
@@ -69,6 +71,8 @@ PROJECTIONS = {
         UNION ALL
         SELECT 1000000 + CAST(substr(p_brand, 7) AS BIGINT), p_partkey, 1 FROM {part}
         UNION ALL
+        SELECT CAST(8000000 + ascii(substr(p_type, 1, 1)) * 256 + ascii(substr(p_type, 2, 1)) AS BIGINT), p_partkey, 2 FROM {part}
+        UNION ALL
         SELECT DISTINCT CAST(substr(o_orderpriority, 1, 1) AS BIGINT) + 3000000, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) + 3000000, 0 FROM {orders}""",
     "drug_strength": """
         SELECT p_partkey AS drug_concept_id, 1000000 + CAST(substr(p_brand, 7) AS BIGINT) AS ingredient_concept_id,
@@ -174,6 +178,46 @@ def write_folder(clinical: Clinical, path: str, file_format: str = "parquet", mo
         df.write.mode(mode).format(file_format).options(**options).save(f"{path}/{name}.{file_format}")
 
 
+def drop_table(spark: SparkSession, name: str) -> bool:
+    """Whether there was a table to drop."""
+    there = spark.catalog.tableExists(name)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return there
+
+
+def detect_database(spark: SparkSession) -> str:
+    """The one database of the catalog that has a person table; none or several raise."""
+    found = [d.name for d in spark.catalog.listDatabases() if spark.catalog.tableExists(f"{d.name}.person")]
+    if len(found) != 1:
+        raise ValueError(f"databases with a person table: {', '.join(found) or 'none'}")
+    return found[0]
+
+
+def validated(clinical: Clinical, version: str = "5.4", cohorts: Iterable[str] = ()) -> Clinical:
+    """The container, if no table lacks a required column of the version; raises with all that are missing."""
+    from eralith.sources.schema import CdmSchema
+
+    schema = CdmSchema(version)
+    missing = {n: schema.validate_columns("cohort" if n in cohorts else n, df.columns) for n, df in clinical.tables.items() if n in schema.tables or n in cohorts}
+    if any(missing.values()):
+        raise ValueError("; ".join(f"{n} lacks {', '.join(x)}" for n, x in missing.items() if x))
+    return clinical
+
+
+def with_eras(c: Clinical, gap: int = 30) -> Clinical:
+    """The container with drug_era (by ingredient) and condition_era, made from the occurrences."""
+    from eralith.functions.kernels import islands
+
+    i = c["concept"].where("concept_class_id = 'Ingredient'").select(F.col("concept_id").alias("ancestor_concept_id"))
+    to = c["concept_ancestor"].join(i, "ancestor_concept_id").select(F.col("ancestor_concept_id").alias("era_concept_id"), F.col("descendant_concept_id").alias("concept_id"))
+    made = {}
+    for name, e in (("drug", c.events("drug").join(to, "concept_id").drop("concept_id").withColumnRenamed("era_concept_id", "concept_id")), ("condition", c.events("condition"))):
+        era = islands(e, ["person_id", "concept_id"], "start_date", "end_date", gap)
+        era = era.select(F.xxhash64("person_id", "concept_id", "start_date").alias(f"{name}_era_id"), "person_id", F.col("concept_id").alias(f"{name}_concept_id"), F.col("start_date").alias(f"{name}_era_start_date"), F.col("end_date").alias(f"{name}_era_end_date"))
+        made[f"{name}_era"] = era
+    return Clinical(c.tables | made, c.cohorts, c.name)
+
+
 def write_table(df: DataFrame, name: str, mode: str = "overwrite", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """A permanent table (or rows appended to one), read back."""
     df.write.mode(mode).partitionBy(*partition_by).saveAsTable(name)
