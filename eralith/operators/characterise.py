@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eralith.functions.kernels import in_window, nearest_rank
+from eralith.functions.kernels import in_window
 
 
 def numeric_estimates(df: DataFrame, by: Sequence[str], variables: Sequence[str]) -> DataFrame:
@@ -82,6 +82,9 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
 
 
 def nearest_quantiles(df: DataFrame, column: str, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    """Quantiles by the nearest index of the sorted values; for groups that fit in a row."""
-    v = df.where(F.col(column).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(column)).alias("_v"))
-    return v.select(*by, *(nearest_rank(F.col("_v"), p).alias(f"q{round(p * 100):02d}_{column}") for p in probs))
+    """Quantiles by the nearest index of the sorted values: values are counted first, and the running count finds the index."""
+    n = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*by)
+    n = n.withColumns({"_upto": F.sum("_n").over(w.orderBy(column)), "_of": F.sum("_n").over(w)})
+    index = lambda p: F.round((F.col("_of") - 1) * p).cast("long")
+    return n.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") > index(p), F.col(column))).alias(f"q{round(p * 100):02d}_{column}") for p in probs))

@@ -58,7 +58,8 @@ def concept_cohort(
     stop = F.col("o_end") if end == "observation" else F.col("end_date") if end == "event" else F.date_add("start_date", end)
     e = e.select("cohort_definition_id", F.col("person_id").alias("subject_id"), F.col("start_date").alias("cohort_start_date"), F.least(stop, "o_end").alias("cohort_end_date"))
     if limit == "first":
-        e = e.groupBy(*COHORT[:2]).agg(F.min(F.struct(*COHORT[2:])).alias("s")).select(*COHORT[:2], "s.*")
+        # one entry a subject has nothing to be merged with
+        return e.groupBy(*COHORT[:2]).agg(F.min(F.struct(*COHORT[2:])).alias("s")).select(*COHORT[:2], "s.*")
     return islands(e, COHORT[:2], *COHORT[2:], gap=gap)
 
 

@@ -12,50 +12,50 @@ UNITS = {
     "hour": 8505, "unit": 8510, "liter": 8519, "milligram": 8576, "milliliter": 8587, "international unit": 8718,
     "mega-international unit": 9439, "square centimeter": 9483, "milliequivalent": 9551, "microgram": 9655, "actuation": 45744809,
 }
-#: Number; amount unit; numerator unit; whether there is a denominator value; denominator unit; formula; dose unit.
-PATTERNS = """
-1; -; microgram; 1; hour; time based with denominator; milliequivalent
-2; -; milligram; 1; hour; time based with denominator; milligram
-3; -; unit; 1; hour; time based with denominator; international unit
-4; -; microgram; 0; hour; time based no denominator; milligram
-5; -; milligram; 0; hour; time based no denominator; milliliter
-6; international unit; -; 0; -; fixed amount formulation; international unit
-7; microgram; -; 0; -; fixed amount formulation; milligram
-8; milliequivalent; -; 0; -; fixed amount formulation; milliequivalent
-9; milligram; -; 0; -; fixed amount formulation; milligram
-10; milliliter; -; 0; -; fixed amount formulation; milliliter
-11; unit; -; 0; -; fixed amount formulation; international unit
-12; -; international unit; 1; milligram; concentration formulation; international unit
-13; -; international unit; 1; milliliter; concentration formulation; international unit
-14; -; milliequivalent; 1; milliliter; concentration formulation; milliequivalent
-15; -; milligram; 1; actuation; concentration formulation; milligram
-16; -; milligram; 1; liter; concentration formulation; milligram
-17; -; milligram; 1; milligram; concentration formulation; milligram
-18; -; milligram; 1; milliliter; concentration formulation; milligram
-19; -; milligram; 1; square centimeter; concentration formulation; milligram
-20; -; milliliter; 1; milligram; concentration formulation; milliliter
-21; -; milliliter; 1; milliliter; concentration formulation; milliliter
-22; -; unit; 1; actuation; concentration formulation; international unit
-23; -; unit; 1; milligram; concentration formulation; international unit
-24; -; unit; 1; milliliter; concentration formulation; international unit
-25; -; unit; 1; square centimeter; concentration formulation; international unit
-26; -; international unit; 0; milligram; concentration formulation; international unit
-27; -; international unit; 0; milliliter; concentration formulation; international unit
-28; -; mega-international unit; 0; milliliter; concentration formulation; international unit
-29; -; milliequivalent; 0; milligram; concentration formulation; milliequivalent
-30; -; milliequivalent; 0; milliliter; concentration formulation; milliequivalent
-31; -; milligram; 0; actuation; concentration formulation; milligram
-32; -; milligram; 0; liter; concentration formulation; milligram
-33; -; milligram; 0; milligram; concentration formulation; milligram
-34; -; milligram; 0; milliliter; concentration formulation; milligram
-35; -; milligram; 0; square centimeter; concentration formulation; milligram
-36; -; milliliter; 0; milligram; concentration formulation; milliliter
-37; -; milliliter; 0; milliliter; concentration formulation; milliliter
-38; -; unit; 0; actuation; concentration formulation; international unit
-39; -; unit; 0; milligram; concentration formulation; international unit
-40; -; unit; 0; milliliter; concentration formulation; international unit
-41; -; unit; 0; square centimeter; concentration formulation; international unit
-"""
+#: Number, amount unit, numerator unit, whether there is a denominator value, denominator unit, formula, dose unit; "-": none.
+PATTERNS = [
+    (1, "-", "microgram", True, "hour", "time based with denominator", "milliequivalent"),
+    (2, "-", "milligram", True, "hour", "time based with denominator", "milligram"),
+    (3, "-", "unit", True, "hour", "time based with denominator", "international unit"),
+    (4, "-", "microgram", False, "hour", "time based no denominator", "milligram"),
+    (5, "-", "milligram", False, "hour", "time based no denominator", "milliliter"),
+    (6, "international unit", "-", False, "-", "fixed amount formulation", "international unit"),
+    (7, "microgram", "-", False, "-", "fixed amount formulation", "milligram"),
+    (8, "milliequivalent", "-", False, "-", "fixed amount formulation", "milliequivalent"),
+    (9, "milligram", "-", False, "-", "fixed amount formulation", "milligram"),
+    (10, "milliliter", "-", False, "-", "fixed amount formulation", "milliliter"),
+    (11, "unit", "-", False, "-", "fixed amount formulation", "international unit"),
+    (12, "-", "international unit", True, "milligram", "concentration formulation", "international unit"),
+    (13, "-", "international unit", True, "milliliter", "concentration formulation", "international unit"),
+    (14, "-", "milliequivalent", True, "milliliter", "concentration formulation", "milliequivalent"),
+    (15, "-", "milligram", True, "actuation", "concentration formulation", "milligram"),
+    (16, "-", "milligram", True, "liter", "concentration formulation", "milligram"),
+    (17, "-", "milligram", True, "milligram", "concentration formulation", "milligram"),
+    (18, "-", "milligram", True, "milliliter", "concentration formulation", "milligram"),
+    (19, "-", "milligram", True, "square centimeter", "concentration formulation", "milligram"),
+    (20, "-", "milliliter", True, "milligram", "concentration formulation", "milliliter"),
+    (21, "-", "milliliter", True, "milliliter", "concentration formulation", "milliliter"),
+    (22, "-", "unit", True, "actuation", "concentration formulation", "international unit"),
+    (23, "-", "unit", True, "milligram", "concentration formulation", "international unit"),
+    (24, "-", "unit", True, "milliliter", "concentration formulation", "international unit"),
+    (25, "-", "unit", True, "square centimeter", "concentration formulation", "international unit"),
+    (26, "-", "international unit", False, "milligram", "concentration formulation", "international unit"),
+    (27, "-", "international unit", False, "milliliter", "concentration formulation", "international unit"),
+    (28, "-", "mega-international unit", False, "milliliter", "concentration formulation", "international unit"),
+    (29, "-", "milliequivalent", False, "milligram", "concentration formulation", "milliequivalent"),
+    (30, "-", "milliequivalent", False, "milliliter", "concentration formulation", "milliequivalent"),
+    (31, "-", "milligram", False, "actuation", "concentration formulation", "milligram"),
+    (32, "-", "milligram", False, "liter", "concentration formulation", "milligram"),
+    (33, "-", "milligram", False, "milligram", "concentration formulation", "milligram"),
+    (34, "-", "milligram", False, "milliliter", "concentration formulation", "milligram"),
+    (35, "-", "milligram", False, "square centimeter", "concentration formulation", "milligram"),
+    (36, "-", "milliliter", False, "milligram", "concentration formulation", "milliliter"),
+    (37, "-", "milliliter", False, "milliliter", "concentration formulation", "milliliter"),
+    (38, "-", "unit", False, "actuation", "concentration formulation", "international unit"),
+    (39, "-", "unit", False, "milligram", "concentration formulation", "international unit"),
+    (40, "-", "unit", False, "milliliter", "concentration formulation", "international unit"),
+    (41, "-", "unit", False, "square centimeter", "concentration formulation", "international unit"),
+]
 
 
 def _key(amount: Column, numerator: Column, has_denominator: Column, denominator: Column) -> Column:
@@ -64,9 +64,8 @@ def _key(amount: Column, numerator: Column, has_denominator: Column, denominator
 
 def strength_patterns(strength: DataFrame) -> DataFrame:
     """strength with pattern_id, formula and unit, null where no pattern fits: a look-up in a constant map, no join."""
-    rows = [[x.strip() for x in line.split(";")] for line in PATTERNS.strip().splitlines()]
     unit = lambda n: "-" if n == "-" else str(UNITS[n])
-    entries = [x for n, a, num, has, den, formula, out in rows for x in (F.lit("|".join((unit(a), unit(num), has, unit(den)))), F.struct(F.lit(int(n)).alias("pattern_id"), F.lit(formula).alias("formula"), F.lit(out).alias("unit")))]
+    entries = [x for n, a, num, has, den, formula, out in PATTERNS for x in (F.lit("|".join((unit(a), unit(num), str(int(has)), unit(den)))), F.struct(F.lit(n).alias("pattern_id"), F.lit(formula).alias("formula"), F.lit(out).alias("unit")))]
     # an amount goes without numerator and the other way round
     fits = F.col("amount_value").isNotNull() != F.col("numerator_value").isNotNull()
     same = (F.col("amount_value").isNotNull() == F.col("amount_unit_concept_id").isNotNull()) & (F.col("numerator_value").isNotNull() == F.col("numerator_unit_concept_id").isNotNull())

@@ -13,37 +13,42 @@ from eralith.sources.clinical import Clinical
 METRICS = ("number_exposures", "number_eras", "days_exposed", "days_prescribed", "time_to_exposure", "initial_exposure_duration", "initial_quantity", "cumulative_quantity", "initial_daily_dose", "cumulative_dose")
 
 
-def exposures(c: Clinical, concepts: DataFrame, index: DataFrame, censor: str = "cohort_end_date", incident: bool = True) -> DataFrame:
-    """Exposures to the concepts that start (or overlap, if not incident) from each index date to its censor date."""
+def exposures(c: Clinical, concepts: DataFrame) -> DataFrame:
+    """(_p, s, e, quantity, days_supply) of the exposures to the concepts; a missing or earlier end is the start."""
     d = c["drug_exposure"].join(concepts.select(F.col("concept_id").alias("drug_concept_id")).distinct(), "drug_concept_id")
-    d = d.select(F.col("person_id").alias("_p"), F.col("drug_exposure_start_date").alias("s"), F.greatest(F.coalesce("drug_exposure_end_date", "drug_exposure_start_date"), "drug_exposure_start_date").alias("e"), "quantity", "days_supply")
-    ids = index.select("subject_id", "cohort_start_date", F.col(censor).alias("_c")).distinct()
-    lo = F.col("s") >= F.col("cohort_start_date") if incident else F.col("e") >= F.col("cohort_start_date")
-    return ids.join(d, (F.col("subject_id") == F.col("_p")) & lo & (F.col("s") <= F.col("_c")))
-
-
-def add_drug_use(c: Clinical, cohort: DataFrame, concepts: DataFrame, gap: int = 30, incident: bool = True) -> DataFrame:
-    """METRICS of each cohort row; counts and doses are 0 and times null where there is no exposure. Dose: quantity a day."""
-    x = exposures(c, concepts, cohort, incident=incident)
-    keys = ["subject_id", "cohort_start_date", "_c"]
-    start, end = F.greatest("s", "cohort_start_date"), F.least("e", "_c")
-    inside = x.withColumns({"s1": start, "e1": end, "len": F.datediff("e", "s") + 1})
-    first = F.min(F.struct("s", "e", "quantity", "days_supply"))
-    a = inside.groupBy(*keys).agg(
-        F.count("*").alias("number_exposures"), F.sum(F.datediff("e", "s") + 1).cast("long").alias("days_prescribed"), first.alias("_f"), F.sum("quantity").alias("cumulative_quantity"),
-        F.sum(F.col("quantity") / F.col("len") * (F.datediff("e1", "s1") + 1)).alias("cumulative_dose"),
+    return d.select(F.col("person_id").alias("_p"), F.col("drug_exposure_start_date").alias("s"), F.greatest(F.coalesce("drug_exposure_end_date", "drug_exposure_start_date"), "drug_exposure_start_date").alias("e"), "quantity", "days_supply")
+
+
+def add_drug_use(c: Clinical, cohort: DataFrame, concepts: DataFrame, gap: int = 30, censor: str = "cohort_end_date", incident: bool = True) -> DataFrame:
+    """METRICS of each cohort row; counts and doses are 0 and times null where there is no exposure. Dose: quantity a day.
+
+    Exposures start (or overlap, if not incident) from the index date to the censor date. One join and one aggregate by the
+    row; eras and days exposed are a fold over its few exposures, in order.
+    """
+    index, stop = F.col("cohort_start_date"), F.col(censor)
+    lo = F.col("s") >= index if incident else F.col("e") >= index
+    x = cohort.join(exposures(c, concepts), (F.col("subject_id") == F.col("_p")) & lo & (F.col("s") <= stop), "left")
+    days = lambda a, b: F.datediff(b, a) + 1
+    inside = F.when(F.col("_p").isNotNull(), F.struct(F.greatest("s", index).alias("s"), F.least("e", stop).alias("e")))
+    first = F.min(F.when(F.col("_p").isNotNull(), F.struct("s", "e", "quantity", "days_supply")))
+    m = x.groupBy(cohort.columns).agg(
+        F.count("_p").alias("number_exposures"), F.sum(days("s", "e")).cast("long").alias("days_prescribed"), first.alias("_f"), F.sum("quantity").alias("cumulative_quantity"),
+        F.sum(F.col("quantity") / days("s", "e") * days(F.greatest("s", index), F.least("e", stop))).alias("cumulative_dose"), F.array_sort(F.collect_list(inside)).alias("_x"),
+    )
+    folded = F.aggregate(
+        "_x", F.struct(F.lit(None).cast("date").alias("end"), F.lit(0).cast("long").alias("eras"), F.lit(0).cast("long").alias("days")),
+        lambda a, v: F.struct(
+            F.greatest(a["end"], v["e"]).alias("end"), (a["eras"] + F.when(a["end"].isNull() | (v["s"] > F.date_add(a["end"], gap)), 1).otherwise(0)).alias("eras"),
+            (a["days"] + F.greatest(F.lit(0), F.datediff(v["e"], F.greatest(v["s"], F.date_add(a["end"], 1))) + 1)).alias("days"),
+        ),
     )
-    eras = islands(inside.select(*keys, "s1", "e1"), keys, "s1", "e1", gap)
-    days = islands(inside.select(*keys, "s1", "e1"), keys, "s1", "e1", 1)
-    e = eras.groupBy(*keys).agg(F.count("*").alias("number_eras")).join(days.groupBy(*keys).agg(F.sum(F.datediff("e1", "s1") + 1).cast("long").alias("days_exposed")), keys)
     f = lambda n: F.col(f"_f.{n}")
-    m = a.join(e, keys).withColumns({
-        "time_to_exposure": F.datediff(f("s"), "cohort_start_date"), "initial_exposure_duration": F.datediff(f("e"), f("s")) + 1, "initial_quantity": f("quantity"),
-        "initial_daily_dose": f("quantity") / (F.datediff(f("e"), f("s")) + 1),
-    }).drop("_f")
-    out = cohort.withColumn("_c", F.col("cohort_end_date")).join(m, keys, "left").drop("_c")
+    m = m.withColumn("_a", folded).withColumns({
+        "number_eras": F.col("_a.eras"), "days_exposed": F.col("_a.days"), "time_to_exposure": F.datediff(f("s"), index), "initial_exposure_duration": days(f("s"), f("e")),
+        "initial_quantity": f("quantity"), "initial_daily_dose": f("quantity") / days(f("s"), f("e")),
+    })
     zero = [n for n in METRICS if n not in ("time_to_exposure", "initial_exposure_duration")]
-    return out.fillna(0, subset=zero)
+    return m.select(*cohort.columns, *METRICS).fillna(0, subset=zero)
 
 
 def restart(cohort: DataFrame, switch: DataFrame, c: Clinical, follow_up: Sequence[int] = (180, 365)) -> DataFrame:

@@ -102,33 +102,39 @@ def incidence(denominator: DataFrame, outcome: DataFrame, interval: str = "years
     return out.withColumn("person_years", years).withColumn("rate_100000", F.col("n_events") / years * 100_000)
 
 
+#: Greatest count whose limits come from the Poisson distribution itself.
+MOST_EXACT = 1000
+_LOG_FACTORIAL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, MOST_EXACT + 1)))])
+
+
+def _mean_where(count: np.ndarray, share: float, z: float) -> np.ndarray:
+    """The mean of a Poisson variable that is count or less with this probability; z is the normal quantile of 1 - share.
+
+    Half the chi-square quantile of 2 (count + 1) degrees: by bisection over a bounded number of terms, beyond MOST_EXACT by
+    the cube-root formula, which is right to a millionth there. Work does not grow with the counts.
+    """
+    nu = 2 * (count + 1)
+    out = nu / 2 * (1 - 2 / (9 * nu) + z * np.sqrt(2 / (9 * nu))) ** 3
+    small = np.flatnonzero(count <= MOST_EXACT)
+    k = count[small].astype(int)
+    j = np.arange(k.max(initial=0) + 1)
+    lo, hi = np.zeros(len(k)), k + 10 * np.sqrt(k + 1) + 20
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        terms = np.exp(j * np.log(np.maximum(mid, 1e-300))[:, None] - mid[:, None] - _LOG_FACTORIAL[j])
+        more = np.where(j <= k[:, None], terms, 0.0).sum(axis=1) > share
+        lo, hi = np.where(more, mid, lo), np.where(more, hi, mid)
+    out[small] = (lo + hi) / 2
+    return out
+
+
 @F.pandas_udf(T.StructType([T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())]))
 def poisson_limits(events: pd.Series, person_years: pd.Series) -> pd.DataFrame:
-    """Exact 95 % limits of a rate per 100,000, by bisection on the Poisson distribution; over result rows only."""
-
-    def below(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
-        top = int(k.max()) + 1 if len(k) else 1
-        logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, top + 1)))])
-        n = np.arange(top + 1)
-        out = np.empty(len(k))
-        for i, (x, m) in enumerate(zip(k, mean, strict=True)):
-            j = n[: int(x) + 1]
-            out[i] = np.exp(j * np.log(max(m, 1e-300)) - m - logs[: len(j)]).sum() if x >= 0 else 0.0
-        return out
-
-    k = events.to_numpy(float)
-
-    def solve(count: np.ndarray, goal: float) -> np.ndarray:
-        lo, hi = np.zeros(len(count)), count + 10 * np.sqrt(count + 1) + 20
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            more = below(count, mid) > goal
-            lo, hi = np.where(more, mid, lo), np.where(more, hi, mid)
-        return (lo + hi) / 2
-
-    lower = np.where(k > 0, solve(k - 1, 0.975), 0.0)
+    """Exact 95 % limits of a rate per 100,000; over result rows only."""
+    k, z = events.to_numpy(float), 1.959963984540054
     scale = 100_000 / person_years.to_numpy(float)
-    return pd.DataFrame({"lower": lower * scale, "upper": solve(k, 0.025) * scale})
+    lower = np.where(k > 0, _mean_where(np.maximum(k - 1, 0), 0.975, -z), 0.0)
+    return pd.DataFrame({"lower": lower * scale, "upper": _mean_where(k, 0.025, z) * scale})
 
 
 def prevalence(denominator: DataFrame, outcome: DataFrame, interval: str = "years", kind: str = "point", full_contribution: bool = False) -> DataFrame:
@@ -143,6 +149,8 @@ def prevalence(denominator: DataFrame, outcome: DataFrame, interval: str = "year
         d = d.where("cohort_start_date <= interval_start and cohort_end_date >= interval_end")
     lo, hi = F.greatest("cohort_start_date", "interval_start"), F.least("cohort_end_date", "interval_end")
     hit = d.join(o, (F.col("subject_id") == F.col("_p")) & (F.col("_s") <= hi) & (F.col("_e") >= lo), "left")
-    out = hit.groupBy("cohort_definition_id", "interval_start", "interval_end").agg(F.count_distinct("subject_id").alias("n_persons"), F.count_distinct("_p").alias("n_cases"))
+    # each subject once, then a plain count: no row is expanded for distinct counts
+    one = hit.groupBy("cohort_definition_id", "interval_start", "interval_end", "subject_id").agg(F.max(F.col("_p").isNotNull().cast("int")).alias("_case"))
+    out = one.groupBy("cohort_definition_id", "interval_start", "interval_end").agg(F.count("*").alias("n_persons"), F.sum("_case").alias("n_cases"))
     low, high = wilson(F.col("n_cases"), F.col("n_persons"))
     return out.withColumns({"prevalence": F.col("n_cases") / F.col("n_persons"), "lower": low, "upper": high})
