@@ -1,16 +1,17 @@
 """Repeated byte strings by a depth-limited radix sort of suffixes, most significant digit first.
 
-Suffixes are ordered only through the threshold (400 bytes): equal groups after that depth are the repeated strings.
-A digit is a run of bytes as a 64-bit value; a pass deals suffixes out by their next digits and drops groups of one.
-
-Pass 1 orders whole stretches of suffixes at once. Content-defined points (those whose next 16 bytes hash below 1/64)
-part a text; suffixes are sorted into stretches by how far before the next point they begin, and every suffix of a
-stretch holds the same number of bytes from that point on. Stretches are grouped by these bytes, then by all bytes
-from their first suffix to the end of the last one's string. A group of two or more by the long digit is settled: each
-suffix is repeated through the threshold. Where a short digit has several long ones, pass 2 orders every single suffix
-of the stretch through all 400 bytes (for a long digit that several share, those of one member speak for all).
-Suffixes too far from a point go to pass 2 as they are. Elsewhere a suffix has no equal: equal strings of 400
-bytes hold the same points, at the same places.
+Suffixes are ordered only through the threshold (400 bytes): equal groups after that depth are the repeated strings. A pass
+deals suffixes out by their next digit, and groups of one drop out.
+
+The first pass deals out whole stretches of suffixes at once, by the bytes that all of a stretch share. Content-defined points
+(those whose next 16 bytes hash below 1/48) part a text; suffixes are sorted into stretches by how far before the next point
+they begin, and every suffix of a stretch holds the same number of bytes from that point on: its first digit, which travels
+under a 64-bit name. A stretch's second digit is all its bytes, from its first suffix to the end of the last one's string. Two
+that are alike in both are settled: each suffix is repeated through the threshold. Where stretches share the first digit but
+not the second (one of each kind speaks for all), they come together once more with their bytes, and their suffixes are
+ordered by further passes of eight bytes each, in place, down to the threshold. A group of stretches that would not fit in
+memory, and suffixes too far from a point, are ordered one by one by two digits of half the threshold each, in Spark's own
+sort. Elsewhere a suffix has no equal: equal strings of 400 bytes hold the same points, at the same places.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from eralith.llm._spark import documents, id_filter, shared_runs, written
 from eralith.llm._text import Texts, combine, covered, gathered, lists, mix, rolling_bytes, slices, spread
 
 #: Bytes that decide on a point; one in so many positions is a point.
-CONTEXT, EVERY = 16, 64
+CONTEXT, EVERY = 16, 48
 #: Stretches: suffixes that begin up to so many bytes before the next point, as shares of the threshold.
 REACH = (0.24, 0.52, 0.84)
 
@@ -71,8 +72,12 @@ class _Stretches:
         self.bare_of = np.searchsorted(t.offsets, self.bare, "right") - 1
 
 
-#: A reference packs a stretch's start, its size (12 bits) and whether it is settled (1 bit).
+#: A reference packs a stretch's start, its size and how far before the point it begins (12 bits each).
 _MOST = (1 << 12) - 1
+#: Bytes of stretches that are ordered together; of one group that may be held.
+BATCH, MOST_HELD = 1 << 21, 1 << 25
+#: What becomes of a stretch or run of suffixes after the first pass.
+OPEN, SETTLED, BARE = 0, 1, 2
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
@@ -96,7 +101,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 # a stretch that is not content-defined has a long digit of its own
                 g = combine(mix(sig[of].view(np.uint64)), local.astype(np.uint64))
                 g[p.fixed] = p.roll.ranges(p.start[p.fixed], (p.start + p.size)[p.fixed] + length - 1)
-                yield pa.record_batch([pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), sig[of], doc[of], pa.array(local << 12 | p.size)], names=["f", "g", "sig", "doc", "ref"])
+                yield pa.record_batch([pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), sig[of], doc[of], pa.array(local << 24 | p.size << 12 | p.next - p.start)], names=["f", "g", "sig", "doc", "ref"])
 
     def bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,18 +109,40 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for t in slices(b.column(b.schema.get_field_index("text"))):
                 p = _Stretches(t, length)
                 of = p.bare_of + t.first
-                yield pa.record_batch([doc[of], sig[of], pa.array((p.bare - t.offsets[p.bare_of] << 12 | p.bare_size) * 2)], names=["doc", "sig", "ref"])
+                kind = np.full(len(of), BARE)
+                yield pa.record_batch([doc[of], sig[of], pa.array(p.bare - t.offsets[p.bare_of] << 24 | p.bare_size << 12), pa.array(np.zeros(len(of), np.int64)), pa.array(kind)], names=["doc", "sig", "ref", "f", "kind"])
 
-    ref = "doc long, sig long, ref long"
+    ref = "doc long, sig long, ref long, f long, kind long"
     digits = d.mapInArrow(first_digits, "f long, g long, sig long, doc long, ref long")
     grouped = digits.repartition("f").sortWithinPartitions("f", "g", "sig", "doc", "ref").mapInArrow(_groups, ref)
-    refs = written(grouped.unionByName(d.mapInArrow(bare, ref)).groupBy("doc", "sig").agg(F.collect_list("ref").alias("ref")))
+    of_kind = lambda kind, what: F.collect_list(F.when(F.col("kind") == kind, what))
+    every = grouped.unionByName(d.mapInArrow(bare, ref)).groupBy("doc", "sig")
+    refs = written(every.agg(of_kind(SETTLED, F.col("ref")).alias("settled"), of_kind(OPEN, F.struct("f", "ref")).alias("open"), of_kind(BARE, F.col("ref")).alias("bare")))
     # equal texts: every one is repeated as a whole; only the one with the least id goes on as supplier
     sigs = d.select("doc", "sig", F.xxhash64(F.lit(1), F.col("text")).alias("sig2"))
     equal = sigs.groupBy("sig", "sig2").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1")
     copies = written(sigs.distinct().join(equal, ["sig", "sig2"]).select("doc", "sig", "least"))
     lone = refs.join(copies, ["doc", "sig"], "left").where("least is null or doc = least")
-    open_ = written(lone.select("doc", "sig", F.filter("ref", lambda r: r % 2 == 0).alias("ref")).where(F.size("ref") > 0))
+    open_ = written(lone.select("doc", "sig", "open.f", "open.ref").where(F.size("ref") > 0))
+
+    def with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, sig = (np.asarray(b.column(c)) for c in ("doc", "sig"))
+            f, ref = (b.column(b.schema.get_field_index(c)) for c in ("f", "ref"))
+            ends, fs, flat = ref.offsets.to_numpy(), np.asarray(f.values), np.asarray(ref.values)
+            for t in slices(b.column(b.schema.get_field_index("text"))):
+                part = slice(ends[t.first], ends[t.first + t.n])
+                r, of = flat[part], np.repeat(np.arange(t.n), np.diff(ends[t.first : t.first + t.n + 1]))
+                start = t.offsets[of] + (r >> 24)
+                n = (r >> 12 & _MOST) + length - 1
+                held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(r), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(n)]).astype(np.int64)), pa.py_buffer(t.data[spread(start, n)])])
+                of = of + t.first
+                yield pa.record_batch([pa.array(fs[part]), sig[of], doc[of], pa.array(r), held.cast(pa.binary())], names=["f", "sig", "doc", "ref", "bytes"])
+
+    near = id_filter(open_, "doc")
+    stretches = d.where(near(F.col("doc"))).join(open_, ["doc", "sig"]).select("doc", "sig", "text", "f", "ref").mapInArrow(with_bytes, "f long, sig long, doc long, ref long, bytes binary")
+    ordered = stretches.repartition("f").sortWithinPartitions("f", "sig", "doc", "ref").mapInArrow(_ordered(length), "doc long, sig long, at long, to long, rest long")
+    ordered = written(ordered)
 
     def every_suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,27 +150,30 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ref = b.column(b.schema.get_field_index("ref"))
             ends, flat = ref.offsets.to_numpy(), np.asarray(ref.values)
             for t in slices(b.column(b.schema.get_field_index("text"))):
-                r = flat[ends[t.first] : ends[t.first + t.n]] >> 1
+                r = flat[ends[t.first] : ends[t.first + t.n]]
                 base = np.repeat(t.offsets[:-1], np.diff(ends[t.first : t.first + t.n + 1]))
-                start = spread(base + (r >> 12), r & _MOST)
+                start = spread(base + (r >> 24), r >> 12 & _MOST)
                 of = np.searchsorted(t.offsets, start, "right") - 1
-                h, h2 = (rolling_bytes(t.data, k).ranges(start, start + length).view(np.int64) for k in (0, 1))
+                roll, half = rolling_bytes(t.data), start + length // 2
+                h, h2 = roll.ranges(start, half).view(np.int64), roll.ranges(half, start + length).view(np.int64)
                 local = start - t.offsets[of]
-                order, first, n = gathered(h, of)
+                order, first, n = gathered(combine(h.view(np.uint64), h2.view(np.uint64)), of)
                 lead = order[first]
                 of = of[lead] + t.first
                 yield pa.record_batch([pa.array(h[lead]), pa.array(h2[lead]), sig[of], doc[of], pa.array(n), lists(pa.array(local[order]), n)], names=["h", "h2", "sig", "doc", "n", "at"])
 
-    near = id_filter(open_, "doc")
+    one = lone.select("doc", "sig", F.explode("bare").alias("ref")).unionByName(ordered.where("rest is not null").select("doc", "sig", F.col("rest").alias("ref")))
+    one = written(one.groupBy("doc", "sig").agg(F.collect_list("ref").alias("ref")))
+    near = id_filter(one, "doc")
     every = (
-        d.where(near(F.col("doc"))).join(open_, ["doc", "sig"]).select("doc", "sig", "text", "ref")
+        d.where(near(F.col("doc"))).join(one, ["doc", "sig"]).select("doc", "sig", "text", "ref")
         .mapInArrow(every_suffix, "h long, h2 long, sig long, doc long, n long, at array<long>")
     )
     equal_suffixes = shared_runs(every, ["h", "h2"], ["n", "at"], "doc long, sig long, n long, at array<long>", between_texts=False)
     equal_suffixes = equal_suffixes.select("doc", "sig", F.explode("at").alias("at"))
-    settled = refs.select("doc", "sig", F.explode("ref").alias("r")).where("r % 2 = 1")
-    settled = settled.select("doc", "sig", F.expr("shiftright(r, 13)").alias("at"), F.expr(f"shiftright(r, 13) + (shiftright(r, 1) & {_MOST}) + {length - 1}").alias("to"))
-    spans = settled.unionByName(equal_suffixes.select("doc", "sig", "at", (F.col("at") + length).alias("to")))
+    settled = refs.select("doc", "sig", F.explode("settled").alias("r"))
+    settled = settled.select("doc", "sig", F.expr("shiftright(r, 24)").alias("at"), F.expr(f"shiftright(r, 24) + (shiftright(r, 12) & {_MOST}) + {length - 1}").alias("to"))
+    spans = settled.unionByName(ordered.where("rest is null").select("doc", "sig", "at", "to")).unionByName(equal_suffixes.select("doc", "sig", "at", (F.col("at") + length).alias("to")))
     spans = spans.groupBy("doc", "sig").agg(F.array_sort(F.collect_list(F.struct("at", "to"))).alias("runs"))
     spans = spans.select("doc", "sig", F.col("runs.at").alias("at"), F.col("runs.to").alias("to"))
     known = written(spans.join(copies.select("doc", "sig", F.lit(True).alias("copy")), ["doc", "sig"], "full"))
@@ -181,7 +211,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (f, g, sig, doc): 2*ref+1 where the long digit has two members, 2*ref where pass 2 needs it.
+    """Rows sorted by (f, g, sig, doc): settled where the long digit has two members, open where further passes are needed.
 
     A stream: all that is kept from batch to batch is the open group's two leaders.
     """
@@ -207,37 +237,138 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.flatnonzero(doc == least)
         # the first row of a sub-group is always one that speaks
         lead_g, lead_f = new_g[rows], new_f[rows]
-        docs, sigs, ats = doc[rows], sig[rows], at[rows]
+        docs, sigs, ats, fs = doc[rows], sig[rows], at[rows], f[rows]
         out = []
 
-        def tell(d: np.ndarray, s: np.ndarray, a: np.ndarray, settled: int, out: list = out) -> None:
-            out.append((d, s, a * 2 + settled))
+        def tell(d: np.ndarray, s: np.ndarray, a: np.ndarray, f: np.ndarray, kind: int, out: list = out) -> None:
+            out.append((d, s, a, f, np.full(len(d), kind)))
 
         if not len(rows):
             continue
         member = ~lead_g  # second and later members of a sub-group: settled, and so is their leader
-        tell(docs[member], sigs[member], ats[member], 1)
+        tell(docs[member], sigs[member], ats[member], fs[member], SETTLED)
         led = np.flatnonzero(lead_g[:-1] & member[1:])
-        tell(docs[led], sigs[led], ats[led], 1)
+        tell(docs[led], sigs[led], ats[led], fs[led], SETTLED)
         if member[0] and g_lead is not None:
-            tell(*(np.array([x]) for x in g_lead), 1)
-        # leaders after the first of a group need pass 2, and so does the first then
+            tell(*(np.array([x]) for x in g_lead), SETTLED)
+        # leaders after the first of a group need further passes, and so does the first then
         later = lead_g & ~lead_f
-        tell(docs[later], sigs[later], ats[later], 0)
+        tell(docs[later], sigs[later], ats[later], fs[later], OPEN)
         firsts = np.flatnonzero(lead_f)
         group = np.cumsum(lead_f)
         mixed = np.bincount(group, weights=later, minlength=len(firsts) + 1) > 0
         told = firsts[mixed[1:]]
-        tell(docs[told], sigs[told], ats[told], 0)
+        tell(docs[told], sigs[told], ats[told], fs[told], OPEN)
         if mixed[0] and f_lead is not None:
-            tell(*(np.array([x]) for x in f_lead), 0)
+            tell(*(np.array([x]) for x in f_lead), OPEN)
             f_lead = None
         if len(firsts):
             i = firsts[-1]
-            f_lead = None if mixed[-1] else (docs[i], sigs[i], ats[i])
-        g_lead = (docs[-1], sigs[-1], ats[-1]) if lead_g[-1] else None
-        d, s, r = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield pa.record_batch([pa.array(x.astype(np.int64)) for x in (d, s, r)], names=["doc", "sig", "ref"])
+            f_lead = None if mixed[-1] else (docs[i], sigs[i], ats[i], fs[i])
+        g_lead = (docs[-1], sigs[-1], ats[-1], fs[-1]) if lead_g[-1] else None
+        columns = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+        yield pa.record_batch([pa.array(x) for x in columns], names=["doc", "sig", "ref", "f", "kind"])
+
+
+def radix_equal(data: np.ndarray, start: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """Which of the strings data[start : start + length] equal another one of their group (group is sorted).
+
+    Most significant digit first, eight bytes a digit: a pass orders just the groups that the digit parts, in the places that
+    they hold already, and drops what stands alone. data has eight bytes more than the last string.
+    """
+    digits = np.ndarray((len(data) - 7,), ">u8", data, 0, (1,))
+    alive, same = np.arange(len(start)), np.zeros(len(start), bool)
+    for depth in [*range(0, length - 7, 8), length - 8]:
+        new = np.ones(len(alive), bool)
+        new[1:] = group[1:] != group[:-1]
+        first = np.flatnonzero(new)
+        several = np.repeat(np.diff(np.append(first, len(alive))) > 1, np.diff(np.append(first, len(alive))))
+        alive, group, new = alive[several], group[several], new[several]
+        if not len(alive):
+            return same
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(alive)))
+        digit = digits[start[alive] + depth]
+        parted = digit != np.repeat(digit[first], size)
+        if not parted.any():
+            continue
+        at = np.flatnonzero(np.repeat(np.logical_or.reduceat(parted, first), size))
+        digit = digit.astype(np.uint64)
+        by = np.lexsort((digit[at], group[at]))
+        alive[at], digit[at] = alive[at][by], digit[at][by]
+        new[1:] |= digit[1:] != digit[:-1]
+        group = np.cumsum(new)
+    new = np.ones(len(alive), bool)
+    new[1:] = group[1:] != group[:-1]
+    size = np.diff(np.append(np.flatnonzero(new), len(alive)))
+    same[alive[np.repeat(size > 1, size)]] = True
+    return same
+
+
+def _ordered(length: int):
+    def order(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """Runs of equal suffixes of stretches that stand together by f, as (doc, sig, at, to)."""
+        table = pa.Table.from_batches(rows).combine_chunks()
+        f, sig, doc, ref = (np.asarray(table[c]) for c in ("f", "sig", "doc", "ref"))
+        held = pc.cast(table["bytes"], pa.large_binary()).combine_chunks()
+        held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+        _, at, raw = held.buffers()
+        at = np.frombuffer(at, np.int64)[held.offset : held.offset + len(held) + 1]
+        data = np.concatenate([np.frombuffer(raw, np.uint8)[at[0] : at[-1]], np.zeros(8, np.uint8)])
+        size, before = ref >> 12 & _MOST, ref & _MOST
+        row = np.repeat(np.arange(len(f)), size)
+        nth = spread(np.zeros(len(f), np.int64), size)
+        # equal suffixes of a group begin equally far before the point
+        part = np.cumsum(np.concatenate([[0], f[1:] != f[:-1]])) * (1 << 12)
+        key = part[row] + before[row] - nth
+        by = np.argsort(key, kind="stable")
+        same = np.zeros(len(row), bool)
+        same[by] = radix_equal(data, (at[:-1] - at[0])[row[by]] + nth[by], key[by], length)
+        hit = np.flatnonzero(same)
+        edge = np.ones(len(hit), bool)
+        edge[1:] = (np.diff(hit) != 1) | (row[hit[1:]] != row[hit[:-1]])
+        head = hit[edge]
+        tail = hit[np.append(np.flatnonzero(edge)[1:] - 1, len(hit) - 1)] if len(hit) else hit
+        of = row[head]
+        begin = ref[of] >> 24
+        return pa.record_batch([doc[of], sig[of], pa.array(begin + nth[head]), pa.array(begin + nth[tail] + length), pa.nulls(len(of), pa.int64())], names=_ORDERED)
+
+    def too_large(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            none = pa.nulls(b.num_rows, pa.int64())
+            yield pa.record_batch([b.column("doc"), b.column("sig"), none, none, b.column("ref")], names=_ORDERED)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups of f are held until they make a batch; of a group that grows too large nothing is held any more."""
+        held, last, open_rows, open_bytes, rest = [], None, [], 0, False
+        n_held = 0
+        for b in batches:
+            f = np.asarray(b.column("f"))
+            cut = [0, *(np.flatnonzero(f[1:] != f[:-1]) + 1).tolist(), len(f)] if len(f) else []
+            for x, y in zip(cut, cut[1:], strict=False):
+                if f[x] != last:  # the open group is whole
+                    held, n_held = held + open_rows, n_held + open_bytes
+                    last, open_rows, open_bytes, rest = f[x], [], 0, False
+                    if n_held >= BATCH:
+                        yield order(held)
+                        held, n_held = [], 0
+                piece = b.slice(x, y - x)
+                if not rest:
+                    open_rows.append(piece)
+                    open_bytes += piece.nbytes
+                    rest = open_bytes > MOST_HELD
+                    if rest:
+                        yield from too_large(open_rows)
+                        open_rows, open_bytes = [], 0
+                else:
+                    yield from too_large([piece])
+        if held or open_rows:
+            yield order(held + open_rows)
+
+    return work
+
+
+_ORDERED = ["doc", "sig", "at", "to", "rest"]
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -535,3 +535,44 @@ def test_clashing_columns(spark, tmp_path, n):
     more = {c: F.lit(7) for c in "doc sig sig2 at h n items root node kind block ref m0 k0 spans blob content n_words kept".split()}
     df.withColumns(more).write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"] for r in run(spark, str(tmp_path), n)} == {1, 2}
+
+
+def test_radix_equal():
+    """Equal strings of each group against all pairs."""
+    import random
+
+    import numpy as np
+
+    from eralith.llm.suffix_dedup import radix_equal
+
+    rng = random.Random(6)
+    for length in (8, 13, 64, 70):
+        pieces = ["".join(rng.choice("abc") for _ in range(rng.randrange(40, 200))) for _ in range(6)]
+        data = "".join(rng.choice(pieces) for _ in range(60))[:3000] + "\0" * 8
+        start = sorted(rng.sample(range(2900), 700))
+        group = np.sort(np.array([rng.randrange(5) for _ in start]))
+        got = radix_equal(np.frombuffer(data.encode(), np.uint8), np.array(start), group, length)
+        count = Counter((g, data[s : s + length]) for g, s in zip(group, start, strict=True))
+        assert got.tolist() == [count[g, data[s : s + length]] > 1 for g, s in zip(group, start, strict=True)] and got.any()
+
+
+def test_suffix_dedup_large_groups(spark, monkeypatch):
+    """A passage with many surroundings: the same with groups that are held and with groups that are too large for it."""
+    import random
+
+    from eralith.llm import suffix_dedup
+
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choice("abcdefghij klmn") for _ in range(n))
+    passage = letters(900)
+    docs = [(i, letters(rng.randrange(0, 300)) + passage[rng.randrange(200) : 900 - rng.randrange(200)] + letters(rng.randrange(0, 300))) for i in range(80)] + [(900, "z" * 1500), (901, letters(500))]
+    count = Counter(t[i : i + 400] for _, t in docs for i in range(len(t) - 399))
+    want = {}
+    for d, t in docs:
+        gone = {j for i in range(len(t) - 399) if count[t[i : i + 400]] > 1 for j in range(i, i + 400)}
+        want[d] = (len(gone), "".join(x for j, x in enumerate(t) if j not in gone).encode())
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for most in (suffix_dedup.MOST_HELD, 3000):
+        monkeypatch.setattr(suffix_dedup, "MOST_HELD", most)
+        got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffix_dedup.repeated_spans(df).collect()}
+        assert got == want, most
