@@ -263,7 +263,7 @@ def vocabulary_compare(c):
     return vo.compare(vo.search(c, ["red"], domains=["drug"]), vo.search(c, ["ring"], domains=["drug"])).groupBy("in_codelist").agg(F.count("*").alias("n"))
 
 
-@query("SELECT drug_concept_id AS concept_id, count(*) AS n_records, count(DISTINCT person_id) AS n_persons FROM drug_exposure JOIN concept_ancestor x ON x.descendant_concept_id = drug_concept_id JOIN (SELECT ancestor_concept_id AS a FROM concept_ancestor WHERE descendant_concept_id = 5 AND ancestor_concept_id > 1000000) ON a = x.ancestor_concept_id WHERE drug_concept_id <> 5 GROUP BY 1")
+@query("SELECT drug_concept_id AS concept_id, count(*) AS n_records, count(DISTINCT person_id) AS n_persons FROM drug_exposure WHERE drug_concept_id <> 5 AND drug_concept_id IN (SELECT x.descendant_concept_id FROM concept_ancestor x JOIN concept_ancestor a ON a.ancestor_concept_id = x.ancestor_concept_id WHERE a.descendant_concept_id = 5) GROUP BY 1")
 def vocabulary_orphans(c):
     return vo.orphan_codes(c, c["concept"].where("concept_id = 5").select("concept_id"))
 
