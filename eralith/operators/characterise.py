@@ -50,6 +50,7 @@ def cohort_overlap(cohort: DataFrame) -> DataFrame:
     sets = cohort.groupBy("subject_id").agg(F.collect_set("cohort_definition_id").alias("_s"))
     alone = sets.select(F.explode("_s").alias("a")).groupBy("a").agg(F.count("*").alias("n"))
     pairs = sets.select(F.explode("_s").alias("a"), "_s").select("a", F.explode("_s").alias("b")).where("a != b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    # one row a cohort on either side
     grid = alone.select(F.col("a"), F.col("n").alias("n_a")).join(alone.select(F.col("a").alias("b"), F.col("n").alias("n_b")), F.col("a") != F.col("b"))
     d = grid.join(pairs, ["a", "b"], "left").fillna(0, subset=["both"])
     return d.select(F.col("a").alias("cohort_a"), F.col("b").alias("cohort_b"), (F.col("n_a") - F.col("both")).alias("only_a"), (F.col("n_b") - F.col("both")).alias("only_b"), "both")

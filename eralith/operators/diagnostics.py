@@ -70,4 +70,4 @@ def snapshot_with_source(c: Clinical) -> DataFrame:
 def snapshot(c: Clinical) -> DataFrame:
     """One row: persons, observation periods, first and last observed day."""
     op = c["observation_period"].agg(F.count("*").alias("observation_periods"), F.min("observation_period_start_date").alias("earliest"), F.max("observation_period_end_date").alias("latest"))
-    return c["person"].agg(F.count_distinct("person_id").alias("persons")).crossJoin(op)
+    return c["person"].agg(F.count_distinct("person_id").alias("persons")).crossJoin(op)  # one row each
