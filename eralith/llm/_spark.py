@@ -111,10 +111,12 @@ def shared_runs(
     texts have it (between_texts), or if it stands at two places of those least documents (a row may stand for n places,
     if n is among the columns). One sort for each
     partition; a task reads its rows as a stream and holds no more than the rows of one text for one key, so a
-    key that stands in a third of all rows needs no more memory than others. aggregate: (doc, sig, n) counts.
+    key that stands in a third of all rows needs no more memory than others. aggregate: (doc, sig, n) counts. Where df has
+    a column known, rows with it count as shared whatever else their key holds.
     """
     order = [*keys, "sig", "doc"]
-    d = df.select(*order, *columns).repartition(*keys).sortWithinPartitions(*order)
+    flag = ["known"] if "known" in df.columns else []
+    d = df.select(*order, *columns, *flag).repartition(*keys).sortWithinPartitions(*order)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # keys of the open run
@@ -146,6 +148,8 @@ def shared_runs(
             if goes_on:
                 amount[0] += rows
             is_shared = amount >= 2
+            if flag:
+                is_shared |= np.bincount(run, weights=np.asarray(table["known"].to_numpy(zero_copy_only=False)), minlength=n_runs) > 0
             is_shared[0] |= shared and goes_on
             keep = is_shared[run] & speaks
             out = []

@@ -157,6 +157,27 @@ def lists(flat: pa.Array, lengths: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), flat)
 
 
+def thinned(key: np.ndarray, sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a slice of texts need send of its keys to find those that several texts have: (rows, keys to deal by, known).
+
+    Of equal texts (sig) the least doc stays. Where a key has more than two texts in the slice, two go on to tell others; that
+    it is shared is known of the rest, which are dealt out by keys of their own. So a key that stands in every text sends two
+    rows a slice to its one task.
+    """
+    order = np.lexsort((doc, sig, key))
+    k, s = key[order], sig[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+    rows = order[new]
+    k = key[rows]
+    head = np.ones(len(rows), bool)
+    head[1:] = k[1:] != k[:-1]
+    begin = np.flatnonzero(head)
+    known = np.arange(len(rows)) - np.repeat(begin, np.diff(np.append(begin, len(rows)))) >= 2
+    own = mix(k.view(np.uint64) ^ mix(doc[rows].view(np.uint64))).view(np.int64)
+    return rows, np.where(known, own, k), known
+
+
 def gathered(key: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Equal keys of one text (of) brought together: (order, first place in order, number) of each group.
 

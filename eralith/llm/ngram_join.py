@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from eralith.llm._components import components
 from eralith.llm._spark import id_filter, shared_runs, written
-from eralith.llm._text import Rolling, Words, lists, mix, slices, spread, windows
+from eralith.llm._text import Rolling, Words, lists, mix, slices, spread, thinned, windows
 
 #: Longest prefix list whose pairs are looked at one by one; documents in one block of a cluster.
 SHORT_LIST, BLOCK = 64, 512
@@ -93,13 +93,17 @@ def jaccard_components(
                 of = np.repeat(np.arange(t.n), n)
                 sig = _signature(g, of, n)
                 use = g % np.uint64(4) == 0
-                yield pa.record_batch([pa.array(g[use].view(np.int64)), sig[of[use]], doc[t.first + of[use]]], names=["h", "sig", "doc"])
+                of = of[use]
+                rows, key, known = thinned(g[use].view(np.int64), sig[of], doc[t.first + of])
+                of = of[rows]
+                yield pa.record_batch([pa.array(key), sig[of], doc[t.first + of], pa.array(known)], names=["h", "sig", "doc", "known"])
 
     stats = written(d.mapInArrow(measure, "doc long, n long, n_sub long, sig long, sig2 long"))
     classes = written(stats.where("n > 0").groupBy("sig", "sig2").agg(F.min("doc").alias("least"), F.first("n").alias("n"), F.first("n_sub").alias("n_sub")))
     # 1: shingles of the quarter that other sets have as well
-    elsewhere = shared_runs(d.mapInArrow(tokens, "h long, sig long, doc long"), ["h"], [], "doc long, sig long, n long", between_texts=True, aggregate=True)
-    elsewhere = elsewhere.groupBy("sig").agg(F.sum("n").alias("m"))
+    elsewhere = shared_runs(d.mapInArrow(tokens, "h long, sig long, doc long, known boolean"), ["h"], [], "doc long, sig long, n long", between_texts=True, aggregate=True)
+    # of equal sets in different slices the least document tells of all shared shingles, others of some
+    elsewhere = elsewhere.groupBy("sig", "doc").agg(F.sum("n").alias("m")).groupBy("sig").agg(F.max("m").alias("m"))
     allowed = F.col("n") - F.expr(f"({percent} * n + 99) div 100")
     # a small set may have no shingle in the quarter at all; one that is inside a larger set misses none (allowed = 0).
     # A partner holds at least one shingle more or less, so sets with 100 * n < percent * (n + 1) link with equals alone

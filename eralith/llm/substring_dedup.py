@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eralith.llm._spark import documents, id_filter, shared_runs, written
-from eralith.llm._text import Words, covered, gathered, lists, slices, windows
+from eralith.llm._text import Words, covered, gathered, lists, slices, thinned, windows
 
 #: Period and cover: every difference modulo 31 is a difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -57,10 +57,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 h, of, at = h[use].view(np.int64), of[use], at[use].astype(np.int32)
                 order, first, n = gathered(h, of)
                 of = of[order[first]] + t.first
-                yield pa.record_batch([pa.array(h[order[first]]), sig[of], doc[of], lists(pa.array(at[order]), n)], names=["h", "sig", "doc", "at"])
+                rows, key, known = thinned(h[order[first]], sig[of], doc[of])
+                yield pa.record_batch([pa.array(key), sig[of[rows]], doc[of[rows]], lists(pa.array(at[order]), n).take(pa.array(rows)), pa.array(known)], names=["h", "sig", "doc", "at", "known"])
 
-    found = d.mapInArrow(anchors, "h long, sig long, doc long, at array<int>")
+    # equal texts: all but those with the least id go as a whole, if they hold a window
+    sigs = d.select("doc", "sig", F.xxhash64(F.lit(1), F.col("text")).alias("sig2"))
+    equal = sigs.groupBy("sig", "sig2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    copies = written(sigs.join(equal, ["sig", "sig2"]).where("doc > least").select("doc", "sig", F.lit(True).alias("copy")).distinct())
+    found = d.mapInArrow(anchors, "h long, sig long, doc long, at array<int>, known boolean")
     refs = shared_runs(found, ["h"], ["at"], "doc long, sig long, at array<int>", between_texts=True)
+    refs = refs.join(copies, ["doc", "sig"], "left_anti")  # slices tell of copies too
     refs = written(refs.groupBy("doc", "sig").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at")))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +118,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     removed = dense.repartition("h", "h2").sortWithinPartitions("h", "h2", "doc").mapInArrow(later, "doc long, sig long, at array<int>")
     removed = removed.groupBy("doc", "sig").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
-    # equal texts: all but those with the least id go as a whole, if they hold a window
-    sigs = d.select("doc", "sig", F.xxhash64(F.lit(1), F.col("text")).alias("sig2"))
-    equal = sigs.groupBy("sig", "sig2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    copies = sigs.join(equal, ["sig", "sig2"]).where("doc > least").select("doc", "sig", F.lit(True).alias("copy")).distinct()
     known = written(removed.join(copies, ["doc", "sig"], "full"))
     touched = id_filter(known, "doc")
 

@@ -576,3 +576,18 @@ def test_suffix_dedup_large_groups(spark, monkeypatch):
         monkeypatch.setattr(suffix_dedup, "MOST_HELD", most)
         got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffix_dedup.repeated_spans(df).collect()}
         assert got == want, most
+
+
+def test_thinned():
+    """A key of many texts sends two rows of a slice to its task; what is known of the others is true."""
+    import numpy as np
+
+    from eralith.llm._text import thinned
+
+    key = np.array([7] * 6 + [8, 8, 9] + [5] * 4)
+    sig = np.array([1, 2, 3, 4, 4, 5] + [1, 1, 2] + [1, 2, 1, 2])
+    doc = np.array([10, 20, 30, 41, 40, 50] + [10, 11, 20] + [10, 20, 11, 21])
+    rows, dealt, known = thinned(key, sig, doc)
+    assert sorted(zip(key[rows].tolist(), doc[rows].tolist(), strict=True)) == [(5, 10), (5, 20), (7, 10), (7, 20), (7, 30), (7, 40), (7, 50), (8, 10), (9, 20)]
+    assert sorted(key[rows][known].tolist()) == [7, 7, 7] and (dealt[~known] == key[rows][~known]).all()
+    assert not set(dealt[known]) & set(key.tolist()) and len(set(dealt[known])) == 3
