@@ -101,9 +101,70 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE_KINDS)},
 """
 
 
+FILL_IN_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents WHERE doc_id IS NOT NULL),
+e AS (SELECT *, list_transform(range(0, 4), lambda i: CAST('0x' || substring(h, 8 * i + 1, 8) AS BIGINT)) AS draw FROM d),
+f AS (
+  SELECT *, least(draw[1] % (n + 1), draw[2] % (n + 1)) AS a, greatest(draw[1] % (n + 1), draw[2] % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR draw[3] % 100 >= 90 THEN 'plain' WHEN draw[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM e
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || t[1:a] || '<S>' || t[b + 1:] || '<M>' || t[a + 1:b] ELSE '<S>' || t[b + 1:] || '<P>' || t[1:a] || '<M>' || t[a + 1:b] END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM f
+"""
+
+#: CRC-32 is not among the functions: its table of 256 entries comes from its rule, and each text's bytes are folded over it.
+SHARDING = """
+WITH RECURSIVE rule(i, v, k) AS (SELECT i, CAST(i AS UBIGINT), 0 FROM range(256) AS t(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(3988292384::UBIGINT, v >> 1) ELSE v >> 1 END, k + 1 FROM rule WHERE k < 8),
+entries AS MATERIALIZED (SELECT list(v ORDER BY i) AS c FROM rule WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS x FROM documents WHERE doc_id IS NOT NULL),
+crc AS (
+  SELECT r, xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(range(0, size - 1), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS UBIGINT))),
+    lambda v, y: xor(c[CAST(xor(v % 256, y) AS BIGINT) + 1], v >> 8))) AS text_crc32 FROM d, entries
+),
+score AS (SELECT r, s, -1 / ln((CAST('0x' || substring(md5(s || ':' || doc_id), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE) AS v FROM d, range(9) AS t(s)),
+best AS (SELECT r, arg_max(s, v) FILTER (s < 8) AS shard, arg_max(s, v) AS grown_shard FROM score GROUP BY r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY md5(doc_id || ':' || text_crc32), doc_id, size) - 1 AS BIGINT) AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+FROM d JOIN crc USING (r) JOIN best USING (r)
+"""
+
+FILTER_AUDIT = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL
+),
+label AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN first < doc_id THEN 'E' ELSE '' END) AS failed FROM d LEFT JOIN label USING (doc_id)
+),
+cell AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+orders(o) AS (SELECT '' UNION ALL SELECT o || x FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) AS t(x) WHERE NOT contains(o, x)),
+step AS (SELECT o, i, o[i:i] AS x, o[1:i - 1] AS earlier FROM orders, range(1, 6) AS t(i) WHERE length(o) = 5),
+-- a mask is cut by an order's earlier filters if it has one of their letters
+told AS (
+  SELECT part, o, i, x, sum(n) AS total, coalesce(sum(n) FILTER (contains(failed, x)), 0) AS failing, coalesce(sum(n) FILTER (failed = x), 0) AS alone,
+    coalesce(sum(n) FILTER (contains(failed, x) AND translate(failed, earlier, '') = failed), 0) AS removed, coalesce(sum(good) FILTER (contains(failed, x) AND translate(failed, earlier, '') = failed), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (contains(failed, x) AND translate(failed, earlier, '') = failed), 0) AS toxic_lost
+  FROM cell, step GROUP BY ALL
+)
+SELECT part, o AS filter_order, CAST(i AS INTEGER) AS step, CAST(total - sum(removed) OVER (PARTITION BY part, o ORDER BY i) AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(failing - removed AS BIGINT) AS redundant, CAST(alone AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM told
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op4_ngram_join": NGRAM_JOIN,
     "op7_quality_rules": _quality(),
     "op8_secret_scan": _secrets(),
+    "op11_fill_in_middle": FILL_IN_MIDDLE,
+    "op12_sharding": SHARDING,
+    "op13_filter_audit": FILTER_AUDIT,
 }
