@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eralith.llm.quality_rules import MEASURES, STEP
+from eralith.llm.quality_rules import LEAST_SPREAD, MEASURES, STEP, WIDTH, beyond, measured
 from eralith.llm.secret_scan import BASE_KINDS, RULES
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -36,17 +36,17 @@ FROM d LEFT JOIN size USING (r) JOIN least ON doc = d.doc_id
 
 
 def _quality() -> str:
-    shares = ", ".join(f"{n} / {of} AS {m}" for m, (n, of, _) in MEASURES.items())
+    shares = ", ".join(f"{measured(m)} AS {m}" for m in MEASURES)
     names = ", ".join(f"'{m}'" for m in MEASURES)
-    fences = ", ".join(f"max(CASE WHEN measure = '{m}' THEN fence END) AS fence_{m}" for m in MEASURES)
-    reasons = ", ".join(f"CASE WHEN {n} > fence_{m} * {of} + {slack} THEN '{m}' END" for m, (n, of, slack) in MEASURES.items())
+    fences = ", ".join(f"exp(max(CASE WHEN measure = '{m}' THEN fence END)) AS fence_{m}" for m in MEASURES)
+    reasons = ", ".join(f"CASE WHEN {beyond(m, f'fence_{m}')} THEN '{m}' END" for m in MEASURES)
 
     def level(keys: str) -> str:
         by = f"{keys}, measure" if keys else "measure"
         return (
-            f"SELECT {by}, max(total) AS n, greatest(1.5 * q3, q3 + 3.0 * (q3 - q1)) AS f FROM (SELECT {by}, max(total) AS total, "
+            f"SELECT {by}, max(total) AS n, q3 + {WIDTH} * greatest(q3 - q1, {LEAST_SPREAD}) AS f FROM (SELECT {by}, max(total) AS total, "
             f"min(CASE WHEN upto >= 0.25 * total THEN value END) AS q1, min(CASE WHEN upto >= 0.75 * total THEN value END) AS q3 FROM (SELECT {by}, bucket, "
-            f"CASE WHEN bucket > -1048576 THEN exp(bucket * {STEP} - {STEP} / 2) ELSE 0 END AS value, sum(count(*)) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, "
+            f"bucket * {STEP} - {STEP} / 2 AS value, sum(count(*)) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, "
             f"sum(count(*)) OVER (PARTITION BY {by}) AS total FROM bucket GROUP BY {by}, bucket) GROUP BY {by}) GROUP BY {by}, q1, q3"
         )
 
@@ -63,7 +63,7 @@ m AS (
 c AS (SELECT *, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 share AS (SELECT r, g0, g1, {shares} FROM c WHERE NOT base_failed),
 bucket AS (
-  SELECT g0, g1, measure, CASE WHEN v > 0 THEN CAST(ceil(ln(v) / {STEP}) AS INTEGER) ELSE -1048576 END AS bucket
+  SELECT g0, g1, measure, CAST(ceil(ln(v) / {STEP}) AS INTEGER) AS bucket
   FROM (SELECT g0, g1, unnest([{names}]) AS measure, unnest([{", ".join(MEASURES)}]) AS v FROM share)
 ),
 own AS ({level("g0, g1")}), lang AS ({level("g0")}), whole AS ({level("")}),
@@ -134,7 +134,8 @@ FROM d JOIN crc USING (r) JOIN best USING (r)
 FILTER_AUDIT = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first,
-    list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL
 ),
 label AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
 f AS (

@@ -2,9 +2,15 @@
 
 Measures of each text are sketched per language and source: a sketch counts values in buckets whose edges grow by 2 %,
 so a quantile is right to 1 % of its value, sketches merge by adding counts, and the result depends neither on the order
-of rows nor on lost and repeated tasks. Languages and all texts have sketches by merging. A group's fence is drawn
-towards its language's, and that towards all texts', by ``prior`` texts' weight, alike at every group size. A text is
-rejected if a measure lies beyond its group's fence; a join on (language, source) carries the fences to the texts.
+of rows nor on lost and repeated tasks. Languages and all texts have sketches by merging.
+
+Most texts have no symbol, no repeated line and no repeated phrase, so quartiles of the plain shares would be zero. What is
+sketched are odds (count against the rest), where a count of zero stands for the least count that there can be: a text without
+any tells by its length how rare such things are at most. A group's fence lies above its upper quartile by a
+multiple of the distance of its quartiles, on the scale of logarithms (LEAST_SPREAD at least), so it is above zero and follows the group alone; no
+count or share is fixed. It is drawn towards its language's, and that towards all texts', by ``prior`` texts' weight, alike at
+every group size. A text is rejected if a measure lies beyond its group's fence, never for a count of zero; a join on
+(language, source) carries the fences to the texts.
 Sketches have a bounded size and are partial aggregates, so a source with a third of all rows is no heavier than others.
 """
 
@@ -25,17 +31,20 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 #: Languages and sources whose fences may be broadcast (under 10 MB); more of them are joined.
 MOST_BROADCAST = 100_000
-#: measure -> (count, what it is a share of, slack): a text goes if its count exceeds the fence's share by more than
-#: slack, so that groups with next to no spread don't reject on a trace: two pairs of symbols, one repeated line, two
-#: phrases of five words that come twice, one long word. No fence has a fixed share.
+#: measure -> (count, what it is counted in, least count that is not zero). Words in phrases that come twice are ten at least.
+#: word_length is no share and never zero.
 MEASURES = {
-    "symbol_share": ("n_symbols", "word_chars", 4),
+    "symbol_share": ("n_symbols", "word_chars", 1),
     "dup_line_share": ("n_dup_lines", "n_lines", 1),
-    "repeat_share": ("n_repeat_words", "n_words", 20),
-    "word_length": ("word_chars", "n_words", 40),
+    "repeat_share": ("n_repeat_words", "n_words", 10),
+    "word_length": ("word_chars", "n_words", None),
 }
 #: Natural logarithm of the ratio of a sketch's bucket edges; the bucket of zeros.
 STEP, ZERO = 0.02, -(1 << 20)
+#: Distances of the quartiles that a fence lies above the upper one.
+WIDTH = 2.0
+#: What the quartiles of a group with next to no spread count as being apart: a tenth, in logarithms.
+LEAST_SPREAD = 0.1
 
 
 def text_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -72,6 +81,18 @@ def text_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     return out.withColumnsRenamed({f"k{i}": f"_{c}" for i, c in enumerate(keep)})
 
 
+def measured(name: str) -> str:
+    """What is sketched of a measure: odds of a share, or the ratio (SQL over the counts)."""
+    count, of, least = MEASURES[name]
+    return f"{count} / {of}" if least is None else f"greatest({count}, {least}) / greatest({of} - {count}, {least})"
+
+
+def beyond(name: str, fence: str) -> str:
+    """Whether a text's measure lies beyond a fence (SQL over the counts)."""
+    count, of, least = MEASURES[name]
+    return f"{count} > {fence} * {of}" if least is None else f"{count} > {fence} * greatest({of} - {count}, {least})"
+
+
 def sketches(values: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
     """(by..., measure, bucket, n): quantile sketches of non-negative columns; they merge by adding n."""
     bucket = lambda m: F.when(F.col(m) > 0, F.ceil(F.log(m) / STEP)).otherwise(ZERO).cast("int")
@@ -95,48 +116,57 @@ def quantiles(sk: DataFrame, by: list[str], shares: dict[str, float]) -> DataFra
     return w.groupBy(*by, "measure").agg(F.max("of").alias("n"), *(F.min(F.when(F.col("upto") >= F.col("of") * q, F.col("value"))).alias(c) for c, q in shares.items()))
 
 
-def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, str] = ("lang", "source"),
-    width: float = 3.0, prior: int = 50,
-) -> DataFrame:
-    """(doc_id, text_hash, counts..., base_failed, kept, reasons): one row per row of docs that has an id.
-
-    Fence of a sketch: upper quartile + width * interquartile range, never below 1.5 upper quartiles. The fence of a
-    language and source is the mean of its own sketch's, weighing as many as its texts, and its language's, weighing
-    prior; the language's is drawn to all texts' in the same way. A text may exceed its fence by the slack in MEASURES,
-    which is a count. Null language or source: a group of its own. A null text is an empty one; texts without words
-    fail the base rules (fewer than 10 words); they and others that fail them count in no sketch. Rows without an id
-    are left out; repeated rows count and are judged as often as they stand.
-    """
-    group = (F.coalesce(F.col(x).cast("string"), F.lit("\0")).alias(f"g{i}") for i, x in enumerate(by))
-    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), *group, F.col(text_col).alias("text"))
-    c = text_counts(d, "text", ("doc_id", "text_hash", "g0", "g1")).withColumnsRenamed({f"_{x}": x for x in ("doc_id", "text_hash", "g0", "g1")})
-    c = c.select(
-        "doc_id", "text_hash", "g0", "g1",
-        *_COUNTS,
-        F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words").alias("base_failed"),
-    )
-    c = written(c)
-    shares = c.where("not base_failed").select("g0", "g1", *(F.expr(f"{n} / {of}").alias(m) for m, (n, of, _) in MEASURES.items()))
+def group_fences(counts: DataFrame, width: float = WIDTH, prior: int = 50) -> DataFrame:
+    """(g0, g1, fence_<measure>...): the fences of each language and source of counts (g0, g1, counts..., base_failed)."""
+    shares = counts.where("not base_failed").select("g0", "g1", *(F.expr(measured(m)).alias(m) for m in MEASURES))
     own = written(sketches(shares, ["g0", "g1"], list(MEASURES)))
 
     def fences(sk: DataFrame, by: list[str], p: str) -> DataFrame:
-        fence = F.greatest(F.col("q3") * 1.5, F.col("q3") + (F.col("q3") - F.col("q1")) * width)
+        q1, q3 = F.log("q1"), F.log("q3")
+        fence = q3 + F.greatest(q3 - q1, F.lit(LEAST_SPREAD)) * width
         return quantiles(sk, by, {"q1": 0.25, "q3": 0.75}).select(*by, "measure", F.col("n").alias(f"n_{p}"), fence.alias(f"f_{p}"))
 
     drawn = lambda p, wider: (F.coalesce(f"n_{p}", F.lit(0)) * F.coalesce(f"f_{p}", F.lit(0.0)) + wider * prior) / (F.coalesce(f"n_{p}", F.lit(0)) + prior)
     table = (
-        c.select("g0", "g1").distinct().withColumn("measure", F.explode(F.array(*map(F.lit, MEASURES))))
+        counts.select("g0", "g1").distinct().withColumn("measure", F.explode(F.array(*map(F.lit, MEASURES))))
         .join(fences(merged(own, []), [], "all"), "measure", "left")
         .join(fences(merged(own, ["g0"]), ["g0"], "lang"), ["g0", "measure"], "left")
         .join(fences(own, ["g0", "g1"], "own"), ["g0", "g1", "measure"], "left")
-        .groupBy("g0", "g1").pivot("measure", list(MEASURES)).agg(F.first(drawn("own", drawn("lang", F.col("f_all")))))
+        .groupBy("g0", "g1").pivot("measure", list(MEASURES)).agg(F.first(F.exp(drawn("own", drawn("lang", F.col("f_all"))))))
     )
+    return written(table.withColumnsRenamed({m: f"fence_{m}" for m in MEASURES}))
+
+
+def verdicts(counts: DataFrame, fences: DataFrame) -> DataFrame:
+    """counts with kept and reasons by the fences of their groups."""
     # a source may hold a third of all rows, so the fences go to the rows where they are few; without any, all texts fail the base rules
-    table = written(table.withColumnsRenamed({m: f"fence_{m}" for m in MEASURES}))
-    out = c.join(F.broadcast(table) if table.count() <= MOST_BROADCAST else table, ["g0", "g1"], "left")
-    reasons = F.array_compact(F.array(F.when(F.col("base_failed"), F.lit("base")), *(F.when(F.col(n) > F.col(f"fence_{m}") * F.col(of) + slack, F.lit(m)) for m, (n, of, slack) in MEASURES.items())))
-    return out.withColumn("reasons", reasons).select("doc_id", "text_hash", *_COUNTS, "base_failed", (F.size("reasons") == 0).alias("kept"), "reasons")
+    out = counts.join(F.broadcast(fences) if fences.count() <= MOST_BROADCAST else fences, ["g0", "g1"], "left")
+    reasons = F.array_compact(F.array(F.when(F.col("base_failed"), F.lit("base")), *(F.when(F.expr(beyond(m, f"fence_{m}")), F.lit(m)) for m in MEASURES)))
+    return out.withColumn("reasons", reasons).withColumn("kept", F.size("reasons") == 0)
+
+
+def group_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """(doc_id, text_hash, g0, g1, counts..., base_failed) of every row with an id."""
+    group = (F.coalesce(F.col(x).cast("string"), F.lit("\0")).alias(f"g{i}") for i, x in enumerate(by))
+    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), *group, F.col(text_col).alias("text"))
+    c = text_counts(d, "text", ("doc_id", "text_hash", "g0", "g1")).withColumnsRenamed({f"_{x}": x for x in ("doc_id", "text_hash", "g0", "g1")})
+    return c.select("doc_id", "text_hash", "g0", "g1", *_COUNTS, F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words").alias("base_failed"))
+
+
+def quality_rules(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, str] = ("lang", "source"),
+    width: float = WIDTH, prior: int = 50,
+) -> DataFrame:
+    """(doc_id, text_hash, counts..., base_failed, kept, reasons): one row per row of docs that has an id.
+
+    Fence of a sketch, in logarithms: upper quartile + width * interquartile range. The fence of a language and source is
+    the mean of its own sketch's, weighing as many as its texts, and its language's, weighing prior; the language's is
+    drawn to all texts' in the same way. Null language or source: a group of its own. A null text is an empty one; texts without words
+    fail the base rules (fewer than 10 words); they and others that fail them count in no sketch. Rows without an id
+    are left out; repeated rows count and are judged as often as they stand.
+    """
+    c = written(group_counts(docs, id_col, text_col, by))
+    return verdicts(c, group_fences(c, width, prior)).select("doc_id", "text_hash", *_COUNTS, "base_failed", "kept", "reasons")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

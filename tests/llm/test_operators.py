@@ -365,6 +365,31 @@ def test_quality_fences_follow_groups(spark):
     assert got[3000].kept and all(got[d].kept for d in range(600))
 
 
+def test_quality_fences_decide(spark):
+    """Groups have fences of their own, above zero, and verdicts follow them: with two groups' fences swapped, others go."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from eralith.llm.quality_rules import MEASURES, group_counts, group_fences, verdicts
+
+    rng = random.Random(8)
+
+    def text(n, marks, lines=5):
+        return "\n".join(" ".join(rng.choice(["#", "|"]) if rng.random() < marks else f"w{rng.randrange(10**6)}" for _ in range(n)) for _ in range(lines))
+
+    docs = [(i, text(rng.randrange(8, 60), 0.3 if i % 20 == 0 else 0), "en", "prose") for i in range(800)]
+    docs += [(1000 + i, text(rng.randrange(8, 60), rng.uniform(0.1, 0.3), rng.randrange(3, 12)), "en", "code") for i in range(800)]
+    c = group_counts(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).cache()
+    fences = group_fences(c)
+    table = {r.g1: r for r in fences.collect()}
+    assert all(table["prose"][f"fence_{m}"] != table["code"][f"fence_{m}"] and min(r[f"fence_{m}"] for r in table.values()) > 0 for m in MEASURES)
+    gone = lambda f: {r.doc_id for r in verdicts(c, f).where("not kept").collect()}
+    own, swapped = gone(fences), gone(fences.withColumn("g1", F.when(F.col("g1") == "prose", "code").otherwise("prose")))
+    strays = {i for i in range(0, 800, 20)}
+    assert own == strays and not strays & swapped and len([d for d in swapped if d >= 1000]) > 700
+
+
 def test_secret_scan(spark, sf_dir, rows):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     want = []
@@ -389,6 +414,8 @@ def test_secret_ledger(spark):
     v2 = spark.createDataFrame([(4, "nothing"), (5, "token = abcdefghijkl12"), (6, "passwd: 1234567890abc")], schema)
     found, ledger = secret_scan(v2, ledger=ledger)
     assert {r.doc_id for r in found.collect() if r.spans} == {5, 6} and ledger.count() == 3
+    # a commit adds its rows to those before it and rewrites none
+    assert sorted(r["commit"] for r in ledger.collect()) == [1, 1, 2]
     # what the ledger says of a pair that it holds is believed: the blob is not read again
     told = ledger.withColumn("spans", F.array().cast(ledger.schema["spans"].dataType))
     known, _ = secret_scan(spark.createDataFrame([(7, "token = abcdefghijkl12")], schema), ledger=told)
@@ -402,6 +429,11 @@ def test_secret_ledger(spark):
     assert got == {8: ["assign", "hex"], 9: []}
     versions = [r.versions for r in after.collect()]
     assert len(versions) == 4 and sum(v["assign"] == 2 for v in versions) == 2 and sum("hex" not in v for v in versions) == 2
+    # the newest row of a blob counts, and is the one that a further commit asks
+    found, longer = secret_scan(v3.select("doc_id", F.col("content").alias("text")), ledger=ledger, rules=rules)
+    assert longer.count() == 5 and {r.doc_id: [s.name for s in r.spans] for r in found.collect()} == got
+    _, same_again = secret_scan(v3.select("doc_id", F.col("content").alias("text")), ledger=longer, rules=rules)
+    assert same_again.count() == 5
 
 
 def test_packing(spark, sf_dir, rows):
