@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -37,16 +39,39 @@ def clear_written(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Folders of the tables written so far, in order.
+#: Folders of the tables that the block of recorded() in force has written; each thread has its own.
+_recorded: ContextVar[list[str] | None] = ContextVar("recorded", default=None)
 _written: list[str] = []
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders, in order, of the tables that operators write within the block: what others write is never among them.
+
+    Blocks may be nested; a table belongs to the innermost.
+    """
+    folders: list[str] = []
+    token = _recorded.set(folders)
+    try:
+        yield folders
+    finally:
+        _recorded.reset(token)
+
+
+def delete_tables(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Deletes written tables, which nothing may read any more."""
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, folders):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, read from a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
+    if (folders := _recorded.get()) is not None:
+        folders.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,9 +1,10 @@
 """Secret scans over an incremental blob ledger, in DataFrame functions only.
 
-Every historical version of a path is content-addressed (SHA-256). The ledger has one row a blob: the version of each
-rule that has read it, and what they found. Blobs that all current rule versions have read are anti-joined away; the
-others are read by just the rules that have not, and findings join back to all paths by address. Thousands of copies of
-one text cost one scan, a commit costs its new blobs, and a new rule version reads each blob for that rule alone.
+Every historical version of a path is content-addressed (SHA-256). The ledger is append-only: a commit adds a row for each
+blob that it has read, with the version of each rule that has read it and what they found; the newest row of a blob counts.
+Blobs that all current rule versions have read are anti-joined away; the others are read by just the rules that have not,
+and findings join back to all paths by address. Thousands of copies of one text cost one scan, a commit reads and writes
+its new blobs alone, and a new rule version reads each blob for that rule alone.
 """
 
 from __future__ import annotations
@@ -64,24 +65,35 @@ def addressed(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return v.where("doc_id is not null").withColumn("blob", F.unhex(F.sha2("content", 256)))
 
 
-def scanned(v: DataFrame, ledger: DataFrame | None = None, rules: dict[str, int] | None = None) -> DataFrame:
-    """The ledger (blob, versions, spans) with the blobs of v (addressed): only pairs of blob and rule version that it lacks are read."""
+def newest(ledger: DataFrame) -> DataFrame:
+    """(blob, versions, spans): of each blob what its last commit says; a ledger without commits has one row a blob."""
+    if "commit" not in ledger.columns:
+        return ledger.select("blob", "versions", "spans")
+    return ledger.groupBy("blob").agg(F.max_by(F.struct("versions", "spans"), "commit").alias("row")).select("blob", "row.*")
+
+
+def unread(v: DataFrame, ledger: DataFrame | None = None, rules: dict[str, int] | None = None) -> DataFrame:
+    """(blob, versions, spans) of the blobs of v (addressed) that some rule has not read: only those pairs of blob and rule are read."""
     rules = VERSIONS if rules is None else rules
     # one path of each blob brings its content
-    unseen = v.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    blobs = v.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
     has = lambda rule: F.coalesce(F.element_at("versions", rule) == rules[rule], F.lit(False))
     if ledger is None:
-        unseen = unseen.select("*", F.lit(None).cast("map<string,int>").alias("versions"), F.lit(None).cast(SPANS).alias("earlier"))
+        blobs = blobs.select("*", F.lit(None).cast("map<string,int>").alias("versions"), F.lit(None).cast(SPANS).alias("earlier"))
     else:
-        current = reduce(Column.__and__, map(has, rules), F.lit(True))
-        unseen = unseen.join(ledger.where(current).select("blob"), "blob", "left_anti")
-        unseen = unseen.join(ledger.where(~current).select("blob", "versions", F.col("spans").alias("earlier")), "blob", "left")
-    texts = v.join(unseen, ["doc_id", "blob"])
+        known = newest(ledger.join(blobs.select("blob"), "blob", "left_semi")).withColumnRenamed("spans", "earlier")
+        blobs = blobs.join(known, "blob", "left").where(~reduce(Column.__and__, map(has, rules), F.lit(True)))
+    texts = v.join(blobs, ["doc_id", "blob"])
     each = (F.when(has(rule), F.filter("earlier", lambda s, rule=rule: s["name"] == rule)).otherwise(_spans(F.col("content"), rule)) for rule in rules)
     now = F.create_map(*(F.lit(x) for pair in rules.items() for x in pair))
     # rows that repeat bring a blob more than once
-    new = texts.select("blob", now.alias("versions"), F.array_sort(F.flatten(F.array(*each))).alias("spans")).dropDuplicates(["blob"])
-    return new if ledger is None else ledger.join(unseen.select("blob"), "blob", "left_anti").unionByName(new)
+    return texts.select("blob", now.alias("versions"), F.array_sort(F.flatten(F.array(*each))).alias("spans")).dropDuplicates(["blob"])
+
+
+def scanned(v: DataFrame, ledger: DataFrame | None = None, rules: dict[str, int] | None = None) -> DataFrame:
+    """The newest rows (blob, versions, spans) of a ledger once the blobs of v (addressed) are read."""
+    new = unread(v, ledger, rules)
+    return new if ledger is None else newest(ledger).join(new.select("blob"), "blob", "left_anti").unionByName(new)
 
 
 def findings(v: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -96,16 +108,23 @@ def findings(v: DataFrame, ledger: DataFrame) -> DataFrame:
 def secret_scan(
     versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: dict[str, int] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger): findings (doc_id, blob, spans) for every row with an id; the ledger with what is new, written.
+    """(findings, ledger): findings (doc_id, blob, spans) for every row with an id; the ledger and what is new in it.
 
-    ledger: what an earlier call returned, or None at first. rules: the rules in force and their versions, VERSIONS by
+    ledger: what an earlier call returned, or None at first. Only the rows of this commit are written; a ledger of the
+    caller's own may be kept as a table to which the rows of the greatest commit are appended. rules: the rules in force and their versions, VERSIONS by
     default; a ledger's findings of other rules are dropped once its blob is read again. spans are sorted by start, then
     by rule. A null text is an empty blob, which has no spans. Rows with the same id and text give the same row once
     each; a row without an id is left out.
     """
     v = addressed(versions, id_col, text_col)
-    ledger = written(scanned(v, ledger, rules))
-    return findings(v, ledger), ledger
+    if ledger is not None and "commit" not in ledger.columns:
+        ledger = ledger.withColumn("commit", F.lit(0))
+    number = 1 if ledger is None else 1 + (ledger.agg(F.max("commit")).first()[0] or 0)
+    new = written(unread(v, ledger, rules).withColumn("commit", F.lit(number)))
+    if ledger is None:
+        return findings(v, new), new
+    ledger = ledger.unionByName(new)
+    return findings(v, newest(ledger.join(v.select("blob").distinct(), "blob", "left_semi"))), ledger
 
 
 def span_text(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
