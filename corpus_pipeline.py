@@ -7,10 +7,12 @@ each row is judged by its own text; the near-duplicate stage takes them for one
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eralith.llm._spark import drop_written, n_written, text_hash, written
+from eralith.llm._spark import delete_tables, recorded, text_hash, written
 from eralith.llm.ngram_join import jaccard_components
 from eralith.llm.packing import best_fit_packing
 from eralith.llm.quality_rules import quality_rules
@@ -18,16 +20,15 @@ from eralith.llm.secret_scan import secret_scan
 from eralith.llm.substring_dedup import substring_dedup
 
 
-def _beside(docs: DataFrame, found: DataFrame, key: Column, how: str) -> DataFrame:
-    """docs joined with found (doc_id, key, columns...) by id and key; found's columns get names that docs has not."""
+def _beside(docs: DataFrame, found: DataFrame, key: Column, how: str) -> tuple[DataFrame, Callable[[str], Column]]:
+    """docs joined with found (doc_id, key, columns...) by id and key, and how found's columns are got at.
+
+    These get names longer than any that docs has, so that no column of docs can be taken for one.
+    """
     longest = "_" * (1 + max(map(len, docs.columns)))
     v = found.select(*(F.col(c).alias(longest + c) for c in found.columns))
-    return docs.join(v, (docs["doc_id"] == v[longest + "doc_id"]) & (key == v[longest + found.columns[1]]), how)
-
-
-def _found(both: DataFrame, name: str) -> Column:
-    """A column that _beside has added."""
-    return both[next(c for c in both.columns if c.lstrip("_") == name and c.startswith("_" * 3))]
+    both = docs.join(v, (docs["doc_id"] == v[longest + "doc_id"]) & (key == v[longest + found.columns[1]]), how)
+    return both, lambda name: both[longest + name]
 
 
 def _refilled(docs: DataFrame, both: DataFrame, text: Column) -> DataFrame:
@@ -39,7 +40,7 @@ def _refilled(docs: DataFrame, both: DataFrame, text: Column) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep (7)."""
     good = quality_rules(docs).where("kept").select("doc_id", "text_hash").distinct()
-    return _beside(docs, good, text_hash(docs["text"]), "left_semi")
+    return _beside(docs, good, text_hash(docs["text"]), "left_semi")[0]
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,17 +64,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A text of which no word is left goes.
     """
     cut = substring_dedup(docs).where("n_removed > 0").select("doc_id", "text_hash", F.when(F.col("kept_text") != "", F.col("cut_text")).otherwise("").alias("cut"))
-    both = _beside(docs, cut.dropDuplicates(["doc_id", "text_hash"]), text_hash(docs["text"]), "left")
-    cut = _found(both, "cut")
+    both, found = _beside(docs, cut.dropDuplicates(["doc_id", "text_hash"]), text_hash(docs["text"]), "left")
+    cut = found("cut")
     return _refilled(docs, both.where(cut.isNull() | (cut != "")), F.coalesce(cut, docs["text"]))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every secret span replaced by <secret> (8)."""
-    found, _ = secret_scan(docs)
-    v = found.where(F.size("spans") > 0).select("doc_id", "blob", "spans").dropDuplicates(["doc_id", "blob"])
-    both = _beside(docs, v, F.unhex(F.sha2(docs["text"], 256)), "left")
-    spans = _found(both, "spans")
+    scan, _ = secret_scan(docs)
+    v = scan.where(F.size("spans") > 0).select("doc_id", "blob", "spans").dropDuplicates(["doc_id", "blob"])
+    both, found = _beside(docs, v, F.unhex(F.sha2(docs["text"], 256)), "left")
+    spans = found("spans")
     # spans may overlap: each piece of text runs from the furthest end so far to the next start
     walked = F.aggregate(
         spans,
@@ -106,11 +107,13 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over documents, each written and read again as the next one's input.
 
-    Tables that a stage has written on its way are deleted once its result is, and so is its input.
+    Tables that a stage has written on its way are deleted once its result is, and so is its input; other tables, of
+    operators or pipelines that run beside it, are not touched.
     """
-    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), n_written()
+    docs, earlier = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-        drop_written(spark, since, n_written() - 1)
-        since = n_written() - 1
+        with recorded() as tables:
+            docs = written(stage(spark, docs, sf_dir))
+        delete_tables(spark, earlier + tables[:-1])
+        earlier = tables[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
