@@ -41,7 +41,6 @@ def clear_written(spark: SparkSession) -> None:
 
 #: Folders of the tables that the block of recorded() in force has written; each thread has its own.
 _recorded: ContextVar[list[str] | None] = ContextVar("recorded", default=None)
-_written: list[str] = []
 
 
 @contextmanager
@@ -69,22 +68,11 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
     if (folders := _recorded.get()) is not None:
         folders.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def n_written() -> int:
-    return len(_written)
-
-
-def drop_written(spark: SparkSession, since: int, until: int) -> None:
-    """Deletes the tables number since to until - 1, which nothing may read any more."""
-    for path in map(spark._jvm.org.apache.hadoop.fs.Path, _written[since:until]):
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_hash(text: Column) -> Column:
     """What tells texts of one id apart in an operator's result."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
