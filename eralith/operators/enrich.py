@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eralith.functions.kernels import in_window, packed_age
+from eralith.functions.sweeps import overlap_totals
 from eralith.sources.clinical import Clinical
 
 Window_ = tuple[int | None, int | None]
@@ -77,21 +78,16 @@ def add_intersect(
 ) -> DataFrame:
     """For each window: whether, how often, when first and how many days away a person's events overlap it.
 
-    One join on the person for all windows, then conditional aggregates; events that no window can reach are cut in
-    the join itself. Columns are {name}_{what}_{lo}_{hi}; m before a number stands for minus, inf for no bound.
+    Entries and events never meet: running counts along each person's days answer all windows in one sweep, so a person with
+    very many of both costs no more than their days. Events that end before they start are left out. Columns are
+    {name}_{what}_{lo}_{hi}; m before a number stands for minus, inf for no bound.
     """
     who = _person(df)
     label = lambda w: "_".join("minf" if v is None and k == 0 else "inf" if v is None else f"m{-v}" if v < 0 else str(v) for k, v in enumerate(w))
-    e = events.select(F.col(person).alias("_p"), F.col(start).alias("_s"), F.coalesce(end, start).alias("_e"))
-    lows, highs = [w[0] for w in windows], [w[1] for w in windows]
-    reach = (None if None in lows else min(lows), None if None in highs else max(highs))
-    ids = df.select(who, index).distinct()
-    hit = ids.join(e, (F.col(who) == F.col("_p")) & in_window(F.col(index), F.col("_s"), F.col("_e"), reach))
-    aggs = []
-    for w in windows:
-        test = in_window(F.col(index), F.col("_s"), F.col("_e"), w)
-        aggs += [F.count(F.when(test, 1)).alias(f"{name}_count_{label(w)}"), F.min(F.when(test, F.col("_s"))).alias(f"{name}_date_{label(w)}")]
-    out = df.join(hit.groupBy(who, index).agg(*aggs), [who, index], "left")
+    e = events.select(F.col(person).alias(who), F.col(start).alias("start"), F.coalesce(end, start).alias("end"))
+    found = overlap_totals(df.select(who, index), e, windows, who, index)
+    found = found.withColumnsRenamed({f"{c}_{i}": f"{name}_{n}_{label(w)}" for i, w in enumerate(windows) for c, n in (("n", "count"), ("first", "date"))})
+    out = df.join(found, [who, index], "left")
     for w in windows:
         n, d = F.coalesce(F.col(f"{name}_count_{label(w)}"), F.lit(0)), F.col(f"{name}_date_{label(w)}")
         new = {"count": n.cast("long"), "flag": (n > 0).cast("int"), "date": d, "days": F.datediff(d, index)}

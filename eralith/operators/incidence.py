@@ -6,11 +6,12 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eralith.functions.kernels import calendar, islands, overlap_days, packed_age, wilson
+from eralith.functions.sweeps import point, points, segments
 from eralith.operators.enrich import birth_date
 from eralith.sources.clinical import Clinical
 
@@ -75,6 +76,56 @@ def by_strata(denominator: DataFrame, strata: DataFrame, columns: Sequence[str],
     return out.select("_id.*", *(c for c in out.columns if c != "_id"))
 
 
+def _cut(time: DataFrame, interval: str, whole: DataFrame) -> DataFrame:
+    """Rows of time with each calendar interval (interval_start, interval_end) that they touch; "overall": their cohort's span in whole."""
+    if interval == "overall":
+        span = whole.groupBy("cohort_definition_id").agg(F.min("cohort_start_date").alias("interval_start"), F.max("cohort_end_date").alias("interval_end"))
+        return time.join(span, "cohort_definition_id")
+    i = F.explode(calendar(F.col("cohort_start_date"), F.col("cohort_end_date"), interval))
+    return time.withColumn("_i", i).withColumns({"interval_start": F.col("_i.start"), "interval_end": F.col("_i.end")}).drop("_i")
+
+
+def time_at_risk(denominator: DataFrame, outcome: DataFrame, washout: int | None = None, repeated: bool = False) -> DataFrame:
+    """(cohort_definition_id, subject_id, cohort_start_date, cohort_end_date, n_events): what is left of time at risk, in stretches.
+
+    From the day after an outcome starts until washout days after it has ended nobody is at risk; without washout never again,
+    outcomes before the denominator included. A day on which an outcome starts while at risk is a stretch of its own with one
+    event; an outcome that starts within another's washout counts for nothing. Without repeated, a person's time in a
+    cohort also ends with the first event counted. Rows of one subject and cohort that overlap are taken together.
+
+    Denominator, outcomes and washout are points of one sweep: running sums tell which days are observed, which are cut
+    and which have an event; no interval is held against another.
+    """
+    keys = ["cohort_definition_id", "subject_id"]
+    start, end, behind = F.col("cohort_start_date"), F.col("cohort_end_date"), lambda c: F.date_add(c, 1)
+    none = {"seen": 0, "cut": 0, "event": 0}
+    seen = points(denominator, keys, point(start, **none | {"seen": 1}), point(behind(end), **none | {"seen": -1}))
+    o = outcome.select("subject_id", "cohort_start_date", F.greatest("cohort_start_date", "cohort_end_date").alias("cohort_end_date")).where(start.isNotNull()).distinct()
+    o = denominator.select(*keys).distinct().join(o, "subject_id")
+    back = [] if washout is None else [point(F.date_add(end, washout + 1), **none | {"cut": -1})]
+    cuts = points(o, keys, point(start, **none | {"event": 1}), point(behind(start), **none | {"event": -1, "cut": 1}), *back)
+    d = segments(seen.unionByName(cuts), keys, list(none)).where("seen > 0 and cut = 0").withColumn("n_events", (F.col("event") > 0).cast("int"))
+    if not repeated:
+        earlier = F.sum("n_events").over(Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+        d = d.withColumn("_earlier", F.coalesce(earlier, F.lit(0))).where("_earlier = 0")
+    return d.select(*keys, F.col("start").alias("cohort_start_date"), F.col("end").alias("cohort_end_date"), "n_events")
+
+
+def strict_incidence(denominator: DataFrame, outcome: DataFrame, interval: str = "years", washout: int | None = None, repeated: bool = False) -> DataFrame:
+    """incidence() over time_at_risk(): time stops at the event, outcomes and washout take time away, events outside a person's own time don't count."""
+    d = _cut(time_at_risk(denominator, outcome, washout, repeated), interval, denominator)
+    d = d.withColumn("_days", overlap_days(*map(F.col, ("cohort_start_date", "cohort_end_date", "interval_start", "interval_end"))))
+    per = d.groupBy("cohort_definition_id", "subject_id", "interval_start", "interval_end").agg(F.sum("_days").alias("_days"), F.sum("n_events").alias("_n"))
+    return _rates(per)
+
+
+def _rates(per: DataFrame) -> DataFrame:
+    """Rates of intervals from (cohort_definition_id, subject_id, interval_start, interval_end, _days, _n)."""
+    out = per.groupBy("cohort_definition_id", "interval_start", "interval_end").agg(F.count("*").alias("n_persons"), F.sum("_days").alias("person_days"), F.sum("_n").alias("n_events"))
+    years = F.col("person_days") / 365.25
+    return out.withColumn("person_years", years).withColumn("rate_100000", F.col("n_events") / years * 100_000)
+
+
 def incidence(denominator: DataFrame, outcome: DataFrame, interval: str = "years", washout: int | None = None, repeated: bool = False, study: tuple[str, str] | None = None) -> DataFrame:
     """Per calendar interval: persons, days and years at risk, events and the rate per 100,000 person-years.
 
@@ -92,14 +143,12 @@ def incidence(denominator: DataFrame, outcome: DataFrame, interval: str = "years
             lambda acc, d: F.when((F.size(acc) == 0) | (F.datediff(d, F.element_at(acc, -1)) > washout), F.concat(acc, F.array(d))).otherwise(acc),
         )
         o = o.groupBy("_p").agg(kept.alias("_k")).select("_p", F.explode("_k").alias("_o"))
-    d = denominator.withColumn("_i", F.explode(calendar(F.col("cohort_start_date"), F.col("cohort_end_date"), interval)))
-    d = d.select("cohort_definition_id", "subject_id", F.col("_i.start").alias("interval_start"), F.col("_i.end").alias("interval_end"), overlap_days(F.col("cohort_start_date"), F.col("cohort_end_date"), F.col("_i.start"), F.col("_i.end")).alias("_days"))
+    d = _cut(denominator, interval, denominator)
+    d = d.withColumn("_days", overlap_days(*map(F.col, ("cohort_start_date", "cohort_end_date", "interval_start", "interval_end"))))
     per = d.groupBy("cohort_definition_id", "subject_id", "interval_start", "interval_end").agg(F.sum("_days").alias("_days"))
     per = per.join(o, (F.col("subject_id") == F.col("_p")) & F.col("_o").between(F.col("interval_start"), F.col("interval_end")), "left")
     per = per.groupBy("cohort_definition_id", "subject_id", "interval_start", "interval_end").agg(F.first("_days").alias("_days"), F.count("_o").alias("_n"))
-    out = per.groupBy("cohort_definition_id", "interval_start", "interval_end").agg(F.count("*").alias("n_persons"), F.sum("_days").alias("person_days"), F.sum("_n").alias("n_events"))
-    years = F.col("person_days") / 365.25
-    return out.withColumn("person_years", years).withColumn("rate_100000", F.col("n_events") / years * 100_000)
+    return _rates(per)
 
 
 #: Greatest count whose limits come from the Poisson distribution itself.
@@ -140,8 +189,7 @@ def poisson_limits(events: pd.Series, person_years: pd.Series) -> pd.DataFrame:
 def prevalence(denominator: DataFrame, outcome: DataFrame, interval: str = "years", kind: str = "point", full_contribution: bool = False) -> DataFrame:
     """Share of persons with the outcome, at each interval's first day (point) or any time in it (period), Wilson limits."""
     o = islands(outcome.select(F.col("subject_id").alias("_p"), F.col("cohort_start_date").alias("_s"), F.col("cohort_end_date").alias("_e")), ["_p"], "_s", "_e")
-    d = denominator.withColumn("_i", F.explode(calendar(F.col("cohort_start_date"), F.col("cohort_end_date"), interval)))
-    d = d.select("cohort_definition_id", "subject_id", "cohort_start_date", "cohort_end_date", F.col("_i.start").alias("interval_start"), F.col("_i.end").alias("interval_end"))
+    d = _cut(denominator, interval, denominator)
     if kind == "point":
         d = d.withColumn("interval_end", F.col("interval_start"))
     d = d.where("cohort_start_date <= interval_end and cohort_end_date >= interval_start")

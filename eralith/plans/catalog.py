@@ -29,6 +29,7 @@ from eralith.operators import results as re_
 from eralith.operators import summaries as sm
 from eralith.operators import survival as su
 from eralith.operators import vocabulary as vo
+from eralith.sources import layout as la
 from eralith.sources.clinical import PROJECTIONS, Clinical, project, with_eras
 from eralith.streaming import eras
 
@@ -162,6 +163,23 @@ def connector_quantile(c):
     return ch.quantiles(c["drug_exposure"], ["quantity"], [0.25, 0.5, 0.9], ["route"])
 
 
+@query("SELECT t.subject_id, count(d.person_id) AS n_exposures, count(DISTINCT d.route) AS n_routes, CAST(max(date_diff('day', observation_period_start_date, observation_period_end_date)) AS BIGINT) AS observed_days FROM target t JOIN observation_period o ON o.person_id = t.subject_id LEFT JOIN drug_exposure d ON d.person_id = t.subject_id AND d.drug_exposure_start_date BETWEEN t.cohort_start_date AND t.cohort_start_date + 90 GROUP BY 1")
+def permanent_person_join(c):
+    """Target, exposures (in two batches, one of which is appended twice) and observation periods as permanent tables that meet by person."""
+    spark = c["person"].sparkSession
+    prefix, path = f"laid_{spark.sparkContext.applicationId.replace('-', '_')}_".lower(), la.shared_folder(spark)
+    kept = la.lay_out_clinical(c.select_tables(["observation_period"]).with_cohort("target", target(c)), prefix, path=path)
+    drugs, returned = c["drug_exposure"], F.col("route") == "R"
+    la.lay_out(drugs.where(returned), f"{prefix}drug_exposure", batch="returned", path=f"{path}/{prefix}drug_exposure")
+    for _ in range(2):
+        laid = la.append_batch(drugs.where(~returned), f"{prefix}drug_exposure", "others")
+    t, o = kept["target"], kept["observation_period"].withColumnRenamed("person_id", "subject_id")
+    d = laid.select(F.col("person_id").alias("subject_id"), F.col("drug_exposure_start_date").alias("d"), "route")
+    near = d.join(t, "subject_id").where(F.col("d").between(F.col("cohort_start_date"), F.date_add("cohort_start_date", 90))).groupBy("subject_id").agg(F.count("*").alias("n_exposures"), F.count_distinct("route").alias("n_routes"))
+    observed = t.join(o, "subject_id").groupBy("subject_id").agg(F.max(F.datediff("observation_period_end_date", "observation_period_start_date")).cast("long").alias("observed_days"))
+    return observed.join(near, "subject_id", "left").fillna(0, ["n_exposures", "n_routes"])
+
+
 # enrichment
 
 _AGE = "CAST((year(cohort_start_date) * 10000 + month(cohort_start_date) * 100 + day(cohort_start_date) - year(birth) * 10000 - month(birth) * 100 - day(birth)) // 10000 AS BIGINT)"
@@ -324,6 +342,28 @@ def incidence_repeated(c):
     return longs(d, "n_persons", "person_days", "n_events").withColumns({x: F.round(x, 6) for x in ("person_years", "rate_100000")})
 
 
+#: Each person-day of the denominator on which nobody's outcome or washout stands in the way, and whether an outcome starts on it.
+_STRICT_DAYS = "day AS (SELECT subject_id, CAST(unnest(generate_series(CAST(s AS TIMESTAMP), CAST(e AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS t FROM ({den}) WHERE s <= e), free AS (SELECT subject_id, t, EXISTS (SELECT 1 FROM outcome o WHERE o.subject_id = day.subject_id AND o.cohort_start_date = t) AS event FROM day WHERE NOT EXISTS (SELECT 1 FROM outcome o WHERE o.subject_id = day.subject_id AND t > o.cohort_start_date{until}))"
+_STRICT = "SELECT interval_start, CAST(count(*) AS BIGINT) AS n_persons, CAST(sum(days) AS BIGINT) AS person_days, CAST(sum(n) AS BIGINT) AS n_events, round(sum(n) / (sum(days) / 365.25) * 100000, 6) AS rate_100000 FROM (SELECT CAST(date_trunc('{unit}', t) AS DATE) AS interval_start, subject_id, count(*) AS days, count(*) FILTER (event) AS n FROM free GROUP BY 1, 2) GROUP BY 1"
+
+
+@query("WITH " + _STRICT_DAYS.format(den=_DEN, until="") + " " + _STRICT.format(unit="year"))
+def incidence_strict(c):
+    d = ic.strict_incidence(_denominator(c), condition(c, 3000001))
+    return longs(d.select("interval_start", "n_persons", "person_days", "n_events", F.round("rate_100000", 6).alias("rate_100000")), "person_days", "n_events")
+
+
+@query("WITH " + _STRICT_DAYS.format(den=_DEN, until=" AND t <= o.cohort_end_date + 90") + " " + _STRICT.format(unit="quarter"))
+def incidence_strict_washout(c):
+    d = ic.strict_incidence(_denominator(c), condition(c, 3000001), interval="quarters", washout=90, repeated=True)
+    return longs(d.select("interval_start", "n_persons", "person_days", "n_events", F.round("rate_100000", 6).alias("rate_100000")), "person_days", "n_events")
+
+
+@query(f"SELECT CAST(1 AS BIGINT) AS cohort_definition_id, min(s) AS interval_start, max(e) AS interval_end, count(*) AS n_persons, CAST(sum(date_diff('day', s, e) + 1) AS BIGINT) AS person_days, CAST(sum(n) AS BIGINT) AS n_events FROM (SELECT s, e, (SELECT count(*) FROM (SELECT min(cohort_start_date) AS d FROM outcome o WHERE o.subject_id = x.subject_id) WHERE d BETWEEN (SELECT min(s) FROM ({_DEN}) WHERE s <= e) AND (SELECT max(e) FROM ({_DEN}) WHERE s <= e)) AS n FROM ({_DEN}) x WHERE s <= e)")
+def incidence_overall(c):
+    return longs(ic.incidence(_denominator(c), condition(c, 3000001), interval="overall"), "person_days", "n_events").drop("person_years", "rate_100000")
+
+
 @query()
 def incidence_repeated_limits(c):
     d = ic.incidence(_denominator(c), condition(c, 3000001), interval="quarters", washout=90, repeated=True)
