@@ -2,79 +2,88 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
-from itertools import chain
+from collections.abc import Mapping
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eralith.functions.kernels import islands
 
+#: Steps of one person: from when, until when, which treatments.
+_ROWS = "array<struct<s:date,e:date,t:array<string>>>"
+
+
+def _row(s: Column, e: Column, t: Column) -> Column:
+    return F.struct(s.alias("s"), e.alias("e"), t.alias("t"))
+
+
+def combined(eras: Column, combination_window: int, overlap: str = "truncate") -> Column:
+    """The steps that a person's eras (sorted rows of start, end, [treatment]) come to: a fold over the eras by start.
+
+    The fold's state is what is done and what is active: the rows that may still overlap something, sorted. Before an era
+    is taken up, the active rows that lie before it are settled: the first one is done if the second starts no earlier
+    than it ends; otherwise the two become the parts before, during and after their overlap. As eras of one treatment
+    don't overlap, no more rows are active at a time than there are treatments and parts of their overlaps.
+    """
+    if overlap not in ("truncate", "keep"):
+        raise ValueError("overlap must be truncate or keep")
+
+    def parts(a: Column, b: Column, both: Column, switch: Column) -> Column:
+        before = _row(a.s, b.s, a.t)
+        switched = F.array(before, _row(b.s, F.when(both == b.t, F.greatest(a.e, b.e)).otherwise(b.e), b.t))
+        first_stops = F.array(before, _row(b.s, a.e, both), _row(a.e, b.e, b.t))
+        last_stops = F.array(before, _row(b.s, b.e, both), _row(b.e, a.e, a.t))
+        return F.filter(F.when(switch, switched).when(a.e <= b.e, first_stops).otherwise(last_stops), lambda r: r.e > r.s)
+
+    def settle(state: Column, until: Column | None) -> Column:
+        active, a, b = state.active, F.get(state.active, 0), F.get(state.active, 1)
+        ready = F.size(active) >= 2 if until is None else F.coalesce(b < until, F.lit(False))
+        both = F.array_sort(F.array_union(a.t, b.t))
+        switch = (F.datediff(F.least(a.e, b.e), b.s) < combination_window) | (both == a.t) | (both == b.t)
+        done = (b.s >= a.e) | switch if overlap == "keep" else b.s >= a.e
+        passed = F.struct(F.concat(state.done, F.array(a)).alias("done"), F.slice(active, 2, F.size(active)).alias("active"))
+        parted = F.struct(state.done.alias("done"), F.array_sort(F.concat(parts(a, b, both, switch), F.slice(active, 3, F.size(active)))).alias("active"))
+        return F.when(ready & done, passed).when(ready, parted).otherwise(state)
+
+    def settled(state: Column, until: Column | None) -> Column:
+        # each step lessens what n rows cover between their 2 n bounds, or passes a row on
+        n = F.size(state.active)
+        return F.when(n < 2, state).otherwise(F.aggregate(F.sequence(F.lit(1), 2 * n * n + n), state, lambda st, _: settle(st, until)))
+
+    def take(state: Column, era: Column) -> Column:
+        before = settled(state, era)
+        return F.struct(before.done.alias("done"), F.array_sort(F.concat(before.active, F.array(era))).alias("active"))
+
+    def finish(state: Column) -> Column:
+        last = settled(state, None)
+        return F.concat(last.done, last.active)
+
+    none = F.array().cast(_ROWS)
+    return F.aggregate(eras, F.struct(none.alias("done"), none.alias("active")), take, finish)
+
 
 def treatment_history(
     target: DataFrame, events: DataFrame, names: Mapping[int, str], era_gap: int = 30, least_era: int = 0,
-    combination_window: int = 30, filter_treatments: str = "first",
+    combination_window: int = 30, filter_treatments: str = "first", overlap: str = "truncate",
 ) -> DataFrame:
     """(person_id, sequence, treatments array, start_date, end_date) of events that start within the target entry.
 
     Eras of one treatment are merged over era_gap days. Where two overlap for combination_window days or more they form
-    a combination; a shorter overlap is a switch, which ends the earlier one. filter_treatments: "all", "first" (each
-    treatment's first time) or "changes" (no repeat of the one before). Persons are dealt out and sorted for the
-    sequential part and stream through it; a person's eras are few.
+    a combination; a shorter overlap is a switch, which ends the earlier one (overlap "truncate") or leaves both as they
+    are ("keep"). filter_treatments: "all", "first" (each treatment's first time) or "changes" (no repeat of the one
+    before). A person's eras are folded in one expression; there are no more of them than days and treatments allow.
     """
     label = F.create_map(*(F.lit(x) for k, v in names.items() for x in (k, v)))
     e = events.select(F.col("subject_id").alias("person_id"), label[F.col("cohort_definition_id").cast("int")].alias("treatment"), F.col("cohort_start_date").alias("start_date"), F.col("cohort_end_date").alias("end_date"))
     t = target.select(F.col("subject_id").alias("person_id"), F.col("cohort_start_date").alias("_s"), F.col("cohort_end_date").alias("_e"))
     e = e.join(t, "person_id").where("start_date between _s and _e").select("person_id", "treatment", "start_date", F.least("end_date", "_e").alias("end_date"))
     e = islands(e, ["person_id", "treatment"], "start_date", "end_date", era_gap).where(F.datediff("end_date", "start_date") >= least_era)
-
-    def combine(rows: list[tuple]) -> list[tuple]:
-        """Steps (start, end, treatments) of one person's eras (start, end, (treatment,)), sorted."""
-        i = 0
-        while i + 1 < len(rows):
-            (s1, e1, a), (s2, e2, b) = rows[i], rows[i + 1]
-            if s2 >= e1:
-                i += 1
-                continue
-            both = tuple(sorted({*a, *b}))
-            if (min(e1, e2) - s2).days < combination_window or both in (a, b):
-                new = [(s1, s2, a), (s2, max(e1, e2) if both == b else e2, b)]
-            elif e1 <= e2:
-                new = [(s1, s2, a), (s2, e1, both), (e1, e2, b)]
-            else:
-                new = [(s1, s2, a), (s2, e2, both), (e2, e1, a)]
-            rows[i : i + 2] = [r for r in new if r[1] > r[0]]
-            rows.sort()
-            i = max(i - 1, 0)
-        if filter_treatments == "all":
-            return rows
-        kept: list = []
-        for r in rows:
-            seen = {k[2] for k in kept} if filter_treatments == "first" else {k[2] for k in kept[-1:]}
-            if r[2] not in seen:
-                kept.append(r)
-        return kept
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Persons stand together and in order; the last one of a batch may go on in the next."""
-        person, held = None, []
-        for b in chain(batches, [None]):
-            out = []
-            rows = [(None,) * 4] if b is None else zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)
-            for p, n, s, e in rows:
-                if p != person:
-                    out += [(person, i, list(t), s1, e1) for i, (s1, e1, t) in enumerate(combine(sorted(held)), 1)]
-                    person, held = p, []
-                if p is not None:
-                    held.append((s, e, (n,)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names_)
-
-    names_ = ["person_id", "sequence", "treatments", "start_date", "end_date"]
-    types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.date32(), pa.date32()]
-    sorted_ = e.select("person_id", "treatment", "start_date", "end_date").repartition("person_id").sortWithinPartitions("person_id", "start_date")
-    return sorted_.mapInArrow(work, "person_id long, sequence long, treatments array<string>, start_date date, end_date date")
+    eras = e.groupBy("person_id").agg(F.array_sort(F.collect_list(_row(F.col("start_date"), F.col("end_date"), F.array("treatment")))).alias("eras"))
+    steps = eras.select("person_id", combined(F.col("eras"), combination_window, overlap).alias("steps"))
+    of = lambda i: F.get(F.col("steps.t"), i)
+    stays = {"all": None, "first": lambda r, i: F.array_position(F.col("steps.t"), r.t) == i + 1, "changes": lambda r, i: (i == 0) | (of(i - 1) != r.t)}[filter_treatments]
+    steps = steps.select("person_id", F.filter("steps", stays).alias("steps")) if stays else steps
+    return steps.select("person_id", F.posexplode("steps").alias("i", "r")).select("person_id", (F.col("i") + 1).cast("long").alias("sequence"), F.col("r.t").alias("treatments"), F.col("r.s").alias("start_date"), F.col("r.e").alias("end_date"))
 
 
 def pathway_counts(history: DataFrame, least: int = 0) -> DataFrame:

@@ -588,7 +588,39 @@ def pathway_first(c):
     return pa.first_eras(_three(c), {1: "a", 2: "b", 3: "c"})
 
 
-@query()
+def _merged(table: str, gap: int) -> str:
+    """SQL: intervals (person_id, t, s, e) merged over a gap."""
+    before = "PARTITION BY person_id, t ORDER BY s, e ROWS"
+    return (
+        f"SELECT person_id, t, min(s) AS s, max(e) AS e FROM (SELECT *, sum(f) OVER ({before} UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN max(e) OVER ({before} "
+        f"BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} >= s THEN 0 ELSE 1 END AS f FROM {table})) GROUP BY person_id, t, g"
+    )
+
+
+#: Eras of three brands after the target entry, as sorted lists; then two neighbours that overlap at a time are parted, from the left.
+_STEPS = f"""WITH RECURSIVE event AS (
+  SELECT d.person_id, 'brand' || (ancestor_concept_id - 1000000) AS t, drug_exposure_start_date AS s, least(drug_exposure_end_date, observation_period_end_date) AS e FROM drug_exposure d
+  JOIN concept_ancestor a ON a.descendant_concept_id = d.drug_concept_id AND a.ancestor_concept_id IN (1000003, 1000005, 1000007)
+  JOIN observation_period o ON o.person_id = d.person_id AND drug_exposure_start_date BETWEEN observation_period_start_date AND observation_period_end_date WHERE drug_exposure_start_date <= drug_exposure_end_date
+),
+entry AS ({_merged("event", 0)}),
+inside AS (SELECT person_id, t, s, least(e, cohort_end_date) AS e FROM entry JOIN target ON subject_id = person_id AND s BETWEEN cohort_start_date AND cohort_end_date),
+era AS ({_merged("inside", 30)}),
+pair(person_id, i, r) AS (
+  SELECT person_id, 1, list_sort(list({{'s': s, 'e': e, 't': [t]}})) FROM era GROUP BY 1
+  UNION ALL
+  SELECT person_id, CASE WHEN r[i + 1].s >= r[i].e THEN i + 1 ELSE greatest(i - 1, 1) END, CASE WHEN r[i + 1].s >= r[i].e THEN r ELSE list_sort(r[:i - 1] || r[i + 2:] || list_filter(
+    CASE WHEN date_diff('day', r[i + 1].s, least(r[i].e, r[i + 1].e)) < 5 OR list_sort(list_distinct(r[i].t || r[i + 1].t)) IN (r[i].t, r[i + 1].t)
+    THEN [{{'s': r[i].s, 'e': r[i + 1].s, 't': r[i].t}}, {{'s': r[i + 1].s, 'e': CASE WHEN list_sort(list_distinct(r[i].t || r[i + 1].t)) = r[i + 1].t THEN greatest(r[i].e, r[i + 1].e) ELSE r[i + 1].e END, 't': r[i + 1].t}}]
+    ELSE [{{'s': r[i].s, 'e': r[i + 1].s, 't': r[i].t}}, {{'s': r[i + 1].s, 'e': least(r[i].e, r[i + 1].e), 't': list_sort(list_distinct(r[i].t || r[i + 1].t))}},
+      {{'s': least(r[i].e, r[i + 1].e), 'e': greatest(r[i].e, r[i + 1].e), 't': CASE WHEN r[i].e <= r[i + 1].e THEN r[i + 1].t ELSE r[i].t END}}] END, lambda x: x.e > x.s)) END
+  FROM pair WHERE i < len(r)
+),
+step AS (SELECT person_id, n, r[n].s AS s, r[n].e AS e, r[n].t AS t FROM pair, unnest(range(1, len(r) + 1)) AS u(n) WHERE i >= len(r))
+"""
+
+
+@query(_STEPS + "SELECT pathway, count(*) AS n_persons FROM (SELECT person_id, string_agg(array_to_string(t, '+'), '-' ORDER BY n) AS pathway FROM (SELECT *, row_number() OVER (PARTITION BY person_id, t ORDER BY n) AS nth FROM step) WHERE nth = 1 GROUP BY 1) GROUP BY 1")
 def pathway_combinations(c):
     events = co.concept_cohort(c, {"a": [1000003], "b": [1000005], "c": [1000007]}, limit="all", end="event")
     return pa.pathway_counts(pa.treatment_history(target(c), events, {1: "brand3", 2: "brand5", 3: "brand7"}, combination_window=5))
@@ -708,10 +740,11 @@ def definition_set(c):
     return de.generate_set(c, {"era": ERA_DEFINITION, "offset": DEFINITION})[0]
 
 
-@query()
+@query(_STEPS + "SELECT array_to_string(t, '+') AS treatment, CASE WHEN len(t) > 1 THEN 'combination' ELSE 'single' END AS kind, count(*) AS n_events, count(DISTINCT person_id) AS n_persons, CAST(min(date_diff('day', s, e)) AS BIGINT) AS min_days, CAST(median(date_diff('day', s, e)) AS DOUBLE) AS median_days, round(avg(date_diff('day', s, e)), 6) AS mean_days, CAST(max(date_diff('day', s, e)) AS BIGINT) AS max_days FROM step GROUP BY 1, 2")
 def pathway_durations(c):
     events = co.concept_cohort(c, {"a": [1000003], "b": [1000005], "c": [1000007]}, limit="all", end="event")
-    return pa.event_durations(pa.treatment_history(pa.anchored(target(c)), events, {1: "brand3", 2: "brand5", 3: "brand7"}, combination_window=5, filter_treatments="all"))
+    d = pa.event_durations(pa.treatment_history(pa.anchored(target(c)), events, {1: "brand3", 2: "brand5", 3: "brand7"}, combination_window=5, filter_treatments="all"))
+    return longs(d, "min_days", "max_days").withColumn("mean_days", F.round("mean_days", 6))
 
 
 @query("SELECT drug_concept_id, count(*) AS n_records, count(DISTINCT person_id) AS n_persons, CAST(min(date_diff('day', drug_exposure_start_date, drug_exposure_end_date) + 1) AS BIGINT) AS min_days, round(avg(date_diff('day', drug_exposure_start_date, drug_exposure_end_date) + 1), 6) AS mean_days, CAST(max(date_diff('day', drug_exposure_start_date, drug_exposure_end_date) + 1) AS BIGINT) AS max_days FROM drug_exposure GROUP BY 1")
