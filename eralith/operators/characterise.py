@@ -4,26 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eralith.functions.kernels import in_window
+from eralith.functions.quantiles import at_ranks, beside, interpolated, lowest_at, nearest_index
 
 
 def numeric_estimates(df: DataFrame, by: Sequence[str], variables: Sequence[str]) -> DataFrame:
     """(by..., variable, min, q25, median, q75, max, mean, sd, n_missing): one unpivot, one aggregate for all variables.
 
-    Quartiles take the nearest index, the median the middle of the two.
+    Quartiles are values that occur, the median the middle of the two next to it; both are exact and no buffer holds a group.
     """
     long = df.select(*by, F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value")) for v in variables))).alias("_v")).select(*by, "_v.*")
-    # value counts first: a group's sorted values are bounded by its distinct values in the exact percentile
-    pick = lambda q: F.percentile("value", F.lit(q))
-    n = F.count("value")
-    exact = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
-    return long.groupBy(*by, "variable").agg(
-        F.min("value").alias("min"), exact(0.25).alias("q25"), pick(0.5).alias("median"), exact(0.75).alias("q75"), F.max("value").alias("max"),
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), (F.count("*") - n).alias("n_missing"),
-    )
+    known = ["min", "q25", "median", "q75", "max", "mean", "sd", "n_missing"]
+    v = F.col("value")
+    plain = long.groupBy(*by, "variable").agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), (F.count("*") - F.count(v)).alias("n_missing"))
+    middle = interpolated(long, [*by, "variable"], "value", {"median": 0.5}, {"q25": lowest_at(0.25), "q75": lowest_at(0.75)})
+    return beside(plain, middle, [*by, "variable"]).select(*by, "variable", *known)
 
 
 def categorical_estimates(df: DataFrame, by: Sequence[str], variables: Sequence[str]) -> DataFrame:
@@ -78,14 +76,15 @@ def large_scale(cohort: DataFrame, events: DataFrame, windows: Sequence[tuple[in
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Inverse-CDF quantiles, exact, as q{percent}_{column}."""
-    return df.groupBy(*by).agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c})").alias(f"q{round(p * 100):02d}_{c}") for c in columns for p in probs))
+    """Inverse-CDF quantiles, exact, as q{percent}_{column}; the columns' values are ordered as doubles."""
+    long = df.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns))).alias("_v")).select(*by, "_v.*")
+    found = at_ranks(long, [*by, "variable"], "value", {f"q{i}": lowest_at(p) for i, p in enumerate(probs)})
+    pick = lambda c, i: F.max(F.when(F.col("variable") == c, F.col(f"q{i}"))).cast(df.schema[c].dataType)
+    out = found.groupBy(*by).agg(*(pick(c, i).alias(f"q{round(p * 100):02d}_{c}") for c in columns for i, p in enumerate(probs)))
+    # a group without any value has a row all the same
+    return beside(df.groupBy(*by).agg(F.count("*").alias("_rows")), out, by).drop("_rows") if by else out
 
 
 def nearest_quantiles(df: DataFrame, column: str, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    """Quantiles by the nearest index of the sorted values: values are counted first, and the running count finds the index."""
-    n = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by)
-    n = n.withColumns({"_upto": F.sum("_n").over(w.orderBy(column)), "_of": F.sum("_n").over(w)})
-    index = lambda p: F.round((F.col("_of") - 1) * p).cast("long")
-    return n.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") > index(p), F.col(column))).alias(f"q{round(p * 100):02d}_{column}") for p in probs))
+    """Quantiles by the nearest index of the sorted values."""
+    return at_ranks(df, by, column, {f"q{round(p * 100):02d}_{column}": nearest_index(p) for p in probs}).drop("_of")

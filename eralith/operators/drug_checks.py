@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eralith.functions.quantiles import beside, interpolated
 from eralith.sources.clinical import Clinical
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -55,11 +56,14 @@ def check_categorical(records: DataFrame, column: str, least: int = 5) -> DataFr
 
 def check_numeric(records: DataFrame, expression: str, least: int = 5) -> DataFrame:
     """(ingredient_concept_id, n_records, n_missing, n_negative, min, quantiles, max, mean, sd)."""
-    v = F.col("_v")
-    return records.withColumn("_v", F.expr(f"cast({expression} as double)")).groupBy("ingredient_concept_id").agg(
+    v, by = F.col("_v"), ["ingredient_concept_id"]
+    r = records.select(*by, F.expr(f"cast({expression} as double)").alias("_v"))
+    plain = r.groupBy(*by).agg(
         _few(F.count("*"), least).alias("n_records"), _few(F.count("*") - F.count(v), least).alias("n_missing"), _few(F.sum((v < 0).cast("long")), least).alias("n_negative"),
-        F.min(v).alias("min"), *(F.percentile(v, F.lit(q)).alias(f"q{round(q * 100):02d}") for q in QUANTILES), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"),
+        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"),
     )
+    names = {f"q{round(q * 100):02d}": q for q in QUANTILES}
+    return beside(plain, interpolated(r, by, "_v", names), by).select(*by, "n_records", "n_missing", "n_negative", "min", *names, "max", "mean", "sd")
 
 
 def check_summary(records: DataFrame, least: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eralith.functions.kernels import islands
+from eralith.functions.quantiles import beside, interpolated
 
 #: Steps of one person: from when, until when, which treatments.
 _ROWS = "array<struct<s:date,e:date,t:array<string>>>"
@@ -102,12 +103,12 @@ def first_eras(events: DataFrame, names: Mapping[int, str], era_gap: int = 30) -
 
 def event_durations(history: DataFrame) -> DataFrame:
     """(treatment, kind, n_events, n_persons, min, median, mean and max days) of each treatment or combination."""
-    days = F.datediff("end_date", "start_date")
     kind = F.when(F.size("treatments") > 1, "combination").otherwise("single")
-    return history.groupBy(F.array_join("treatments", "+").alias("treatment"), kind.alias("kind")).agg(
-        F.count("*").alias("n_events"), F.count_distinct("person_id").alias("n_persons"), F.min(days).alias("min_days"), F.percentile(days, F.lit(0.5)).alias("median_days"),
-        F.avg(days).alias("mean_days"), F.max(days).alias("max_days"),
-    )
+    d = history.select("person_id", F.array_join("treatments", "+").alias("treatment"), kind.alias("kind"), F.datediff("end_date", "start_date").alias("days"))
+    by = ["treatment", "kind"]
+    plain = d.groupBy(*by).agg(F.count("*").alias("n_events"), F.count_distinct("person_id").alias("n_persons"), F.min("days").alias("min_days"), F.avg("days").alias("mean_days"), F.max("days").alias("max_days"))
+    both = beside(plain, interpolated(d, by, "days", {"median_days": 0.5}), by)
+    return both.select(*by, "n_events", "n_persons", "min_days", "median_days", "mean_days", "max_days")
 
 
 def split_by_duration(events: DataFrame, number: int, cutoff: int, long_number: int) -> DataFrame:
