@@ -36,7 +36,7 @@ __all__ = ["generate", "generate_set", "parse", "read_definitions"]
 
 _EVENT = ["event_id", "person_id", "start_date", "end_date", "visit_id", "o_start", "o_end"]
 #: Filter of a criterion -> column of the domain's table.
-_NUMBERS = {x: x for x in ("value_as_number", "range_low", "range_high", "quantity", "days_supply", "refills", "effective_drug_dose")}
+_NUMBERS = {x: x for x in ("value_as_number", "range_low", "range_high", "quantity", "days_supply", "refills", "effective_drug_dose", "dose_value")}
 _CONCEPTS = {"value_as_concept": "value_as_concept_id", "unit": "unit_concept_id", "route_concept": "route_concept_id"}
 _TEXTS = {x: x for x in ("value_as_string", "stop_reason", "lot_number")}
 
@@ -95,6 +95,8 @@ def _criterion(c: Clinical, codes: DataFrame, spec: DomainCriteria) -> DataFrame
     tests = [_compare(column(_NUMBERS[k], k), getattr(spec, k)) for k in _NUMBERS if getattr(spec, k)]
     tests += [_among(column(_CONCEPTS[k], k), getattr(spec, k)) for k in _CONCEPTS if getattr(spec, k)]
     tests += [_text(column(_TEXTS[k], k), getattr(spec, k)) for k in _TEXTS if getattr(spec, k)]
+    if spec.era_length:
+        tests.append(_compare(F.datediff(d.end, d.start), spec.era_length))
     if spec.record_type:
         tests.append(_among(column(d.type, "type"), spec.record_type))
     ends = {"START_DATE": F.col(d.start), "END_DATE": F.col(d.end)}

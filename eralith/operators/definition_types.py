@@ -13,7 +13,7 @@ from typing import Any, Union, get_args, get_origin, get_type_hints
 DOMAIN_OF = {
     "ConditionOccurrence": "condition", "DrugExposure": "drug", "ProcedureOccurrence": "procedure", "VisitOccurrence": "visit", "Observation": "observation",
     "Measurement": "measurement", "DeviceExposure": "device", "Death": "death", "VisitDetail": "visit_detail", "ObservationPeriod": "observation_period",
-    "ConditionEra": "condition_era", "DrugEra": "drug_era", "Specimen": "specimen",
+    "ConditionEra": "condition_era", "DrugEra": "drug_era", "Specimen": "specimen", "DoseEra": "dose_era",
 }
 
 
@@ -95,6 +95,8 @@ class DomainCriteria:
     days_supply: NumericRange | None = None
     refills: NumericRange | None = None
     effective_drug_dose: NumericRange | None = None
+    dose_value: NumericRange | None = None
+    era_length: NumericRange | None = None
     route_concept: tuple[Concept, ...] = ()
     stop_reason: TextFilter | None = None
     lot_number: TextFilter | None = None
@@ -278,6 +280,10 @@ def _read(hint: Any, v: Any, part: str) -> Any:
     return v if hint is Any else _filled(hint, v, part)
 
 
+#: Keys of eras that are the same filters as those of occurrences.
+_ERA_KEYS = {"erastartdate": "occurrence_start_date", "eraenddate": "occurrence_end_date"}
+
+
 def _criterion(x: Mapping) -> DomainCriteria:
     if len(x) != 1:
         raise ValueError(f"not one criterion: {', '.join(x)}")
@@ -286,8 +292,8 @@ def _criterion(x: Mapping) -> DomainCriteria:
     if kind is None:
         raise ValueError(f"not a known criterion: {', '.join(x)}")
     # DrugType, ConditionType, ... are the type of the record itself; a visit's own is VisitType
-    own = _plain(DOMAIN_OF[kind]) + "type"
-    return _filled(DomainCriteria, {"domain": DOMAIN_OF[kind]} | {("record_type" if _plain(k) == own else k): v for k, v in (spec or {}).items()}, kind)
+    own = {_plain(DOMAIN_OF[kind]) + "type": "record_type"} | _ERA_KEYS
+    return _filled(DomainCriteria, {"domain": DOMAIN_OF[kind]} | {own.get(_plain(k), k): v for k, v in (spec or {}).items()}, kind)
 
 
 def parse(definition: str | Mapping | CohortExpression) -> CohortExpression:

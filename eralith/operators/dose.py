@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eralith.functions.sweeps import point, points, segments
 from eralith.sources.clinical import Clinical
 
 #: Unit concepts.
@@ -73,18 +74,19 @@ def strength_patterns(strength: DataFrame) -> DataFrame:
     return strength.withColumn("_p", F.when(fits & same, F.try_element_at(F.create_map(*entries), key))).select("*", "_p.*").drop("_p")
 
 
-def daily_dose(c: Clinical, exposures: DataFrame, ingredient: int | None = None) -> DataFrame:
+def daily_dose(c: Clinical, exposures: DataFrame, ingredient: int | None = None, by_ingredient: bool = False) -> DataFrame:
     """exposures (drug_concept_id, quantity, start and end) with pattern_id, unit and daily_dose; null where it can't be told.
 
     Micrograms count as milligrams, mega units as units and liters as milliliters. Fixed amounts and concentrations
-    spread over the days exposed; an hourly strength over more than 24 hours is brought down to a day.
+    spread over the days exposed; an hourly strength over more than 24 hours is brought down to a day. by_ingredient:
+    with ingredient_concept_id, and a row for each ingredient of the product.
     """
     s = c["drug_strength"].where(F.col("ingredient_concept_id") == ingredient) if ingredient is not None else c["drug_strength"]
     s = strength_patterns(s)
     v = lambda name, factors: F.coalesce(*(F.when(F.col(f"{name}_unit_concept_id") == UNITS[u], F.col(f"{name}_value") * x) for u, x in factors.items()), F.col(f"{name}_value"))
     s = s.select(
         "drug_concept_id", "pattern_id", "formula", "unit", v("amount", {"microgram": 1e-3}).alias("_a"), v("numerator", {"microgram": 1e-3, "mega-international unit": 1e-6}).alias("_n"),
-        v("denominator", {"liter": 1000.0}).alias("_d"),
+        v("denominator", {"liter": 1000.0}).alias("_d"), *(["ingredient_concept_id"] if by_ingredient else []),
     )
     d = exposures.join(s, "drug_concept_id", "left")
     days = F.datediff("drug_exposure_end_date", "drug_exposure_start_date") + 1
@@ -105,3 +107,32 @@ def pattern_coverage(c: Clinical, ingredient: int | None = None) -> DataFrame:
     if ingredient is not None:
         d = d.join(c["drug_strength"].where(F.col("ingredient_concept_id") == ingredient).select("drug_concept_id").distinct(), "drug_concept_id", "left_semi")
     return d.groupBy("pattern_id").agg(F.max("unit").alias("unit"), F.count("*").alias("n_records"), F.sum(F.col("quantity").isNull().cast("long")).alias("n_missing_quantity"), F.avg("daily_dose").alias("mean_dose"))
+
+
+#: What doses are added up in, so that a dose that is taken away leaves exactly the rest.
+_EXACT = "decimal(28,6)"
+
+
+def dose_eras(c: Clinical, gap: int = 30) -> DataFrame:
+    """(dose_era_id, person_id, drug_concept_id, unit_concept_id, dose_value, dose_era_start_date, dose_era_end_date).
+
+    An era is a time over which a person takes one and the same daily dose of an ingredient in a unit. Doses of exposures that
+    run at once add up (to six decimals), so an era ends where any of them starts or stops and the sum changes; eras of an equal
+    dose with at most gap days without any between them are one. Exposures whose dose can't be told are left out, those
+    without an end last a day. One sweep over starts and ends, added up by day before they are shuffled.
+    """
+    keys = ["person_id", "drug_concept_id", "unit_concept_id"]
+    unit = F.create_map(*(F.lit(x) for n, i in UNITS.items() for x in (n, int(i)))).cast("map<string,bigint>")
+    start, end = F.col("drug_exposure_start_date"), F.greatest(F.coalesce("drug_exposure_end_date", "drug_exposure_start_date"), "drug_exposure_start_date")
+    e = c["drug_exposure"].select("person_id", "drug_concept_id", "quantity", "drug_exposure_start_date", end.alias("drug_exposure_end_date"))
+    e = daily_dose(c, e, by_ingredient=True).where("daily_dose is not null and person_id is not null")
+    e = e.select("person_id", F.col("ingredient_concept_id").alias("drug_concept_id"), unit[F.col("unit")].alias("unit_concept_id"), F.col("daily_dose").cast(_EXACT).alias("dose"), "drug_exposure_start_date", "drug_exposure_end_date")
+    pts = points(e, keys, point(start, dose=F.col("dose"), n=1), point(F.date_add("drug_exposure_end_date", 1), dose=-F.col("dose"), n=-1))
+    runs = segments(pts, keys, ["dose", "n"]).where("n > 0")
+    w = Window.partitionBy(*keys).orderBy("start")
+    goes_on = (F.lag("dose").over(w) == F.col("dose")) & (F.col("start") <= F.date_add(F.lag("end").over(w), gap + 1))
+    runs = runs.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_era", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    eras = runs.groupBy(*keys, "_era").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("dose").cast("double").alias("dose_value"))
+    return eras.select(
+        F.xxhash64(*keys, "start").alias("dose_era_id"), *keys, "dose_value", F.col("start").alias("dose_era_start_date"), F.col("end").alias("dose_era_end_date"),
+    )

@@ -961,6 +961,35 @@ def connector_drug_eras(c):
     return with_eras(c)["drug_era"].drop("drug_era_id")
 
 
+#: Each day's doses of an ingredient added up; runs of days of one sum with at most 30 days without any between them.
+_DOSE_ERAS = f"""dose AS (
+  SELECT person_id, ingredient_concept_id AS drug_concept_id, CAST({_DOSE} AS DECIMAL(28, 6)) AS dose, drug_exposure_start_date AS s, days
+  FROM (SELECT *, date_diff('day', drug_exposure_start_date, drug_exposure_end_date) + 1 AS days FROM drug_exposure JOIN drug_strength USING (drug_concept_id))
+),
+taken AS (SELECT person_id, drug_concept_id, CAST(s + CAST(k AS INTEGER) AS DATE) AS t, sum(dose) AS dose FROM (SELECT *, unnest(range(days)) AS k FROM dose) GROUP BY ALL),
+marked AS (SELECT *, CASE WHEN lag(dose) OVER w = dose AND t <= lag(t) OVER w + 31 THEN 0 ELSE 1 END AS f FROM taken WINDOW w AS (PARTITION BY person_id, drug_concept_id ORDER BY t)),
+eras AS (
+  SELECT person_id, drug_concept_id, CAST(dose AS DOUBLE) AS dose_value, min(t) AS dose_era_start_date, max(t) AS dose_era_end_date
+  FROM (SELECT *, sum(f) OVER (PARTITION BY person_id, drug_concept_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM marked) GROUP BY person_id, drug_concept_id, g, dose
+)
+"""
+
+
+@query("WITH " + _DOSE_ERAS + "SELECT person_id, drug_concept_id, CAST(8576 AS BIGINT) AS unit_concept_id, dose_value, dose_era_start_date, dose_era_end_date FROM eras")
+def connector_dose_eras(c):
+    return with_eras(c)["dose_era"].drop("dose_era_id")
+
+
+@query("WITH " + _DOSE_ERAS + "SELECT CAST(1 AS BIGINT) AS cohort_definition_id, subject_id, s AS cohort_start_date, least(s + 60, oe) AS cohort_end_date FROM (SELECT person_id AS subject_id, min(dose_era_start_date) AS s, max(observation_period_end_date) AS oe FROM eras JOIN observation_period USING (person_id) WHERE drug_concept_id = 1000003 AND dose_value >= 10 AND date_diff('day', dose_era_start_date, dose_era_end_date) >= 14 AND dose_era_start_date BETWEEN observation_period_start_date AND observation_period_end_date GROUP BY 1)")
+def definition_dose_era(c):
+    spec = {"DoseEra": {"CodesetId": 0, "DoseValue": {"Value": 10, "Op": "gte"}, "EraLength": {"Value": 14, "Op": "gte"}, "Unit": [{"CONCEPT_ID": 8576}]}}
+    return de.generate(with_eras(c), {
+        "ConceptSets": [{"id": 0, "expression": {"items": [{"concept": {"CONCEPT_ID": 1000003}}]}}],
+        "PrimaryCriteria": {"CriteriaList": [spec], "ObservationWindow": {"PriorDays": 0, "PostDays": 0}, "PrimaryCriteriaLimit": {"Type": "First"}},
+        "EndStrategy": {"DateOffset": {"DateField": "StartDate", "Offset": 60}}, "CollapseSettings": {"EraPad": 0},
+    })[0]
+
+
 @query("SELECT subject_id, cohort_start_date, n.concept_name AS drug_concept_id_name, 'clinical' AS cdm_name FROM target t JOIN drug_exposure d ON d.person_id = t.subject_id AND d.drug_exposure_start_date = t.cohort_start_date LEFT JOIN concept n ON n.concept_id = d.drug_concept_id")
 def enrich_names(c):
     d = target(c).join(c["drug_exposure"], (F.col("person_id") == F.col("subject_id")) & (F.col("drug_exposure_start_date") == F.col("cohort_start_date")))

@@ -119,6 +119,7 @@ DOMAINS = {
     "observation_period": Domain("observation_period", None, "observation_period_start_date", "observation_period_end_date", "period_type_concept_id"),
     "condition_era": Domain("condition_era", "condition_concept_id", "condition_era_start_date", "condition_era_end_date"),
     "drug_era": Domain("drug_era", "drug_concept_id", "drug_era_start_date", "drug_era_end_date"),
+    "dose_era": Domain("dose_era", "drug_concept_id", "dose_era_start_date", "dose_era_end_date"),
 }
 
 
@@ -205,8 +206,9 @@ def validated(clinical: Clinical, version: str = "5.4", cohorts: Iterable[str] =
 
 
 def with_eras(c: Clinical, gap: int = 30) -> Clinical:
-    """The container with drug_era (by ingredient) and condition_era, made from the occurrences."""
+    """The container with drug_era and dose_era (by ingredient) and condition_era, made from the occurrences; doses where strengths are known."""
     from eralith.functions.kernels import islands
+    from eralith.operators.dose import dose_eras
 
     i = c["concept"].where("concept_class_id = 'Ingredient'").select(F.col("concept_id").alias("ancestor_concept_id"))
     to = c["concept_ancestor"].join(i, "ancestor_concept_id").select(F.col("ancestor_concept_id").alias("era_concept_id"), F.col("descendant_concept_id").alias("concept_id"))
@@ -215,6 +217,8 @@ def with_eras(c: Clinical, gap: int = 30) -> Clinical:
         era = islands(e, ["person_id", "concept_id"], "start_date", "end_date", gap)
         era = era.select(F.xxhash64("person_id", "concept_id", "start_date").alias(f"{name}_era_id"), "person_id", F.col("concept_id").alias(f"{name}_concept_id"), F.col("start_date").alias(f"{name}_era_start_date"), F.col("end_date").alias(f"{name}_era_end_date"))
         made[f"{name}_era"] = era
+    if "drug_strength" in c:
+        made["dose_era"] = dose_eras(c, gap)
     return Clinical(c.tables | made, c.cohorts, c.name)
 
 

@@ -200,3 +200,41 @@ def test_temporary(spark):
     df = spark.range(5).selectExpr("id", "rand() as x")
     kept = la.temporary(df)
     assert kept.dtypes == df.dtypes and kept.collect() == kept.collect()
+
+
+def test_dose_eras(spark):
+    """Concurrent doses add up, equal doses over a short gap are one era, another dose or a longer gap begins one; by days."""
+    from eralith.operators.dose import dose_eras
+    from eralith.sources.clinical import Clinical
+
+    rng = random.Random(2)
+    strength = [(d, 100 + d % 2, v, 8576, None, None, None, None) for d, v in ((1, 10.0), (2, 5.0), (3, 0.1), (4, None))]
+    schema = "drug_concept_id long, ingredient_concept_id long, amount_value double, amount_unit_concept_id int, numerator_value double, numerator_unit_concept_id int, denominator_value double, denominator_unit_concept_id int"
+    drugs = []
+    for _ in range(150):
+        s, n = rng.randrange(200), rng.choice([1, 3, 10])
+        drugs.append((rng.randrange(6), rng.choice([1, 2, 3, 4, 9]), float(rng.choice([n, 2 * n, 0])), day(s), rng.choice([day(s + n - 1)] * 5 + [None, day(s - 2)])))
+    drugs.append((None, 1, 1.0, day(0), day(0)))
+    c = Clinical({"drug_strength": spark.createDataFrame(strength, schema), "drug_exposure": spark.createDataFrame(drugs, "person_id long, drug_concept_id long, quantity double, drug_exposure_start_date date, drug_exposure_end_date date")})
+    value, taken = {r[0]: (r[1], r[2]) for r in strength}, {}
+    for p, d, q, s, e in drugs:
+        if p is None or value.get(d, (0, None))[1] is None or not q:
+            continue
+        e = max(s, e or s)
+        days = (e - s).days + 1
+        for k in range(days):
+            at = taken.setdefault((p, value[d][0]), {})
+            at[s + dt.timedelta(k)] = round(at.get(s + dt.timedelta(k), 0) + round(value[d][1] * q / days, 6), 6)
+    for gap in (0, 30):
+        want = set()
+        for key, at in taken.items():
+            run = []
+            for t in sorted(at):
+                if run and (at[t] != at[run[-1]] or (t - run[-1]).days > gap + 1):
+                    want.add((*key, at[run[0]], run[0], run[-1]))
+                    run = []
+                run.append(t)
+            want.add((*key, at[run[0]], run[0], run[-1]))
+        rows = dose_eras(c, gap).collect()
+        got = {(r.person_id, r.drug_concept_id, round(r.dose_value, 6), r.dose_era_start_date, r.dose_era_end_date) for r in rows}
+        assert got == want and len(rows) == len(got) and {r.unit_concept_id for r in rows} == {8576}
