@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,16 +64,32 @@ def cohort_timing(cohort: DataFrame) -> DataFrame:
     return p.groupBy(F.col("x.cohort_definition_id").alias("cohort_a"), F.col("y.cohort_definition_id").alias("cohort_b")).agg(F.count("*").alias("n"), F.min(days).alias("min_days"), F.avg(days).alias("mean_days"), F.max(days).alias("max_days"))
 
 
+#: Windows that one number holds a bit each of.
+_BITS = 62
+
+
 def large_scale(cohort: DataFrame, events: DataFrame, windows: Sequence[tuple[int | None, int | None]], minimum: float = 0.0) -> DataFrame:
-    """Per cohort, window and concept: entries with the concept in the window, and their share."""
-    e = events.select(F.col("person_id").alias("_p"), "concept_id", F.col("start_date").alias("_s"), F.col("end_date").alias("_e"))
-    hit = cohort.join(e, F.col("subject_id") == F.col("_p"))
-    index, s, t = F.col("cohort_start_date"), F.col("_s"), F.col("_e")
+    """Per cohort, window and concept: entries with the concept in the window, and their share of all entries.
+
+    An entry and a concept are one row with a bit for each window in which the concept occurs, whatever the number of events and
+    windows; entries are then counted by bit. No event is multiplied by the windows that it lies in.
+    """
+    keys = ["cohort_definition_id", "subject_id", "cohort_start_date"]
+    e = events.select(F.col("person_id").alias("_p"), "concept_id", F.col("start_date").alias("_s"), F.col("end_date").alias("_e")).where("concept_id is not null")
+    hit = cohort.select(*keys).join(e, F.col("subject_id") == F.col("_p"))
+    tests = [in_window(F.col("cohort_start_date"), F.col("_s"), F.col("_e"), w) for w in windows]
+    groups = range(0, len(windows), _BITS)
+    bits = [sum((F.when(t, 1 << i).otherwise(0).cast("long") for i, t in enumerate(tests[g : g + _BITS])), F.lit(0).cast("long")).alias(f"_b{g}") for g in groups]
+    held = hit.select(*keys, "concept_id", *bits).groupBy(*keys, "concept_id").agg(*(F.bit_or(f"_b{g}").alias(f"_b{g}") for g in groups))
+    bit = lambda i: F.shiftright(F.col(f"_b{i // _BITS * _BITS}"), i % _BITS).bitwiseAND(1)
+    n = held.groupBy("cohort_definition_id", "concept_id").agg(*(F.sum(bit(i)).alias(f"_n{i}") for i in range(len(windows))))
+    total = cohort.groupBy("cohort_definition_id").agg(F.count("*").alias("_all"))
+    n = n.join(total, "cohort_definition_id")
     label = lambda w: f"{'-inf' if w[0] is None else w[0]} to {'inf' if w[1] is None else w[1]}"
-    hit = hit.withColumn("window", F.explode(F.array_compact(F.array(*(F.when(in_window(index, s, t, w), F.lit(label(w))) for w in windows)))))
-    n = hit.groupBy("cohort_definition_id", "window", "concept_id").agg(F.count_distinct("subject_id", "cohort_start_date").alias("count"))
-    total = cohort.groupBy("cohort_definition_id").agg(F.count("*").alias("_n"))
-    return n.join(total, "cohort_definition_id").withColumn("percentage", F.col("count") * 100 / F.col("_n")).drop("_n").where(F.col("percentage") >= minimum)
+    # the counts are an exchange that all windows' rows are read from
+    one = lambda i, w: n.where(F.col(f"_n{i}") > 0).select("cohort_definition_id", F.lit(label(w)).alias("window"), "concept_id", F.col(f"_n{i}").alias("count"), "_all")
+    long = reduce(DataFrame.unionByName, [one(i, w) for i, w in enumerate(windows)])
+    return long.withColumn("percentage", F.col("count") * 100 / F.col("_all")).drop("_all").where(F.col("percentage") >= minimum)
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from eralith.functions.kernels import calendar, islands, overlap_days, packed_age, wilson
 from eralith.functions.sweeps import point, points, segments
@@ -151,39 +149,51 @@ def incidence(denominator: DataFrame, outcome: DataFrame, interval: str = "years
     return _rates(per)
 
 
-#: Greatest count whose limits come from the Poisson distribution itself.
-MOST_EXACT = 1000
-_LOG_FACTORIAL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, MOST_EXACT + 1)))])
+#: Normal quantile of the limits, and the steps that bring a first guess of a mean to the last digits.
+_Z, _STEPS = 1.959963984540054, 12
+#: Beyond so many events the guess is right to a billionth already.
+_MANY = 1_000_000
+#: The first terms of Stirling's series for the logarithm of the gamma function.
+_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680)
 
 
-def _mean_where(count: np.ndarray, share: float, z: float) -> np.ndarray:
+def log_gamma(a: Column) -> Column:
+    """Natural logarithm of the gamma function for a > 0: Stirling's series at a + 10, brought down by ten factors."""
+    b = a + 10
+    series = sum((F.lit(c) / F.pow(b, 2 * i + 1) for i, c in enumerate(_STIRLING)), F.lit(0.0))
+    return (b - 0.5) * F.log(b) - b + 0.5 * math.log(2 * math.pi) + series - sum((F.log(a + i) for i in range(10)), F.lit(0.0))
+
+
+def _mean_where(count: Column, share: float, z: float) -> Column:
     """The mean of a Poisson variable that is count or less with this probability; z is the normal quantile of 1 - share.
 
-    Half the chi-square quantile of 2 (count + 1) degrees: by bisection over a bounded number of terms, beyond MOST_EXACT by
-    the cube-root formula, which is right to a millionth there. Work does not grow with the counts.
+    The lower incomplete gamma function of count + 1 at the mean is 1 - share. Newton's steps from the cube-root guess; the
+    function is its power series, whose terms are summed until they no longer count.
     """
-    nu = 2 * (count + 1)
-    out = nu / 2 * (1 - 2 / (9 * nu) + z * np.sqrt(2 / (9 * nu))) ** 3
-    small = np.flatnonzero(count <= MOST_EXACT)
-    k = count[small].astype(int)
-    j = np.arange(k.max(initial=0) + 1)
-    lo, hi = np.zeros(len(k)), k + 10 * np.sqrt(k + 1) + 20
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        terms = np.exp(j * np.log(np.maximum(mid, 1e-300))[:, None] - mid[:, None] - _LOG_FACTORIAL[j])
-        more = np.where(j <= k[:, None], terms, 0.0).sum(axis=1) > share
-        lo, hi = np.where(more, mid, lo), np.where(more, hi, mid)
-    out[small] = (lo + hi) / 2
-    return out
-
-
-@F.pandas_udf(T.StructType([T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())]))
-def poisson_limits(events: pd.Series, person_years: pd.Series) -> pd.DataFrame:
-    """Exact 95 % limits of a rate per 100,000; over result rows only."""
-    k, z = events.to_numpy(float), 1.959963984540054
-    scale = 100_000 / person_years.to_numpy(float)
-    lower = np.where(k > 0, _mean_where(np.maximum(k - 1, 0), 0.975, -z), 0.0)
-    return pd.DataFrame({"lower": lower * scale, "upper": _mean_where(k, 0.025, z) * scale})
+    a = count + 1.0
+    nu = 2 * a
+    guess = a * F.pow(1 - 2 / (9 * nu) + z * F.sqrt(2 / (9 * nu)), 3)
+    gamma = log_gamma(a)
+    many = F.sequence(F.lit(1), F.ceil(20 * F.sqrt(a) + 60).cast("int"))
+
+    def step(x: Column) -> Column:
+        density = F.exp((a - 1) * F.log(x) - x - gamma)
+        terms = F.aggregate(
+            many, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
+            lambda s, i: F.struct((s.term * x / (a + i)).alias("term"), (s.sum + s.term * x / (a + i)).alias("sum")), lambda s: s.sum,
+        )
+        return F.greatest(x - (density * x / a * terms - (1 - share)) / density, x / 2)
+
+    newton = F.aggregate(F.sequence(F.lit(1), F.lit(_STEPS)), F.greatest(guess, F.lit(1e-6)).cast("double"), lambda x, _: step(x))
+    return F.when(a > _MANY, guess).otherwise(newton)
+
+
+def poisson_limits(events: Column | str, person_years: Column | str) -> Column:
+    """struct<lower, upper>: exact 95 % limits of a rate per 100,000, as an expression over result rows."""
+    events, person_years = (F.col(c) if isinstance(c, str) else c for c in (events, person_years))
+    k = events.cast("double")
+    lower = F.when(k > 0, _mean_where(F.greatest(k - 1, F.lit(0.0)), 0.975, -_Z)).otherwise(F.lit(0.0))
+    return F.struct((lower * 100_000 / person_years).alias("lower"), (_mean_where(k, 0.025, _Z) * 100_000 / person_years).alias("upper"))
 
 
 def prevalence(denominator: DataFrame, outcome: DataFrame, interval: str = "years", kind: str = "point", full_contribution: bool = False) -> DataFrame:

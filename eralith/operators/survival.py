@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add, and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,6 +65,49 @@ def cumulative_incidence(times: DataFrame, by: Sequence[str] = ("cohort_definiti
     return out.select(*by, F.col("time").cast("long").alias("time"), "n_risk", F.col("_one").alias("n_events"), F.col("_two").alias("n_competing"), "cumulative_incidence")
 
 
+def first_cause(times: DataFrame, causes: Mapping[str, str]) -> DataFrame:
+    """times with time and cause: the first of several events; cause -> prefix of its add_survival columns.
+
+    Of events on one day the cause named first counts; cause is null where follow-up ends without any. Both are null where
+    any of the events lies in its washout.
+    """
+    at = {c: (F.col(f"{p}time"), F.col(f"{p}status")) for c, p in causes.items()}
+    events = [F.when(status == 1, F.struct(time.cast("int").alias("t"), F.lit(i).alias("i"), F.lit(c).alias("c"))) for i, (c, (time, status)) in enumerate(at.items())]
+    known = reduce(and_, (time.isNotNull() for time, _ in at.values()))
+    first = F.least(*events) if len(events) > 1 else events[0]
+    last = F.least(*(time for time, _ in at.values())) if len(at) > 1 else next(iter(at.values()))[0]
+    return times.withColumns({"_first": F.when(known, first), "_last": F.when(known, last)}).withColumns({"time": F.coalesce("_first.t", "_last"), "cause": F.col("_first.c")}).drop("_first", "_last")
+
+
+def cause_incidence(times: DataFrame, causes: Sequence[str], by: Sequence[str] = ("cohort_definition_id",)) -> DataFrame:
+    """(by..., time, cause, n_risk, n_events, cumulative_incidence, variance, survival) of (by..., time, cause), a row for each time and cause.
+
+    Aalen-Johansen step functions of all causes in one pass: they and the survival add up to 1 at every time. The variance is
+    the delta-method one; its sums over earlier times of squares of what has come since are opened into running sums, so no
+    time meets another.
+    """
+    t = times.where("time is not null").select(*by, "time", *(F.coalesce(F.col("cause") == c, F.lit(False)).cast("int").alias(f"d{k}") for k, c in enumerate(causes)))
+    at = _steps(t, by, *(f"d{k}" for k in range(len(causes))))
+    w = Window.partitionBy(*by).orderBy("time")
+    until, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    n, d = F.col("n_risk"), reduce(add, (F.col(f"d{k}") for k in range(len(causes))))
+    at = at.withColumn("_d", d)
+    lost = F.max((F.col("_d") == n).cast("int")).over(earlier)
+    before = F.when(F.coalesce(lost, F.lit(0)) == 1, F.lit(0.0)).otherwise(F.exp(F.coalesce(F.sum(F.when(F.col("_d") < n, F.log(1 - F.col("_d") / n))).over(earlier), F.lit(0.0))))
+    at = at.withColumns({"_s": before, "_a": F.when(F.col("_d") < n, F.col("_d") / (n * (n - F.col("_d")))).otherwise(F.lit(0.0))})
+    at = at.withColumns({f"f{k}": F.sum(F.col("_s") * F.col(f"d{k}") / n).over(until) for k in range(len(causes))})
+    for k in range(len(causes)):
+        f, e = F.col(f"f{k}"), F.col("_s") * F.col(f"d{k}") / (n * n)
+        parts = {"b": f * F.col("_a"), "c": f * f * F.col("_a"), "p": F.col("_s") * e * (n - F.col(f"d{k}")) / n, "e": e, "g": f * e}
+        at = at.withColumns({f"_{x}{k}": F.sum(v).over(until) for x, v in parts.items()})
+    at = at.withColumn("_all", F.sum("_a").over(until))
+    x = lambda name, k: F.col(f"_{name}{k}")
+    variance = lambda k: F.col(f"f{k}") * F.col(f"f{k}") * F.col("_all") - 2 * F.col(f"f{k}") * x("b", k) + x("c", k) + x("p", k) - 2 * (F.col(f"f{k}") * x("e", k) - x("g", k))
+    each = F.inline(F.array(*(F.struct(F.lit(c).alias("cause"), F.col(f"d{k}").alias("n_events"), F.col(f"f{k}").alias("cumulative_incidence"), F.greatest(variance(k), F.lit(0.0)).alias("variance")) for k, c in enumerate(causes))))
+    out = at.withColumn("survival", F.col("_s") * (1 - F.col("_d") / n)).select(*by, F.col("time").cast("long").alias("time"), "n_risk", "survival", each)
+    return out.select(*by, "time", "cause", "n_risk", "n_events", "cumulative_incidence", "variance", "survival")
+
+
 def with_competing(times: DataFrame, outcome: str, competing: str) -> DataFrame:
     """time and status (0, 1 outcome, 2 competing first) from two pairs of add_survival columns."""
     o_t, o_s, c_t, c_s = (F.col(f"{p}{x}") for p in (outcome, competing) for x in ("time", "status"))

@@ -364,10 +364,22 @@ def incidence_overall(c):
     return longs(ic.incidence(_denominator(c), condition(c, 3000001), interval="overall"), "person_days", "n_events").drop("person_years", "rate_100000")
 
 
-@query()
+#: Limits of a Poisson mean by halving: of n or fewer (side 1) and of n or more (side 0) a share of 2.5 %.
+_LIMITS = """WITH RECURSIVE rate AS (SELECT interval_start, n_persons, person_days, n_events, person_years FROM ({rates})),
+half(interval_start, n, side, lo, hi, i) AS (
+  SELECT interval_start, n_events, side, CAST(0 AS DOUBLE), n_events + 10 * sqrt(n_events + 1) + 20, 0 FROM rate, (VALUES (0), (1)) AS s(side)
+  UNION ALL
+  SELECT interval_start, n, side, CASE WHEN high THEN lo ELSE (lo + hi) / 2 END, CASE WHEN high THEN (lo + hi) / 2 ELSE hi END, i + 1
+  FROM (SELECT *, coalesce(list_sum(list_transform(range(0, n + side), lambda j: exp(j * ln((lo + hi) / 2) - (lo + hi) / 2 - lgamma(j + 1)))), 0) < CASE WHEN side = 1 THEN 0.025 ELSE 0.975 END AS high FROM half) WHERE i < 60
+)
+"""
+
+
+@query(_KEPT.rstrip(" ") + ", " + _LIMITS.removeprefix("WITH RECURSIVE ").format(rates=_RATES.format(intervals=_QUARTERS, events="SELECT subject_id, d FROM kept WHERE d = last")) + "SELECT r.*, round(CASE WHEN n_events > 0 THEN lower.lo ELSE 0 END * 100000 / (person_days / 365.25), 4) AS lower, round(upper.lo * 100000 / (person_days / 365.25), 4) AS upper FROM rate r JOIN half lower ON lower.interval_start = r.interval_start AND lower.i = 60 AND lower.side = 0 JOIN half upper ON upper.interval_start = r.interval_start AND upper.i = 60 AND upper.side = 1")
 def incidence_repeated_limits(c):
     d = ic.incidence(_denominator(c), condition(c, 3000001), interval="quarters", washout=90, repeated=True)
-    return d.withColumn("limits", ic.poisson_limits(F.col("n_events").cast("double"), F.col("person_years"))).select("*", "limits.*").drop("limits")
+    d = d.withColumn("limits", ic.poisson_limits(F.col("n_events"), F.col("person_years"))).select("interval_start", "n_persons", "person_days", "n_events", F.round("person_years", 6).alias("person_years"), "limits.*")
+    return longs(d, "n_persons", "person_days", "n_events").withColumns({x: F.round(x, 4) for x in ("lower", "upper")})
 
 
 def _prevalence(end: str) -> str:
@@ -566,6 +578,34 @@ SELECT CAST(1 AS BIGINT) AS cohort_definition_id, CAST(time AS BIGINT) AS time,
 """
 
 
+#: First of three causes by day, then by order; steps over distinct times; the variance by its sums over all earlier times.
+_CAUSES = """
+WITH ev AS (SELECT 1 AS r, subject_id, cohort_start_date AS d FROM outcome UNION ALL SELECT 2, subject_id, cohort_start_date FROM other UNION ALL SELECT 3, person_id, death_date FROM death),
+base AS (SELECT t.subject_id, t.cohort_start_date AS i, date_diff('day', t.cohort_start_date, max(o.observation_period_end_date)) AS last FROM target t JOIN observation_period o ON o.person_id = t.subject_id AND t.cohort_start_date BETWEEN o.observation_period_start_date AND o.observation_period_end_date GROUP BY t.subject_id, t.cohort_start_date),
+per AS (SELECT b.subject_id, last, min(CASE WHEN d >= i AND date_diff('day', i, d) <= last THEN date_diff('day', i, d) * 10 + r END) AS f, bool_or(d < i AND date_diff('day', d, i) <= 180) AS early FROM base b LEFT JOIN ev USING (subject_id) GROUP BY ALL),
+one AS (SELECT coalesce(f // 10, last) AS time, f % 10 AS r FROM per WHERE NOT coalesce(early, false)),
+step AS (SELECT time, count(r) AS d, count(*) FILTER (r = 1) AS d1, count(*) FILTER (r = 2) AS d2, count(*) FILTER (r = 3) AS d3, sum(count(*)) OVER (ORDER BY time DESC) AS n FROM one GROUP BY time),
+alive AS (SELECT *, CASE WHEN coalesce(max(CASE WHEN d = n THEN 1 ELSE 0 END) OVER e, 0) = 1 THEN 0 ELSE exp(coalesce(sum(CASE WHEN d < n THEN ln(1 - d / n) END) OVER e, 0)) END AS s FROM step WINDOW e AS (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cause AS (SELECT time, 'one' AS k, d1 AS dk, d, n, s FROM alive UNION ALL SELECT time, 'two', d2, d, n, s FROM alive UNION ALL SELECT time, 'death', d3, d, n, s FROM alive),
+cif AS (SELECT *, sum(s * dk / n) OVER (PARTITION BY k ORDER BY time) AS f FROM cause),
+var AS (
+  SELECT a.k, a.time, sum(CASE WHEN b.d < b.n THEN (a.f - b.f) * (a.f - b.f) * b.d / (b.n * (b.n - b.d)) ELSE 0 END + b.s * b.s * (b.n - b.dk) * b.dk / (b.n * b.n * b.n) - 2 * (a.f - b.f) * b.s * b.dk / (b.n * b.n)) AS v
+  FROM cif a JOIN cif b ON a.k = b.k AND b.time <= a.time GROUP BY ALL
+)
+SELECT CAST(1 AS BIGINT) AS cohort_definition_id, CAST(time AS BIGINT) AS time, k AS cause, CAST(n AS BIGINT) AS n_risk, dk AS n_events, round(f, 6) AS cumulative_incidence, round(greatest(v, 0), 8) AS variance, round(s * (1 - d / n), 6) AS survival FROM cif JOIN var USING (k, time)
+"""
+
+
+@query(_CAUSES.strip())
+def survival_causes(c):
+    death = co.event_cohort(c["death"], "person_id", "death_date", "death_date")
+    t, causes = target(c), {"one": (condition(c, 3000001), "a_"), "two": (condition(c, 3000002), "b_"), "death": (death, "c_")}
+    for cohort, prefix in causes.values():
+        t = su.add_survival(c, t, cohort, washout=180, name=prefix)
+    d = su.cause_incidence(su.first_cause(t, {k: p for k, (_, p) in causes.items()}), list(causes))
+    return longs(d, "n_risk", "n_events").withColumns({"cumulative_incidence": F.round("cumulative_incidence", 6), "variance": F.round("variance", 8), "survival": F.round("survival", 6)})
+
+
 @query(_COMPETING.strip())
 def survival_competing(c):
     t = su.add_survival(c, target(c), condition(c, 3000001), washout=180, name="o_")
