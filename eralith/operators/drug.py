@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eralith.functions.kernels import islands
+from eralith.functions.quantiles import beside
 from eralith.sources.clinical import Clinical
 
 METRICS = ("number_exposures", "number_eras", "days_exposed", "days_prescribed", "time_to_exposure", "initial_exposure_duration", "initial_quantity", "cumulative_quantity", "initial_daily_dose", "cumulative_dose")
@@ -19,8 +20,10 @@ def exposures(c: Clinical, concepts: DataFrame) -> DataFrame:
     return d.select(F.col("person_id").alias("_p"), F.col("drug_exposure_start_date").alias("s"), F.greatest(F.coalesce("drug_exposure_end_date", "drug_exposure_start_date"), "drug_exposure_start_date").alias("e"), "quantity", "days_supply")
 
 
-def add_drug_use(c: Clinical, cohort: DataFrame, concepts: DataFrame, gap: int = 30, censor: str = "cohort_end_date", incident: bool = True) -> DataFrame:
-    """METRICS of each cohort row; counts and doses are 0 and times null where there is no exposure. Dose: quantity a day.
+def add_drug_use(c: Clinical, cohort: DataFrame, concepts: DataFrame, gap: int = 30, censor: str = "cohort_end_date", incident: bool = True, ingredient: int | None = None) -> DataFrame:
+    """METRICS of each cohort row; counts and doses are 0 and times null where there is no exposure.
+
+    Doses are those of the ingredient by strength (add_dose); without one, quantity a day.
 
     Exposures start (or overlap, if not incident) from the index date to the censor date. One join and one aggregate by the
     row; eras and days exposed are a fold over its few exposures, in order.
@@ -48,7 +51,40 @@ def add_drug_use(c: Clinical, cohort: DataFrame, concepts: DataFrame, gap: int =
         "initial_quantity": f("quantity"), "initial_daily_dose": f("quantity") / days(f("s"), f("e")),
     })
     zero = [n for n in METRICS if n not in ("time_to_exposure", "initial_exposure_duration")]
-    return m.select(*cohort.columns, *METRICS).fillna(0, subset=zero)
+    out = m.select(*cohort.columns, *METRICS).fillna(0, subset=zero)
+    if ingredient is None:
+        return out
+    doses = add_dose(c, cohort, concepts, ingredient, censor, incident)
+    return beside(out.drop("initial_daily_dose", "cumulative_dose"), doses, cohort.columns).select(*cohort.columns, *METRICS)
+
+
+def add_dose(
+    c: Clinical, cohort: DataFrame, concepts: DataFrame, ingredient: int, censor: str = "cohort_end_date", incident: bool = True
+) -> DataFrame:
+    """initial_daily_dose and cumulative_dose of an ingredient by the strength of the products, for each cohort row; 0 without any.
+
+    Exposures are those of add_drug_use, cut to the time between index and censor date, which is also what their quantity
+    spreads over. Initial: the daily doses of the exposures that start first, added up; cumulative: daily dose times days of
+    all. Exposures whose dose can't be told add nothing. Rows of the cohort that are alike come once.
+    """
+    from eralith.operators.dose import daily_dose
+
+    index, stop = F.col("cohort_start_date"), F.col(censor)
+    keys = {k: f"_c{i}" for i, k in enumerate(cohort.columns)}
+    d = c["drug_exposure"].join(concepts.select(F.col("concept_id").alias("drug_concept_id")).distinct(), "drug_concept_id", "left_semi")
+    d = d.select(
+        F.col("person_id").alias("_p"), "drug_concept_id", "quantity", F.col("drug_exposure_start_date").alias("_s"),
+        F.greatest(F.coalesce("drug_exposure_end_date", "drug_exposure_start_date"), "drug_exposure_start_date").alias("_e"),
+    )
+    rows = cohort.distinct()
+    x = rows.join(d, (F.col("subject_id") == F.col("_p")) & ((F.col("_s") if incident else F.col("_e")) >= index) & (F.col("_s") <= stop))
+    first, last = F.greatest("_s", index), F.least("_e", stop)
+    x = x.select(*(F.col(k).alias(v) for k, v in keys.items()), "drug_concept_id", "quantity", "_s", first.alias("drug_exposure_start_date"), F.greatest(first, last).alias("drug_exposure_end_date"))
+    x = daily_dose(c, x, ingredient).withColumn("_days", F.datediff("drug_exposure_end_date", "drug_exposure_start_date") + 1)
+    by_day = x.groupBy(*keys.values(), "_s").agg(F.sum("daily_dose").alias("_dose"), F.sum(F.col("daily_dose") * F.col("_days")).alias("_all"))
+    found = by_day.groupBy(*keys.values()).agg(F.min_by("_dose", "_s").alias("initial_daily_dose"), F.sum("_all").alias("cumulative_dose"))
+    out = beside(rows, found.withColumnsRenamed({v: k for k, v in keys.items()}), list(keys))
+    return out.fillna(0, subset=["initial_daily_dose", "cumulative_dose"])
 
 
 def restart(cohort: DataFrame, switch: DataFrame, c: Clinical, follow_up: Sequence[int] = (180, 365)) -> DataFrame:

@@ -6,9 +6,14 @@ few. Episodes are numbered by person and date, without a global counter.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eralith.functions.kernels import packed_age
+
 #: Outcome category -> longest term in days.
 LONGEST_TERM = {"LB": 308, "SB": 308, "AB": 308, "SA": 168, "DELIV": 308, "ECT": 84}
 #: Categories that end late; days between outcomes when both, one or none of two are such.
@@ -151,6 +156,54 @@ def collect_records(c, concepts: DataFrame, domains: tuple[str, ...] = ("conditi
     return events.join(concepts, "concept_id").select("person_id", F.col("start_date").alias("record_date"), "category", "concept_id")
 
 
+@dataclass(frozen=True)
+class Pregnancies:
+    """What identify_pregnancies has found at each stage; all frames are lazy."""
+
+    #: Refined episodes: merged with esd_start_date, gestational_age_weeks, precision and final_start_date.
+    episodes: DataFrame
+    by_outcome: DataFrame
+    by_timing: DataFrame
+    merged: DataFrame
+    #: Persons with any record that counted, in one row.
+    n_persons: DataFrame
+    settings: dict[str, Any] = field(default_factory=dict)
+
+
+def within(c, records: DataFrame, start: str | None = None, end: str | None = None, ages: tuple[int, int] | None = (10, 55)) -> DataFrame:
+    """Records (person_id, record_date, ...) within dates, of persons whose completed age then lies within bounds (both included).
+
+    Persons who are not known, or whose year of birth is not, have no age and no records.
+    """
+    from eralith.operators.enrich import birth_date
+
+    d = records
+    d = d.where(F.col("record_date") >= F.lit(start).cast("date")) if start else d
+    d = d.where(F.col("record_date") <= F.lit(end).cast("date")) if end else d
+    if ages is None:
+        return d
+    who = c["person"].select(F.col("person_id").alias("_p"), birth_date().alias("_birth"))
+    d = d.join(who, F.col("person_id") == F.col("_p")).where(packed_age(F.col("_birth"), F.col("record_date")).between(*ages))
+    return d.select(records.columns)
+
+
+def identify_pregnancies(
+    c, outcomes: DataFrame, timing: DataFrame, evidence: DataFrame, start: str | None = None, end: str | None = None,
+    ages: tuple[int, int] | None = (10, 55), gestation: bool = True, trimesters: dict[int, tuple[int, int]] | None = None,
+) -> Pregnancies:
+    """Pregnancy episodes from a container's records in one call: by outcome, by timing, merged, and with refined starts.
+
+    outcomes (person_id, record_date, category), timing (person_id, record_date, min_month, max_month) and evidence (as in
+    refine_starts) are bounded by dates and ages first, so that an episode rests on records within them alone.
+    """
+    o, t, e = (within(c, r, start, end, ages) for r in (outcomes, timing, evidence))
+    hip, pps = outcome_episodes(o, gestation), timing_episodes(t)
+    merged = merge_episodes(hip, pps)
+    people = o.select("person_id").unionByName(t.select("person_id")).unionByName(e.select("person_id"))
+    settings = {"start_date": start, "end_date": end, "age_bounds": list(ages) if ages else None, "just_gestation": gestation}
+    return Pregnancies(refine_starts(merged, e, trimesters), hip, pps, merged, people.agg(F.count_distinct("person_id").alias("n_persons")), settings)
+
+
 def validate_episodes(episodes: DataFrame, most_days: int = MOST_DAYS) -> DataFrame:
     """One row: inverted, over-long and overlapping episodes."""
     from pyspark.sql import Window

@@ -503,6 +503,15 @@ def drug_use_all(c):
     return d.withColumns({x: F.round(x, 6) for x in ("initial_daily_dose", "cumulative_dose")})
 
 
+_DOSE = "CASE WHEN amount_unit_concept_id = 8576 THEN amount_value * quantity / days WHEN amount_unit_concept_id = 9655 THEN amount_value / 1000 * quantity / days WHEN denominator_unit_concept_id = 8587 THEN numerator_value * quantity / days ELSE numerator_value * 24 / 36 END"
+
+
+@query(f"WITH x AS (SELECT t.subject_id, t.cohort_start_date AS i, drug_concept_id, drug_exposure_start_date AS s, quantity, date_diff('day', drug_exposure_start_date, least(drug_exposure_end_date, t.cohort_end_date)) + 1 AS days FROM target t JOIN drug_exposure d ON d.person_id = t.subject_id AND drug_exposure_start_date BETWEEN t.cohort_start_date AND t.cohort_end_date JOIN concept_ancestor a ON a.descendant_concept_id = drug_concept_id AND ancestor_concept_id = 1000003), y AS (SELECT subject_id, i, s, {_DOSE} AS dose, days FROM x JOIN drug_strength g ON g.drug_concept_id = x.drug_concept_id AND ingredient_concept_id = 1000003), z AS (SELECT *, min(s) OVER (PARTITION BY subject_id, i) AS first FROM y) SELECT t.subject_id, t.cohort_start_date, count(s) AS number_exposures, round(coalesce(sum(dose) FILTER (s = first), 0), 6) AS initial_daily_dose, round(coalesce(sum(dose * days), 0), 6) AS cumulative_dose FROM target t LEFT JOIN z ON z.subject_id = t.subject_id AND z.i = t.cohort_start_date GROUP BY 1, 2")
+def drug_dose_by_strength(c):
+    d = dr.add_drug_use(c, target(c), vo.descendants(c, [1000003]), ingredient=1000003)
+    return longs(d.select("subject_id", "cohort_start_date", "number_exposures", *(F.round(x, 6).alias(x) for x in ("initial_daily_dose", "cumulative_dose"))), "number_exposures")
+
+
 @query("SELECT CAST(day AS BIGINT) AS day, CAST(count(*) AS BIGINT) AS n_observed FROM (SELECT unnest(range(0, least(date_diff('day', cohort_start_date, cohort_end_date), 365) + 1)) AS day FROM target) GROUP BY 1")
 def drug_coverage_observed(c):
     return dr.proportion_covered(target(c), c, 365).select("day", F.col("n_observed").cast("long").alias("n_observed"))
@@ -530,7 +539,6 @@ def drug_restart(c):
     return dr.restart(t, s, c)
 
 
-_DOSE = "CASE WHEN amount_unit_concept_id = 8576 THEN amount_value * quantity / days WHEN amount_unit_concept_id = 9655 THEN amount_value / 1000 * quantity / days WHEN denominator_unit_concept_id = 8587 THEN numerator_value * quantity / days ELSE numerator_value * 24 / 36 END"
 
 
 @query(f"SELECT person_id, drug_concept_id, drug_exposure_start_date, quantity, round({_DOSE}, 6) AS daily_dose, CAST('milligram' AS VARCHAR) AS unit FROM (SELECT *, date_diff('day', drug_exposure_start_date, drug_exposure_end_date) + 1 AS days FROM drug_exposure JOIN drug_strength USING (drug_concept_id))")
@@ -864,6 +872,13 @@ def _timing(c):
     return c["visit_occurrence"].select("person_id", F.col("visit_start_date").alias("record_date"), (k_ * 2 - 1).alias("min_month"), (k_ * 2 + 1).alias("max_month"))
 
 
+def _evidence(c):
+    return c["measurement"].where("measurement_concept_id in (4000004, 4000005)").select(
+        "person_id", F.col("measurement_date").alias("record_date"), F.when(F.col("measurement_concept_id") == 4000004, "GW").otherwise("GR3m").alias("kind"),
+        (F.lit(3025455) + F.col("measurement_id") % 3).alias("concept_id"), F.floor(F.col("value_as_number") / 5000).alias("weeks"),
+    )
+
+
 #: Outcome records from the latest back, and what is left in groups from each first date.
 _HIP = """
 o AS (SELECT person_id, d, k, CAST(k IN ('LB', 'SB', 'DELIV') AS INT) AS late, row_number() OVER (PARTITION BY person_id ORDER BY d DESC, k DESC) AS n
@@ -939,15 +954,26 @@ def pregnancy_validation(c):
 
 @query("SELECT category, source, CAST(count(*) AS BIGINT) AS n_episodes, CAST(count(*) FILTER (final < episode_start_date) AS BIGINT) AS n_earlier, CAST(sum(date_diff('day', final, episode_end_date)) AS BIGINT) AS days, precision FROM refined GROUP BY ALL".replace("SELECT category", "WITH RECURSIVE " + _HIP + ", " + _PPS + _MERGED.replace("\nSELECT", ",\nmerged AS (SELECT") + _REFINED + " SELECT category", 1))
 def pregnancy_refined(c):
-    e = c["measurement"].where("measurement_concept_id in (4000004, 4000005)").select(
-        "person_id", F.col("measurement_date").alias("record_date"), F.when(F.col("measurement_concept_id") == 4000004, "GW").otherwise("GR3m").alias("kind"),
-        (F.lit(3025455) + F.col("measurement_id") % 3).alias("concept_id"), F.floor(F.col("value_as_number") / 5000).alias("weeks"),
-    )
+    e = _evidence(c)
     d = pr.refine_starts(pr.merge_episodes(pr.outcome_episodes(_outcomes(c)), pr.timing_episodes(_timing(c))), e)
     n = lambda x: F.sum(x).cast("long")
     return d.groupBy("category", "source", "precision").agg(F.count("*").alias("n_episodes"), n((F.col("final_start_date") < F.col("episode_start_date")).cast("int")).alias("n_earlier"), n(F.datediff("episode_end_date", "final_start_date")).alias("days"))
 
 
+def _of_age(sql: str) -> str:
+    """sql over the records from 1993 to 1997 of persons who are 20 to 45 years old then."""
+    for table, date in (("condition_occurrence", "condition_start_date"), ("visit_occurrence", "visit_start_date"), ("measurement", "measurement_date")):
+        age = _AGE.replace("cohort_start_date", date)
+        sql = re.sub(rf"\bFROM {table}\b", f"FROM (SELECT * FROM (SELECT x.*, birth FROM {table} x JOIN birth b ON b.person_id = x.person_id) WHERE {age} BETWEEN 20 AND 45 AND {date} BETWEEN DATE '1993-01-01' AND DATE '1997-12-31')", sql)
+    return sql
+
+
+@query(_of_age("SELECT person_id, episode_start_date, episode_end_date, category, source, precision, final AS final_start_date FROM refined".replace("SELECT person_id", "WITH RECURSIVE " + _HIP + ", " + _PPS + _MERGED.replace("\nSELECT", ",\nmerged AS (SELECT") + _REFINED + " SELECT person_id", 1)))
+def pregnancy_identified(c):
+    found = pr.identify_pregnancies(c, _outcomes(c), _timing(c), _evidence(c), "1993-01-01", "1997-12-31", (20, 45))
+    return found.episodes.select("person_id", "episode_start_date", "episode_end_date", "category", "source", "precision", "final_start_date")
+
+
 # names, strata and cohorts by ingredient and class
 
 
