@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 Z95 = 1.959963984540054
 
 
-def closure(seeds: DataFrame, ancestor: DataFrame) -> DataFrame:
-    """K1. (name, concept_id) of seeds (name, concept_id, include_descendants, is_excluded): included less excluded."""
+def closure(seeds: DataFrame, ancestor: DataFrame, excluding: bool = True) -> DataFrame:
+    """K1. (name, concept_id) of seeds (name, concept_id, include_descendants, is_excluded): included less excluded.
+
+    excluding: whether any seed may be an excluded one.
+    """
     down = (
         seeds.where("include_descendants").join(ancestor, seeds["concept_id"] == ancestor["ancestor_concept_id"])
         .select("name", F.col("descendant_concept_id").alias("concept_id"), "is_excluded")
     )
     every = seeds.select("name", "concept_id", "is_excluded").unionByName(down)
+    if not excluding:
+        return every.select("name", "concept_id").distinct()
     out = every.where("is_excluded").select("name", "concept_id").distinct()
     return every.where("not is_excluded").select("name", "concept_id").distinct().join(out, ["name", "concept_id"], "left_anti")
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,22 +19,30 @@ MOST_CODES = 50_000
 COHORT = ["cohort_definition_id", "subject_id", "cohort_start_date", "cohort_end_date"]
 
 
+def _resolved(c: Clinical, concepts: Mapping[str, Sequence[int]], descendants: bool, excluded: Sequence[int]) -> DataFrame:
+    """(cohort_definition_id, concept_id, domain) of the named sets, numbered in order: seeds and their descendants less the excluded ones'."""
+    rows = [(k, int(i), descendants, False) for k, ids in enumerate(concepts.values(), 1) for i in ids] + [(k, int(i), True, True) for k in range(1, len(concepts) + 1) for i in excluded]
+    names = ["name", "concept_id", "include_descendants", "is_excluded"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+    # as Arrow, so that the planner has the seeds themselves and sends them to the scan as a filter would be
+    seeds = c["concept"].sparkSession.createDataFrame(pa.table({n: pa.array(list(x), t) for n, x, t in zip(names, columns, types, strict=True)}))
+    codes = closure(seeds, c["concept_ancestor"], excluding=bool(excluded))
+    domain = c["concept"].select("concept_id", F.lower("domain_id").alias("domain"))
+    return codes.join(domain, "concept_id").select(F.col("name").alias("cohort_definition_id"), "concept_id", "domain")
+
+
 def concept_events(c: Clinical, concepts: Mapping[str, Sequence[int]], descendants: bool = True, excluded: Sequence[int] = ()) -> DataFrame:
     """(cohort_definition_id, person_id, start_date, end_date) of all events with a concept of each named set.
 
     Only domains that the concepts belong to are read.
     """
-    spark = c["person"].sparkSession
-    rows = [(n, int(i), descendants, False) for n, ids in concepts.items() for i in ids] + [(n, int(i), True, True) for n in concepts for i in excluded]
-    seeds = spark.createDataFrame(rows, "name string, concept_id long, include_descendants boolean, is_excluded boolean")
-    numbers = F.create_map(*(F.lit(x) for k, n in enumerate(concepts, 1) for x in (n, k)))
-    resolved = closure(seeds, c["concept_ancestor"]).join(c["concept"].select("concept_id", "domain_id"), "concept_id")
-    resolved = resolved.select(numbers[F.col("name")].cast("long").alias("cohort_definition_id"), "concept_id", F.lower("domain_id").alias("domain"))
-    # a codelist of bounded size is resolved once and broadcast; a longer one stays a join
-    head = resolved.limit(MOST_CODES + 1).collect()
-    if len(head) <= MOST_CODES:
-        domains = {r.domain for r in head if r.domain in DOMAINS}
-        resolved = F.broadcast(spark.createDataFrame(head, resolved.schema))
+    resolved = _resolved(c, concepts, descendants, excluded)
+    # a codelist of bounded size is resolved once and known to the planner, size included; a longer one stays a join
+    head = resolved.limit(MOST_CODES + 1).toArrow()
+    if head.num_rows <= MOST_CODES:
+        domains = set(head["domain"].to_pylist()) & set(DOMAINS)
+        resolved = c["concept"].sparkSession.createDataFrame(head)
     else:
         domains = {r.domain for r in resolved.select("domain").distinct().collect() if r.domain in DOMAINS}
     out = None
@@ -41,7 +50,7 @@ def concept_events(c: Clinical, concepts: Mapping[str, Sequence[int]], descendan
         e = c.events(d).join(resolved.where(F.col("domain") == d).drop("domain"), "concept_id")
         e = e.select("cohort_definition_id", "person_id", "start_date", "end_date")
         out = e if out is None else out.unionByName(e)
-    return out if out is not None else spark.createDataFrame([], "cohort_definition_id long, person_id long, start_date date, end_date date")
+    return out if out is not None else c["concept"].sparkSession.createDataFrame([], "cohort_definition_id long, person_id long, start_date date, end_date date")
 
 
 def concept_cohort(
@@ -103,14 +112,14 @@ def require_demographics(c: Clinical, cohort: DataFrame, ages: tuple[int, int] =
 def subset_to_cohort(c: Clinical, cohort: DataFrame) -> Clinical:
     """Every table that has persons, for the cohort's subjects alone."""
     ids = cohort.select(F.col("subject_id").alias("person_id")).distinct()
-    return Clinical({n: t.join(ids, "person_id", "left_semi") if "person_id" in t.columns else t for n, t in c.tables.items()}, c.cohorts, c.name)
+    return c.changed(lambda t: t.join(ids, "person_id", "left_semi") if "person_id" in t.columns else t)
 
 
 def sample_persons(c: Clinical, n: int, seed: int = 0) -> Clinical:
     """n persons by the order of a seeded hash: the same ones every time."""
     ids = c["person"].join(c["observation_period"], "person_id", "left_semi").select("person_id").distinct()
     ids = ids.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "person_id")), "person_id").limit(n)
-    return Clinical({k: t.join(ids, "person_id", "left_semi") if "person_id" in t.columns else t for k, t in c.tables.items()}, c.cohorts, c.name)
+    return c.changed(lambda t: t.join(ids, "person_id", "left_semi") if "person_id" in t.columns else t)
 
 
 def flatten(c: Clinical, domains: Sequence[str] = ("condition", "drug", "procedure", "measurement", "visit", "death", "observation")) -> DataFrame:

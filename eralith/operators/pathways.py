@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,11 @@ def _row(s: Column, e: Column, t: Column) -> Column:
     return F.struct(s.alias("s"), e.alias("e"), t.alias("t"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def combined(eras: Column, combination_window: int, overlap: str = "truncate") -> Column:
     """The steps that a person's eras (sorted rows of start, end, [treatment]) come to: a fold over the eras by start.
 
@@ -37,14 +42,19 @@ def combined(eras: Column, combination_window: int, overlap: str = "truncate") -
         return F.filter(F.when(switch, switched).when(a.e <= b.e, first_stops).otherwise(last_stops), lambda r: r.e > r.s)
 
     def settle(state: Column, until: Column | None) -> Column:
-        active, a, b = state.active, F.get(state.active, 0), F.get(state.active, 1)
-        ready = F.size(active) >= 2 if until is None else F.coalesce(b < until, F.lit(False))
-        both = F.array_sort(F.array_union(a.t, b.t))
-        switch = (F.datediff(F.least(a.e, b.e), b.s) < combination_window) | (both == a.t) | (both == b.t)
-        done = (b.s >= a.e) | switch if overlap == "keep" else b.s >= a.e
-        passed = F.struct(F.concat(state.done, F.array(a)).alias("done"), F.slice(active, 2, F.size(active)).alias("active"))
-        parted = F.struct(state.done.alias("done"), F.array_sort(F.concat(parts(a, b, both, switch), F.slice(active, 3, F.size(active)))).alias("active"))
-        return F.when(ready & done, passed).when(ready, parted).otherwise(state)
+        active = state.active
+        ready = F.size(active) >= 2 if until is None else F.coalesce(F.get(active, 1) < until, F.lit(False))
+        pair = F.struct(F.get(active, 0).alias("a"), F.get(active, 1).alias("b"), F.array_sort(F.array_union(F.get(active, 0).t, F.get(active, 1).t)).alias("both"))
+
+        def met(p: Column) -> Column:
+            a, b, both = p.a, p.b, p.both
+            switch = (F.datediff(F.least(a.e, b.e), b.s) < combination_window) | (both == a.t) | (both == b.t)
+            done = (b.s >= a.e) | switch if overlap == "keep" else b.s >= a.e
+            passed = F.struct(F.concat(state.done, F.array(a)).alias("done"), F.slice(active, 2, F.size(active)).alias("active"))
+            parted = F.struct(state.done.alias("done"), F.array_sort(F.concat(parts(a, b, both, switch), F.slice(active, 3, F.size(active)))).alias("active"))
+            return F.when(done, passed).otherwise(parted)
+
+        return F.when(ready, _let(pair, met)).otherwise(state)
 
     def settled(state: Column, until: Column | None) -> Column:
         # each step lessens what n rows cover between their 2 n bounds, or passes a row on
@@ -52,12 +62,10 @@ def combined(eras: Column, combination_window: int, overlap: str = "truncate") -
         return F.when(n < 2, state).otherwise(F.aggregate(F.sequence(F.lit(1), 2 * n * n + n), state, lambda st, _: settle(st, until)))
 
     def take(state: Column, era: Column) -> Column:
-        before = settled(state, era)
-        return F.struct(before.done.alias("done"), F.array_sort(F.concat(before.active, F.array(era))).alias("active"))
+        return _let(settled(state, era), lambda before: F.struct(before.done.alias("done"), F.array_sort(F.concat(before.active, F.array(era))).alias("active")))
 
     def finish(state: Column) -> Column:
-        last = settled(state, None)
-        return F.concat(last.done, last.active)
+        return _let(settled(state, None), lambda last: F.concat(last.done, last.active))
 
     none = F.array().cast(_ROWS)
     return F.aggregate(eras, F.struct(none.alias("done"), none.alias("active")), take, finish)

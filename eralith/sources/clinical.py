@@ -6,7 +6,7 @@ DuckDB both run, so the oracle repeats it word for word.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,11 +123,35 @@ DOMAINS = {
 }
 
 
+class OnUse(Mapping[str, DataFrame]):
+    """Tables by name, each of which is planned when it is first asked for."""
+
+    def __init__(self, make: Mapping[str, Callable[[], DataFrame]]):
+        self._make, self._made = dict(make), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._make[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._make)
+
+    def __len__(self) -> int:
+        return len(self._make)
+
+    def __or__(self, other: Mapping[str, DataFrame]) -> OnUse:
+        return OnUse({n: (lambda n=n: self[n]) for n in self} | {n: (lambda n=n: other[n]) for n in other})
+
+    def changed(self, change: Callable[[DataFrame], DataFrame]) -> OnUse:
+        return OnUse({n: (lambda n=n: change(self[n])) for n in self})
+
+
 @dataclass(frozen=True)
 class Clinical:
     """Named tables. Tables are lazy; every change returns another container."""
 
-    tables: dict[str, DataFrame]
+    tables: Mapping[str, DataFrame]
     cohorts: dict[str, DataFrame] = field(default_factory=dict)
     name: str = "clinical"
 
@@ -140,6 +164,10 @@ class Clinical:
     def with_cohort(self, name: str, cohort: DataFrame) -> Clinical:
         return Clinical(self.tables, self.cohorts | {name: cohort}, self.name)
 
+    def changed(self, change: Callable[[DataFrame], DataFrame]) -> Clinical:
+        """The container with every table changed, as they are asked for."""
+        return Clinical(OnUse({n: (lambda n=n: self.tables[n]) for n in self.tables}).changed(change), self.cohorts, self.name)
+
     def select_tables(self, names: Iterable[str]) -> Clinical:
         return Clinical({n: self.tables[n] for n in names}, self.cohorts, self.name)
 
@@ -152,9 +180,9 @@ class Clinical:
 
 def project(spark: SparkSession, sf_dir: str) -> Clinical:
     """Clinical tables over the driver's parquet tables."""
-    base = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _BASE}
-    use = lambda sql: {t: df for t, df in base.items() if f"{{{t}}}" in sql}
-    return Clinical({name: spark.sql(sql, **use(sql)) for name, sql in PROJECTIONS.items()})
+    base = OnUse({t: (lambda t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in _BASE})
+    planned = lambda sql: spark.sql(sql, **{t: base[t] for t in _BASE if f"{{{t}}}" in sql})
+    return Clinical(OnUse({name: (lambda sql=sql: planned(sql)) for name, sql in PROJECTIONS.items()}))
 
 
 def read_folder(spark: SparkSession, path: str, names: Iterable[str], file_format: str = "parquet") -> Clinical:
@@ -219,7 +247,7 @@ def with_eras(c: Clinical, gap: int = 30) -> Clinical:
         made[f"{name}_era"] = era
     if "drug_strength" in c:
         made["dose_era"] = dose_eras(c, gap)
-    return Clinical(c.tables | made, c.cohorts, c.name)
+    return Clinical(dict(c.tables) | made if isinstance(c.tables, dict) else c.tables | made, c.cohorts, c.name)
 
 
 def write_table(df: DataFrame, name: str, mode: str = "overwrite", partition_by: tuple[str, ...] = ()) -> DataFrame:
