@@ -9,7 +9,7 @@ n-grams P(w|h) = (c(hw) + m * P(w|shorter h)) / (c(h) + m); the failure arc of h
 
 No task ever holds the whole model. Texts are taken in blocks of bounded size, whose words become local numbers once.
 A block asks for its distinct n-grams, as sorted 64-bit hashes, with its own training counts; shards of the hash range
-add the counts up and answer each block in its own order. So counting and look-up are one exchange, whose size
+add the counts up and answer each block in its own order, beyond some thousand blocks by way of ranges of them. So counting and look-up are one exchange, whose size
 follows the input; a frequent n-gram comes once from each block, however often it stands there. The block then
 builds the part of the automaton that its texts can reach, as arrays, and traverses it.
 """
@@ -21,6 +21,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from eralith.llm._text import Words, combine, slices
 _BLOCK_BYTES = 4 << 20
 _END, _START = (np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344))
 _TOKENS_PER_SHARD = 2_000_000
+#: Blocks whose n-grams of one shard are added up in one task.
+BLOCKS_PER_RANGE = 8192
 _RUN = "block long, docs binary, train binary, sizes binary, words binary, tokens binary"
 
 
@@ -105,10 +108,14 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<u8" if len(raw) == 8 * n else "<u4").astype(np.int64)
 
 
+def _keys_and_counts(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    keys = [np.frombuffer(x.as_py(), "<u8") for x in table["keys"]]
+    return keys, [_unpacked(x.as_py(), len(k)) for x, k in zip(table["counts"], keys, strict=True)]
+
+
 def _answer(table: pa.Table) -> pa.Table:
     """Sums of one shard and order, for each block in the order of its keys; and how many keys have each small count."""
-    keys = [np.frombuffer(x.as_py(), "<u8") for x in table["keys"]]
-    counts = [np.frombuffer(x.as_py(), "<u4") for x in table["counts"]]
+    keys, counts = _keys_and_counts(table)
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts))
     cut = np.cumsum([0, *map(len, keys)])
@@ -122,6 +129,44 @@ def _answer(table: pa.Table) -> pa.Table:
     })
 
 
+def _gathered(table: pa.Table) -> pa.Table:
+    """The blocks of one range, shard and order as one: each key once, in order, with its sum."""
+    keys, counts = _keys_and_counts(table)
+    each, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate(counts))
+    return pa.table({"shard": table["shard"][:1], "block": table["range"][:1], "n": table["n"][:1], "keys": pa.array([each.tobytes()], pa.binary()), "counts": pa.array([_packed(total)], pa.binary())})
+
+
+def _passed_on(table: pa.Table) -> pa.Table:
+    """What the one row without keys says of a range, to each of its blocks in the order of the block's keys."""
+    told = table.filter(pc.is_null(table["keys"]))
+    asked = table.filter(pc.is_valid(table["keys"]))
+    keys = [np.frombuffer(x.as_py(), "<u8") for x in asked["keys"]]
+    each, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = _unpacked(told["counts"][0].as_py(), len(each))
+    cut = np.cumsum([0, *map(len, keys)])
+    answers = [_packed(total[at[a:b]]) for a, b in zip(cut, cut[1:], strict=False)]
+    return pa.table({"block": asked["block"], "n": asked["n"], "shard": asked["shard"], "counts": pa.array(answers, pa.binary())})
+
+
+def _answered(asked: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """(answers (block, n, shard, counts), facts (n, facts)) of asked (shard, block, n, keys, counts).
+
+    A frequent n-gram's shard has a row from every block. With more than one range, blocks of a range (by their ids) are
+    added up first and ranges then, and answers go back the same way, so no task takes a row from every block.
+    """
+    schema = "block long, n int, shard int, counts binary, facts array<long>"
+    if ranges == 1:
+        both = written(asked.groupBy("shard", "n").applyInArrow(_answer, schema))
+        return both.drop("facts"), both.where("facts is not null").select("n", "facts")
+    asked = written(asked.withColumn("range", F.pmod("block", F.lit(ranges))))
+    by_range = asked.groupBy("shard", "n", "range").applyInArrow(_gathered, "shard int, block long, n int, keys binary, counts binary")
+    told = written(by_range.groupBy("shard", "n").applyInArrow(_answer, schema))
+    back = told.select("shard", F.lit(None).cast("long").alias("block"), "n", F.lit(None).cast("binary").alias("keys"), "counts", F.col("block").alias("range"))
+    answers = asked.unionByName(back).groupBy("shard", "n", "range").applyInArrow(_passed_on, "block long, n int, shard int, counts binary")
+    return written(answers), told.where("facts is not null").select("n", "facts")
+
+
 class Automaton:
     """The part of the automaton that a block's texts can reach, compiled to arrays.
 
@@ -227,8 +272,8 @@ def lm_scores(
     tokens = blocks.agg(F.sum(F.octet_length("tokens")) / 4).first()[0] or 0
     shards = int(tokens * order // _TOKENS_PER_SHARD) + 1
     asked = blocks.mapInArrow(_ask(order, shards), "shard int, block long, n int, keys binary, counts binary")
-    answers = written(asked.groupBy("shard", "n").applyInArrow(_answer, "block long, n int, shard int, counts binary, facts array<long>"))
-    f = answers.where("n = 1 and facts is not null").agg(*(F.coalesce(F.sum(F.get("facts", i)), F.lit(0)) for i in map(F.lit, range(4)))).first()
+    answers, facts = _answered(asked, int(blocks.count() // BLOCKS_PER_RANGE) + 1)
+    f = facts.where("n = 1").agg(*(F.coalesce(F.sum(F.get("facts", i)), F.lit(0)) for i in map(F.lit, range(4)))).first()
     total, known, once, twice = (int(x) for x in f)
     n_train = int(blocks.mapInArrow(_train_docs, "n long").agg(F.sum("n")).first()[0] or 0)
     discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5

@@ -102,6 +102,26 @@ def test_lm_walk(spark, order, trained):
         assert got[d] == pytest.approx(want), d
 
 
+@pytest.mark.parametrize("order", [1, 3])
+def test_lm_ranges(spark, monkeypatch, order):
+    """Blocks that are added up by ranges give the same scores and counts as all at once."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from eralith.llm import lm_scoring
+
+    rng = random.Random(order)
+    docs = [(i, " ".join(rng.choice(["a", "b", f"w{rng.randrange(300)}"]) for _ in range(rng.randrange(80)))) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(30)
+    score = lambda: sorted(tuple(r) for r in lm_scoring.lm_scores(df, F.col("doc_id") % 7 == 2, order=order).collect())
+    whole = score()
+    monkeypatch.setattr(lm_scoring, "BLOCKS_PER_RANGE", 4)
+    parts = score()
+    assert [r[:5] for r in parts] == [r[:5] for r in whole] and len(parts) == 300
+    assert all(a == pytest.approx(b) for x, y in zip(parts, whole, strict=True) for a, b in zip(x[5:], y[5:], strict=True))
+
+
 @pytest.mark.parametrize("order", [1, 3])
 def test_lm_orders(spark, sf_dir, rows, order):
     """Probabilities of what may follow a text's beginning add up to one."""
