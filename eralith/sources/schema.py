@@ -93,6 +93,7 @@ _OTHER = {
     "death": "person_id! integer, death_date! date, death_type_concept_id integer, cause_concept_id integer, cause_source_concept_id integer",
     "condition_era": "condition_era_id! integer, person_id! integer, condition_concept_id! integer, condition_era_start_date! date, condition_era_end_date! date, condition_occurrence_count integer",
     "drug_era": "drug_era_id! integer, person_id! integer, drug_concept_id! integer, drug_era_start_date! date, drug_era_end_date! date, drug_exposure_count integer, gap_days integer",
+    "dose_era": "dose_era_id! integer, person_id! integer, drug_concept_id! integer, unit_concept_id! integer, dose_value! float, dose_era_start_date! date, dose_era_end_date! date",
     "location": "location_id! integer, state varchar",
     "concept": "concept_id! integer, concept_name! varchar, domain_id! varchar, vocabulary_id! varchar, concept_class_id! varchar, standard_concept varchar, concept_code! varchar",
     "concept_ancestor": "ancestor_concept_id! integer, descendant_concept_id! integer, min_levels_of_separation! integer, max_levels_of_separation! integer",
@@ -107,8 +108,8 @@ _MORE = {
     "observation": "value_as_number float, value_as_string varchar, value_as_concept_id integer, unit_concept_id integer",
     "device": "quantity integer",
 }
-_VOCAB, _DERIVED = ("concept", "concept_ancestor", "concept_relationship", "drug_strength"), ("condition_era", "drug_era")
-_ERAS_AND_SPANS = {"observation_period", "death", "condition_era", "drug_era"}
+_VOCAB, _DERIVED = ("concept", "concept_ancestor", "concept_relationship", "drug_strength"), ("condition_era", "drug_era", "dose_era")
+_ERAS_AND_SPANS = {"observation_period", "death", "condition_era", "drug_era", "dose_era"}
 
 
 def _fields(table: str, text: str) -> tuple[FieldSpec, ...]:

@@ -40,7 +40,7 @@ def test_schema():
     from eralith.sources import schema as s
 
     c = s.CdmSchema("5.4")
-    assert {"person", "measurement", "visit_detail"} <= set(c.table_names_in_group("clinical")) and c.table_names_in_group("derived") == ["condition_era", "drug_era"]
+    assert {"person", "measurement", "visit_detail"} <= set(c.table_names_in_group("clinical")) and c.table_names_in_group("derived") == ["condition_era", "drug_era", "dose_era"]
     assert c.validate_columns("person", ["PERSON_ID", "gender_concept_id", "year_of_birth"]) == ["race_concept_id", "ethnicity_concept_id"]
     assert c.required_fields_for_table("measurement") == ["measurement_id", "person_id", "measurement_concept_id", "measurement_date", "measurement_type_concept_id"]
     assert c.tables["drug_exposure"].spark["quantity"].dataType.simpleString() == "double" and c.tables["drug_exposure"].start == "drug_exposure_start_date"
