@@ -1138,3 +1138,67 @@ def kernel_calendar(spark, sf_dir):
     c = project(spark, sf_dir)
     grid = c["observation_period"].select("person_id", F.explode(k.calendar(F.col("observation_period_start_date"), F.col("observation_period_end_date"), "quarters")).alias("i"))
     return grid.groupBy(F.col("i.start").alias("start")).agg(F.count("*").alias("n_persons"))
+
+
+# results of estimates, in long form and back
+
+
+def _of(name: str) -> str:
+    """The SQL of another query as a table."""
+    return f"({ORACLE_SQL[name]})"
+
+
+@query(f"SELECT CAST(interval_start AS VARCHAR) AS interval_start, CAST(n_persons AS VARCHAR) AS denominator_count, CAST(n_events AS VARCHAR) AS outcome_count, CAST(person_days AS VARCHAR) AS person_days, printf('%.6f', n_events / (person_days / 365.25) * 100000) AS rate_100000 FROM {_of('incidence_yearly')}")
+def result_incidence(c):
+    """Incidence as result rows, its intervals split off and one column an estimate again."""
+    names = ["denominator_count", "outcome_count", "person_days", "rate_100000"]
+    rows, _ = sm.as_incidence_result(ic.incidence(_denominator(c), condition(c, 3000001)))
+    d = re_.pivot_estimates(re_.split(rows, "additional", ["interval_start"]).where(F.col("estimate_name").isin(names)).drop("estimate_type"), names)
+    return d.select("interval_start", *names)
+
+
+@query(f"SELECT 'prevalence' AS result_type, CAST(interval_start AS VARCHAR) AS interval_start, unnest(['denominator_count', 'outcome_count']) AS estimate_name, CAST(unnest([n_persons, n_cases]) AS VARCHAR) AS estimate_value FROM {_of('prevalence_period')}")
+def result_prevalence(c):
+    rows, settings = sm.as_prevalence_result(ic.prevalence(_denominator(c), target(c), kind="period"))
+    counts = re_.filter_settings(rows, settings, result_type="prevalence").where("estimate_type = 'integer'")
+    return re_.split(re_.add_settings(counts, settings), "additional", ["interval_start"]).select("result_type", "interval_start", "estimate_name", "estimate_value")
+
+
+@query(f"SELECT CAST(time AS VARCHAR) AS time, unnest(['n_risk', 'n_events', 'n_censored']) AS estimate_name, CAST(unnest([n_risk, n_events, n_censored]) AS VARCHAR) AS estimate_value FROM {_of('survival_kaplan_meier')}")
+def result_survival(c):
+    rows, _ = sm.as_survival_result(su.kaplan_meier(su.add_survival(c, target(c), condition(c, 3000001), washout=180)))
+    return re_.split(rows, "additional", ["time"]).where("estimate_type = 'integer'").select("time", "estimate_name", "estimate_value")
+
+
+@query(f"SELECT 'brand3' AS group_level, treatment AS variable_level, unnest(['count', 'percentage']) AS estimate_name, unnest([CAST(n AS VARCHAR), CAST(round(n * 100 / sum(n) OVER (), 6) AS VARCHAR)]) AS estimate_value FROM {_of('drug_treatment')}")
+def result_treatment(c):
+    both = condition(c, 3000001).unionByName(condition(c, 3000002).withColumn("cohort_definition_id", F.lit(2).cast("long")))
+    rows, _ = sm.summarise_treatment(sm.cohort_table(c, {"brand3": [1000003]}), both, {1: "urgent", 2: "high"}, (0, 90))
+    share = F.round(F.col("estimate_value").cast("double"), 6).cast("string")
+    return rows.withColumn("estimate_value", F.when(F.col("estimate_name") == "percentage", share).otherwise(F.col("estimate_value"))).select("group_level", "variable_level", "estimate_name", "estimate_value")
+
+
+@query(f"SELECT variable_name, variable_level, CAST(count(*) AS VARCHAR) AS estimate_value FROM (SELECT unnest(['drug_restart_180', 'drug_restart_365']) AS variable_name, unnest([drug_restart_180, drug_restart_365]) AS variable_level FROM {_of('drug_restart')}) GROUP BY 1, 2")
+def result_drug_restart(c):
+    options = {"limit": "all", "end": "event", "gap": 30}
+    t = sm.cohort_table(c, {"brand3": [1000003]}, **options)
+    rows, _ = sm.summarise_drug_restart(c, t, co.concept_cohort(c, {"brand5": [1000005]}, **options))
+    return rows.where("estimate_name = 'count'").select("variable_name", "variable_level", "estimate_value")
+
+
+@query(f"WITH e AS (SELECT category, source, date_diff('day', episode_start_date, episode_end_date) AS d, person_id FROM {_of('pregnancy_merged')}) SELECT category, source, unnest(['Number records', 'Number subjects', 'days', 'days', 'days']) AS variable_name, unnest(['count', 'count', 'min', 'median', 'max']) AS estimate_name, unnest([CAST(count(*) AS VARCHAR), CAST(count(DISTINCT person_id) AS VARCHAR), printf('%.6f', CAST(min(d) AS DOUBLE)), printf('%.6f', CAST(median(d) AS DOUBLE)), printf('%.6f', CAST(max(d) AS DOUBLE))]) AS estimate_value FROM e GROUP BY category, source")
+def result_pregnancies(c):
+    rows, _ = sm.summarise_pregnancies(pr.merge_episodes(pr.outcome_episodes(_outcomes(c)), pr.timing_episodes(_timing(c))))
+    d = re_.split(re_.split(rows, "group", ["category"]), "strata", ["source"]).where("estimate_name in ('count', 'min', 'median', 'max')")
+    return d.select("category", "source", "variable_name", "estimate_name", "estimate_value")
+
+
+@query(f"SELECT CAST(ingredient_concept_id AS VARCHAR) AS group_level, category AS variable_level, unnest(['n_records', 'n_persons']) AS estimate_name, CAST(unnest([n_records, n_persons]) AS VARCHAR) AS estimate_value FROM {_of('diagnostics_route')}")
+def result_drug_diagnostics(c):
+    rows, _ = sm.summarise_drug_diagnostics(c, [1000001, 1000002], sample=None)
+    return rows.where("variable_name = 'route'").select("group_level", "variable_level", "estimate_name", "estimate_value")
+
+
+@query("SELECT cohort_definition_id, subject_id, cohort_start_date, cohort_end_date FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY cohort_start_date, cohort_end_date) AS n FROM outcome) WHERE n = 1 AND cohort_start_date BETWEEN DATE '1993-01-01' AND DATE '1996-12-31'")
+def cohort_first_in_range(c):
+    return co.require_in_range(co.require_first(condition(c, 3000001)), "1993-01-01", "1996-12-31")
