@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eralith.functions.kernels import islands
 from eralith.functions.quantiles import beside
+from eralith.functions.sweeps import overlap_totals
 from eralith.sources.clinical import Clinical
 
 METRICS = ("number_exposures", "number_eras", "days_exposed", "days_prescribed", "time_to_exposure", "initial_exposure_duration", "initial_quantity", "cumulative_quantity", "initial_daily_dose", "cumulative_dose")
@@ -154,12 +155,16 @@ def add_treatment(df: DataFrame, cohorts: DataFrame, names: Mapping[int, str], w
 
 
 def indication(df: DataFrame, cohorts: DataFrame, names: dict[int, str], window: tuple[int | None, int | None]) -> DataFrame:
-    """indication: names of the indication cohorts that meet the window, sorted and joined; "unknown" where none does."""
-    from eralith.functions.kernels import in_window
+    """indication: names of the indication cohorts that meet the window, sorted and joined; "unknown" where none does.
 
+    An entry and a cohort are one question of the sweep over the person's time in that cohort; no entry meets a cohort's entry.
+    """
     label = F.create_map(*(F.lit(x) for k, v in names.items() for x in (k, v)))
-    o = cohorts.select(F.col("subject_id").alias("_p"), label[F.col("cohort_definition_id").cast("int")].alias("_n"), F.col("cohort_start_date").alias("_s"), F.col("cohort_end_date").alias("_e"))
-    ids = df.select("subject_id", "cohort_start_date").distinct()
-    hit = ids.join(o, (F.col("subject_id") == F.col("_p")) & in_window(F.col("cohort_start_date"), F.col("_s"), F.col("_e"), window))
+    pair = F.struct(F.col("subject_id").cast("long").alias("subject"), F.col("c").cast("int").alias("c")).alias("pair")
+    ids = df.select("subject_id", "cohort_start_date").where("subject_id is not null").distinct()
+    asked = ids.withColumn("c", F.explode(F.array(*(F.lit(int(k)) for k in names)))).select(pair, "cohort_start_date")
+    o = cohorts.where(F.col("cohort_definition_id").isin(list(names)) & F.col("subject_id").isNotNull()).withColumn("c", F.col("cohort_definition_id"))
+    found = overlap_totals(asked, o.select(pair, F.col("cohort_start_date").alias("start"), F.col("cohort_end_date").alias("end")), [window], "pair", "cohort_start_date")
+    hit = found.where("n_0 > 0").select(F.col("pair.subject").cast(df.schema["subject_id"].dataType).alias("subject_id"), "cohort_start_date", label[F.col("pair.c")].alias("_n"))
     hit = hit.groupBy("subject_id", "cohort_start_date").agg(F.array_join(F.array_sort(F.collect_set("_n")), " and ").alias("indication"))
     return df.join(hit, ["subject_id", "cohort_start_date"], "left").fillna("unknown", subset=["indication"])

@@ -238,3 +238,22 @@ def test_dose_eras(spark):
         rows = dose_eras(c, gap).collect()
         got = {(r.person_id, r.drug_concept_id, round(r.dose_value, 6), r.dose_era_start_date, r.dose_era_end_date) for r in rows}
         assert got == want and len(rows) == len(got) and {r.unit_concept_id for r in rows} == {8576}
+
+
+def test_indication(spark):
+    """Names of the cohorts that meet a window, against all pairs; ties, repeats, unknown cohorts, nulls and empty cohorts."""
+    from eralith.operators.drug import indication
+
+    rng = random.Random(12)
+    entries = [(1, rng.choice([*range(9), None]), day(rng.randrange(60))) for _ in range(40)] * 2
+    other = [(rng.choice([1, 2, 3, 7]), rng.choice([*range(9), None]), day(s := rng.randrange(60)), day(s + rng.choice([0, 5]))) for _ in range(80)]
+    names = {1: "one", 2: "two", 3: "one more"}
+    df, cohorts = spark.createDataFrame(entries, "cohort_definition_id long, subject_id long, cohort_start_date date"), spark.createDataFrame(other, COHORT)
+    for lo, hi in ((-10, 0), (0, None), (None, -5)):
+        want = Counter()
+        for e in entries:
+            met = {names[c] for c, p, s, t in other if c in names and p is not None and p == e[1] and (lo is None or t >= e[2] + dt.timedelta(lo)) and (hi is None or s <= e[2] + dt.timedelta(hi))}
+            want[(*e, " and ".join(sorted(met)) or "unknown")] += 1
+        got = Counter((r.cohort_definition_id, r.subject_id, r.cohort_start_date, r.indication) for r in indication(df, cohorts, names, (lo, hi)).collect())
+        assert got == want
+    assert {r.indication for r in indication(df, cohorts.where("false"), names, (0, 0)).collect()} == {"unknown"}
