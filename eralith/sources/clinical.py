@@ -233,13 +233,17 @@ def validated(clinical: Clinical, version: str = "5.4", cohorts: Iterable[str] =
     return clinical
 
 
-def with_eras(c: Clinical, gap: int = 30) -> Clinical:
-    """The container with drug_era and dose_era (by ingredient) and condition_era, made from the occurrences; doses where strengths are known."""
+def with_eras(c: Clinical, gap: int = 30, ingredients: DataFrame | None = None) -> Clinical:
+    """The container with drug_era and dose_era (by ingredient) and condition_era, made from the occurrences; doses where strengths are known.
+
+    ingredients: ids (concept_id) that drug eras are made for, instead of the concepts of class Ingredient.
+    """
     from eralith.functions.kernels import islands
     from eralith.operators.dose import dose_eras
 
-    i = c["concept"].where("concept_class_id = 'Ingredient'").select(F.col("concept_id").alias("ancestor_concept_id"))
-    to = c["concept_ancestor"].join(i, "ancestor_concept_id").select(F.col("ancestor_concept_id").alias("era_concept_id"), F.col("descendant_concept_id").alias("concept_id"))
+    i = c["concept"].where("concept_class_id = 'Ingredient'") if ingredients is None else ingredients
+    i = i.select(F.col("concept_id").alias("ancestor_concept_id"))
+    to = c["concept_ancestor"].join(i, "ancestor_concept_id", "left_semi").select(F.col("ancestor_concept_id").alias("era_concept_id"), F.col("descendant_concept_id").alias("concept_id"))
     made = {}
     for name, e in (("drug", c.events("drug").join(to, "concept_id").drop("concept_id").withColumnRenamed("era_concept_id", "concept_id")), ("condition", c.events("condition"))):
         era = islands(e, ["person_id", "concept_id"], "start_date", "end_date", gap)
