@@ -36,6 +36,11 @@ def descendants(c: Clinical, ids: Sequence[int]) -> DataFrame:
     return a.join(c["concept"], a["descendant_concept_id"] == c["concept"]["concept_id"]).select("ancestor_concept_id", "concept_id", "concept_name")
 
 
+def below(c: Clinical, ids: Sequence[int]) -> DataFrame:
+    """(concept_id): one row for each row of the hierarchy below the ids; a code that stands there several times comes as often."""
+    return c["concept_ancestor"].where(F.col("ancestor_concept_id").isin(list(ids))).select(F.col("descendant_concept_id").alias("concept_id"))
+
+
 def ingredient_codes(c: Clinical) -> DataFrame:
     """(ingredient, concept_id) of every ingredient's descendants."""
     i = c["concept"].where("concept_class_id = 'Ingredient'").select(F.col("concept_id").alias("ancestor_concept_id"), F.col("concept_name").alias("ingredient"))
@@ -77,9 +82,10 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("concept_id", F.when(F.col("a").isNull(), "only second").when(F.col("b").isNull(), "only first").otherwise("both").alias("in_codelist"))
 
 
-def code_use(c: Clinical, ids: DataFrame, domain: str = "drug", by: Sequence[str] = ()) -> DataFrame:
-    """Records and persons of each code; by: year and/or sex."""
-    e = c.events(domain).join(ids.select("concept_id").distinct(), "concept_id").withColumn("year", F.year("start_date"))
+def code_use(c: Clinical, ids: DataFrame, domain: str = "drug", by: Sequence[str] = (), repeats: bool = False) -> DataFrame:
+    """Records and persons of each code; by: year and/or sex. repeats: a code that the list holds several times counts its records as often."""
+    codes = ids.select("concept_id")
+    e = c.events(domain).join(codes if repeats else codes.distinct(), "concept_id").withColumn("year", F.year("start_date"))
     if "sex" in by:
         e = e.join(c["person"].select("person_id", F.when(F.col("gender_concept_id") == 8507, "Male").otherwise("Female").alias("sex")), "person_id")
     return e.groupBy("concept_id", *by).agg(F.count("*").alias("n_records"), F.count_distinct("person_id").alias("n_persons"))
