@@ -15,23 +15,31 @@ from eralith.sources.clinical import Clinical
 METRICS = ("number_exposures", "number_eras", "days_exposed", "days_prescribed", "time_to_exposure", "initial_exposure_duration", "initial_quantity", "cumulative_quantity", "initial_daily_dose", "cumulative_dose")
 
 
-def exposures(c: Clinical, concepts: DataFrame) -> DataFrame:
-    """(_p, s, e, quantity, days_supply) of the exposures to the concepts; a missing or earlier end is the start."""
-    d = c["drug_exposure"].join(concepts.select(F.col("concept_id").alias("drug_concept_id")).distinct(), "drug_concept_id")
+def _codes(concepts: DataFrame, repeats: bool) -> DataFrame:
+    codes = concepts.select(F.col("concept_id").alias("drug_concept_id"))
+    return codes if repeats else codes.distinct()
+
+
+def exposures(c: Clinical, concepts: DataFrame, repeats: bool = False) -> DataFrame:
+    """(_p, s, e, quantity, days_supply) of the exposures to the concepts; a missing or earlier end is the start.
+
+    repeats: an exposure comes as often as the concepts hold its code.
+    """
+    d = c["drug_exposure"].join(_codes(concepts, repeats), "drug_concept_id")
     return d.select(F.col("person_id").alias("_p"), F.col("drug_exposure_start_date").alias("s"), F.greatest(F.coalesce("drug_exposure_end_date", "drug_exposure_start_date"), "drug_exposure_start_date").alias("e"), "quantity", "days_supply")
 
 
-def add_drug_use(c: Clinical, cohort: DataFrame, concepts: DataFrame, gap: int = 30, censor: str = "cohort_end_date", incident: bool = True, ingredient: int | None = None) -> DataFrame:
+def add_drug_use(c: Clinical, cohort: DataFrame, concepts: DataFrame, gap: int = 30, censor: str = "cohort_end_date", incident: bool = True, ingredient: int | None = None, repeats: bool = False) -> DataFrame:
     """METRICS of each cohort row; counts and doses are 0 and times null where there is no exposure.
 
-    Doses are those of the ingredient by strength (add_dose); without one, quantity a day.
+    Doses are those of the ingredient by strength (add_dose); without one, quantity a day. repeats: as in exposures.
 
     Exposures start (or overlap, if not incident) from the index date to the censor date. One join and one aggregate by the
     row; eras and days exposed are a fold over its few exposures, in order.
     """
     index, stop = F.col("cohort_start_date"), F.col(censor)
     lo = F.col("s") >= index if incident else F.col("e") >= index
-    x = cohort.join(exposures(c, concepts), (F.col("subject_id") == F.col("_p")) & lo & (F.col("s") <= stop), "left")
+    x = cohort.join(exposures(c, concepts, repeats), (F.col("subject_id") == F.col("_p")) & lo & (F.col("s") <= stop), "left")
     days = lambda a, b: F.datediff(b, a) + 1
     inside = F.when(F.col("_p").isNotNull(), F.struct(F.greatest("s", index).alias("s"), F.least("e", stop).alias("e")))
     first = F.min(F.when(F.col("_p").isNotNull(), F.struct("s", "e", "quantity", "days_supply")))
@@ -55,12 +63,12 @@ def add_drug_use(c: Clinical, cohort: DataFrame, concepts: DataFrame, gap: int =
     out = m.select(*cohort.columns, *METRICS).fillna(0, subset=zero)
     if ingredient is None:
         return out
-    doses = add_dose(c, cohort, concepts, ingredient, censor, incident)
+    doses = add_dose(c, cohort, concepts, ingredient, censor, incident, repeats)
     return beside(out.drop("initial_daily_dose", "cumulative_dose"), doses, cohort.columns).select(*cohort.columns, *METRICS)
 
 
 def add_dose(
-    c: Clinical, cohort: DataFrame, concepts: DataFrame, ingredient: int, censor: str = "cohort_end_date", incident: bool = True
+    c: Clinical, cohort: DataFrame, concepts: DataFrame, ingredient: int, censor: str = "cohort_end_date", incident: bool = True, repeats: bool = False
 ) -> DataFrame:
     """initial_daily_dose and cumulative_dose of an ingredient by the strength of the products, for each cohort row; 0 without any.
 
@@ -72,7 +80,7 @@ def add_dose(
 
     index, stop = F.col("cohort_start_date"), F.col(censor)
     keys = {k: f"_c{i}" for i, k in enumerate(cohort.columns)}
-    d = c["drug_exposure"].join(concepts.select(F.col("concept_id").alias("drug_concept_id")).distinct(), "drug_concept_id", "left_semi")
+    d = c["drug_exposure"].join(_codes(concepts, repeats), "drug_concept_id")
     d = d.select(
         F.col("person_id").alias("_p"), "drug_concept_id", "quantity", F.col("drug_exposure_start_date").alias("_s"),
         F.greatest(F.coalesce("drug_exposure_end_date", "drug_exposure_start_date"), "drug_exposure_start_date").alias("_e"),
