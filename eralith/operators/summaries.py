@@ -105,9 +105,9 @@ def summarise_large_scale_characteristics(c: Clinical, t: CohortTable, domain: s
     return out, _settings(d, "summarise_large_scale_characteristics", table_name=domain)
 
 
-def summarise_drug_utilisation(c: Clinical, t: CohortTable, concepts: DataFrame, gap: int = 30) -> Result:
-    """Distribution of every measure of drug use over a cohort's entries."""
-    d = dr.add_drug_use(c, _named(t, t.entries), concepts, gap)
+def summarise_drug_utilisation(c: Clinical, t: CohortTable, concepts: DataFrame, gap: int = 30, repeats: bool = False) -> Result:
+    """Distribution of every measure of drug use over a cohort's entries; repeats: as in drug.exposures."""
+    d = dr.add_drug_use(c, _named(t, t.entries), concepts, gap, repeats=repeats)
     n = ch.numeric_estimates(d, ["cohort_name"], list(dr.METRICS)).withColumn("count_missing", F.col("n_missing"))
     return rs.melt(n, ["cohort_name"], [], "variable", _NUMBERS | {"count_missing": "integer"}), _settings(d, "summarise_drug_utilisation", gap_era=gap)
 
