@@ -48,7 +48,8 @@ def ingredient_codes(c: Clinical) -> DataFrame:
 
 
 def subset_by_class(c: Clinical, ids: DataFrame, classes: Sequence[str]) -> DataFrame:
-    return ids.join(c["concept"].where(F.col("concept_class_id").isin(list(classes))), "concept_id", "left_semi")
+    """Codes of the list, each once, with a concept of the classes."""
+    return ids.distinct().join(c["concept"].where(F.col("concept_class_id").isin(list(classes))), "concept_id", "left_semi")
 
 
 def atc_codes(c: Clinical, word: str | None = None, levels: Sequence[str] = ()) -> DataFrame:
@@ -60,7 +61,8 @@ def atc_codes(c: Clinical, word: str | None = None, levels: Sequence[str] = ())
 
 
 def subset_by_vocabulary(c: Clinical, ids: DataFrame, vocabularies: Sequence[str]) -> DataFrame:
-    return ids.join(c["concept"].where(F.col("vocabulary_id").isin(list(vocabularies))), "concept_id", "left_semi")
+    """Codes of the list, each once, with a concept of the vocabularies."""
+    return ids.distinct().join(c["concept"].where(F.col("vocabulary_id").isin(list(vocabularies))), "concept_id", "left_semi")
 
 
 def stratify_by_domain(c: Clinical, ids: DataFrame) -> DataFrame:
@@ -141,4 +143,5 @@ def code_use_with_zeros(c: Clinical, ids: DataFrame, domain: str = "drug") -> Da
 
 
 def subset_by_domain(c: Clinical, ids: DataFrame, domains: Sequence[str]) -> DataFrame:
-    return ids.join(c["concept"].where(F.lower("domain_id").isin([d.lower() for d in domains])), "concept_id", "left_semi")
+    """Codes of the list, each once, with a concept of the domains."""
+    return ids.distinct().join(c["concept"].where(F.lower("domain_id").isin([d.lower() for d in domains])), "concept_id", "left_semi")
