@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eralith.functions.kernels import islands
@@ -137,11 +137,14 @@ def ingredient_cohorts(c: Clinical, ingredients: DataFrame, gap: int = 1) -> Dat
     return _eras(c, a.select("cohort_definition_id", F.col("descendant_concept_id").alias("drug_concept_id")), gap)
 
 
-def atc_cohorts(c: Clinical, word: str | None = None, levels: Sequence[str] = ("ATC 1st",), gap: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(cohort, settings): eras of use of the drugs below each ATC concept; a cohort is numbered by its concept."""
+def atc_cohorts(c: Clinical, word: str | None = None, levels: Sequence[str] = ("ATC 1st",), gap: int = 1, within: Column | str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cohort, settings): eras of use of the drugs below each ATC concept; a cohort is numbered by its concept.
+
+    within: a test of concepts that replaces vocabulary and levels.
+    """
     from eralith.operators.vocabulary import atc_codes
 
-    atc = atc_codes(c, word, levels)
+    atc = atc_codes(c, word, levels) if within is None else c["concept"].where(within).select(F.lower("concept_name").alias("name"), F.col("concept_id").cast("long").alias("concept_id")).distinct()
     below = c["concept_ancestor"].join(atc, F.col("ancestor_concept_id") == F.col("concept_id"))
     cohort = _eras(c, below.select(F.col("concept_id").alias("cohort_definition_id"), F.col("descendant_concept_id").alias("drug_concept_id")), gap)
     return cohort, atc.select(F.col("concept_id").alias("cohort_definition_id"), F.col("name").alias("cohort_name"))
