@@ -37,7 +37,8 @@ def at_ranks(df: DataFrame, by: Sequence[str], value: str, ranks: Mapping[str, C
     wanted = {f"_r{i}": F.when((rank > F.col("_upto") - F.col("_m")) & (rank <= F.col("_upto")), rank) for i, rank in enumerate(ranks.values())}
     hist = hist.withColumns(wanted).where(F.coalesce(*wanted).isNotNull())
     here = hist.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), F.col("_b").alias("_c"), (F.col("_upto") - F.col("_m")).alias("_before"), "_of", *wanted)
-    on = F.col("_b") == F.col("_c")
+    # null-safe though never null: a test for null would be pushed below the counts, which the histogram then could not share
+    on = F.col("_b").eqNullSafe(F.col("_c"))
     for i, k in enumerate(by):
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     inside = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))

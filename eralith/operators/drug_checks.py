@@ -22,14 +22,14 @@ NUMERIC = {
 
 
 def ingredient_records(c: Clinical, ingredients: Sequence[int], sample: int | None = None, seed: int = 0) -> DataFrame:
-    """Drug records with ingredient_concept_id and n_total, all or up to sample of each ingredient in hash order."""
+    """Drug records with ingredient_concept_id, all, or with n_total up to sample of each ingredient in hash order."""
     a = c["concept_ancestor"].where(F.col("ancestor_concept_id").isin(list(ingredients)))
     a = a.select(F.col("ancestor_concept_id").alias("ingredient_concept_id"), F.col("descendant_concept_id").alias("drug_concept_id"))
     r = c["drug_exposure"].join(a, "drug_concept_id")
-    total = r.groupBy("ingredient_concept_id").agg(F.count("*").alias("n_total"))
-    r = r.join(total, "ingredient_concept_id")
     if sample is None:
-        return r
+        return r  # totals would cost another pass, and a shuffle of all records by their few ingredients
+    total = r.groupBy("ingredient_concept_id").agg(F.count("*").alias("n_total"))
+    r = r.join(F.broadcast(total), "ingredient_concept_id")  # one row an ingredient asked for
     # a threshold on a hash keeps about sample records of each without sorting them
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *sorted(c["drug_exposure"].columns))), 1, 10), 16, 10).cast("long")
     return r.where(key < F.ceil(F.lit(float(1 << 40)) * sample / F.col("n_total")))
@@ -68,7 +68,11 @@ def check_numeric(records: DataFrame, expression: str, least: int = 5) -> DataFr
 
 def check_summary(records: DataFrame, least: int = 5) -> DataFrame:
     """(ingredient_concept_id, n_total, n_sample, n_persons)."""
-    g = records.groupBy("ingredient_concept_id", "n_total").agg(F.count("*").alias("n"), F.count_distinct("person_id").alias("p"))
+    counts = [F.count("*").alias("n"), F.count_distinct("person_id").alias("p")]
+    if "n_total" in records.columns:
+        g = records.groupBy("ingredient_concept_id", "n_total").agg(*counts)
+    else:
+        g = records.groupBy("ingredient_concept_id").agg(*counts).withColumn("n_total", F.col("n"))
     return g.select("ingredient_concept_id", _few(F.col("n_total"), least).alias("n_total"), _few(F.col("n"), least).alias("n_sample"), _few(F.col("p"), least).alias("n_persons"))
 
 
