@@ -133,8 +133,9 @@ def codes_in_use(c: Clinical, ids: DataFrame, domains: Sequence[str] = ("drug",
     """Codes of a codelist that some record of the domains holds."""
     from functools import reduce
 
-    used = reduce(DataFrame.unionByName, [c.events(d).select("concept_id").distinct() for d in domains]).distinct()
-    return ids.join(used, "concept_id", "left_semi")
+    used = reduce(DataFrame.unionByName, [c.events(d).select("concept_id") for d in domains]).distinct()
+    # not a semi-join: that would be pushed into each branch of a codelist that is a union, and the records read once for each
+    return ids.join(used, "concept_id").select(ids.columns)
 
 
 def code_use_with_zeros(c: Clinical, ids: DataFrame, domain: str = "drug") -> DataFrame:

@@ -12,3 +12,9 @@ def plan(spark, name):
 def test_unsampled_checks_do_not_count_records_first(spark):
     """The records are read for the plain figures, the histogram and its look-up, and never joined to their totals."""
     assert plan(spark, "diagnostics_quantity").count("Relation [l_orderkey") == 3
+
+
+@needs_data
+def test_codes_in_use_read_the_records_once(spark):
+    """However many tables the codelist is a union of."""
+    assert plan(spark, "vocabulary_in_use").count("Relation [l_orderkey") == 1
