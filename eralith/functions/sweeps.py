@@ -38,6 +38,34 @@ def segments(pts: DataFrame, keys: Sequence[str], sums: Sequence[str], also: Map
     return out.select(*keys, F.col("day").alias("start"), "end", *sums, *(also or {}))
 
 
+#: Bytes of input for each part of what is sorted row by row.
+BYTES_A_PART = 4 << 20
+
+
+def parts(*dfs: DataFrame) -> int | None:
+    """How many parts the tables that all frames read make; None where a table's size is not known, as of one in memory."""
+    plans = [df._jdf.queryExecution().optimizedPlan().collectLeaves() for df in dfs]
+    size = sum(int(str(p.apply(i).stats().sizeInBytes())) for p in plans for i in range(p.size()))
+    return None if size >= 1 << 60 else -(-size // BYTES_A_PART)
+
+
+def by_size(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by the keys, into parts whose number grows with the tables that it reads: so their size does not.
+
+    Where that is not known it is the session's number of parts.
+    """
+    n = parts(df)
+    return df.repartition(*keys) if n is None else df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
+def both_by_size(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> tuple[DataFrame, DataFrame]:
+    """Two frames that an equality of the keys joins, dealt out alike by their size; small ones stay as they are, for a broadcast."""
+    n = parts(left, right)
+    if n is None or n <= 4 * left.sparkSession.sparkContext.defaultParallelism:
+        return left, right
+    return left.repartition(n, left_key), right.repartition(n, right_key)
+
+
 def overlap_totals(entries: DataFrame, events: DataFrame, windows: Sequence[tuple[int | None, int | None]], key: str, index: str) -> DataFrame:
     """(key, index, n_0, first_0, n_1, ...): of each distinct entry and window, how many events overlap it and the least start.
 

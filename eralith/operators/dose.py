@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eralith.functions.sweeps import point, points, segments
+from eralith.functions.sweeps import by_size, point, points
 from eralith.sources.clinical import Clinical
 
 #: Unit concepts.
@@ -119,7 +119,8 @@ def dose_eras(c: Clinical, gap: int = 30) -> DataFrame:
     An era is a time over which a person takes one and the same daily dose of an ingredient in a unit. Doses of exposures that
     run at once add up (to six decimals), so an era ends where any of them starts or stops and the sum changes; eras of an equal
     dose with at most gap days without any between them are one. Exposures whose dose can't be told are left out, those
-    without an end last a day. One sweep over starts and ends, added up by day before they are shuffled.
+    without an end last a day. One sweep over starts and ends: exposures are dealt out once, into parts whose number grows with
+    the input, and all that follows runs along one sort of their points.
     """
     keys = ["person_id", "drug_concept_id", "unit_concept_id"]
     unit = F.create_map(*(F.lit(x) for n, i in UNITS.items() for x in (n, int(i)))).cast("map<string,bigint>")
@@ -127,12 +128,18 @@ def dose_eras(c: Clinical, gap: int = 30) -> DataFrame:
     e = c["drug_exposure"].select("person_id", "drug_concept_id", "quantity", "drug_exposure_start_date", end.alias("drug_exposure_end_date"))
     e = daily_dose(c, e, by_ingredient=True).where("daily_dose is not null and person_id is not null")
     e = e.select("person_id", F.col("ingredient_concept_id").alias("drug_concept_id"), unit[F.col("unit")].alias("unit_concept_id"), F.col("daily_dose").cast(_EXACT).alias("dose"), "drug_exposure_start_date", "drug_exposure_end_date")
-    pts = points(e, keys, point(start, dose=F.col("dose"), n=1), point(F.date_add("drug_exposure_end_date", 1), dose=-F.col("dose"), n=-1))
-    runs = segments(pts, keys, ["dose", "n"]).where("n > 0")
-    w = Window.partitionBy(*keys).orderBy("start")
-    goes_on = (F.lag("dose").over(w) == F.col("dose")) & (F.col("start") <= F.date_add(F.lag("end").over(w), gap + 1))
-    runs = runs.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_era", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    eras = runs.groupBy(*keys, "_era").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("dose").cast("double").alias("dose_value"))
+    pts = points(by_size(e, *keys), keys, point(start, dose=F.col("dose"), n=1), point(F.date_add("drug_exposure_end_date", 1), dose=-F.col("dose"), n=-1))
+    w = Window.partitionBy(*keys).orderBy("day")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    # of the points of a day the last one has the sums of them all
+    runs = pts.withColumns({"dose": F.sum("dose").over(upto), "n": F.sum("n").over(upto), "next": F.lead("day").over(w)}).where("next > day and n > 0")
+    runs = runs.withColumn("end", F.date_sub("next", 1))
+    goes_on = (F.lag("dose").over(w) == F.col("dose")) & (F.col("day") <= F.date_add(F.lag("end").over(w), gap + 1))
+    runs = runs.withColumn("_new", F.when(goes_on, False).otherwise(True))
+    # an era's first and last stretch stand side by side once those between are gone
+    runs = runs.withColumn("_last", F.coalesce(F.lead("_new").over(w), F.lit(True))).where("_new or _last")
+    runs = runs.withColumn("end", F.when(F.col("_last"), F.col("end")).otherwise(F.lead("end").over(w)))
+    eras = runs.where("_new").select(*keys, F.col("day").alias("start"), "end", F.col("dose").cast("double").alias("dose_value"))
     return eras.select(
         F.xxhash64(*keys, "start").alias("dose_era_id"), *keys, "dose_value", F.col("start").alias("dose_era_start_date"), F.col("end").alias("dose_era_end_date"),
     )

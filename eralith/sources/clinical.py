@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eralith.functions.sweeps import both_by_size
+
 #: Clinical table -> SELECT over the driver's tables (in braces).
 PROJECTIONS = {
     "person": """
@@ -181,7 +183,13 @@ class Clinical:
 def project(spark: SparkSession, sf_dir: str) -> Clinical:
     """Clinical tables over the driver's parquet tables."""
     base = OnUse({t: (lambda t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in _BASE})
-    planned = lambda sql: spark.sql(sql, **{t: base[t] for t in _BASE if f"{{{t}}}" in sql})
+
+    def planned(sql: str) -> DataFrame:
+        used = {t: base[t] for t in _BASE if f"{{{t}}}" in sql}
+        if "lineitem" in used and "orders" in used:
+            used["lineitem"], used["orders"] = both_by_size(used["lineitem"], "l_orderkey", used["orders"], "o_orderkey")
+        return spark.sql(sql, **used)
+
     return Clinical(OnUse({name: (lambda sql=sql: planned(sql)) for name, sql in PROJECTIONS.items()}))
 
 
