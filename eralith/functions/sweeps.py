@@ -59,10 +59,15 @@ def by_size(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def both_by_size(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> tuple[DataFrame, DataFrame]:
-    """Two frames that an equality of the keys joins, dealt out alike by their size; small ones stay as they are, for a broadcast."""
+    """Two frames that an equality of the keys joins, dealt out alike by their size; small ones stay as they are, for a broadcast.
+
+    Never into fewer parts than the session's: the join would deal them out once more.
+    """
+    spark = left.sparkSession
     n = parts(left, right)
-    if n is None or n <= 4 * left.sparkSession.sparkContext.defaultParallelism:
+    if n is None or n <= 4 * spark.sparkContext.defaultParallelism:
         return left, right
+    n = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return left.repartition(n, left_key), right.repartition(n, right_key)
 
 

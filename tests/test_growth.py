@@ -37,6 +37,21 @@ def test_dose_eras_are_swept_in_parts_of_bounded_size(spark, monkeypatch):
             assert int(dealt["l_orderkey"]) == int(dealt["o_orderkey"]) > 16
 
 
+@needs_data
+def test_large_joins_deal_tables_out_once(spark, monkeypatch):
+    """Parts fewer than the session's would be dealt out a second time."""
+    from eralith.functions import sweeps
+
+    size = sum((SF / f"{t}.parquet").stat().st_size for t in ("lineitem", "orders"))
+    monkeypatch.setattr(sweeps, "BYTES_A_PART", size // 20)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        assert set(re.findall(r"RepartitionByExpression \[[lo]_orderkey#\d+L?\], (\d+)", plan(spark, "definition_dose_era"))) == {"40"}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_parts_of_tables_in_memory(spark):
     from eralith.functions.sweeps import both_by_size, by_size, parts
 
