@@ -630,6 +630,35 @@ def test_suffix_dedup_large_groups(spark, monkeypatch):
         assert got == want, most
 
 
+def test_suffix_dedup_common_passage(spark, monkeypatch):
+    """A passage of every text sends two rows a slice to the task of one key, not one a text."""
+    import random
+
+    from eralith.llm import suffix_dedup
+
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghij klmn") for _ in range(n))
+    passage = letters(450)
+    docs = [(i, letters(rng.randrange(1, 60)) + passage + letters(rng.randrange(1, 60)) + letters(40) * 14 * (i % 9 == 0)) for i in range(300)] + [(900, letters(500))]
+    count = Counter(t[i : i + 400] for _, t in docs for i in range(len(t) - 399))
+    want = {}
+    for d, t in docs:
+        gone = {j for i in range(len(t) - 399) if count[t[i : i + 400]] > 1 for j in range(i, i + 400)}
+        want[d] = (len(gone), "".join(x for j, x in enumerate(t) if j not in gone).encode())
+    dealt = []
+
+    def told(df, *args, **more):
+        dealt.append(df.groupBy("h", "h2").count().agg({"count": "max"}).first()[0])
+        return shared_runs(df, *args, **more)
+
+    shared_runs = suffix_dedup.shared_runs
+    monkeypatch.setattr(suffix_dedup, "shared_runs", told)
+    monkeypatch.setattr(suffix_dedup, "MOST_HELD", 3000)
+    got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffix_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
+    assert 2 <= dealt[0] <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) < 100
+
+
 def test_thinned():
     """A key of many texts sends two rows of a slice to its task; what is known of the others is true."""
     import numpy as np
